@@ -1,27 +1,27 @@
-"""Array helpers that keep per-line work linear and inside one row.
+"""SQL for array work that stays linear and inside one row.
 
-Everything here is a Column expression over an array that already sits in a
-row, so none of it moves data between partitions.
+Each function gives the text of a SQL expression; its arguments are SQL too.
+The arrays already sit in a row, so nothing here moves data between partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``.
+def bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once.
 
     Without this, Catalyst may inline an expression such as ``split(patch)``
     into a per-element lambda, where it would run again for every line.
     """
-    return F.transform(F.array(value), body)[0]
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def present(array: str) -> str:
+    """The array without its nulls."""
+    return f"filter({array}, item -> item IS NOT NULL)"
 
 
-def counts_before(kinds: Column, kind: str) -> Column:
+def counts_before(word: str, kind: str) -> str:
     """Running count of one character in a string of one-character kinds.
 
     Element ``i`` is the number of ``kind`` characters strictly before offset
@@ -29,66 +29,41 @@ def counts_before(kinds: Column, kind: str) -> Column:
     counts through offset ``i``.  Splitting at the character leaves runs over
     which the count is constant, which makes the whole array linear to build.
     """
-    runs = F.split(kinds, "[" + kind + "]", -1)
-    return F.flatten(F.transform(runs, lambda run, n: F.array_repeat(n, F.length(run) + 1)))
+    return (
+        f"flatten(transform(split({word}, '[{kind}]', -1), "
+        "(run, n) -> array_repeat(n, length(run) + 1)))"
+    )
 
 
-def flags_at(marks: Column, size: Column) -> Column:
-    """Boolean array of ``size`` elements, true at the offsets in ``marks``.
+def flags_at(marks: str, size: str) -> str:
+    """Boolean array of at least ``size`` elements, true at the offsets in ``marks``.
 
     Offsets outside ``[0, size)`` are ignored.  Sorting the marks and emitting
     the gaps between them costs ``marks + size``, where testing every offset
     with ``array_contains`` would cost their product.
     """
-    inside = F.filter(F.array_distinct(marks), lambda m: (m >= 0) & (m < size))
-    return bind(
-        F.concat(F.array(F.lit(-1)), F.sort_array(inside), F.array(size)),
-        lambda stops: F.flatten(
-            F.transform(
-                F.slice(stops, F.lit(2), F.size(stops)),
-                lambda stop, i: F.concat(
-                    F.array_repeat(F.lit(False), stop - F.get(stops, i) - 1),
-                    F.array(F.lit(True)),
-                ),
-            )
-        ),
+    inside = f"sort_array(filter(array_distinct({marks}), m -> m >= 0 AND m < {size}))"
+    gaps = (
+        "flatten(transform(slice(stops, 2, size(stops)), (stop, i) -> "
+        "concat(array_repeat(false, stop - get(stops, i) - 1), array(true))))"
     )
+    return bind(f"concat(array(-1), {inside}, array({size}))", "stops", gaps)
 
 
-def pieces(
-    lines: Column,
-    own: Column,
-    opens: Callable[[Column], Column],
-    look: int,
-) -> Column:
-    """Cut the first ``own`` of ``lines`` before every line that ``opens`` a piece.
+def pieces(lines: str, own: str, opens: str, look: int) -> str:
+    """Cut the first ``own`` of ``lines`` before every ``line`` that ``opens`` a piece.
 
-    Returns ``array<struct<at, own, lines>>``: where the piece begins, how many
+    Gives ``array<struct<at, own, lines>>``: where the piece begins, how many
     lines belong to it, and those lines followed by up to ``look`` lines of
     what comes after, so that a reader of the piece can look ahead.
     """
-
-    def cut(all_lines: Column) -> Column:
-        starts = F.filter(
-            F.transform(
-                F.slice(all_lines, F.lit(1), own),
-                lambda line, i: F.when((i == 0) | opens(line), i),
-            ),
-            lambda i: i.isNotNull(),
-        )
-        return bind(
-            starts,
-            lambda at: F.transform(
-                at,
-                lambda start, k: bind(
-                    F.coalesce(F.get(at, k + 1), own),
-                    lambda stop: F.struct(
-                        start.alias("at"),
-                        (stop - start).alias("own"),
-                        F.slice(all_lines, start + 1, stop - start + look).alias("lines"),
-                    ),
-                ),
-            ),
-        )
-
-    return bind(lines, cut)
+    starts = present(
+        f"transform(slice(all_lines, 1, {own}), (line, i) -> CASE WHEN i = 0 OR {opens} THEN i END)"
+    )
+    piece = bind(
+        f"coalesce(get(starts, k + 1), {own})",
+        "stop",
+        "named_struct('at', start, 'own', stop - start, "
+        f"'lines', slice(all_lines, start + 1, stop - start + {look}))",
+    )
+    return bind(lines, "all_lines", bind(starts, "starts", f"transform(starts, (start, k) -> {piece})"))

@@ -63,15 +63,23 @@ def comment_hunks(resolved: DataFrame) -> DataFrame:
     )
 
 
+# Parser options where only the lines themselves matter.
+NO_CONTEXT = {"previous_lines": 0, "next_lines": 0}
+
+
+def _hunk_lines(resolved: DataFrame, **context: int) -> DataFrame:
+    ok, _ = split_rejects(comment_hunks(resolved), "hunk", hunk_mode=True)
+    ok = ok.withColumn("last", F.size(F.split(F.rtrim(F.col("hunk"), F.lit("\n")), "\n", -1)) - 1)
+    return changed_lines(file_sections(ok, "hunk", hunk_mode=True), **context)
+
+
 def hunk_records(resolved: DataFrame, last_line_only: bool = False) -> DataFrame:
     """Every changed line of a comment's hunk, as commented.
 
     A hunk ends at the line its comment is on; ``last_line_only`` keeps that
     line alone.
     """
-    ok, _ = split_rejects(comment_hunks(resolved), "hunk", hunk_mode=True)
-    ok = ok.withColumn("last", F.size(F.split(F.rtrim(F.col("hunk"), F.lit("\n")), "\n", -1)) - 1)
-    lines = changed_lines(file_sections(ok, "hunk", hunk_mode=True))
+    lines = _hunk_lines(resolved)
     if last_line_only:
         lines = lines.where(F.col("line_at") == F.col("last"))
     return lines.select(
@@ -92,7 +100,7 @@ def hunk_records(resolved: DataFrame, last_line_only: bool = False) -> DataFrame
     )
 
 
-def _patch_lines_with_flags(resolved: DataFrame) -> DataFrame:
+def _patch_lines_with_flags(resolved: DataFrame, **context: int) -> DataFrame:
     """Changed lines of the patch with the flags ``hit`` and ``near``."""
     parsed = F.col("parsed_input")
     positions = parsed["comment_positions"]
@@ -125,8 +133,7 @@ def _patch_lines_with_flags(resolved: DataFrame) -> DataFrame:
             ),
         }
     ).drop("on_commit", "on_file")
-    marks = {"hit": F.col("hit_at"), "near": F.col("near_at")}
-    return changed_lines(sections, marks=marks).drop("hit_at", "near_at")
+    return changed_lines(sections, marks={"hit": "hit_at", "near": "near_at"}, **context)
 
 
 def comment_marks(resolved: DataFrame) -> DataFrame:
@@ -223,6 +230,19 @@ def flag_commented_lines(
     ).drop("at", "commit_key", "hit0", "hit1", "near0", "near1")
 
 
+def _flagged_lines(
+    resolved: DataFrame, compat: bool = False, several_rows: bool = False, **context: int
+) -> DataFrame:
+    """Changed lines of the patch with the flags ``hit`` and ``near``."""
+    if not (compat or several_rows):
+        return _patch_lines_with_flags(resolved, **context)
+    ok, _ = split_rejects(resolved.select("pull_request_url", "patch"))
+    if several_rows:
+        ok = ok.dropDuplicates(["pull_request_url"])
+    lines = changed_lines(file_sections(ok), **context)
+    return flag_commented_lines(lines, comment_marks(resolved), compat=compat)
+
+
 def patch_records(
     resolved: DataFrame, compat: bool = False, several_rows: bool = False
 ) -> DataFrame:
@@ -234,14 +254,7 @@ def patch_records(
     be spread over several rows (as the extract does with very many comments);
     lines are then matched by a join.
     """
-    if compat or several_rows:
-        ok, _ = split_rejects(resolved.select("pull_request_url", "patch"))
-        if several_rows:
-            ok = ok.dropDuplicates(["pull_request_url"])
-        lines = changed_lines(file_sections(ok))
-        flagged = flag_commented_lines(lines, comment_marks(resolved), compat=compat)
-    else:
-        flagged = _patch_lines_with_flags(resolved)
+    flagged = _flagged_lines(resolved, compat, several_rows)
     if compat:
         kept, commented = flagged.where(F.col("near") & ~F.col("hit")), F.lit(True)
     else:
@@ -289,6 +302,23 @@ def first_per_text(records: DataFrame) -> DataFrame:
     return records.withColumn("nth", F.row_number().over(window)).where("nth = 1").drop("nth")
 
 
+def with_any_comment(resolved: DataFrame) -> DataFrame:
+    """Pull requests that have a hunk or a position; no other can have a commented line."""
+    parsed = F.col("parsed_input")
+    return resolved.where(
+        (F.coalesce(F.size(parsed["diff_hunks"]), F.lit(0)) > 0)
+        | (F.coalesce(F.size(parsed["comment_positions"]), F.lit(0)) > 0)
+    )
+
+
+def commented_pull_requests(resolved: DataFrame, several_rows: bool = False) -> DataFrame:
+    """Distinct urls of the pull requests with a commented record."""
+    in_hunks = _hunk_lines(resolved, **NO_CONTEXT)
+    in_patch = _flagged_lines(resolved, several_rows=several_rows, **NO_CONTEXT).where("hit")
+    urls = in_hunks.select("pull_request_url").union(in_patch.select("pull_request_url"))
+    return urls.distinct()
+
+
 def labelled_lines(
     resolved: DataFrame, compat: bool = False, several_rows: bool = False
 ) -> DataFrame:
@@ -296,11 +326,13 @@ def labelled_lines(
 
     The structural distinct that precedes the choice per text cannot change its
     result (equal records share their text), so it is not run.  Pull requests
-    without any commented record give nothing; ``compat`` has no other kind.
+    without any commented record give nothing (``compat`` has no other kind),
+    so those without comments are not even parsed.
     """
+    resolved = with_any_comment(resolved)
     records = hunk_records(resolved).unionByName(patch_records(resolved, compat, several_rows))
     chosen = first_per_text(records)
     if compat:
         return chosen
-    commented = records.where("commented").select("pull_request_url").distinct()
+    commented = commented_pull_requests(resolved, several_rows)
     return chosen.join(commented, "pull_request_url", "left_semi")

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prsignal.functions.arrays import bind, counts_before, flags_at, pieces
+from prsignal.functions.arrays import bind, counts_before, flags_at, pieces, present
 
 # The line patterns of the patch format.  A line is classified by
 # the first pattern that matches all of it; "." does not match \r, U+0085,
@@ -32,7 +32,7 @@ CONTEXT_LINE = r"\A\s.*\z"
 CONTEXT_LINES = 4
 MAX_TEXT_LENGTH = 2000
 
-# Patterns of the strict mode, which also takes headers without counts.
+# Hunk headers of the strict mode may leave out their counts.
 STRICT_HUNK_HEADER = r"\A@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@.*\z"
 
 RECORD_FIELDS = (
@@ -48,51 +48,55 @@ RECORD_FIELDS = (
 )
 
 
-def _is(line: Column, prefix: str, pattern: str) -> Column:
+def _is(line: str, prefix: str, pattern: str) -> str:
     """Full match, with a cheap byte comparison in front of the pattern."""
-    return line.startswith(prefix) & line.rlike(pattern)
+    return f"(startswith({line}, '{prefix}') AND {line} RLIKE r'{pattern}')"
 
 
-def _opens_commit(line: Column) -> Column:
+def _opens_commit(line: str = "line") -> str:
     return _is(line, "From", COMMIT_LINE)
 
 
-def _opens_file(line: Column) -> Column:
+def _opens_file(line: str = "line") -> str:
     return _is(line, "diff --git a/", DIFF_COMMAND)
 
 
-def _header_pattern(strict: bool) -> str:
+def _header(strict: bool) -> str:
     return STRICT_HUNK_HEADER if strict else HUNK_HEADER
 
 
-def _kind(line: Column, header: str) -> Column:
+def _kind(strict: bool) -> str:
     """h = hunk header, + - and blank = body line, x = anything else."""
-    return (
-        F.when(_is(line, "@@ -", header), "h")
-        .when(line.startswith("+") & line.rlike(BODY_LINE), "+")
-        .when(line.startswith("-") & line.rlike(BODY_LINE), "-")
-        .when(line.rlike(CONTEXT_LINE), " ")
-        .otherwise("x")
-    )
+    signature = "WHEN line = '-- ' THEN 'x'" if strict else ""
+    return f"""CASE {signature}
+        WHEN {_is("line", "@@ -", _header(strict))} THEN 'h'
+        WHEN {_is("line", "+", BODY_LINE)} THEN '+'
+        WHEN {_is("line", "-", BODY_LINE)} THEN '-'
+        WHEN line RLIKE r'{CONTEXT_LINE}' THEN ' '
+        ELSE 'x' END"""
 
 
-def _shown(line: Column) -> Column:
+def _shown() -> str:
     """Text of a line when it may appear among the lines that follow a record.
 
     This looks at the line alone: ``+++ b/x`` counts as an added line here, and
     ``--- a/x`` as a file header, wherever they stand.
     """
-    return F.when(line.rlike(BODY_LINE) & ~_is(line, "---", OLD_FILE), _text(line))
+    return (
+        f"CASE WHEN line RLIKE r'{BODY_LINE}' AND NOT {_is('line', '---', OLD_FILE)} "
+        "THEN substring(line, 2) END"
+    )
 
 
-def _text(line: Column) -> Column:
-    """A body line without its first character."""
-    return F.substring(line, 2, 2_147_483_647)
+def _lines(text_col: str, strict: bool) -> str:
+    text = f"`{text_col}`"
+    if strict:
+        text = f"regexp_replace({text}, r'\\r(?=\\n|\\z)', '')"
+    return f"split({text}, '\\n', -1)"
 
 
-def _to_int(value: Column) -> Column:
-    """The low 32 bits of a bigint, so that line numbers wrap instead of failing."""
-    return F.shiftright(F.shiftleft(value, 32), 32).cast("int")
+def _quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
 
 
 def file_sections(
@@ -106,141 +110,70 @@ def file_sections(
     """One row per file section of a patch, next to the other columns of ``df``.
 
     Adds ``commit_id``, ``filename``, ``first_position`` and the section's
-    lines.  Patches that cannot be parsed (see :func:`rejected_patches`) give
-    no rows.  In ``hunk_mode`` the text is a bare hunk, so lines before any
-    ``diff`` command count as well.
+    lines.  Only for patches that can be parsed (see :func:`split_rejects`).
+    In ``hunk_mode`` the text is a bare hunk, so lines before any ``diff``
+    command count as well.
     """
     look = max(next_lines - 1, 0)
-    keep = [c for c in df.columns if c != text_col]
-    text = F.col(text_col)
-    if strict:
-        text = F.regexp_replace(text, r"\r(?=\n|\z)", "")
-    lines = F.split(text, "\n", -1)
-
-    commits = df.where(F.col(text_col).isNotNull()).select(
+    keep = _quoted([c for c in df.columns if c != text_col])
+    commits = df.where(F.col(text_col).isNotNull()).selectExpr(
         *keep,
-        F.inline(
-            bind(lines, lambda all_lines: pieces(all_lines, F.size(all_lines), _opens_commit, look))
-        ).alias("commit_at", "commit_own", "commit_lines"),
+        "inline("
+        + bind(
+            _lines(text_col, strict),
+            "patch_lines",
+            pieces("patch_lines", "size(patch_lines)", _opens_commit(), look),
+        )
+        + ") AS (commit_at, commit_own, commit_lines)",
     )
-    first = F.get("commit_lines", F.lit(0))
-    sections = commits.select(
+    sections = commits.selectExpr(
         *keep,
         "commit_at",
-        F.when(_opens_commit(first), F.regexp_extract(first, COMMIT_LINE, 1)).alias("commit_id"),
-        F.inline(pieces(F.col("commit_lines"), F.col("commit_own"), _opens_file, look)).alias(
-            "file_at", "own", "lines"
-        ),
+        f"CASE WHEN {_opens_commit('commit_lines[0]')} "
+        f"THEN regexp_extract(commit_lines[0], r'{COMMIT_LINE}', 1) END AS commit_id",
+        f"inline({pieces('commit_lines', 'commit_own', _opens_file(), look)}) "
+        "AS (file_at, own, lines)",
     )
-    first = F.get("lines", F.lit(0))
-    opened = _opens_file(first)
+    opened = _opens_file("lines[0]")
     if not hunk_mode:
         sections = sections.where(opened)
-    header = _header_pattern(strict)
-
-    def named(all_lines: Column) -> Column:
-        """The last ``+++ b/`` line before the first hunk header names the file."""
-        kinds = F.transform(all_lines, lambda line: _is(line, "@@ -", header))
-        return bind(
-            F.array_position(kinds, True).cast("int"),
-            lambda at: F.element_at(
-                F.concat(
-                    F.array(F.regexp_extract(F.get(all_lines, F.lit(0)), DIFF_COMMAND, 1)),
-                    F.transform(
-                        F.filter(
-                            F.slice(
-                                all_lines,
-                                F.lit(1),
-                                F.when(at > 0, at - 1).otherwise(F.size(all_lines)),
-                            ),
-                            lambda line: _is(line, "+++", NEW_FILE),
-                        ),
-                        lambda line: F.regexp_extract(line, NEW_FILE, 1),
-                    ),
-                ),
-                -1,
-            ),
-        )
-
-    own_lines = F.slice(F.col("lines"), F.lit(1), F.col("own"))
-    # A commit line leaves no position to count from until a diff command.
-    first_position = F.when(opened, -1).when(F.col("commit_id").isNull(), 0)
-    return sections.select(
+    # The last "+++ b/" line before the first hunk header names the file.
+    names = f"""transform(
+        filter(slice(lines, 1, CASE WHEN header_at > 0 THEN header_at - 1 ELSE own END),
+               line -> {_is("line", "+++", NEW_FILE)}),
+        line -> regexp_extract(line, r'{NEW_FILE}', 1))"""
+    header_at = f"array_position(transform(slice(lines, 1, own), line -> {_is('line', '@@ -', _header(strict))}), true)"
+    filename = bind(
+        f"CAST({header_at} AS INT)",
+        "header_at",
+        f"element_at(concat(array(regexp_extract(lines[0], r'{DIFF_COMMAND}', 1)), {names}), -1)",
+    )
+    return sections.selectExpr(
         *keep,
         "commit_id",
-        F.when(opened, bind(own_lines, named)).alias("filename"),
-        first_position.cast("int").alias("first_position"),
-        (F.col("commit_at") + F.col("file_at")).alias("section_at"),
+        f"CASE WHEN {opened} THEN {filename} END AS filename",
+        # A commit line leaves no position to count from until a diff command.
+        f"CASE WHEN {opened} THEN -1 WHEN commit_id IS NULL THEN 0 END AS first_position",
+        "commit_at + file_at AS section_at",
         "own",
         "lines",
     )
 
 
-def _section_kinds(lines: Column, own: Column, strict: bool) -> Column:
-    """Kinds of a section's lines; nothing counts before its first hunk header."""
-    header = _header_pattern(strict)
-
-    def kind(line: Column) -> Column:
-        if strict:
-            return F.when(line == "-- ", "x").otherwise(_kind(line, header))
-        return _kind(line, header)
-
-    return bind(
-        F.transform(F.slice(lines, F.lit(1), own), kind),
-        lambda raw: bind(
-            F.array_position(raw, "h").cast("int"),
-            lambda at: F.transform(
-                raw, lambda k, i: F.when((at > 0) & (i >= at - 1), k).otherwise("x")
-            ),
-        ),
-    )
-
-
-def _hunk_starts(lines: Column, kinds: Column, header: str) -> Column:
-    """Line numbers before each hunk and the counts reached at its header."""
-    at_header = F.filter(
-        F.transform(kinds, lambda kind, i: F.when(kind == "h", i)), lambda i: i.isNotNull()
-    )
-
-    def number(i: Column, group: int) -> Column:
-        return F.regexp_extract(F.get(lines, i), header, group).try_cast("bigint") - 1
-
-    return F.transform(
-        at_header,
-        lambda i: F.struct(
-            number(i, 1).alias("old"),
-            number(i, 2).alias("new"),
-            F.get("adds", i).alias("adds"),
-            F.get("dels", i).alias("dels"),
-            F.get("ctxs", i).alias("ctxs"),
-            (F.get("adds", i) + F.get("dels", i) + F.get("ctxs", i)).alias("first"),
-        ),
-    )
-
-
-def _body(lines: Column, kinds: Column) -> Column:
-    """Texts of the added, removed and context lines, without their first character."""
-    return F.filter(
-        F.transform(
-            kinds, lambda kind, i: F.when(kind.isin("+", "-", " "), _text(F.get(lines, i)))
-        ),
-        lambda line: line.isNotNull(),
-    )
-
-
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
+def _once(df: DataFrame, **columns: str) -> DataFrame:
     """Add columns that are computed once per row.
 
     A plain ``withColumn`` can be merged into the expression that uses it, and
     would then run once per line; the generator keeps the two apart.
     """
-    return df.select("*", F.inline(F.array(F.struct(*columns.values()))).alias(*columns))
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    return df.selectExpr("*", f"inline(array(named_struct({fields}))) AS ({', '.join(columns)})")
 
 
 def changed_lines(
     sections: DataFrame,
     *,
-    marks: Mapping[str, Column] | None = None,
+    marks: Mapping[str, str] | None = None,
     previous_lines: int = CONTEXT_LINES,
     next_lines: int = CONTEXT_LINES,
     max_length: int = MAX_TEXT_LENGTH,
@@ -248,97 +181,103 @@ def changed_lines(
 ) -> DataFrame:
     """One row per added or removed line of :func:`file_sections`.
 
-    ``marks`` maps an output name to an ``array<int>`` column of positions; the
-    output has a boolean column of that name, true where the line's position is
-    in the array.
+    ``marks`` maps an output name to a column with an ``array<int>`` of
+    positions; the output has a boolean column of that name instead, true where
+    the line's position is in the array.
     """
     marks = dict(marks or {})
-    section_columns = ("commit_id", "filename", "first_position", "section_at", "own", "lines")
-    keep = [c for c in sections.columns if c not in section_columns]
-    lines, kinds = F.col("lines"), F.col("kinds")
-
-    work = _once(sections, kinds=_section_kinds(lines, F.col("own"), strict))
-    word = F.array_join(kinds, "")
+    used = ("commit_id", "filename", "first_position", "section_at", "own", "lines", *marks.values())
+    keep = _quoted([c for c in sections.columns if c not in used])
+    header = _header(strict)
+
+    # Nothing counts before the first hunk header of a section.
+    kinds = bind(
+        f"transform(slice(lines, 1, own), line -> {_kind(strict)})",
+        "raw",
+        bind(
+            "CAST(array_position(raw, 'h') AS INT)",
+            "header_at",
+            "transform(raw, (kind, i) -> "
+            "CASE WHEN header_at > 0 AND i >= header_at - 1 THEN kind ELSE 'x' END)",
+        ),
+    )
+    work = _once(sections, kinds=kinds)
     work = _once(
         work,
-        hunks=counts_before(word, "h"),
-        adds=counts_before(word, "+"),
-        dels=counts_before(word, "-"),
-        ctxs=counts_before(word, " "),
+        hunks=counts_before("array_join(kinds, '')", "h"),
+        adds=counts_before("array_join(kinds, '')", "+"),
+        dels=counts_before("array_join(kinds, '')", "-"),
+        ctxs=counts_before("array_join(kinds, '')", " "),
     )
+    header_lines = present("transform(kinds, (kind, i) -> CASE WHEN kind = 'h' THEN i END)")
+    number = f"CAST(regexp_extract(lines[i], r'{header}', {{}}) AS BIGINT) - 1"
     work = _once(
         work,
-        starts=_hunk_starts(lines, kinds, _header_pattern(strict)),
-        body=_body(lines, kinds),
-        changed=F.filter(
-            F.transform(
-                kinds,
-                lambda kind, i: F.when(
-                    kind.isin("+", "-") & (F.length(F.get(lines, i)) <= max_length), i
-                ),
-            ),
-            lambda i: i.isNotNull(),
+        # Line numbers before each hunk, and the counts reached at its header.
+        starts=f"""transform({header_lines}, i -> named_struct(
+            'old', {number.format(1)}, 'new', {number.format(2)},
+            'adds', adds[i], 'dels', dels[i], 'ctxs', ctxs[i],
+            'first', adds[i] + dels[i] + ctxs[i]))""",
+        # Texts of the added, removed and context lines.
+        body=present(
+            "transform(kinds, (kind, i) -> "
+            "CASE WHEN kind IN ('+', '-', ' ') THEN substring(lines[i], 2) END)"
+        ),
+        changed=present(
+            "transform(kinds, (kind, i) -> CASE WHEN kind IN ('+', '-') "
+            f"AND length(lines[i]) <= {max_length} THEN i END)"
         ),
-        **{f"at_{name}": flags_at(at, F.size(kinds) + 1) for name, at in marks.items()},
+        **{f"at_{name}": flags_at(at, "size(kinds) + 1") for name, at in marks.items()},
     )
 
-    def at_line(i: Column) -> Column:
-        """The counts through line ``i`` and those at the header of its hunk."""
-        return F.struct(
-            i.alias("line_at"),
-            F.get("hunks", i).alias("hunk"),
-            F.get("adds", i + 1).alias("adds"),
-            F.get("dels", i + 1).alias("dels"),
-            F.get("ctxs", i + 1).alias("ctxs"),
-            F.get("starts", F.get("hunks", i) - 1).alias("start"),
-        )
-
-    def record(n: Column) -> Column:
-        nth = n["adds"] + n["dels"] + n["ctxs"]
-        first = n["start"]["first"]
-        following = F.transform(F.slice(lines, n["line_at"] + 1, F.lit(next_lines)), _shown)
-        return F.struct(
-            n.alias("n"),
-            F.slice(
-                "body",
-                F.greatest(nth - previous_lines, first) + 1,
-                F.least(F.lit(previous_lines), nth - first),
-            ).alias("previous_lines"),
-            F.get(lines, n["line_at"]).alias("line"),
-            F.filter(following, lambda line: line.isNotNull()).alias("next_lines"),
-            *(F.get(f"at_{m}", F.col("first_position") + n["hunk"] + nth).alias(m) for m in marks),
-        )
-
-    rows = work.select(
+    # The counts through line i and those at the header of its hunk.
+    at_line = """transform(changed, i -> named_struct(
+        'line_at', i, 'hunk', hunks[i], 'adds', adds[i + 1], 'dels', dels[i + 1],
+        'ctxs', ctxs[i + 1], 'start', starts[hunks[i] - 1]))"""
+    nth = "(n.adds + n.dels + n.ctxs)"
+    following = present(f"transform(slice(lines, n.line_at + 1, {next_lines}), line -> {_shown()})")
+    flags = "".join(
+        f", '{name}', coalesce(get(at_{name}, first_position + n.hunk + {nth}), false)"
+        for name in marks
+    )
+    rows = work.selectExpr(
         *keep,
         "commit_id",
         "filename",
         "first_position",
         "section_at",
-        F.inline(F.transform(F.transform("changed", at_line), record)).alias(
-            "n", "previous_lines", "line", "next_lines", *marks
-        ),
+        f"""inline(transform({at_line}, n -> named_struct(
+            'n', n,
+            'previous_lines', slice(body, greatest({nth} - {previous_lines}, n.start.first) + 1,
+                                    least({previous_lines}, {nth} - n.start.first)),
+            'line', lines[n.line_at],
+            'next_lines', {following}
+            {flags}))) AS ({", ".join(("n", "previous_lines", "line", "next_lines", *marks))})""",
     )
+
+    def position_from(start: str, one: str) -> str:
+        # The low 32 bits, so that line numbers wrap instead of failing.
+        number = f"n.start.{start} + (n.{one} - n.start.{one}) + (n.ctxs - n.start.ctxs)"
+        return f"CAST(shiftright(shiftleft({number}, 32), 32) AS INT)"
+
     # The plain arithmetic runs on the exploded rows, in generated code.
-    adds, dels, ctxs = (F.col(f"n.{c}") for c in ("adds", "dels", "ctxs"))
-    start = F.col("n.start")
-    return rows.select(
+    return rows.selectExpr(
         *keep,
-        (F.col("section_at") + F.col("n.line_at")).alias("line_at"),
+        "section_at + n.line_at AS line_at",
         "commit_id",
-        _to_int(start["old"] + (dels - start["dels"]) + (ctxs - start["ctxs"])).alias("old_pos"),
-        _to_int(start["new"] + (adds - start["adds"]) + (ctxs - start["ctxs"])).alias("new_pos"),
-        (F.col("first_position") + F.col("n.hunk") + adds + dels + ctxs).alias("position"),
+        position_from("old", "dels") + " AS old_pos",
+        position_from("new", "adds") + " AS new_pos",
+        f"first_position + n.hunk + {nth} AS position",
         "previous_lines",
-        _text(F.col("line")).alias("text"),
+        "substring(line, 2) AS text",
         "next_lines",
         "filename",
-        F.col("line").startswith("+").alias("is_added"),
-        *(F.coalesce(m, F.lit(False)).alias(m) for m in marks),
+        "startswith(line, '+') AS is_added",
+        *marks,
     )
 
 
-def _is_rejected(text_col: str, hunk_mode: bool, strict: bool) -> Column:
+def _rejection(text_col: str, hunk_mode: bool, strict: bool) -> Column:
     """Why a patch cannot be parsed, or null.
 
     A header whose line number does not fit an int is an error where headers
@@ -346,44 +285,28 @@ def _is_rejected(text_col: str, hunk_mode: bool, strict: bool) -> Column:
     a header between a commit line and the next ``diff`` command has no
     position to count from.
     """
-    header = _header_pattern(strict)
-    text = F.col(text_col)
-    if strict:
-        text = F.regexp_replace(text, r"\r(?=\n|\z)", "")
-
-    def reason(all_lines: Column) -> Column:
-        # d = diff command, c = commit line, h/o = header that fits / overflows.
-        kinds = F.transform(
-            all_lines,
-            lambda line: F.when(_opens_file(line), "d")
-            .when(_opens_commit(line), "c")
-            .when(
-                _is(line, "@@ -", header),
-                F.when(
-                    F.regexp_extract(line, header, 1).try_cast("int").isNull()
-                    | F.regexp_extract(line, header, 2).try_cast("int").isNull(),
-                    "o",
-                ).otherwise("h"),
-            )
-            .otherwise(""),
-        )
-        word = F.array_join(kinds, "")
-        overflow = r"o" if hunk_mode else r"d[dho]*o"
-        result = F.when(word.rlike(overflow), F.lit("line number does not fit an int"))
-        if hunk_mode:
-            result = result.when(word.rlike(r"c[cho]*[ho]"), F.lit("header without a position"))
-        return result
-
-    return F.when(F.col(text_col).isNull(), F.lit("no text")).otherwise(
-        bind(F.split(text, "\n", -1), reason)
+    header = _header(strict)
+    number = f"try_cast(regexp_extract(line, r'{header}', {{}}) AS INT)"
+    # d = diff command, c = commit line, h/o = header that fits / overflows.
+    kind = f"""CASE WHEN {_opens_file()} THEN 'd' WHEN {_opens_commit()} THEN 'c'
+        WHEN {_is("line", "@@ -", header)} THEN
+            CASE WHEN {number.format(1)} IS NULL OR {number.format(2)} IS NULL THEN 'o' ELSE 'h' END
+        ELSE '' END"""
+    overflow = "o" if hunk_mode else "d[dho]*o"
+    nowhere = "WHEN word RLIKE 'c[cho]*[ho]' THEN 'header without a position'" if hunk_mode else ""
+    reason = bind(
+        f"array_join(transform({_lines(text_col, strict)}, line -> {kind}), '')",
+        "word",
+        f"CASE WHEN word RLIKE '{overflow}' THEN 'line number does not fit an int' {nowhere} END",
     )
+    return F.expr(f"CASE WHEN `{text_col}` IS NULL THEN 'no text' ELSE {reason} END")
 
 
 def split_rejects(
     df: DataFrame, text_col: str = "patch", *, hunk_mode: bool = False, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(patches that parse, patches that do not with an ``error`` column)."""
-    reason = _is_rejected(text_col, hunk_mode, strict)
+    reason = _rejection(text_col, hunk_mode, strict)
     ok = df.where(reason.isNull())
     bad = df.withColumn("error", reason).where(F.col("error").isNotNull())
     return ok, bad

@@ -13,20 +13,26 @@ MAX_SUGGESTIONS = 7
 PR = "pull_request_url"
 
 
-def positive_predictions(scored: DataFrame) -> DataFrame:
-    """Distinct positive predictions; ``p1`` is the probability of the positive class."""
-    return (
-        scored.where(F.col("prediction") == 1.0)
-        .select(PR, "filename", F.col("offset").alias("line"), "commit_id", "p1", "prediction")
-        .distinct()
+def positive_only(scored: DataFrame) -> DataFrame:
+    """Positive predictions; ``p1`` is the probability of the positive class."""
+    return scored.where(F.col("prediction") == 1.0).select(
+        PR, "filename", F.col("offset").alias("line"), "commit_id", "p1", "prediction"
     )
 
 
+def positive_predictions(scored: DataFrame) -> DataFrame:
+    """Positive predictions, each once."""
+    return positive_only(scored).distinct()
+
+
 def best_per_line(positive: DataFrame) -> DataFrame:
-    """One prediction per line: the one with the highest probability."""
+    """One prediction per line: the one with the highest probability.
+
+    Repeated predictions do not matter here, so they need not be made distinct first.
+    """
     return positive.groupBy(PR, "filename", "line", "commit_id").agg(
-        F.max(F.struct("p1", "prediction")).alias("best")
-    ).select(PR, "filename", "line", "commit_id", "best.prediction", "best.p1")
+        F.max("prediction").alias("prediction"), F.max("p1").alias("p1")
+    )
 
 
 def split_unplaced(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,5 +100,5 @@ def responses(requests: DataFrame, suggestions: DataFrame, errors: DataFrame | N
 
 def suggest(scored: DataFrame, n: int = MAX_SUGGESTIONS) -> DataFrame:
     """Scored lines to ranked suggestions: positives, one per line, top ``n``."""
-    placed, _ = split_unplaced(best_per_line(positive_predictions(scored)))
+    placed, _ = split_unplaced(best_per_line(positive_only(scored)))
     return top_suggestions(placed, n)

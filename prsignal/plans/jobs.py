@@ -19,7 +19,7 @@ from prsignal.operators.resolve import fetch_and_store, resolve_issues
 from prsignal.operators.score import (
     best_per_line,
     dedupe_suggestions,
-    positive_predictions,
+    positive_only,
     responses,
     split_unplaced,
     top_suggestions,
@@ -103,7 +103,7 @@ def score_requests(
     )
     prepared = prepare_scoring_data(lines, facts)
     scored = scorer(prepared) if callable(scorer) else M.score(scorer, prepared)
-    placed, unplaced = split_unplaced(best_per_line(positive_predictions(scored)))
+    placed, unplaced = split_unplaced(best_per_line(positive_only(scored)))
     suggestions = with_messages(dedupe_suggestions(top_suggestions(placed)))
     errors = bad.select("pull_request_url", "error").unionByName(
         unplaced.select("pull_request_url", F.lit("line without a commit").alias("error"))

@@ -208,5 +208,5 @@ def test_no_exchange_and_duplicate_ids(spark):
 def test_marks(spark):
     df = spark.createDataFrame([("p", MAIL)], "patch_id string, patch string")
     sections = P.file_sections(df).withColumn("wanted", F.array(F.lit(5), F.lit(8), F.lit(99), F.lit(-3)))
-    got = P.changed_lines(sections, marks={"hit": F.col("wanted")}).orderBy("line_at").collect()
+    got = P.changed_lines(sections, marks={"hit": "wanted"}).orderBy("line_at").collect()
     assert [r.hit for r in got] == [False, False, True, False, True]
