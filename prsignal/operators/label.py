@@ -67,19 +67,15 @@ def comment_hunks(resolved: DataFrame) -> DataFrame:
 NO_CONTEXT = {"previous_lines": 0, "next_lines": 0}
 
 
-def _hunk_lines(resolved: DataFrame, **context: int) -> DataFrame:
-    ok, _ = split_rejects(comment_hunks(resolved), "hunk", hunk_mode=True)
-    ok = ok.withColumn("last", F.size(F.split(F.rtrim(F.col("hunk"), F.lit("\n")), "\n", -1)) - 1)
-    return changed_lines(file_sections(ok, "hunk", hunk_mode=True), **context)
-
-
 def hunk_records(resolved: DataFrame, last_line_only: bool = False) -> DataFrame:
     """Every changed line of a comment's hunk, as commented.
 
     A hunk ends at the line its comment is on; ``last_line_only`` keeps that
     line alone.
     """
-    lines = _hunk_lines(resolved)
+    ok, _ = split_rejects(comment_hunks(resolved), "hunk", hunk_mode=True)
+    ok = ok.withColumn("last", F.size(F.split(F.rtrim(F.col("hunk"), F.lit("\n")), "\n", -1)) - 1)
+    lines = changed_lines(file_sections(ok, "hunk", hunk_mode=True))
     if last_line_only:
         lines = lines.where(F.col("line_at") == F.col("last"))
     return lines.select(
@@ -100,40 +96,97 @@ def hunk_records(resolved: DataFrame, last_line_only: bool = False) -> DataFrame
     )
 
 
+# SQL of the parallel arrays of a pull request's comments, zipped by index.
+_POS, _FILES, _COMMITS = (
+    f"coalesce(parsed_input.{c}, array())"
+    for c in ("comment_positions", "comment_file_paths", "comment_commit_ids")
+)
+
+
+def _zip_sql(**arrays: str) -> str:
+    """SQL for an array of structs by index, as long as the shortest array."""
+    zipped = ", ".join(arrays.values())
+    names = ", ".join(f"'{name}', z.`{i}`" for i, name in enumerate(arrays))
+    sizes = ", ".join(f"size({a})" for a in arrays.values())
+    return f"transform(slice(arrays_zip({zipped}), 1, least({sizes})), z -> named_struct({names}))"
+
+
+def _with_marks(sections: DataFrame) -> DataFrame:
+    """Positions of a file section that comments point at (``hit_at``) or are next to (``near_at``).
+
+    ``on_commit`` and ``on_file`` hold the comments of the pull request.
+    """
+    both = "array(c.pos.original_position, c.pos.new_position)"
+    exact = "filter(on_commit, c -> c.file = filename AND c.commit_id <=> commit_id)"
+    around = f"flatten(transform(filter(on_file, c -> c.file = filename), c -> {both}))"
+    others = [c for c in sections.columns if c not in ("on_commit", "on_file")]
+    return sections.selectExpr(
+        *others,
+        f"flatten(transform({exact}, c -> {both})) AS hit_at",
+        f"flatten(transform({around}, p -> array(p - 1, p, p + 1))) AS near_at",
+    )
+
+
+_MARKS = {"hit": "hit_at", "near": "near_at"}
+
+
 def _patch_lines_with_flags(resolved: DataFrame, **context: int) -> DataFrame:
     """Changed lines of the patch with the flags ``hit`` and ``near``."""
-    parsed = F.col("parsed_input")
-    positions = parsed["comment_positions"]
-    df = resolved.select(
+    df = resolved.selectExpr(
         "pull_request_url",
         "patch",
-        zip_shortest(
-            commit_id=parsed["comment_commit_ids"], pos=positions, file=parsed["comment_file_paths"]
-        ).alias("on_commit"),
-        zip_shortest(pos=positions, file=parsed["comment_file_paths"]).alias("on_file"),
+        _zip_sql(commit_id=_COMMITS, pos=_POS, file=_FILES) + " AS on_commit",
+        _zip_sql(pos=_POS, file=_FILES) + " AS on_file",
     )
     ok, _ = split_rejects(df)
-    sections = file_sections(ok)
+    return changed_lines(_with_marks(file_sections(ok)), marks=_MARKS, **context)
 
-    def both(comment: Column) -> Column:
-        return F.array(comment["pos"]["original_position"], comment["pos"]["new_position"])
 
-    exact = F.filter(
-        "on_commit",
-        lambda c: (c["file"] == F.col("filename")) & c["commit_id"].eqNullSafe(F.col("commit_id")),
+def _records_in_one_pass(resolved: DataFrame, **context: int) -> DataFrame:
+    """Hunk records and patch records together, from one pass over the rows.
+
+    Patch and hunks of a pull request become one text per row and go through
+    the same parse; only the hunks are read in hunk mode.
+    """
+    hunks = _zip_sql(
+        hunk="coalesce(parsed_input.diff_hunks, array())",
+        path=_FILES,
+        comment_text="coalesce(parsed_input.comment_text, array())",
+    )
+    on_commit = _zip_sql(commit_id=_COMMITS, pos=_POS, file=_FILES)
+    on_file = _zip_sql(pos=_POS, file=_FILES)
+    pos = "pos:struct<original_position:int,new_position:int>"
+    texts = resolved.selectExpr(
+        "pull_request_url",
+        f"""inline(concat(
+            array(named_struct('source', {FROM_PATCH}, 'item', 0, 'body', patch,
+                'path', CAST(NULL AS STRING), 'comment_text', '',
+                'on_commit', {on_commit}, 'on_file', {on_file})),
+            transform({hunks}, (h, i) -> named_struct('source', {FROM_HUNK}, 'item', i,
+                'body', h.hunk, 'path', h.path, 'comment_text', h.comment_text,
+                'on_commit', CAST(array() AS array<struct<commit_id:string,{pos},file:string>>),
+                'on_file', CAST(array() AS array<struct<{pos},file:string>>)))
+        )) AS (source, item, body, path, comment_text, on_commit, on_file)""",
+    ).selectExpr("*", f"source = {FROM_HUNK} AS bare")
+    ok, _ = split_rejects(texts, "body", hunk_mode="bare")
+    sections = _with_marks(file_sections(ok, "body", hunk_mode="bare"))
+    lines = changed_lines(sections, marks=_MARKS, **context)
+    return lines.where("bare OR hit OR NOT near").selectExpr(
+        "pull_request_url",
+        "previous_lines",
+        "text AS line_text",
+        "next_lines",
+        "CASE WHEN bare THEN path ELSE filename END AS filename",
+        "is_added",
+        "bare OR hit AS commented",
+        "old_pos AS line",
+        "CAST(NULL AS STRING) AS commit_id",
+        "CAST(NULL AS INT) AS offset",
+        "comment_text",
+        "source",
+        "item",
+        "line_at",
     )
-    around = F.filter("on_file", lambda c: c["file"] == F.col("filename"))
-    sections = sections.withColumns(
-        {
-            "hit_at": F.flatten(F.transform(exact, both)),
-            "near_at": F.flatten(
-                F.transform(
-                    F.flatten(F.transform(around, both)), lambda p: F.array(p - 1, p, p + 1)
-                )
-            ),
-        }
-    ).drop("on_commit", "on_file")
-    return changed_lines(sections, marks={"hit": "hit_at", "near": "near_at"}, **context)
 
 
 def comment_marks(resolved: DataFrame) -> DataFrame:
@@ -230,19 +283,6 @@ def flag_commented_lines(
     ).drop("at", "commit_key", "hit0", "hit1", "near0", "near1")
 
 
-def _flagged_lines(
-    resolved: DataFrame, compat: bool = False, several_rows: bool = False, **context: int
-) -> DataFrame:
-    """Changed lines of the patch with the flags ``hit`` and ``near``."""
-    if not (compat or several_rows):
-        return _patch_lines_with_flags(resolved, **context)
-    ok, _ = split_rejects(resolved.select("pull_request_url", "patch"))
-    if several_rows:
-        ok = ok.dropDuplicates(["pull_request_url"])
-    lines = changed_lines(file_sections(ok), **context)
-    return flag_commented_lines(lines, comment_marks(resolved), compat=compat)
-
-
 def patch_records(
     resolved: DataFrame, compat: bool = False, several_rows: bool = False
 ) -> DataFrame:
@@ -254,7 +294,14 @@ def patch_records(
     be spread over several rows (as the extract does with very many comments);
     lines are then matched by a join.
     """
-    flagged = _flagged_lines(resolved, compat, several_rows)
+    if compat or several_rows:
+        ok, _ = split_rejects(resolved.select("pull_request_url", "patch"))
+        if several_rows:
+            ok = ok.dropDuplicates(["pull_request_url"])
+        lines = changed_lines(file_sections(ok))
+        flagged = flag_commented_lines(lines, comment_marks(resolved), compat=compat)
+    else:
+        flagged = _patch_lines_with_flags(resolved)
     if compat:
         kept, commented = flagged.where(F.col("near") & ~F.col("hit")), F.lit(True)
     else:
@@ -311,12 +358,13 @@ def with_any_comment(resolved: DataFrame) -> DataFrame:
     )
 
 
-def commented_pull_requests(resolved: DataFrame, several_rows: bool = False) -> DataFrame:
-    """Distinct urls of the pull requests with a commented record."""
-    in_hunks = _hunk_lines(resolved, **NO_CONTEXT)
-    in_patch = _flagged_lines(resolved, several_rows=several_rows, **NO_CONTEXT).where("hit")
-    urls = in_hunks.select("pull_request_url").union(in_patch.select("pull_request_url"))
-    return urls.distinct()
+def all_records(
+    resolved: DataFrame, compat: bool = False, several_rows: bool = False, **context: int
+) -> DataFrame:
+    """Hunk records and patch records of resolved pull requests."""
+    if compat or several_rows:
+        return hunk_records(resolved).unionByName(patch_records(resolved, compat, several_rows))
+    return _records_in_one_pass(resolved, **context)
 
 
 def labelled_lines(
@@ -330,9 +378,9 @@ def labelled_lines(
     so those without comments are not even parsed.
     """
     resolved = with_any_comment(resolved)
-    records = hunk_records(resolved).unionByName(patch_records(resolved, compat, several_rows))
-    chosen = first_per_text(records)
+    chosen = first_per_text(all_records(resolved, compat, several_rows))
     if compat:
         return chosen
-    commented = commented_pull_requests(resolved, several_rows)
+    light = all_records(resolved, several_rows=several_rows, **NO_CONTEXT)
+    commented = light.where("commented").select("pull_request_url").distinct()
     return chosen.join(commented, "pull_request_url", "left_semi")

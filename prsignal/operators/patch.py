@@ -95,6 +95,10 @@ def _lines(text_col: str, strict: bool) -> str:
     return f"split({text}, '\\n', -1)"
 
 
+def _mode(hunk_mode: bool | str) -> str:
+    return f"`{hunk_mode}`" if isinstance(hunk_mode, str) else str(hunk_mode)
+
+
 def _quoted(names: Sequence[str]) -> list[str]:
     return [f"`{n}`" for n in names]
 
@@ -103,7 +107,7 @@ def file_sections(
     df: DataFrame,
     text_col: str = "patch",
     *,
-    hunk_mode: bool = False,
+    hunk_mode: bool | str = False,
     next_lines: int = CONTEXT_LINES,
     strict: bool = False,
 ) -> DataFrame:
@@ -112,7 +116,7 @@ def file_sections(
     Adds ``commit_id``, ``filename``, ``first_position`` and the section's
     lines.  Only for patches that can be parsed (see :func:`split_rejects`).
     In ``hunk_mode`` the text is a bare hunk, so lines before any ``diff``
-    command count as well.
+    command count as well; the name of a boolean column decides row by row.
     """
     look = max(next_lines - 1, 0)
     keep = _quoted([c for c in df.columns if c != text_col])
@@ -135,8 +139,7 @@ def file_sections(
         "AS (file_at, own, lines)",
     )
     opened = _opens_file("lines[0]")
-    if not hunk_mode:
-        sections = sections.where(opened)
+    sections = sections.where(f"{opened} OR {_mode(hunk_mode)}")
     # The last "+++ b/" line before the first hunk header names the file.
     names = f"""transform(
         filter(slice(lines, 1, CASE WHEN header_at > 0 THEN header_at - 1 ELSE own END),
@@ -277,7 +280,7 @@ def changed_lines(
     )
 
 
-def _rejection(text_col: str, hunk_mode: bool, strict: bool) -> Column:
+def _rejection(text_col: str, hunk_mode: bool | str, strict: bool) -> Column:
     """Why a patch cannot be parsed, or null.
 
     A header whose line number does not fit an int is an error where headers
@@ -292,18 +295,20 @@ def _rejection(text_col: str, hunk_mode: bool, strict: bool) -> Column:
         WHEN {_is("line", "@@ -", header)} THEN
             CASE WHEN {number.format(1)} IS NULL OR {number.format(2)} IS NULL THEN 'o' ELSE 'h' END
         ELSE '' END"""
-    overflow = "o" if hunk_mode else "d[dho]*o"
-    nowhere = "WHEN word RLIKE 'c[cho]*[ho]' THEN 'header without a position'" if hunk_mode else ""
+    mode = _mode(hunk_mode)
     reason = bind(
         f"array_join(transform({_lines(text_col, strict)}, line -> {kind}), '')",
         "word",
-        f"CASE WHEN word RLIKE '{overflow}' THEN 'line number does not fit an int' {nowhere} END",
+        f"""CASE
+            WHEN word RLIKE 'd[dho]*o' OR ({mode} AND word RLIKE 'o')
+                THEN 'line number does not fit an int'
+            WHEN {mode} AND word RLIKE 'c[cho]*[ho]' THEN 'header without a position' END""",
     )
     return F.expr(f"CASE WHEN `{text_col}` IS NULL THEN 'no text' ELSE {reason} END")
 
 
 def split_rejects(
-    df: DataFrame, text_col: str = "patch", *, hunk_mode: bool = False, strict: bool = False
+    df: DataFrame, text_col: str = "patch", *, hunk_mode: bool | str = False, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(patches that parse, patches that do not with an ``error`` column)."""
     reason = _rejection(text_col, hunk_mode, strict)

@@ -29,246 +29,153 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def text_of(*parts: str | Column) -> Column:
-    """Concatenation; plain strings are literals."""
-    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+# SQL of names that hang on a key.
 
 
-def project(key: Column) -> Column:
-    return text_of("org", key % 10, "/repo", key % 25)
+def project(key: str) -> str:
+    return f"concat('org', {key} % 10, '/repo', {key} % 25)"
 
 
-def pull_request_url(key: Column) -> Column:
-    return text_of(HOST, project(key), "/pulls/", key)
+def pull_request_url(key: str) -> str:
+    return f"concat('{HOST}', {project(key)}, '/pulls/', {key})"
 
 
-def patch_url(key: Column) -> Column:
-    return text_of(WEB, project(key), "/pull/", key, ".patch")
+def patch_url(key: str) -> str:
+    return f"concat('{WEB}', {project(key)}, '/pull/', {key}, '.patch')"
 
 
 # -- event archive ---------------------------------------------------------
 
 
 def archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    event_id, user = F.col("event_id"), F.col("user_id")
-    kind = (
-        F.when(F.col("event_type") == "click", "PullRequestReviewCommentEvent")
-        .when(F.col("event_type") == "view", "PullRequestEvent2")
-        .when(F.col("event_type") == "signup", "IssuesEvent")
-        .otherwise(F.col("event_type"))
-    )
-    action = (
-        F.when(event_id % 3 == 0, "opened").when(event_id % 3 == 1, "closed").otherwise("reopened")
-    )
-    url = (
-        F.when(event_id % 53 == 0, "null")
-        .when(event_id % 59 == 0, '"null"')
-        .otherwise(text_of('"', pull_request_url(user), '"'))
-    )
-    position = F.when(event_id % 5 == 0, "null").otherwise(
-        F.coalesce(F.get_json_object("props", "$.k"), F.lit("null"))
-    )
-    path = F.when(event_id % 7 == 0, "null").otherwise(
-        text_of('"src/mod', event_id % 50, '.py"')
-    )
-    payload = text_of(
-        '{"action":"', action, '","pull_request":{"url":', url,
-        ',"patch_url":"', patch_url(user), '"},"comment":{"original_position":', event_id % 20,
-        ',"position":', position, ',"commit_id":"', F.md5(event_id.cast("string")),
-        '","path":', path, ',"body":"note ', event_id,
-        '","diff_hunk":"@@ -1,2 +1,3 @@\\n a\\n+b', event_id,
-        '"},"issue":{"url":"', HOST, project(user), "/issues/", event_id, '"}}',
-    )
-    return events.select(
+    url = f"""CASE WHEN event_id % 53 = 0 THEN 'null' WHEN event_id % 59 = 0 THEN '"null"'
+        ELSE concat('"', {pull_request_url("user_id")}, '"') END"""
+    position = """CASE WHEN event_id % 5 = 0 THEN 'null'
+        ELSE coalesce(get_json_object(props, '$.k'), 'null') END"""
+    path = """CASE WHEN event_id % 7 = 0 THEN 'null'
+        ELSE concat('"src/mod', event_id % 50, '.py"') END"""
+    payload = f"""concat(
+        '{{"action":"', get(array('opened', 'closed', 'reopened'), CAST(event_id % 3 AS INT)),
+        '","pull_request":{{"url":', {url}, ',"patch_url":"', {patch_url("user_id")},
+        '"}},"comment":{{"original_position":', event_id % 20, ',"position":', {position},
+        ',"commit_id":"', md5(CAST(event_id AS STRING)), '","path":', {path},
+        ',"body":"note ', event_id, r'","diff_hunk":"@@ -1,2 +1,3 @@\\n a\\n+b', event_id,
+        '"}},"issue":{{"url":"{HOST}', {project("user_id")}, '/issues/', event_id, '"}}}}')"""
+    return spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
         "event_id",
         "ts",
-        kind.alias("type"),
-        F.struct(project(user).alias("name")).alias("repo"),
-        F.when(event_id % 97 == 0, "{broken").otherwise(payload).alias("payload"),
-        F.date_format("ts", "yyyyMMdd").alias("day"),
+        """CASE event_type WHEN 'click' THEN 'PullRequestReviewCommentEvent'
+            WHEN 'view' THEN 'PullRequestEvent2' WHEN 'signup' THEN 'IssuesEvent'
+            ELSE event_type END AS type""",
+        f"named_struct('name', {project('user_id')}) AS repo",
+        f"CASE WHEN event_id % 97 = 0 THEN '{{broken' ELSE {payload} END AS payload",
+        "date_format(ts, 'yyyyMMdd') AS day",
     )
 
 
 # -- patches ---------------------------------------------------------------
 
-
-def commit_one(doc: Column) -> Column:
-    return F.md5(doc.cast("string"))
-
-
-def commit_two(doc: Column) -> Column:
-    return F.md5(text_of(doc, "b"))
-
-
-def file_one(doc: Column) -> Column:
-    ending = F.get(F.array(*(F.lit(e) for e in ("py", "go", "md", "java"))), (doc % 4).cast("int"))
-    return text_of("src/pkg", doc % 7, "/mod", doc % 50, ".", ending)
+COMMIT_ONE = "md5(CAST(doc_id AS STRING))"
+COMMIT_TWO = "md5(concat(doc_id, 'b'))"
+FILE_ONE = (
+    "concat('src/pkg', doc_id % 7, '/mod', doc_id % 50, '.', "
+    "get(array('py', 'go', 'md', 'java'), CAST(doc_id % 4 AS INT)))"
+)
+FILE_TWO = "concat('lib/util', doc_id % 50, '.py')"
+# A text line as a body line of a patch.
+BODY_LINE = "concat(get(array(' ', '+', '-'), CAST((doc_id + i) % 3 AS INT)), line)"
 
 
-def file_two(doc: Column) -> Column:
-    return text_of("lib/util", doc % 50, ".py")
-
-
-def _mail(commit: Column, doc: Column) -> Column:
-    return text_of(
-        "From ", commit, " Mon Sep 17 00:00:00 2001\nFrom: dev <dev@example.com>\n",
-        "Subject: [PATCH] change ", doc, "\n---\n one file\n\n",
-    )
-
-
-def _file(name: Column) -> Column:
-    return text_of(
-        "diff --git a/", name, " b/", name, "\nindex 31c2bb2..ec256ba 100644\n--- a/", name,
-        "\n+++ b/", name, "\n",
-    )
-
-
-def _before(doc: Column, i: Column) -> Column:
-    """Header lines in front of text line ``i``."""
-    second = F.when(doc % 41 == 5, "99999999999").otherwise("40")
+def _mail(commit: str) -> str:
     return (
-        F.when(
-            i == 0,
-            text_of(
-                _mail(commit_one(doc), doc), _file(file_one(doc)),
-                "@@ -", 10 + doc % 5, ",9 +", 12 + doc % 5, ",9 @@ def f():\n",
-            ),
-        )
-        .when(i == 4, text_of("@@ -", second, ",5 +44,6 @@\n"))
-        .when(i == 8, text_of(_file(file_two(doc)), "@@ -70,3 +75,4 @@ class C\n"))
-        .when(
-            i == 12,
-            text_of(_mail(commit_two(doc), doc), _file(file_one(doc)), "@@ -20,8 +21,8 @@\n"),
-        )
-        .otherwise("")
-    )
+        f"concat('From ', {commit}, ' Mon Sep 17 00:00:00 2001\\nFrom: dev <dev@example.com>\\n"
+        "Subject: [PATCH] change ', doc_id, '\\n---\\n one file\\n\\n')"
+    )
 
 
-def _body_line(doc: Column, line: Column, i: Column) -> Column:
-    sign = F.when((doc + i) % 3 == 0, " ").when((doc + i) % 3 == 1, "+").otherwise("-")
-    return F.concat(sign, line)
+def _file(name: str) -> str:
+    return (
+        f"concat('diff --git a/', {name}, ' b/', {name}, '\\nindex 31c2bb2..ec256ba 100644\\n"
+        f"--- a/', {name}, '\\n+++ b/', {name}, '\\n')"
+    )
 
 
-def _patch(doc: Column, text: Column) -> Column:
-    lines = F.transform(
-        F.split(text, "\n", -1), lambda line, i: F.concat(_before(doc, i), _body_line(doc, line, i))
-    )
-    return F.concat(F.array_join(lines, "\n"), F.lit("\n-- \n2.30\n"))
+# Every text line becomes a body line; header lines stand in front of some.
+PATCH = f"""concat(array_join(transform(split(text, '\\n', -1), (line, i) -> concat(
+    CASE i
+        WHEN 0 THEN concat({_mail(COMMIT_ONE)}, {_file(FILE_ONE)}, '@@ -', 10 + doc_id % 5,
+            ',9 +', 12 + doc_id % 5, ',9 @@ def f():\\n')
+        WHEN 4 THEN concat('@@ -', CASE WHEN doc_id % 41 = 5 THEN '99999999999' ELSE '40' END,
+            ',5 +44,6 @@\\n')
+        WHEN 8 THEN concat({_file(FILE_TWO)}, '@@ -70,3 +75,4 @@ class C\\n')
+        WHEN 12 THEN concat({_mail(COMMIT_TWO)}, {_file(FILE_ONE)}, '@@ -20,8 +21,8 @@\\n')
+        ELSE '' END,
+    {BODY_LINE})), '\\n'), '\\n-- \\n2.30\\n')"""
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(patch_id, patch): every document as a patch of up to two commits and two files."""
-    doc = F.col("doc_id")
-    return documents(spark, sf_dir).select(
-        doc.alias("patch_id"), _patch(doc, F.col("text")).alias("patch")
-    )
+    return documents(spark, sf_dir).selectExpr("doc_id AS patch_id", f"{PATCH} AS patch")
 
 
 # -- review comments -------------------------------------------------------
 
+# Aligned arrays over the numbers js of a document's comments.
+NEW = "transform(js, j -> CAST(1 + (doc_id * 7 + j * 5) % 13 AS INT))"
+OLD = """transform(js, j ->
+    CASE WHEN j != 2 THEN CAST(1 + (doc_id * 7 + j * 5) % 13 + j % 2 AS INT) END)"""
+TEXTS = "transform(js, j -> CASE WHEN j = 3 THEN '' ELSE concat('note ', j) END)"
+HUNKS = f"""transform(js, j -> concat('@@ -5,4 +5,6 @@ x\\n', array_join(
+    transform(slice(split(text, '\\n', -1), 1, j + 2), (line, i) -> {BODY_LINE}), '\\n')))"""
+PATHS = f"transform(js, j -> CASE WHEN j % 2 = 0 THEN {FILE_ONE} ELSE {FILE_TWO} END)"
+COMMITS = f"transform(js, j -> CASE WHEN j = 1 THEN {COMMIT_TWO} ELSE {COMMIT_ONE} END)"
+
 
 def _documents_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    doc = F.col("doc_id")
-    n = F.when(F.col("quality") == 1, 1 + doc % 4).when(F.col("quality") == 0, doc % 2).otherwise(0)
-    numbers = F.filter(F.array(*(F.lit(j) for j in range(4))), lambda j: j < n)
     return (
         documents(spark, sf_dir)
         .join(labels, "doc_id", "left")
-        .select("doc_id", "text", numbers.alias("js"))
+        .selectExpr(
+            "doc_id",
+            "text",
+            """filter(array(0, 1, 2, 3), j -> j < CASE quality WHEN 1 THEN 1 + doc_id % 4
+                WHEN 0 THEN doc_id % 2 ELSE 0 END) AS js""",
+        )
     )
 
 
-def _comments(doc: Column, text: Column) -> dict[str, Column]:
-    """Clean, aligned arrays of the comments of a document."""
-    js = F.col("js")
-    lines = F.split(text, "\n", -1)
-
-    def hunk(j: Column) -> Column:
-        shown = F.transform(F.slice(lines, F.lit(1), j + 2), lambda line, i: _body_line(doc, line, i))
-        return F.concat(F.lit("@@ -5,4 +5,6 @@ x\n"), F.array_join(shown, "\n"))
-
-    def new(j: Column) -> Column:
-        return (1 + (doc * 7 + j * 5) % 13).cast("int")
-
-    return {
-        "new": F.transform(js, new),
-        "old": F.transform(js, lambda j: F.when(j != 2, new(j) + j % 2)),
-        "comment_text": F.transform(js, lambda j: F.when(j == 3, "").otherwise(text_of("note ", j))),
-        "diff_hunks": F.transform(js, hunk),
-        "comment_file_paths": F.transform(
-            js, lambda j: F.when(j % 2 == 0, file_one(doc)).otherwise(file_two(doc))
-        ),
-        "comment_commit_ids": F.transform(
-            js, lambda j: F.when(j == 1, commit_two(doc)).otherwise(commit_one(doc))
-        ),
-    }
-
-
 def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments as the archive gives them: texts in quotes, hunks as JSON, positions as text."""
-    doc = F.col("doc_id")
-    c = _comments(doc, F.col("text"))
-
-    def quoted(array: Column) -> Column:
-        return F.transform(array, lambda x: text_of('"', x, '"'))
-
-    def json_literal(x: Column) -> Column:
-        array = F.to_json(F.array(x))
-        return F.substring(array, F.lit(2), F.length(array) - 2)
-
-    url = (
-        F.when(doc % 29 == 3, F.lit(None))
-        .when(doc % 31 == 4, "null")
-        .otherwise(text_of('"', pull_request_url(doc), '"'))
-    )
-    positions = F.zip_with(
-        c["old"],
-        c["new"],
-        lambda old, new: F.create_map(
-            F.lit("original_position"),
-            F.coalesce(old.cast("string"), F.lit(" x")),
-            F.lit("new_position"),
-            new.cast("string"),
-        ),
-    )
-    return _documents_with_comments(spark, sf_dir).select(
-        text_of('"', patch_url(doc), '"').alias("pull_patch_url"),
-        F.lit('"2024-01-01T00:00:00Z"').alias("created_date"),
-        url.alias("pull_request_url"),
-        positions.alias("comment_positions"),
-        c["comment_text"].alias("comment_text"),
-        F.transform(c["diff_hunks"], json_literal).alias("diff_hunks"),
-        quoted(c["comment_commit_ids"]).alias("comment_commit_ids"),
-        quoted(c["comment_file_paths"]).alias("comment_file_paths"),
+    literal = "substring(to_json(array(x)), 2, length(to_json(array(x))) - 2)"
+    return _documents_with_comments(spark, sf_dir).selectExpr(
+        f"concat('\"', {patch_url('doc_id')}, '\"') AS pull_patch_url",
+        "'\"2024-01-01T00:00:00Z\"' AS created_date",
+        f"""CASE WHEN doc_id % 29 = 3 THEN NULL WHEN doc_id % 31 = 4 THEN 'null'
+            ELSE concat('"', {pull_request_url("doc_id")}, '"') END AS pull_request_url""",
+        f"""zip_with({OLD}, {NEW}, (old, new) -> map(
+            'original_position', coalesce(CAST(old AS STRING), ' x'),
+            'new_position', CAST(new AS STRING))) AS comment_positions""",
+        f"{TEXTS} AS comment_text",
+        f"transform({HUNKS}, x -> {literal}) AS diff_hunks",
+        f"transform({COMMITS}, x -> concat('\"', x, '\"')) AS comment_commit_ids",
+        f"transform({PATHS}, x -> concat('\"', x, '\"')) AS comment_file_paths",
     )
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a pull request with clean comments and its patch."""
-    doc = F.col("doc_id")
-    c = _comments(doc, F.col("text"))
-    positions = F.zip_with(
-        c["old"],
-        c["new"],
-        lambda old, new: F.struct(old.alias("original_position"), new.alias("new_position")),
-    )
-    parsed = F.struct(
-        pull_request_url(doc).alias("pull_request_url"),
-        patch_url(doc).alias("pull_patch_url"),
-        positions.alias("comment_positions"),
-        *(
-            c[name].alias(name)
-            for name in ("comment_text", "diff_hunks", "comment_file_paths", "comment_commit_ids")
-        ),
-    )
-    return _documents_with_comments(spark, sf_dir).select(
-        pull_request_url(doc).alias("pull_request_url"),
-        patch_url(doc).alias("pull_patch_url"),
-        parsed.alias("parsed_input"),
-        _patch(doc, F.col("text")).alias("patch"),
-        text_of("diff of ", doc).alias("diff"),
+    url, page = pull_request_url("doc_id"), patch_url("doc_id")
+    return _documents_with_comments(spark, sf_dir).selectExpr(
+        f"{url} AS pull_request_url",
+        f"{page} AS pull_patch_url",
+        f"""named_struct('pull_request_url', {url}, 'pull_patch_url', {page},
+            'comment_positions', zip_with({OLD}, {NEW}, (old, new) ->
+                named_struct('original_position', old, 'new_position', new)),
+            'comment_text', {TEXTS}, 'diff_hunks', {HUNKS}, 'comment_file_paths', {PATHS},
+            'comment_commit_ids', {COMMITS}) AS parsed_input""",
+        f"{PATCH} AS patch",
+        "concat('diff of ', doc_id) AS diff",
     )
 
 
@@ -277,66 +184,53 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response table: patch and diff page of every pull request, some not found."""
-    doc = F.col("doc_id")
-    pages = F.array(
-        F.struct(
-            patch_url(doc).alias("url"),
-            F.when(doc % 11 == 0, 404).otherwise(200).alias("status"),
-            _patch(doc, F.col("text")).alias("body"),
-        ),
-        F.struct(
-            F.regexp_replace(patch_url(doc), r"\.patch$", ".diff").alias("url"),
-            F.when(doc % 13 == 0, 500).otherwise(200).alias("status"),
-            text_of("diff of ", doc).alias("body"),
-        ),
+    page = patch_url("doc_id")
+    return documents(spark, sf_dir).selectExpr(
+        f"""inline(array(
+            named_struct('url', {page},
+                'status', CASE WHEN doc_id % 11 = 0 THEN 404 ELSE 200 END, 'body', {PATCH}),
+            named_struct('url', regexp_replace({page}, r'\\.patch$', '.diff'),
+                'status', CASE WHEN doc_id % 13 = 0 THEN 500 ELSE 200 END,
+                'body', concat('diff of ', doc_id))))"""
     )
-    return documents(spark, sf_dir).select(F.inline(pages))
 
 
 def cached_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = F.col("doc_id")
     return (
         documents(spark, sf_dir)
-        .where(doc % 17 == 0)
-        .select(pull_request_url(doc).alias("pull_request_url"), F.col("text").alias("patch"),
-                F.lit("").alias("diff"))
-    )
+        .where("doc_id % 17 = 0")
+        .selectExpr(
+            f"{pull_request_url('doc_id')} AS pull_request_url", "text AS patch", "'' AS diff"
+        )
+    )
 
 
 def issue_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, url) with the url in quotes, as the CSV extract gives it."""
-    doc = F.col("doc_id")
-    return documents(spark, sf_dir).select(
-        project(doc).alias("name"),
-        text_of('"', F.when(doc % 2 == 0, '"').otherwise(""), WEB, "issues/", doc, '"').alias("url"),
+    return table(spark, sf_dir, "documents").selectExpr(
+        f"{project('doc_id')} AS name",
+        f"""concat('"', CASE WHEN doc_id % 2 = 0 THEN '"' ELSE '' END,
+            '{WEB}issues/', doc_id, '"') AS url""",
     )
 
 
-def _issue_body(doc: Column, text: Column) -> Column:
-    lines = F.transform(
-        F.split(text, "\n", -1),
-        lambda line, i: text_of(
-            line, "\n  at f(mod", doc % 50, ".py:", 10 + (doc + i * 3) % 12, ")\n  /usr/lib/util",
-            (doc + i) % 50, ".py:", 70 + i, " in g\n",
-        ),
-    )
-    return F.array_join(lines, "\n")
+ISSUE_BODY = """array_join(transform(split(text, '\\n', -1), (line, i) -> concat(
+    line, '\\n  at f(mod', doc_id % 50, '.py:', 10 + (doc_id + i * 3) % 12,
+    ')\\n  /usr/lib/util', (doc_id + i) % 50, '.py:', 70 + i, ' in g\\n')), '\\n')"""
 
 
 def issue_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = F.col("doc_id")
-    return documents(spark, sf_dir).select(
-        text_of(WEB, "issues/", doc).alias("url"),
-        F.when(doc % 19 == 0, 404).otherwise(200).alias("status"),
-        _issue_body(doc, F.col("text")).alias("body"),
+    return documents(spark, sf_dir).selectExpr(
+        f"concat('{WEB}issues/', doc_id) AS url",
+        "CASE WHEN doc_id % 19 = 0 THEN 404 ELSE 200 END AS status",
+        f"{ISSUE_BODY} AS body",
     )
 
 
 def issue_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, body): every document as an issue with stack frames between its lines."""
-    doc = F.col("doc_id")
-    return documents(spark, sf_dir).select(
-        project(doc).alias("name"), _issue_body(doc, F.col("text")).alias("body")
+    return documents(spark, sf_dir).selectExpr(
+        f"{project('doc_id')} AS name", f"{ISSUE_BODY} AS body"
     )
 
 
@@ -345,9 +239,10 @@ def issue_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed lines of all patches, with the url and project of their pull request."""
-    doc = F.col("patch_id")
-    return parse_patches(patches(spark, sf_dir)).select(
-        pull_request_url(doc).alias("pull_request_url"), project(doc).alias("project"), "*"
+    return parse_patches(patches(spark, sf_dir)).selectExpr(
+        f"{pull_request_url('patch_id')} AS pull_request_url",
+        f"{project('patch_id')} AS project",
+        "*",
     )
 
 
@@ -358,7 +253,7 @@ def unit_score(key: Column) -> Column:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prediction for every changed line, each listed twice with two scores."""
-    key = text_of(F.col("patch_id"), ":", F.col("line_at"), ":", F.col("copy"))
+    key = F.concat_ws(":", "patch_id", "line_at", "copy")
     lines = changed(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     return lines.select(
         "pull_request_url",
@@ -366,7 +261,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("position").alias("offset"),
         F.when(F.col("line_at") % 23 != 0, F.col("commit_id")).alias("commit_id"),
         unit_score(key).alias("p1"),
-        (bucket_of(text_of(key, "y"), 10) < 3).cast("double").alias("label"),
+        (bucket_of(F.concat(key, F.lit("y")), 10) < 3).cast("double").alias("label"),
     ).withColumn("prediction", (F.col("p1") >= 0.5).cast("double"))
 
 
@@ -375,21 +270,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pull_request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON texts of pull-request events with their time, one per order."""
-    key = F.col("o_orderkey")
-    action = (
-        F.when(key % 37 == 0, "null")
-        .when(F.col("o_orderstatus") == "O", '"opened"')
-        .when(F.col("o_orderstatus") == "F", '"closed"')
-        .otherwise('"reopened"')
-    )
-    value = text_of(
-        '{"action":', action, ',"number":', key, ',"pull_request":{"url":"', pull_request_url(key),
-        '","patch_url":"', patch_url(key), '","title":"change ', key, '","number":', key,
-        '},"repository":{"name":"repo', key % 25, '","full_name":"', project(key),
-        '","owner":{"login":"org', key % 10, '"}}}',
-    )
-    return table(spark, sf_dir, "orders").select(
-        F.when(key % 43 == 0, "not json").otherwise(value).alias("value"),
-        key.alias("order_key"),
-        F.col("o_orderdate").alias("sent_at"),
+    key = "o_orderkey"
+    value = f"""concat(
+        '{{"action":', CASE WHEN {key} % 37 = 0 THEN 'null' WHEN o_orderstatus = 'O' THEN '"opened"'
+            WHEN o_orderstatus = 'F' THEN '"closed"' ELSE '"reopened"' END,
+        ',"number":', {key}, ',"pull_request":{{"url":"', {pull_request_url(key)},
+        '","patch_url":"', {patch_url(key)}, '","title":"change ', {key}, '","number":', {key},
+        '}},"repository":{{"name":"repo', {key} % 25, '","full_name":"', {project(key)},
+        '","owner":{{"login":"org', {key} % 10, '"}}}}}}')"""
+    return spread(table(spark, sf_dir, "orders"), key).selectExpr(
+        f"CASE WHEN {key} % 43 = 0 THEN 'not json' ELSE {value} END AS value",
+        f"{key} AS order_key",
+        "o_orderdate AS sent_at",
     )

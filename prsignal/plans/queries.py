@@ -465,7 +465,7 @@ def patch_records_compat(spark, sf_dir):
 
 def _records(spark, sf_dir):
     df = V.resolved(spark, sf_dir)
-    return label.hunk_records(df).unionByName(label.patch_records(df))
+    return label.all_records(df)
 
 
 @query
@@ -522,8 +522,8 @@ def line_features(spark, sf_dir):
     lines = V.table(spark, sf_dir, "documents").select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "text")
     )
-    f = features.line_features(F.col("text"), V.file_one(F.col("doc_id")))
-    compat = features.line_features(F.col("text"), V.file_one(F.col("doc_id")), compat=True)
+    f = features.line_features(F.col("text"), F.expr(V.FILE_ONE))
+    compat = features.line_features(F.col("text"), F.expr(V.FILE_ONE), compat=True)
     return lines.select(
         "doc_id", "at", *(c.alias(n) for n, c in f.items()),
         compat["only_spaces"].alias("only_spaces_compat"),
@@ -607,14 +607,15 @@ def dataset_summary(spark, sf_dir):
 @query
 def balanced_classes(spark, sf_dir):
     """Positives repeated ceil(total / positives) times."""
-    return sample.balance_classes(_prepared(spark, sf_dir)).groupBy(
+    return sample.balance_classes(materialize(_prepared(spark, sf_dir))).groupBy(
         "pull_request_url", "line_text", "label"
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def balanced_classes_by_negatives(spark, sf_dir):
-    return sample.balance_classes(_prepared(spark, sf_dir), "negatives").groupBy("label").agg(
+    prepared = materialize(_prepared(spark, sf_dir))
+    return sample.balance_classes(prepared, "negatives").groupBy("label").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -735,7 +736,7 @@ def scoring_responses(spark, sf_dir):
     pages = V.responses(spark, sf_dir).where("status = 200")
 
     def by_hash(prepared: DataFrame) -> DataFrame:
-        key = V.text_of(F.col("pull_request_url"), ":", F.col("filename"), ":", F.col("offset"))
+        key = F.concat_ws(":", "pull_request_url", "filename", "offset")
         p1 = V.unit_score(key)
         return prepared.withColumns({"p1": p1, "prediction": (p1 >= 0.7).cast("double")})
 
@@ -743,9 +744,8 @@ def scoring_responses(spark, sf_dir):
     return answers.select(
         "pull_request_url",
         shown(
-            F.transform(
-                "positions",
-                lambda p: V.text_of(p["filename"], "@", p["commit_id"], ":", p["position"]),
+            F.expr(
+                "transform(positions, p -> concat(p.filename, '@', p.commit_id, ':', p.position))"
             )
         ).alias("positions"),
         "message",
