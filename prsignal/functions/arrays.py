@@ -1,11 +1,23 @@
 """SQL for array work that stays linear and inside one row.
 
-Each function gives the text of a SQL expression; its arguments are SQL too.
+Most functions give the text of a SQL expression; their arguments are SQL too.
 The arrays already sit in a row, so nothing here moves data between partitions.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
+
+def compute_once(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns that are computed once per row, however often they are used.
+
+    A plain ``withColumn`` can be merged into the filters and lambdas that use
+    it, and would then run several times; the generator keeps the two apart.
+    """
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    return df.selectExpr("*", f"inline(array(named_struct({fields}))) AS ({', '.join(columns)})")
+
 
 def bind(value: str, name: str, body: str) -> str:
     """``body`` with ``name`` standing for ``value``, which is computed once.

@@ -83,13 +83,12 @@ def stack_frames(text: Column) -> Column:
     has a null line.
     """
     plain = F.translate(text, "()", "  ")
+    # The text is searched once; a match on its own matches the same way again.
     return F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all(plain, F.lit(STACK_FRAME), F.lit(1)).alias("filename"),
-            F.regexp_extract_all(plain, F.lit(STACK_FRAME), F.lit(3)).alias("digits"),
-        ),
+        F.regexp_extract_all(plain, F.lit(STACK_FRAME), F.lit(0)),
         lambda frame: F.struct(
-            frame["filename"].alias("filename"), frame["digits"].try_cast("int").alias("line")
+            F.regexp_extract(frame, STACK_FRAME, 1).alias("filename"),
+            F.regexp_extract(frame, STACK_FRAME, 3).try_cast("int").alias("line"),
         ),
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prsignal.functions.arrays import compute_once
 from prsignal.functions.text import bucket_of, drop_quotes
 from prsignal.schemas import EVENT_PAYLOAD
 
@@ -26,9 +27,8 @@ _CORRUPT = "_corrupt"
 
 def decode_payload(events: DataFrame, schema: str = EVENT_PAYLOAD) -> DataFrame:
     """Parse the JSON payload once; ``p`` holds its fields, ``p._corrupt`` what did not parse."""
-    with_corrupt = f"{schema}, {_CORRUPT} string"
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    return events.withColumn("p", F.from_json("payload", with_corrupt, options))
+    options = f"map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '{_CORRUPT}')"
+    return compute_once(events, p=f"from_json(payload, '{schema}, {_CORRUPT} string', {options})")
 
 
 def split_undecodable(
@@ -37,22 +37,23 @@ def split_undecodable(
     """(events with the decoded payload ``p``, events whose payload is missing or not JSON)."""
     decoded = decode_payload(events, schema)
     bad = F.col("payload").isNull() | F.col(f"p.{_CORRUPT}").isNotNull()
-    ok = decoded.where(~bad).withColumn("p", F.col("p").dropFields(_CORRUPT))
-    return ok, decoded.where(bad).drop("p")
+    return decoded.where(~bad), decoded.where(bad).drop("p")
 
 
 def review_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("type").isin(*REVIEW_EVENT_TYPES))
 
 
-def review_comments(events: DataFrame) -> DataFrame:
+def review_comments(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per review event that names a pull request.
 
-    Missing positions become "-1"; undecodable payloads are skipped.
+    Missing positions become "-1"; undecodable payloads are skipped.  ``keep``
+    names columns of the events to carry along, such as the day.
     """
     ok, _ = split_undecodable(review_events(events))
     comment = F.col("p.comment")
     return ok.select(
+        *keep,
         "event_id",
         F.col("p.action").alias("action"),
         F.col("p.pull_request.url").alias("pull_request_url"),
@@ -67,25 +68,29 @@ def review_comments(events: DataFrame) -> DataFrame:
     ).where(F.col("pull_request_url").isNotNull())
 
 
-def _with_part(comments: DataFrame, max_comments: int) -> DataFrame:
+def _with_part(comments: DataFrame, keys: Sequence[str], max_comments: int) -> DataFrame:
     """Number the output row of each comment: 0, unless a pull request has too many."""
     hot = (
-        comments.groupBy("pull_request_url")
+        comments.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > max_comments)
-        .select("pull_request_url", F.ceil(F.col("n") / max_comments).alias("parts"))
+        .select(*keys, F.ceil(F.col("n") / max_comments).alias("parts"))
     )
-    return comments.join(hot, "pull_request_url", "left").withColumn(
+    return comments.join(hot, list(keys), "left").withColumn(
         "part",
         F.coalesce(bucket_of(F.col("event_id").cast("string"), F.col("parts")), F.lit(0)).cast("int"),
     )
 
 
 def comments_by_pull_request(
-    comments: DataFrame, max_comments: int = MAX_COMMENTS_PER_ROW
+    comments: DataFrame,
+    max_comments: int = MAX_COMMENTS_PER_ROW,
+    keys: Sequence[str] = ("pull_request_url",),
 ) -> DataFrame:
     """One row per pull request with its comments as aligned arrays, by event id.
 
+    ``keys`` may add a day, which gives one row per pull request and day.
+
     A pull request with more than ``max_comments`` comments is spread over
     several rows (``part`` 0, 1, …), so no task ever gathers an unbounded
     group; everyone else has the one row with ``part`` 0.
@@ -97,8 +102,8 @@ def comments_by_pull_request(
         )
     )
     grouped = (
-        _with_part(comments, max_comments)
-        .groupBy("pull_request_url", "part")
+        _with_part(comments, keys, max_comments)
+        .groupBy(*keys, "part")
         .agg(
             F.min("pull_patch_url").alias("pull_patch_url"),
             F.min("created_at").alias("created_date"),
@@ -110,7 +115,7 @@ def comments_by_pull_request(
         return F.transform("c", lambda c: c[name])
 
     return grouped.select(
-        "pull_request_url",
+        *keys,
         "part",
         "pull_patch_url",
         "created_date",
@@ -150,8 +155,8 @@ def comment_cells(grouped: DataFrame) -> DataFrame:
     )
 
 
-def to_raw_comments(grouped: DataFrame) -> DataFrame:
-    """The nested form that the ingest job reads."""
+def to_raw_comments(grouped: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The nested form that the ingest job reads, with the columns of ``keep``."""
     positions = F.zip_with(
         "comments_original_positions",
         "comments_positions",
@@ -160,6 +165,7 @@ def to_raw_comments(grouped: DataFrame) -> DataFrame:
         ),
     )
     return grouped.select(
+        *keep,
         "pull_patch_url",
         "created_date",
         "pull_request_url",

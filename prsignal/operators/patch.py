@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prsignal.functions.arrays import bind, counts_before, flags_at, pieces, present
+from prsignal.functions.arrays import bind, compute_once, counts_before, flags_at, pieces, present
 
 # The line patterns of the patch format.  A line is classified by
 # the first pattern that matches all of it; "." does not match \r, U+0085,
@@ -163,16 +163,6 @@ def file_sections(
     )
 
 
-def _once(df: DataFrame, **columns: str) -> DataFrame:
-    """Add columns that are computed once per row.
-
-    A plain ``withColumn`` can be merged into the expression that uses it, and
-    would then run once per line; the generator keeps the two apart.
-    """
-    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
-    return df.selectExpr("*", f"inline(array(named_struct({fields}))) AS ({', '.join(columns)})")
-
-
 def changed_lines(
     sections: DataFrame,
     *,
@@ -204,8 +194,8 @@ def changed_lines(
             "CASE WHEN header_at > 0 AND i >= header_at - 1 THEN kind ELSE 'x' END)",
         ),
     )
-    work = _once(sections, kinds=kinds)
-    work = _once(
+    work = compute_once(sections, kinds=kinds)
+    work = compute_once(
         work,
         hunks=counts_before("array_join(kinds, '')", "h"),
         adds=counts_before("array_join(kinds, '')", "+"),
@@ -214,7 +204,7 @@ def changed_lines(
     )
     header_lines = present("transform(kinds, (kind, i) -> CASE WHEN kind = 'h' THEN i END)")
     number = f"CAST(regexp_extract(lines[i], r'{header}', {{}}) AS BIGINT) - 1"
-    work = _once(
+    work = compute_once(
         work,
         # Line numbers before each hunk, and the counts reached at its header.
         starts=f"""transform({header_lines}, i -> named_struct(

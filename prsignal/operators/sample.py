@@ -40,7 +40,8 @@ def balance_classes(df: DataFrame, ratio_basis: str = "total") -> DataFrame:
         raise ValueError(f"unknown ratio basis {ratio_basis!r}")
     positives = F.sum((F.col("label") != 0).cast("bigint"))
     total = F.count(F.lit(1)) - (positives if ratio_basis == "negatives" else F.lit(0))
-    ratio = F.greatest(F.ceil(total / F.nullif(positives, F.lit(0))), F.lit(1))
+    # Null, and not 1, when there is nothing to repeat.
+    ratio = F.when(positives > 0, F.greatest(F.ceil(total / positives), F.lit(1)))
     # An uncorrelated scalar subquery: two numbers, computed once, no join.
     times = df.agg(ratio.cast("int").alias("ratio")).scalar()
     checked = F.coalesce(

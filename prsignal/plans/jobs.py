@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +25,7 @@ from prsignal.operators.score import (
     top_suggestions,
     with_messages,
 )
-from prsignal.sources.archive import read_archive, scan_days
+from prsignal.sources.archive import read_archive
 from prsignal.sources.sinks import ingest_missing_days, write_issue_facts, write_report
 from prsignal.sources.tables import (
     read_cache,
@@ -40,9 +40,10 @@ def extract_comments(spark: SparkSession, archive: str, days: list[str], output:
     """Daily extract of review comments; days that are there already are skipped."""
     events = read_archive(spark, archive)
 
-    def extract(day: str) -> DataFrame:
-        comments = review_comments(scan_days(events, day))
-        return to_raw_comments(comments_by_pull_request(comments))
+    def extract(missing: Sequence[str]) -> DataFrame:
+        comments = review_comments(events.where(F.col("day").isin(list(missing))), keep=["day"])
+        grouped = comments_by_pull_request(comments, keys=["day", "pull_request_url"])
+        return to_raw_comments(grouped, keep=["day"])
 
     return ingest_missing_days(spark, extract, days, output)
 

@@ -242,17 +242,16 @@ def missing_days(spark, sf_dir):
 def ingested_days(spark, sf_dir):
     """Daily extract run twice over overlapping days: every day is there once."""
     path = _fresh_path(spark, "daily")
-    comments = V.archive_events(spark, sf_dir)
+    events = V.archive_events(spark, sf_dir)
 
-    def one_day(day: str) -> DataFrame:
-        return extract.comments_by_pull_request(
-            extract.review_comments(archive.scan_days(comments, day))
-        )
+    def extract_days(days: list[str]) -> DataFrame:
+        comments = extract.review_comments(events.where(F.col("day").isin(days)), keep=["day"])
+        return extract.comments_by_pull_request(comments, keys=["day", "pull_request_url"])
 
-    sinks.ingest_missing_days(spark, one_day, ["20240102", "20240103"], path)
-    sinks.ingest_missing_days(spark, one_day, ["20240103", "20240104"], path)
-    back = spark.read.option("basePath", path).parquet(path)
-    return back.groupBy(F.date_format(F.to_date(F.col("day").cast("string"), "yyyyMMdd"), "yyyyMMdd").alias("day")).agg(
+    sinks.ingest_missing_days(spark, extract_days, ["20240102", "20240103"], path)
+    sinks.ingest_missing_days(spark, extract_days, ["20240103", "20240104"], path)
+    back = spark.read.schema("day string, comments_positions array<string>").parquet(path)
+    return back.groupBy("day").agg(
         F.count(F.lit(1)).alias("n_pull_requests"),
         F.sum(F.size("comments_positions").cast("bigint")).alias("n_comments"),
     )

@@ -99,23 +99,23 @@ def write_rejects(rejects: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def ingest_missing_days(
     spark: SparkSession,
-    extract: Callable[[str], DataFrame],
+    extract: Callable[[Sequence[str]], DataFrame],
     days: Sequence[str],
     path: str,
 ) -> list[str]:
-    """Write the days that are not at ``path`` yet, one partition per day.
+    """Write the days that are not at ``path`` yet, one partition per day, in one job.
 
-    ``extract(day)`` gives the rows of a day, without the ``day`` column.  A run
+    ``extract(days)`` gives the rows of these days with their ``day``.  A run
     that is repeated, or that follows one that failed half way, writes only
     what is missing.  Returns the days it wrote.
     """
     requested = spark.createDataFrame([(d,) for d in days], "day string")
     present = read_or_empty(spark, path, requested.schema)
+    # As many rows as days were asked for.
     todo = sorted(r.day for r in missing_days(requested, present).collect())
-    for day in todo:
+    if todo:
         (
-            extract(day)
-            .withColumn("day", F.lit(day))
+            extract(todo)
             .write.partitionBy("day")
             .option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")

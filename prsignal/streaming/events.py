@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from prsignal.functions.arrays import compute_once
 from prsignal.schemas import PULL_REQUEST_EVENT
 
 OPENED = "opened"
@@ -23,7 +24,7 @@ def read_event_texts(spark: SparkSession, path: str, max_files: int | None = Non
 
 def decode_events(texts: DataFrame, col: str = "value") -> DataFrame:
     """Event texts with decoded fields ``e``; works on streams and on batches."""
-    return texts.withColumn("e", F.from_json(F.col(col), PULL_REQUEST_EVENT))
+    return compute_once(texts, e=f"from_json(`{col}`, '{PULL_REQUEST_EVENT}')")
 
 
 def _has_action() -> Column:
