@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prsignal.functions.arrays import compute_once
 from prsignal.functions.text import bucket_of, drop_quotes
 from prsignal.schemas import EVENT_PAYLOAD
+from prsignal.session import broadcast_if_small
 
 # Event types and the stand-in for a missing position.
 REVIEW_EVENT_TYPES = ("PullRequestReviewCommentEvent", "PullRequestEvent2")
@@ -69,14 +70,18 @@ def review_comments(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def _with_part(comments: DataFrame, keys: Sequence[str], max_comments: int) -> DataFrame:
-    """Number the output row of each comment: 0, unless a pull request has too many."""
+    """Number the output row of each comment: 0, unless a pull request has too many.
+
+    The pull requests with too many are few (each stands for ``max_comments``
+    rows), so they are usually broadcast and the comments not shuffled for this.
+    """
     hot = (
         comments.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > max_comments)
         .select(*keys, F.ceil(F.col("n") / max_comments).alias("parts"))
     )
-    return comments.join(hot, list(keys), "left").withColumn(
+    return comments.join(broadcast_if_small(hot), list(keys), "left").withColumn(
         "part",
         F.coalesce(bucket_of(F.col("event_id").cast("string"), F.col("parts")), F.lit(0)).cast("int"),
     )

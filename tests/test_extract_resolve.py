@@ -7,6 +7,7 @@ from prsignal import schemas
 from prsignal.operators import extract, resolve
 from prsignal.operators.clean import clean_comments
 from prsignal.plans import jobs
+from prsignal.session import broadcast_if_small
 from prsignal.sources import tables
 
 
@@ -67,6 +68,20 @@ def test_a_hot_pull_request_takes_several_rows_and_loses_nothing(spark):
     assert sorted(map(int, everything)) == sorted([*range(900), *range(20)])
 
 
+def test_comments_are_shuffled_once(spark):
+    grouped = extract.comments_by_pull_request(extract.review_comments(events(spark, [event(1)])))
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_broadcast_only_below_the_limit(spark):
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    assert hinted(broadcast_if_small(spark.range(10), 10))
+    assert not hinted(broadcast_if_small(spark.range(11), 10))
+
+
 def test_opened_issues(spark):
     rows = [event(1, kind="IssuesEvent"), event(2), event(3, kind="IssuesEvent")]
     closed = list(event(4, kind="IssuesEvent"))
