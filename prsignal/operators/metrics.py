@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prsignal.session import materialize
+
 # Ranges of scores that are worked on apart; the table of their totals has as many rows.
 RANGES = 200
 
@@ -12,13 +14,16 @@ RANGES = 200
 def curve_points(scored: DataFrame, score: str = "p1", label: str = "label", ranges: int = RANGES) -> DataFrame:
     """One row per distinct score: positives and negatives at it and at any higher score.
 
-    Rows are first counted per score, which merges ties before the shuffle.
-    The scores are then cut into ranges at quantiles; running totals inside a
-    range start from the totals of the ranges above it.
+    Rows are first counted per score, which merges ties before the shuffle; the
+    counts are kept, as they are gone over three times.  The scores are then cut
+    into ranges at quantiles; running totals inside a range start from the
+    totals of the ranges above it.
     """
     positive = (F.col(label) != 0).cast("bigint")
-    counts = scored.groupBy(F.col(score).alias("score")).agg(
-        F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
+    counts = materialize(
+        scored.groupBy(F.col(score).alias("score")).agg(
+            F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
+        )
     )
     quantiles = [i / ranges for i in range(1, ranges)]
     cuts = counts.agg(F.percentile_approx("score", quantiles, 10_000).alias("cuts")).scalar()

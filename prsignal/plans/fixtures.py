@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prsignal.functions.arrays import compute_once
 from prsignal.functions.text import bucket_of
 from prsignal.operators.patch import parse_patches
 from prsignal.sources.tables import spread
@@ -114,8 +115,12 @@ PATCH = f"""concat(array_join(transform(split(text, '\\n', -1), (line, i) -> con
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(patch_id, patch): every document as a patch of up to two commits and two files."""
-    return documents(spark, sf_dir).selectExpr("doc_id AS patch_id", f"{PATCH} AS patch")
+    """(patch_id, patch): every document as a patch of up to two commits and two files.
+
+    Each patch is put together once, as if it had been read from a table.
+    """
+    docs = documents(spark, sf_dir)
+    return compute_once(docs, patch=PATCH).selectExpr("doc_id AS patch_id", "patch")
 
 
 # -- review comments -------------------------------------------------------
@@ -166,15 +171,17 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a pull request with clean comments and its patch."""
     url, page = pull_request_url("doc_id"), patch_url("doc_id")
-    return _documents_with_comments(spark, sf_dir).selectExpr(
+    parsed = f"""named_struct('pull_request_url', {url}, 'pull_patch_url', {page},
+        'comment_positions', zip_with({OLD}, {NEW}, (old, new) ->
+            named_struct('original_position', old, 'new_position', new)),
+        'comment_text', {TEXTS}, 'diff_hunks', {HUNKS}, 'comment_file_paths', {PATHS},
+        'comment_commit_ids', {COMMITS})"""
+    docs = _documents_with_comments(spark, sf_dir)
+    return compute_once(docs, parsed_input=parsed, patch=PATCH).selectExpr(
         f"{url} AS pull_request_url",
         f"{page} AS pull_patch_url",
-        f"""named_struct('pull_request_url', {url}, 'pull_patch_url', {page},
-            'comment_positions', zip_with({OLD}, {NEW}, (old, new) ->
-                named_struct('original_position', old, 'new_position', new)),
-            'comment_text', {TEXTS}, 'diff_hunks', {HUNKS}, 'comment_file_paths', {PATHS},
-            'comment_commit_ids', {COMMITS}) AS parsed_input""",
-        f"{PATCH} AS patch",
+        "parsed_input",
+        "patch",
         "concat('diff of ', doc_id) AS diff",
     )
 

@@ -25,6 +25,7 @@ from prsignal.operators.score import (
     top_suggestions,
     with_messages,
 )
+from prsignal.session import materialize
 from prsignal.sources.archive import read_archive
 from prsignal.sources.sinks import ingest_missing_days, write_issue_facts, write_report
 from prsignal.sources.tables import (
@@ -91,7 +92,8 @@ def score_requests(
 
     ``requests`` has pull_request_url and pull_patch_url, ``patches`` is a
     response table.  A request whose patch is missing or cannot be parsed gets
-    a message instead of suggestions.  All requests are scored in one batch.
+    a message instead of suggestions.  All requests are scored in one batch, and
+    once: the positive lines are kept for the two results.
     """
     joined = requests.join(
         patches.select(F.col("url").alias("pull_patch_url"), F.col("body").alias("patch")),
@@ -104,7 +106,7 @@ def score_requests(
     )
     prepared = prepare_scoring_data(lines, facts)
     scored = scorer(prepared) if callable(scorer) else M.score(scorer, prepared)
-    placed, unplaced = split_unplaced(best_per_line(positive_only(scored)))
+    placed, unplaced = split_unplaced(materialize(best_per_line(positive_only(scored))))
     suggestions = with_messages(dedupe_suggestions(top_suggestions(placed)))
     errors = bad.select("pull_request_url", "error").unionByName(
         unplaced.select("pull_request_url", F.lit("line without a commit").alias("error"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,20 +19,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     machine is used instead.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     context = spark.sparkContext
-    if not named:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="prsignal-")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="prsignal-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and keep in reliable storage, so that a lost executor costs no rerun."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once, write to the shared folder, and read from there.
+
+    Lost executors cost no rerun of what came before, several readers share the
+    work, and the size of the table is known to the joins that follow.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
