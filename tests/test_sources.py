@@ -99,7 +99,7 @@ def test_read_cache_is_empty_before_the_first_write(spark, tmp_path):
 
 def test_csv_quotes_and_header_order(spark, tmp_path):
     path = str(tmp_path / "csv")
-    df = spark.createDataFrame([('he said "x, y"', "a\nb", "3")], "b string, a string, c string")
+    df = spark.createDataFrame([('he said "x, y"', "a\nb", "3")], "b string, a string, c string").coalesce(1)
     sinks.write_csv(df, path, ("a", "b"))
     text = next((tmp_path / "csv").glob("*.csv")).read_text()
     assert text == 'a,b\n"a\nb","he said ""x, y"""\n'
