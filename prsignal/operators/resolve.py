@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prsignal import schemas
@@ -38,22 +38,30 @@ def resolve_patches(inputs: DataFrame, cache: DataFrame, responses: DataFrame) -
     """Cleaned comment rows that are not cached, with patch and diff text.
 
     Rows whose patch or diff did not come back with status 200 are dropped.
-    Both joins use the url without its ``patch`` or ``diff`` ending as their
-    only key, so the second reuses the partitioning of the first and no text
-    is shuffled twice.  ``responses`` has one row per url.
+    Both joins use the url without its last five characters (four for a diff)
+    as their only key, so the second reuses the partitioning of the first and
+    no text is shuffled twice.  ``responses`` has one row per url; those that
+    end in ``.diff`` are diffs.
     """
     good = responses.where(F.col("status") == OK)
+    url, is_diff = F.col("url"), F.col("url").endswith(".diff")
 
-    def bodies(ending: str) -> DataFrame:
-        stem = F.substring(F.col("url"), F.lit(1), F.length("url") - len(ending))
-        return good.where(F.col("url").endswith(ending)).select(
-            stem.alias("stem"), F.col("body").alias(ending)
-        )
+    def without_last(text: Column, n: int) -> Column:
+        return F.substring(text, F.lit(1), F.length(text) - n)
 
     patch_url = F.col("pull_patch_url")
-    todo = not_cached(inputs, cache).where(patch_url.endswith("patch"))
-    todo = todo.withColumn("stem", F.substring(patch_url, F.lit(1), F.length(patch_url) - 5))
-    joined = todo.join(bodies("patch"), "stem").join(bodies("diff"), "stem")
+    todo = not_cached(inputs, cache).withColumn("stem", without_last(patch_url, 5))
+    patches = good.where(~is_diff).select(
+        without_last(url, 5).alias("patch_stem"), url.alias("patch_page"), F.col("body").alias("patch")
+    )
+    diffs = good.where(is_diff).select(
+        without_last(url, 4).alias("diff_stem"), F.col("body").alias("diff")
+    )
+    # Equal urls, said in a way that adds no second key to the join.
+    same_page = F.col("patch_page").startswith(patch_url) & patch_url.startswith(F.col("patch_page"))
+    joined = todo.join(patches, (F.col("stem") == F.col("patch_stem")) & same_page).join(
+        diffs, F.col("stem") == F.col("diff_stem")
+    )
     return joined.select(
         "pull_request_url",
         "pull_patch_url",

@@ -159,7 +159,19 @@ def test_bodies_are_shuffled_once(spark):
         plan = got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning(stem") == 3
+    assert plan.count("Exchange hashpartitioning(") == 5  # two of them for the anti join
+    assert sum(plan.count(f"Exchange hashpartitioning({k}") for k in ("stem", "patch_stem", "diff_stem")) == 3
+
+
+def test_urls_with_other_endings(spark):
+    inputs = cleaned(spark, [1, 2]).withColumn(
+        "pull_patch_url", F.regexp_replace("pull_patch_url", "1.patch$", "1.other")
+    )
+    rows = [("https://h/o/r/pull/1.other", 200, "p"), ("https://h/o/r/pull/1.diff", 200, "d"),
+            ("https://h/o/r/pull/2.other", 200, "p"), ("https://h/o/r/pull/2.diff", 200, "d")]
+    responses = spark.createDataFrame(rows, schemas.RESPONSE)
+    got = resolve.resolve_patches(inputs, tables.read_cache(spark, None), responses).collect()
+    assert [(r.pull_patch_url, r.patch, r.diff) for r in got] == [("https://h/o/r/pull/1.other", "p", "d")]
 
 
 def test_ingest_twice_with_cache_adds_nothing(spark, tmp_path):
