@@ -249,10 +249,17 @@ def _semi_flag(lines: DataFrame, keys: DataFrame, on: Sequence[str], name: str)
 
 
 def flag_commented_lines(
-    lines: DataFrame, comments: DataFrame, *, compat: bool = False, reach: int = 1
+    lines: DataFrame,
+    comments: DataFrame,
+    *,
+    compat: bool = False,
+    reach: int = 1,
+    flags: Sequence[str] = ("hit", "near"),
 ) -> DataFrame:
     """Add ``hit`` and ``near`` to changed lines by joining a table of comments.
 
+    Each flag is a join of its own; ``flags`` names the ones that are wanted.
+
     For comments that live in a table of their own: an equi-join on pull
     request, file and position against distinct keys, where the band of
     ``reach`` positions is spelled out on the side of the comments.  No line is
@@ -267,8 +274,10 @@ def flag_commented_lines(
             _exact_keys(comments, "original_position")
         )
         flagged = lines.withColumn("at", F.col("position"))
-        flagged = _semi_flag(flagged, both.distinct(), exact_on, "hit")
-        flagged = _semi_flag(flagged, near, near_on, "near")
+        if "hit" in flags:
+            flagged = _semi_flag(flagged, both.distinct(), exact_on, "hit")
+        if "near" in flags:
+            flagged = _semi_flag(flagged, near, near_on, "near")
         return flagged.drop("at", "commit_key")
     # Positions are compared with file line numbers, old with old and new with new.
     flagged = lines

@@ -422,16 +422,16 @@ def hunk_records_last_line(spark, sf_dir):
     return records.select("pull_request_url", "item", "line_at", "line_text")
 
 
-def _flagged(spark, sf_dir, compat):
+def _flagged(spark, sf_dir, **options):
     lines = V.changed(spark, sf_dir)
     marks = label.comment_marks(V.resolved(spark, sf_dir))
-    return label.flag_commented_lines(lines, marks, compat=compat)
+    return label.flag_commented_lines(lines, marks, **options)
 
 
 @query
 def commented_lines(spark, sf_dir):
     """Lines that a comment on their commit points at."""
-    return _flagged(spark, sf_dir, False).where("hit").select(
+    return _flagged(spark, sf_dir, flags=["hit"]).where("hit").select(
         "pull_request_url", "line_at", "commit_id", "filename", "position"
     )
 
@@ -439,7 +439,7 @@ def commented_lines(spark, sf_dir):
 @query
 def lines_near_comments(spark, sf_dir):
     """Lines within one position of a comment on any commit."""
-    return _flagged(spark, sf_dir, False).where("near").select(
+    return _flagged(spark, sf_dir, flags=["near"]).where("near").select(
         "pull_request_url", "line_at", "filename", "position"
     )
 
@@ -447,7 +447,7 @@ def lines_near_comments(spark, sf_dir):
 @query
 def commented_lines_compat(spark, sf_dir):
     """Both flags with positions read as file line numbers."""
-    return _flagged(spark, sf_dir, True).where("hit or near").select(
+    return _flagged(spark, sf_dir, compat=True).where("hit or near").select(
         "pull_request_url", "line_at", "old_pos", "new_pos", "hit", "near"
     )
 
