@@ -184,7 +184,6 @@ def test_one_pass_join_and_separate_records_agree(spark):
     assert one_pass == key(label.hunk_records(df).unionByName(label.patch_records(df)).select(columns).collect())
     # The comments of a pull request spread over several rows.
     parsed = F.col("parsed_input")
-    names = ["comment_positions", "comment_text", "diff_hunks", "comment_file_paths", "comment_commit_ids"]
     halves = [
         df.withColumn("parsed_input", parsed.withField("diff_hunks", F.array().cast("array<string>"))),
         df.withColumn(
@@ -192,7 +191,6 @@ def test_one_pass_join_and_separate_records_agree(spark):
             parsed.withField("comment_positions", F.slice(parsed["comment_positions"], 1, 0)),
         ),
     ]
-    assert names  # both halves keep the other arrays
     split = label.labelled_lines(halves[0].unionByName(halves[1]), several_rows=True)
     light = [c for c in columns if c not in ("item",)]
     assert key(split.select(light).collect()) == key(label.labelled_lines(df).select(light).collect())
