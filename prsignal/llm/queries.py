@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prsignal.llm import bpe, exact, urls
+from prsignal.llm import bpe, exact, langid, quality, simhash, urls
 from prsignal.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op1_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op2_simhash(spark, sf_dir):
+    """Fingerprints of every whole text, its edited text, and their likeness."""
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 # The rules of the url query.
 URL_RULES = (
     ("org/", "allow"),
@@ -77,6 +83,25 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fou
 """
 
 
+@query
+def op4_language(spark, sf_dir):
+    """The language of every whole text, learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.remainder(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs, held_out=held_out)
+    predicted = langid.predict(docs, model)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op5_quality(spark, sf_dir):
+    """The quality of every whole text, learned from labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = langid.remainder(F.col("doc_id"), 5) == 0
+    scored = quality.scored(docs, labels, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_exact_copies(spark, sf_dir):
     """Groups of equal texts."""
