@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prsignal.llm import bpe, exact, langid, quality, simhash, urls
+from prsignal.llm import bpe, exact, langid, packing, quality, simhash, urls
 from prsignal.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +103,13 @@ def op5_quality(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op6_best_fit(spark, sf_dir):
+    """Every piece of every document, and its place in a sequence of at most 2048 tokens."""
+    tokenizer = Path(public_tokenizers.path("word_bpe_49k.json")).read_bytes()
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer)
+
+
 @query
 def op9_exact_copies(spark, sf_dir):
     """Groups of equal texts."""
