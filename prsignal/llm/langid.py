@@ -159,19 +159,30 @@ def remainder(id_col: Column, n: int) -> Column:
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", held_out: Column | None = None) -> Model:
     """Train on the documented sample of the rows that are not held out."""
-    names = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
-                        (F.lit(False) if held_out is None else held_out).alias("held_out"))
-    fitting = names.where(
+    rows = docs.select(
+        F.col(lang_col).alias("lang"),
+        F.xxhash64(F.col(id_col).cast("string"), text_col).alias("hash"),
+        F.col(text_col).alias("text"),
+        (F.lit(False) if held_out is None else held_out).alias("held_out"),
+    )
+    rows = rows.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.col("held_out") & (F.length("text") <= SAMPLE_CHARS)
     )
-    hashed = F.xxhash64(F.col("id").cast("string"), F.xxhash64("text"))
+    # Languages and hashes are ranked without the texts, which only the chosen rows bring.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    sample = (
-        fitting.select("lang", hashed.alias("hash"), "text")
+    chosen = (
+        rows.select("lang", "hash")
+        .distinct()
         .withColumn("rank", rank)
         .where(F.col("rank") <= SAMPLE_PER_LANG)
         .orderBy("rank", "lang")
         .limit(SAMPLE_ROWS)
+    )
+    sample = (
+        rows.select("lang", "hash", "text")
+        .join(F.broadcast(chosen), ["lang", "hash"])  # at most SAMPLE_ROWS rows
+        .dropDuplicates(["lang", "hash"])
+        .orderBy("rank", "lang")
         .select("text", "lang")
     )
     return train([tuple(r) for r in sample.collect()])
