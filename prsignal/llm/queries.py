@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prsignal.llm import bpe, exact, langid, packing, quality, simhash, urls
+from prsignal.llm import bpe, exact, langid, packing, quality, simhash, suffixes, urls
 from prsignal.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,20 @@ def op6_best_fit(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer)
 
 
+@query
+def op8_repeats(spark, sf_dir):
+    """What is left of every text without the bytes of strings that start earlier too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return suffixes.without_repeats(docs).select(
+        "rest.doc_id",
+        "n_bytes",
+        length.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("left", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op9_exact_copies(spark, sf_dir):
     """Groups of equal texts."""
