@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -74,5 +75,13 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return the memory that a Python worker no longer uses, at the end of a task; workers are used again."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()

@@ -26,6 +26,7 @@ import functools
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -46,8 +47,16 @@ REMEMBERED = 300_000
 Packing = list[list[int]]
 
 
+# A word of letters that no normalisation joins or splits, and the marks that may follow it.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:|]*)")
+
+
 class Tokens:
-    """Ids of texts.  White space separates words in this vocabulary, and words are encoded one by one."""
+    """Ids of texts.  White space separates words in this vocabulary, and each distinct word is encoded once.
+
+    Words of plain letters are one pre-token each, whose last id carries the word
+    end, so many of them are encoded in one call and their ids told apart.
+    """
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,20 +64,35 @@ class Tokens:
 
         self._tokenizer = Tokenizer.from_str(data.decode())
         self._tokenizer.encode_special_tokens = True
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._seen: dict[str, bytes] = {"": b""}
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a text, packed as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
+    def _learn(self, words: set[str]) -> None:
         seen = self._seen
-        new = list({w for w in words if w not in seen})
-        if new:
-            if len(seen) + len(new) > REMEMBERED:
-                self._seen = seen = {"": b""}
-                new = list({w for w in words if w})
-            for word, e in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False)):
-                seen[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(seen.__getitem__, words))
+        split = {w: m.groups() for w in words if (m := _PLAIN.fullmatch(w))}
+        cores = list({core for core, _ in split.values()} - seen.keys())
+        if cores:
+            encoded = self._tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids
+            ids = np.array(encoded, "<u4")
+            packed = ids.tobytes()
+            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            seen.update((core, packed[a:b]) for core, a, b in zip(cores, [0, *ends], ends))
+        others = list(({tail for _, tail in split.values()} | (words - split.keys())) - seen.keys())
+        for word, e in zip(others, self._tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            seen[word] = np.array(e.ids, "<u4").tobytes()
+        for word, (core, tail) in split.items():
+            seen[word] = seen[core] + seen[tail]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed as little-endian unsigned 32-bit integers."""
+        lists = [text.replace("\n", " ").split(" ") for text in texts]
+        words = set().union(*lists)
+        if len(self._seen) + len(words) > REMEMBERED:
+            self._seen = {"": b""}
+        self._learn(words - self._seen.keys())
+        return [b"".join(map(self._seen.__getitem__, words)) for words in lists]
 
 
 @functools.lru_cache(maxsize=2)
@@ -87,8 +111,8 @@ def pieces(docs: DataFrame, tokenizer: bytes, capacity: int = CAPACITY, id_col="
         t = _tokens(shared.value)
         end = np.array([END], "<u4").tobytes()
         totals, sums = [], []
-        for text in batch.column(1).to_pylist():
-            ids = t.ids(text) + end
+        for ids in t.ids(batch.column(1).to_pylist()):
+            ids += end
             totals.append(len(ids) // 4)
             sums.append([zlib.crc32(ids[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity)])
         return pa.RecordBatch.from_arrays(
@@ -242,13 +266,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
         F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False).alias("lengths")
     )
     islands = lists.select("shard", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), "lengths")
-    islands = kept(_evolved(islands.repartition("shard", "island"), capacity, 0))
+    # As many tasks as islands, or some for each shuffle partition; these few rows would else be put together.
+    tasks = min(n_shards * ISLANDS, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    islands = kept(_evolved(islands.repartition(tasks, "shard", "island"), capacity, 0))
     for turn in range(1, ROUNDS):
         migrants = islands.select(
             "shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("groups").alias("migrant")
         )
         met = islands.select("shard", "island", "lengths", "groups").join(migrants, ["shard", "island"])
-        islands = kept(_evolved(met.repartition("shard", "island"), capacity, turn))
+        islands = kept(_evolved(met.repartition(tasks, "shard", "island"), capacity, turn))
     order = F.struct("n_groups", -F.col("fullness"), "island")
     winners = islands.groupBy("shard").agg(F.min_by("groups", order).alias("groups"))
 

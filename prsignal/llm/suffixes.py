@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prsignal.llm.common import kept, map_slices, whole_text
+from prsignal.llm.common import give_back, kept, map_slices, whole_text
 
 THRESHOLD = 100
 
@@ -50,7 +50,7 @@ THRESHOLD = 100
 HOT = 20_000
 
 # Bytes of text that are searched, and surroundings that are compared, at a time.
-BLOCK, SCANNED, COMPARED = 1 << 20, 8 << 20, 1 << 14
+BLOCK, SCANNED, COMPARED = 1 << 20, 4 << 20, 1 << 13
 
 _NO_ID = -(1 << 63)
 _ODD = 0x9E3779B97F4A7C15
@@ -235,6 +235,7 @@ def _scan(threshold: int, n_buckets: int):
                     rows, size = [], 0
             yield from search(rows)
             rows, size = [], 0
+        give_back()
 
     return scan
 
@@ -273,6 +274,7 @@ def _sort(threshold: int):
                 blocks.append(block)
         if blocks:
             yield from ordered(blocks)
+        give_back()
 
     return sort
 
@@ -373,6 +375,7 @@ def _compare(threshold: int):
             held = rows.slice(whole)
         if held is not None and held.num_rows:
             yield spans(held)
+        give_back()
 
     return compare
 
