@@ -42,7 +42,7 @@ SHARD, ISLANDS, ROUNDS = 32_768, 3, 2
 POPULATION, GENERATIONS, INJECTED = 5, 6, 0.1
 
 # Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 Packing = list[list[int]]
 
@@ -89,9 +89,10 @@ class Tokens:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
         lists = [text.replace("\n", " ").split(" ") for text in texts]
         words = set().union(*lists)
-        if len(self._seen) + len(words) > REMEMBERED:
-            self._seen = {"": b""}
-        self._learn(words - self._seen.keys())
+        new = words - self._seen.keys()
+        if len(self._seen) + len(new) > REMEMBERED:
+            self._seen, new = {"": b""}, words
+        self._learn(new)
         return [b"".join(map(self._seen.__getitem__, words)) for words in lists]
 
 
