@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prsignal.llm import bpe, exact, langid, packing, quality, simhash, suffixes, urls
+from prsignal.llm import bpe, exact, jaccard, langid, packing, quality, simhash, suffixes, urls
 from prsignal.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op10_ngram_jaccard(spark, sf_dir):
+    """Components of documents whose sets of word trigrams are alike by 0.9."""
+    docs = table(spark, sf_dir, "documents")
+    return jaccard.similar(docs, n=3, similarity=(90, 100)).select("doc_id", "n_shingles", "component_id")
