@@ -23,6 +23,7 @@ read.
 from __future__ import annotations
 
 import functools
+import json
 import math
 import os
 import random
@@ -47,15 +48,18 @@ REMEMBERED = 800_000
 Packing = list[list[int]]
 
 
-# A word of letters that no normalisation joins or splits, and the marks that may follow it.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:|]*)")
+# A word of letters that no normalisation joins or splits, and the marks that may follow it as one more pre-token.
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([{_MARKS}]*)")
 
 
 class Tokens:
     """Ids of texts.  White space separates words in this vocabulary, and each distinct word is encoded once.
 
     Words of plain letters are one pre-token each, whose last id carries the word
-    end, so many of them are encoded in one call and their ids told apart.
+    end, so many of them are encoded in one call and their ids told apart.  They
+    need only be lower-cased and cut at white space, so the same vocabulary does
+    that for them without the general normalisation and pattern.
     """
 
     def __init__(self, data: bytes):
@@ -64,36 +68,43 @@ class Tokens:
 
         self._tokenizer = Tokenizer.from_str(data.decode())
         self._tokenizer.encode_special_tokens = True
+        cut = [{"type": "WhitespaceSplit"}, json.loads(data)["pre_tokenizer"]["pretokenizers"][1]]
+        plain = json.loads(data) | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": cut}}
+        self._plain = Tokenizer.from_str(json.dumps(plain))
+        self._plain.encode_special_tokens = True
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._seen: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         seen = self._seen
-        split = {w: m.groups() for w in words if (m := _PLAIN.fullmatch(w))}
-        cores = list({core for core, _ in split.values()} - seen.keys())
-        if cores:
-            encoded = self._tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids
-            ids = np.array(encoded, "<u4")
+        alike = [m for w in words if (m := _PLAIN.fullmatch(w))]
+        if alike:
+            parts = [m.groups() for m in alike]
+            text = " ".join([f"{core} {marks}" if marks else core for core, marks in parts]).lower()
+            ids = np.array(self._plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             packed = ids.tobytes()
-            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
-            seen.update((core, packed[a:b]) for core, a, b in zip(cores, [0, *ends], ends))
-        others = list(({tail for _, tail in split.values()} | (words - split.keys())) - seen.keys())
+            # Each word has one word end, or two with the one of its marks.
+            last = np.cumsum([1 + bool(marks) for _, marks in parts]) - 1
+            ends = (4 * (np.flatnonzero(self._ends[ids])[last] + 1)).tolist()
+            seen.update(zip([m.string for m in alike], [packed[a:b] for a, b in zip([0, *ends], ends)]))
+        others = [w for w in words if w not in seen] if len(alike) < len(words) else []
         for word, e in zip(others, self._tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             seen[word] = np.array(e.ids, "<u4").tobytes()
-        for word, (core, tail) in split.items():
-            seen[word] = seen[core] + seen[tail]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
+        if len(self._seen) > REMEMBERED:
+            self._seen = {"": b""}
+        known = self._seen.get
         lists = [text.replace("\n", " ").split(" ") for text in texts]
-        words = set().union(*lists)
-        new = words - self._seen.keys()
-        if len(self._seen) + len(new) > REMEMBERED:
-            self._seen, new = {"": b""}, words
-        self._learn(new)
-        return [b"".join(map(self._seen.__getitem__, words)) for words in lists]
+        found = [list(map(known, words)) for words in lists]
+        self._learn(list({w for words, got in zip(lists, found) if None in got for w, g in zip(words, got) if g is None}))
+        return [
+            b"".join([known(w) if g is None else g for w, g in zip(words, got)] if None in got else got)
+            for words, got in zip(lists, found)
+        ]
 
 
 @functools.lru_cache(maxsize=2)
