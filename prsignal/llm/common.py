@@ -16,7 +16,19 @@ SLICE = 512
 _written: list[str] = []
 
 
+# Rows that go to Python at once.  Spark's own 10,000 would be a batch of more than 100 MB where texts are long.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand whole texts to Python in small batches, unless the session asks for smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

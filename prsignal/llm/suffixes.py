@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,11 +194,11 @@ def _scan(threshold: int, n_buckets: int):
     reach = threshold - run_length(threshold)
 
     def search(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
         ids, ties = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
         got = [anchors(r[2], threshold) for r in rows]
         doc = np.repeat(np.arange(len(rows)), [len(g[0]) for g in got])
-        if not len(doc):
-            return
         at, run, around = (np.concatenate(x) for x in zip(*got))
         sizes = np.array([len(r[2]) for r in rows])
         order, first, later = _earliest(run, around, ids[doc], ties[doc], at)
@@ -233,8 +234,7 @@ def _scan(threshold: int, n_buckets: int):
                 if size >= SCANNED:
                     yield from search(rows)
                     rows, size = [], 0
-            yield from search(rows)
-            rows, size = [], 0
+        yield from search(rows)
         give_back()
 
     return scan
@@ -262,10 +262,10 @@ def _sort(threshold: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blocks = None, []
         for batch in batches:
-            spans = batch.filter(pa.compute.is_null(batch.column("block")))
+            spans = batch.filter(pc.is_null(batch.column("block")))
             if spans.num_rows:
                 yield spans
-            batch = batch.filter(pa.compute.is_valid(batch.column("block")))
+            batch = batch.filter(pc.is_valid(batch.column("block")))
             for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
                 if bucket != current and blocks:
                     yield from ordered(blocks)
