@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Rows that Python code turns into one output batch; bounds the memory of a task.
 SLICE = 512
@@ -58,23 +59,25 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """How many tables are kept now; for ``release``."""
-    return len(_written)
+def written() -> list[str]:
+    """The paths of the tables kept so far."""
+    return list(_written)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Remove the tables kept after ``since``; nothing that is still to be computed may read them."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove kept tables; nothing that is still to be computed may read them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _written:
+            _written.remove(name)
 
 
 def map_slices(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch],
-    schema: str,
+    schema,
     rows: int = SLICE,
 ) -> DataFrame:
     """``mapInArrow`` over small slices, so that a task holds the output of few rows at a time."""
@@ -97,3 +100,16 @@ def give_back() -> None:
 
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+def only(docs: DataFrame, keepers: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs`` that are kept: for each key, as many rows as ``keepers`` has.
+
+    ``keys`` says how the key columns of ``keepers`` follow from ``docs``; rows of
+    one key are alike but for columns that don't count.
+    """
+    names = list(keys)
+    counts = keepers.groupBy(*names).agg(F.count(F.lit(1)).alias("_wanted"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in keys.items()])
+    number = F.row_number().over(Window.partitionBy(*names).orderBy(names[0]))
+    return rows.join(counts, names).withColumn("_number", number).where("_number <= _wanted").select("_row.*")

@@ -206,3 +206,16 @@ def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") ->
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     schema = f"id {type_of(rows, 'id')}, lang_pred string, score double, rejected boolean"
     return map_slices(rows, run, schema).withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, text_col="text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = shared.value
+        got = [m.predict(t or "") for t in batch.column(at).to_pylist()]
+        return batch.filter(pa.array([lang != UNKNOWN and p >= m.least for lang, p in got], pa.bool_()))
+
+    return map_slices(docs, run, docs.schema)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prsignal.llm import bpe, exact, jaccard, langid, packing, quality, simhash, suffixes, urls
+from prsignal.llm import bpe, exact, jaccard, langid, licenses, packing, quality, simhash, suffixes, urls
 from prsignal.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,23 @@ def op6_best_fit(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer)
 
 
+@query
+def op7_licenses(spark, sf_dir):
+    """The licenses that notices in every whole text name, and how far their wording differs."""
+    docs = table(spark, sf_dir, "documents")
+    hits = licenses.scan(docs).groupBy("doc_id").agg(
+        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
+        F.count(F.lit(1)).alias("n_notices"),
+        F.sum(F.size("differences")).alias("n_differences"),
+    )
+    return docs.select("doc_id").join(hits, "doc_id", "left").select(
+        "doc_id",
+        "licenses",
+        F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"),
+        F.coalesce("n_differences", F.lit(0)).cast("long").alias("n_differences"),
+    )
+
+
 @query
 def op8_repeats(spark, sf_dir):
     """What is left of every text without the bytes of strings that start earlier too."""

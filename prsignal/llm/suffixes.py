@@ -47,6 +47,9 @@ from prsignal.llm.common import give_back, kept, map_slices, whole_text
 
 THRESHOLD = 100
 
+# Buckets for each shuffle partition; a task orders one at a time.
+BUCKETS = 4
+
 # Different surroundings of a run above which its strings are grouped by Spark itself.
 HOT = 20_000
 
@@ -457,7 +460,8 @@ def without_repeats(
     of characters that a span covers only in part.
     """
     spark = docs.sparkSession
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = BUCKETS * n_tasks
     text = whole_text(text_col)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     rows = docs.select(
@@ -469,7 +473,7 @@ def without_repeats(
     found = kept(
         rows.select("id", "tie", "text")
         .mapInArrow(_scan(threshold, n_buckets), _FOUND_SQL)
-        .repartition(n_buckets, "bucket")
+        .repartition(n_tasks, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_sort(threshold), _FOUND_SQL)
     )
@@ -478,7 +482,7 @@ def without_repeats(
 
     # Texts move once: both joins below use this partitioning.
     one_of_equals = F.row_number().over(Window.partitionBy("id", "tie").orderBy("id"))
-    placed = rows.repartition(n_buckets, "id", "tie").withColumn("copy", one_of_equals)
+    placed = rows.repartition(n_tasks, "id", "tie").withColumn("copy", one_of_equals)
 
     def with_texts(requests: DataFrame) -> DataFrame:
         by_doc = requests.groupBy("id", "tie").agg(
@@ -493,7 +497,7 @@ def without_repeats(
     compared = (
         with_texts(asked.where(F.col("n") <= hot))
         .mapInArrow(context, schema)
-        .repartition(n_buckets, "run")
+        .repartition(n_tasks, "run")
         .sortWithinPartitions("run", "id", "tie", "at")
         .mapInArrow(_compare(threshold), _SPAN)
     )
