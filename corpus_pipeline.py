@@ -55,14 +55,14 @@ def language(spark, docs, sf_dir):
 
 @stage
 def exact_copies(spark, docs, sf_dir):
-    keepers = exact.copies(docs).where("kept").select(_id().alias("_id"), F.col("text_sha256").alias("_sha256"))
-    return only(docs, keepers, {"_id": _id(), "_sha256": F.sha2(whole_text(), 256)})
+    found = exact.copies(docs).select(_id().alias("_id"), F.col("text_sha256").alias("_sha256"), "kept")
+    return only(docs, found, {"_id": _id(), "_sha256": F.sha2(whole_text(), 256)})
 
 
 @stage
 def near_copies(spark, docs, sf_dir):
-    keepers = jaccard.similar(docs).where("kept").select(_id().alias("_id"), F.col("tie").alias("_tie"))
-    return only(docs, keepers, {"_id": _id(), "_tie": F.hash(whole_text())})
+    found = jaccard.similar(docs).select(_id().alias("_id"), F.col("tie").alias("_tie"), "kept")
+    return only(docs, found, {"_id": _id(), "_tie": F.hash(whole_text())})
 
 
 @stage

@@ -102,14 +102,30 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def only(docs: DataFrame, keepers: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """The rows of ``docs`` that are kept: for each key, as many rows as ``keepers`` has.
+# Keys that are broadcast; more of them are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
-    ``keys`` says how the key columns of ``keepers`` follow from ``docs``; rows of
-    one key are alike but for columns that don't count.
+
+def only(docs: DataFrame, found: DataFrame, keys: dict[str, Column], most: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows of ``docs`` that are kept: for each key, as many rows as ``found`` says.
+
+    ``found`` has the key columns and ``kept`` for every row of ``docs``; ``keys``
+    says how the key columns follow from ``docs``.  Rows of one key are alike but
+    for columns that don't count.  Texts move only for keys that lose rows, as
+    long as these keys are few enough to be broadcast, which is counted.
     """
     names = list(keys)
-    counts = keepers.groupBy(*names).agg(F.count(F.lit(1)).alias("_wanted"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in keys.items()])
+    surplus = kept(
+        found.groupBy(*names)
+        .agg(F.count(F.lit(1)).alias("_all"), F.sum(F.col("kept").cast("int")).alias("_wanted"))
+        .where("_all > _wanted")
+    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, *[c.alias(k) for k, c in keys.items()])
     number = F.row_number().over(Window.partitionBy(*names).orderBy(names[0]))
-    return rows.join(counts, names).withColumn("_number", number).where("_number <= _wanted").select("_row.*")
+    if surplus.count() > most:
+        joined = rows.join(surplus, names, "left").withColumn("_number", number)
+        return joined.where("_wanted IS NULL OR _number <= _wanted").select("_row.*")
+    surplus = F.broadcast(surplus)
+    some = rows.join(surplus.where("_wanted > 0"), names).withColumn("_number", number).where("_number <= _wanted")
+    return rows.join(surplus, names, "left_anti").select("_row").unionByName(some.select("_row")).select("_row.*")
