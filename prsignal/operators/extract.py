@@ -195,7 +195,7 @@ def opened_issues(events: DataFrame) -> DataFrame:
     )
 
 
-def limit_cells(cells: DataFrame, n: int = CELL_LIMIT, order_by: Sequence[str] = ()) -> DataFrame:
+def limit_cells(cells: DataFrame, n: int = -1, order_by: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` cells in a fixed order; -1 keeps all."""
     if n == -1:
         return cells

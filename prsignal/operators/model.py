@@ -31,6 +31,8 @@ MIN_INFO_GAIN_GRID = (0.0, 0.0001)
 FOLDS = 3
 PARALLELISM = 2
 MIN_DOC_FREQ = 10
+# Tasks that fit word vectors side by side.
+WORD_VECTOR_PARTITIONS = 8
 SEED = 42
 
 
@@ -79,6 +81,7 @@ def prep_pipeline(
                 outputCol="wordvecs",
                 vectorSize=vector_size,
                 minCount=min_count,
+                numPartitions=WORD_VECTOR_PARTITIONS,
                 seed=SEED,
             )
         ]
@@ -183,7 +186,7 @@ def train_and_evaluate(
     train: float = 0.9,
     fast: bool = False,
     compat: bool = False,
-    several_rows: bool = False,
+    several_rows: bool = True,
     prep_options: dict | None = None,
     classifier_options: dict | None = None,
 ) -> tuple[PipelineModel, DataFrame]:

@@ -96,7 +96,7 @@ def _mail(commit: str) -> str:
 
 def _file(name: str) -> str:
     return (
-        f"concat('diff --git a/', {name}, ' b/', {name}, '\\nindex 31c2bb2..ec256ba 100644\\n"
+        f"concat('diff --git a/', {name}, ' b/', {name}, '\\nindex 1111111..2222222 100644\\n"
         f"--- a/', {name}, '\\n+++ b/', {name}, '\\n')"
     )
 

@@ -40,9 +40,9 @@ FROM (
     ' Mon Sep 17 00:00:00 2001' || chr(10) || 'From: dev <dev@example.com>' || chr(10)
       || 'Subject: [PATCH] change ' || d || chr(10) || '---' || chr(10) || ' one file' || chr(10)
       || chr(10) AS mail,
-    'diff --git a/' || f1 || ' b/' || f1 || chr(10) || 'index 31c2bb2..ec256ba 100644' || chr(10)
+    'diff --git a/' || f1 || ' b/' || f1 || chr(10) || 'index 1111111..2222222 100644' || chr(10)
       || '--- a/' || f1 || chr(10) || '+++ b/' || f1 || chr(10) AS head1,
-    'diff --git a/' || f2 || ' b/' || f2 || chr(10) || 'index 31c2bb2..ec256ba 100644' || chr(10)
+    'diff --git a/' || f2 || ' b/' || f2 || chr(10) || 'index 1111111..2222222 100644' || chr(10)
       || '--- a/' || f2 || chr(10) || '+++ b/' || f2 || chr(10) AS head2
   FROM docs)"""
 

@@ -6,65 +6,60 @@ from patch_model import changed_lines
 from prsignal.operators import patch as P
 
 MAIL = """
-From 0a1b2c3d4e5f60718293a4b5c6d7e8f901234567 Mon Sep 17 00:00:00 2001
-From: someone <someone@example.com>
-Subject: [PATCH] add a rule
+From 9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c Tue Feb 03 09:00:00 2026
+From: dev <dev@example.org>
+Subject: [PATCH] keep tables small
 
 ---
- README.md | 1 +
-
-diff --git a/README.md b/README.md
-index 31c2bb2..ec256ba 100644
---- a/README.md
-+++ b/README.md
-@@ -170,6 +170,7 @@ Rule:
- - one
- - two
- - three
-+- four
- - five
- # six
- # seven
-diff --git a/net/http.go b/net/http.go
-index 01aa14b..8aa21e7 100644
---- a/net/http.go
-+++ b/net/http.go
-@@ -32,8 +32,10 @@ func conn() {
+ docs/tables.txt | 1 +
+
+diff --git a/docs/tables.txt b/docs/tables.txt
+index 1010101..2020202 100644
+--- a/docs/tables.txt
++++ b/docs/tables.txt
+@@ -11,6 +11,7 @@ Tables
+ alpha
+ beta
+ gamma
++delta
+ epsilon
+ # end
+ # more
+diff --git a/src/load.py b/src/load.py
+index 3030303..4040404 100644
+--- a/src/load.py
++++ b/src/load.py
+@@ -80,6 +81,8 @@ import io
  
- // comment
- func make() {
-+\tmeta := parse()
-+\tmeta.ip = ip()
- \treturn &x{
--\t\tmeta: parse(),
-+\t\tmeta: meta,
- \t\treq: r,
- \t}
- }
+ # comment
+ def load(path):
+-    rows = read()
++    rows = read(path)
++    rows = rows[1:]
+     check(rows)
++    log(rows)
+     return rows
 """
 
 DIFF = """
-diff --git a/run.sh b/run.sh
-index bd71564..e0d635d 100755
---- a/other/run.sh
-+++ b/other/run.sh
-@@ -36,5 +36,5 @@ pushd
-  a
-  b
-  c
-- in out
-+ in out more
- popd
-diff --git a/dev.sh b/dev.sh
---- a/dev.sh
-+++ b/dev.sh
-@@ -6,22 +6,23 @@ x
- # up
- ./up
- # train
--old name
-+new name
- rest
+diff --git a/job.sh b/job.sh
+index 5050505..6060606 100755
+--- a/jobs/job.sh
++++ b/jobs/job.sh
+@@ -20,4 +20,4 @@ start
+ x
+ y
+-run one
++run two
+ z
+diff --git a/env.txt b/env.txt
+--- a/env.txt
++++ b/env.txt
+@@ -3,3 +4,3 @@ x
+ a
+-b
++c
+ d
 """
 
 
@@ -86,35 +81,35 @@ def parse(spark, text, **options):
 def test_mail_patch(spark):
     got = parse(spark, MAIL, next_lines=3)
     assert [(g[8], g[2], g[3], g[4], g[9]) for g in got] == [
-        ("README.md", 172, 173, 4, True),
-        ("net/http.go", 34, 35, 4, True),
-        ("net/http.go", 34, 36, 5, True),
-        ("net/http.go", 36, 37, 7, False),
-        ("net/http.go", 36, 38, 8, True),
+        ("docs/tables.txt", 13, 14, 4, True),
+        ("src/load.py", 83, 83, 4, False),
+        ("src/load.py", 83, 84, 5, True),
+        ("src/load.py", 83, 85, 6, True),
+        ("src/load.py", 84, 87, 8, True),
     ]
-    assert {g[1] for g in got} == {"0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"}
+    assert {g[1] for g in got} == {"9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c"}
     assert got[0][5:8] == (
-        ("- one", "- two", "- three", "- four"), "- four", ("- four", "- five", "# six"),
+        ("alpha", "beta", "gamma", "delta"), "delta", ("delta", "epsilon", "# end"),
     )
-    assert got[1][5] == ("", "// comment", "func make() {", "\tmeta := parse()")
+    assert got[1][5] == ("", "# comment", "def load(path):", "    rows = read()")
 
 
 def test_plain_diff_takes_the_name_of_the_plus_line(spark):
     got = parse(spark, DIFF)
     assert [(g[1], g[2], g[3], g[4], g[8], g[9]) for g in got] == [
-        (None, 39, 38, 4, "other/run.sh", False),
-        (None, 39, 39, 5, "other/run.sh", True),
-        (None, 9, 8, 4, "dev.sh", False),
-        (None, 9, 9, 5, "dev.sh", True),
+        (None, 22, 21, 3, "jobs/job.sh", False),
+        (None, 22, 22, 4, "jobs/job.sh", True),
+        (None, 4, 4, 2, "env.txt", False),
+        (None, 4, 5, 3, "env.txt", True),
     ]
 
 
 def test_hunk_mode(spark):
-    hunk = "@@ -33,4 +33,5 @@ type X int\n type M struct {\n \tN  N\n \tS   S\n+\tIP *ip\n \tA int\n \tH s\n \tP p"
+    hunk = "@@ -70,6 +72,7 @@ class Store\n class Row:\n     id = 0\n     name = 1\n+    size = 2\n     tags = 3\n     note = 4\n     last = 5"
     got = parse(spark, hunk, hunk_mode=True)
     assert got == [
-        (4, None, 35, 36, 5, ("type M struct {", "\tN  N", "\tS   S", "\tIP *ip"), "\tIP *ip",
-         ("\tIP *ip", "\tA int", "\tH s", "\tP p"), None, True)
+        (4, None, 72, 75, 5, ("class Row:", "    id = 0", "    name = 1", "    size = 2"), "    size = 2",
+         ("    size = 2", "    tags = 3", "    note = 4", "    last = 5"), None, True)
     ]
     assert parse(spark, hunk) == []
 

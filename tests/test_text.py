@@ -75,13 +75,13 @@ def facts(spark, body, **options):
 
 
 def test_go_stack(spark):
-    body = "goroutine 1 [running]:\nmain.Example(0x20, 0x2)\n   /home/x/src/code/\n   temp/main.go:9 +0x64\nmain.main()\n   /home/x/src/code/\n   temp/main.go:5 +0x85\n"
-    assert sorted(facts(spark, body)) == [("main.go", 5), ("main.go", 9)]
+    body = "goroutine 7 [running]:\nmain.Load(0x1)\n   /srv/app/\n   src/load.go:41 +0x1f\nmain.run()\n   /srv/app/\n   src/run.go:18 +0x2a\n"
+    assert sorted(facts(spark, body)) == [("load.go", 41), ("run.go", 18)]
 
 
 def test_java_stack(spark):
-    body = "Exception in thread\n  at com.x.Book.title(Book.java:16)\n  at com.x.Author.get(Author.java:25)\n  at com.x.Main.main(Main.java:14)"
-    assert sorted(facts(spark, body)) == [("Author.java", 25), ("Book.java", 16), ("Main.java", 14)]
+    body = "Exception in thread\n  at org.a.Shelf.put(Shelf.java:61)\n  at org.a.Store.save(Store.java:207)\n  at org.a.Run.main(Run.java:33)"
+    assert sorted(facts(spark, body)) == [("Run.java", 33), ("Shelf.java", 61), ("Store.java", 207)]
 
 
 def test_stack_quirks(spark):
