@@ -376,6 +376,32 @@ def test_signature_trees_lose_no_link():
     assert classes(across) == classes({(j, i) for i, j in want if j < 150 <= i})
 
 
+def test_sketches_lose_no_link_and_part_sets_that_share_a_passage():
+    rng = np.random.default_rng(5)
+    passage, sets = rng.integers(0, 1 << 63, 120, np.uint64), []
+    for i in range(150):
+        n = int(rng.choice([3, 30, 120, 250, 256, 257, 400, 1000]))
+        base = np.unique(np.r_[rng.integers(0, 1 << 63, n, np.uint64), passage if i % 3 else passage[:0]])
+        for part in rng.choice([0.7, 0.8, 0.9, 1.0], 3):
+            sets.append(base[: max(1, int(len(base) * part))])
+    for p in (50, 80, 90):
+        found = jaccard.alike(np.array([len(x) for x in sets]), [jaccard.sketch(x) for x in sets], (p, 100))
+        union = jaccard.Union(len(sets))
+        for a, b in found:
+            union.above[union.find(a)] = union.find(b)
+        for i in range(len(sets)):
+            for j in range(i):
+                if jaccard.linked(sets[i], sets[j], (p, 100)):
+                    assert union.find(i) == union.find(j)
+    assert all(jaccard.linked(sets[a], sets[b], (70, 100)) for a, b in found if min(len(sets[a]), len(sets[b])) > 60)
+
+
+def test_similar_documents_in_stars_of_many_blocks(docs, monkeypatch):
+    want = sorted((r.doc_id, r.component_id) for r in jaccard.similar(docs, 1, (80, 100)).collect())
+    monkeypatch.setattr(jaccard, "STAR", 2)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.similar(docs, 1, (80, 100)).collect()) == want
+
+
 def test_linked_sets_share_a_slice():
     rng = np.random.default_rng(6)
     lows, counts = jaccard.bands((80, 100))
