@@ -54,7 +54,7 @@ BUCKETS = 4
 HOT = 20_000
 
 # Bytes of text that are searched, and surroundings that are compared, at a time.
-BLOCK, SCANNED, COMPARED = 1 << 20, 4 << 20, 1 << 13
+BLOCK, SCANNED, COMPARED = 1 << 17, 4 << 20, 1 << 13
 
 _NO_ID = -(1 << 63)
 _ODD = 0x9E3779B97F4A7C15
