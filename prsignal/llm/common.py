@@ -90,8 +90,17 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
+# What clears the caches that modules of this worker keep from task to task.
+caches: list[Callable[[], None]] = []
+
+
 def give_back() -> None:
-    """Return the memory that a Python worker no longer uses, at the end of a task; workers are used again."""
+    """Return the memory that a Python worker holds, caches of other operators too, at the end of a task.
+
+    Workers are used again by later stages, which have no use for these caches.
+    """
+    for clear in caches:
+        clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prsignal.llm.common import kept, map_slices, type_of, whole_text
+from prsignal.llm.common import caches, kept, map_slices, type_of, whole_text
 
 CAPACITY, END = 2048, 0
 SHARD, ISLANDS, ROUNDS = 32_768, 3, 2
@@ -112,6 +112,9 @@ def _tokens(data: bytes) -> Tokens:
     return Tokens(data)
 
 
+caches.append(_tokens.cache_clear)
+
+
 def pieces(docs: DataFrame, tokenizer: bytes, capacity: int = CAPACITY, id_col="doc_id", text_col="text") -> DataFrame:
     """(item, id, piece, start, length, ids_crc32): the pieces of every whole text.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prsignal.llm.common import kept, whole_text
+from prsignal.llm.common import caches, kept, whole_text
 
 WORDS, BITS = 5, 64
 
@@ -51,6 +51,7 @@ class _WordHashes(dict):
 
 
 _hash_of = _WordHashes()
+caches.append(_hash_of.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
