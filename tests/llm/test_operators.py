@@ -239,6 +239,36 @@ def test_license_query_by_plain_search(spark):
         assert got[r.doc_id] == (",".join(sorted({n for w, n in short.items() if w in r.text})) or None)
 
 
+@pytest.mark.parametrize("size", [10_000, 100_000, 1_000_000])
+def test_license_notices_within_long_lines(size):
+    rng = random.Random(size)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    line = " ".join(rng.choice(vocabulary) for _ in range(size // 5))
+    middle = line.index(" ", len(line) // 2)
+    for name, wording in licenses.WORDINGS:
+        got = licenses.notices(f"{line[:middle]} {wording}{line[middle:]}")
+        assert [(r["license"], r["start"], r["differences"]) for r in got] == [(name, middle + 1, [])]
+
+
+def test_license_differences_are_the_fewest():
+    rng = random.Random(3)
+
+    def fewest(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, above = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(above[j] if x == y else 1 + min(above[j + 1], row[j]))
+        return row[-1]
+
+    for _ in range(300):
+        want, have = (rng.choices("abcd", k=rng.randrange(2, 9)) for _ in range(2))
+        got = licenses.occurrences(want, have, len(want) - 1)
+        best = min(fewest(want, have[i:j]) for j in range(len(have) + 1) for i in range(j + 1))
+        assert min((n for n, _, _ in got), default=len(want)) == best
+        assert all(len(licenses.differences(want, have[i:j])) == n == fewest(want, have[i:j]) for n, i, j in got)
+
+
 # -- repeated passages -----------------------------------------------------
 
 
