@@ -10,8 +10,8 @@ significant first, and leave the sort as soon as they are alone:
 1. The first digit is a run of K bytes.  Of the suffixes that a string of the
    threshold can be found by, only those at a local minimum of the runs' hashes
    are sorted: which run is least in a string depends on the string alone, so
-   equal strings are found by equal runs.  Runs are dealt to buckets by their
-   most significant bits; a run that occurs once is done.
+   equal strings are found by equal runs.  Runs are dealt to buckets by the
+   most significant bits of a second hash, as the least first ones are all near 0; a run that occurs once is done.
 2. The second digit is the whole surrounding that a string with this run can
    reach.  Of suffixes equal in it, all but the earliest are repeats throughout.
 3. What is left, one suffix for each different surrounding of a run, is ordered
@@ -114,7 +114,8 @@ def anchors(data: np.ndarray, threshold: int) -> list[np.ndarray]:
         a, b = position - left - low, position + k + right - low
         around = (sums[b] - sums[a]) * _unpower[a]
         around = mixed(around + (left * 65537 + right).astype(np.uint64) * np.uint64(_ODD))
-        found.append((position, runs[at], around))
+        # The least hashes are all small numbers; mixed again, they are dealt evenly and equal runs stay equal.
+        found.append((position, mixed(runs[at] ^ np.uint64(_ODD)), around))
     return [np.concatenate(x) for x in zip(*found)]
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -308,6 +309,17 @@ def test_repeats_in_blocks_whole_characters_and_odd_rows(spark, monkeypatch, rep
     assert suffixes.without_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("n_buckets", [48, 800])
+def test_buckets_of_suffixes_are_even(n_buckets):
+    data = np.random.default_rng(8).integers(97, 123, 1_200_000, dtype=np.uint8)
+    table = pa.table({"id": [1], "tie": pa.array([0], pa.int32()), "text": [data.tobytes()]})
+    sent = {}
+    for batch in suffixes._scan(100, n_buckets)(iter(table.to_batches())):
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+            sent[bucket] = sent.get(bucket, 0) + len(suffixes.unpacked(block)[0])
+    assert len(sent) == n_buckets and max(sent.values()) < 2 * sum(sent.values()) / n_buckets
+
+
 # -- exact copies ----------------------------------------------------------
 
 
