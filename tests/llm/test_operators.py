@@ -251,6 +251,27 @@ def test_license_notices_within_long_lines(size):
         assert [(r["license"], r["start"], r["differences"]) for r in got] == [(name, middle + 1, [])]
 
 
+def test_licenses_are_told_apart(spark):
+    long = "you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    for name, title, version in [("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-3.0", "Lesser", "3"), ("LGPL-2.1", "Lesser", "2.1"),
+                                 ("LGPL-2.0", "Library", "2"), ("AGPL-3.0", "Affero", "3")]:
+        assert [r["license"] for r in licenses.notices(long.format(title, version))] == [name]
+        assert [r["license"] for r in licenses.notices(f"This work is licensed under the GNU {title} General Public License, version {version}.")] == [name]
+    assert licenses.notices(long.format("", "9")) == licenses.notices("licensed under the GNU General Public License, version 4.") == []
+    for name, wording in licenses.WORDINGS:
+        assert [r["license"] for r in licenses.notices(f"One. {wording}\nTwo.")] == [name]
+    three = dict(licenses.WORDINGS)["BSD-3-Clause"].replace("the copyright holder", "The Example Project")
+    assert [r["license"] for r in licenses.notices(three)] == ["BSD-3-Clause"]
+    table = spark.createDataFrame([(1, "Take it, it is yours. Released under the MIT License.")], "doc_id long, text string")
+    own = [("Own", "take it; it is yours")]
+    for templates in (own, spark.createDataFrame(own, "name string, wording string")):
+        assert [r.license for r in licenses.scan(table, templates=templates).collect()] == ["Own"]
+    assert licenses.scan(table, templates=[]).count() == 0
+    for bad in ([("Own", "!")], [("Own", "a " * 10_001)], [("Own", f"word {i}") for i in range(1001)]):
+        with pytest.raises(ValueError):
+            licenses.scan(table, templates=bad)
+
+
 def test_license_differences_are_the_fewest():
     rng = random.Random(3)
 
