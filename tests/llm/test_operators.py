@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 
 import duckdb
@@ -251,6 +252,15 @@ def test_license_notices_within_long_lines(size):
         assert [(r["license"], r["start"], r["differences"]) for r in got] == [(name, middle + 1, [])]
 
 
+@pytest.mark.parametrize("between", ["\n", "\n\n", "\n * "])
+@pytest.mark.parametrize("width", [1, 20, 35, 45, 50])
+def test_license_notices_in_short_lines(width, between):
+    for name, wording in licenses.WORDINGS:
+        lines = textwrap.wrap(wording, width, break_long_words=False, break_on_hyphens=False)
+        text = "One two.\n" + between.join(lines) + "\nThree."
+        assert [(r["license"], r["differences"]) for r in licenses.notices(text)] == [(name, [])]
+
+
 def test_licenses_are_told_apart(spark):
     long = "you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
     for name, title, version in [("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-3.0", "Lesser", "3"), ("LGPL-2.1", "Lesser", "2.1"),
