@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from prsignal.llm import exact, jaccard, langid, suffixes
 from prsignal.llm import packing as packs
-from prsignal.llm.common import bounded_batches, only, release, shared_folder, whole_text, written
+from prsignal.llm.common import bounded_batches, only, release, shared_folder, tie_of, whole_text, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,7 +62,7 @@ def exact_copies(spark, docs, sf_dir):
 @stage
 def near_copies(spark, docs, sf_dir):
     found = jaccard.similar(docs).select(_id().alias("_id"), F.col("tie").alias("_tie"), "kept")
-    return only(docs, found, {"_id": _id(), "_tie": F.hash(whole_text())})
+    return only(docs, found, {"_id": _id(), "_tie": tie_of(whole_text())})
 
 
 @stage

@@ -38,6 +38,11 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def tie_of(text: Column) -> Column:
+    """128 bits of the text's SHA-256 in hex, which tell rows of one id apart."""
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None)

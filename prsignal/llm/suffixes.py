@@ -26,7 +26,7 @@ way, in which all strings are grouped by Spark's own aggregation and join.
 
 Defined results: null counts as empty; texts shorter than the threshold stay;
 texts of any length are read whole, in blocks.  Rows that share an id are ordered
-by the hash of their text; equal rows count as one after the other, so all but
+by 128 bits of their text's SHA-256; equal rows count as one after the other, so all but
 one are removed whole; null ids come first.  An empty table gives an empty table.
 """
 
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prsignal.llm.common import give_back, kept, map_slices, whole_text
+from prsignal.llm.common import give_back, kept, map_slices, tie_of, whole_text
 
 THRESHOLD = 100
 
@@ -135,7 +135,7 @@ def packed(run: np.ndarray, around: np.ndarray, doc: np.ndarray, at: np.ndarray,
     parts = [
         struct.pack("<qq", len(run), len(used)),
         ids[used].astype("<i8").tobytes(),
-        ties[used].astype("<i4").tobytes(),
+        ties[used].astype("S32").tobytes(),
         _bytewise(np.diff(run, prepend=np.uint64(0)).astype("<u8")),
         around.astype("<u8").tobytes(),
         _bytewise(doc.astype("<u4")),
@@ -145,7 +145,7 @@ def packed(run: np.ndarray, around: np.ndarray, doc: np.ndarray, at: np.ndarray,
 
 
 def unpacked(block: bytes) -> list[np.ndarray]:
-    """(run, around, id, tie, position)."""
+    """(run, around, document, position) of suffixes, and (id, tie) of documents."""
     data = memoryview(zstandard.decompress(block))
     n, n_docs = struct.unpack("<qq", data[:16])
     at = 16
@@ -155,11 +155,11 @@ def unpacked(block: bytes) -> list[np.ndarray]:
         at += size
         return data[at - size : at]
 
-    ids, ties = np.frombuffer(take(8 * n_docs), "<i8"), np.frombuffer(take(4 * n_docs), "<i4")
+    ids, ties = np.frombuffer(take(8 * n_docs), "<i8"), np.frombuffer(take(32 * n_docs), "S32")
     run = np.cumsum(_from_bytewise(take(8 * n), "<u8", n), dtype=np.uint64)
     around = np.frombuffer(take(8 * n), "<u8")
     doc = _from_bytewise(take(4 * n), "<u4", n)
-    return [run, around, ids[doc], ties[doc], _from_bytewise(take(8 * n), "<i8", n)]
+    return [run, around, doc, _from_bytewise(take(8 * n), "<i8", n), ids, ties]
 
 
 def _earliest(run, around, ids, ties, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def _earliest(run, around, ids, ties, at) -> tuple[np.ndarray, np.ndarray, np.nd
 _FOUND = pa.schema(
     [
         ("id", pa.int64()),
-        ("tie", pa.int32()),
+        ("tie", pa.string()),
         ("lo", pa.int64()),
         ("hi", pa.int64()),
         ("run", pa.int64()),
@@ -184,7 +184,11 @@ _FOUND = pa.schema(
         ("block", pa.binary()),
     ]
 )
-_FOUND_SQL = "id long, tie int, lo long, hi long, run long, n long, bucket int, block binary"
+_FOUND_SQL = "id long, tie string, lo long, hi long, run long, n long, bucket int, block binary"
+
+
+def _hex(ties: np.ndarray) -> pa.Array:
+    return pa.array(ties.tolist(), pa.binary()).cast(pa.string())
 
 
 def _found(**columns) -> pa.RecordBatch:
@@ -197,15 +201,16 @@ def _scan(threshold: int, n_buckets: int):
     """Texts to packed suffixes by bucket, and the spans that are repeats of suffixes in the same task."""
     reach = threshold - run_length(threshold)
 
-    def search(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def search(rows: list[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        ids, ties = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
+        ids, ties = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], "S32")
+        rank = np.unique(ties, return_inverse=True)[1]
         got = [anchors(r[2], threshold) for r in rows]
         doc = np.repeat(np.arange(len(rows)), [len(g[0]) for g in got])
         at, run, around = (np.concatenate(x) for x in zip(*got))
         sizes = np.array([len(r[2]) for r in rows])
-        order, first, later = _earliest(run, around, ids[doc], ties[doc], at)
+        order, first, later = _earliest(run, around, ids[doc], rank[doc], at)
         again = order[later]
         if len(again):
             again = again[np.lexsort((at[again], doc[again]))]
@@ -216,7 +221,7 @@ def _scan(threshold: int, n_buckets: int):
             d = doc[again][start]
             bucket = (ids[d] % n_buckets).astype(np.int32)
             yield _found(
-                id=ids[d], tie=ties[d], lo=lo[start], hi=hi[np.append(start[1:], len(hi)) - 1], bucket=bucket
+                id=ids[d], tie=_hex(ties[d]), lo=lo[start], hi=hi[np.append(start[1:], len(hi)) - 1], bucket=bucket
             )
         sent = order[first]
         edges = [-(-(b << 64) // n_buckets) for b in range(1, n_buckets)]
@@ -249,19 +254,24 @@ def _sort(threshold: int):
     reach = threshold - run_length(threshold)
 
     def ordered(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        run, around, ids, ties, at = (np.concatenate(x) for x in zip(*map(unpacked, blocks)))
+        got = list(map(unpacked, blocks))
+        run, around, at = (np.concatenate([g[k] for g in got]) for k in (0, 1, 3))
+        offsets = np.cumsum([0, *(len(g[4]) for g in got[:-1])])
+        doc = np.concatenate([g[2] + offset for g, offset in zip(got, offsets)])
+        names, rank = np.unique(np.concatenate([g[5] for g in got]), return_inverse=True)
+        ids, ties = np.concatenate([g[4] for g in got])[doc], rank[doc]
         order, first, later = _earliest(run, around, ids, ties, at)
         i = order[later]
         if len(i):
             # The text may end before hi; spans are cut to it where they are applied.
-            yield _found(id=ids[i], tie=ties[i], lo=np.maximum(at[i] - reach, 0), hi=at[i] + threshold)
+            yield _found(id=ids[i], tie=_hex(names[ties[i]]), lo=np.maximum(at[i] - reach, 0), hi=at[i] + threshold)
         i = order[first]
         starts = np.flatnonzero(np.r_[True, run[i][1:] != run[i][:-1]])
         sizes = np.diff(np.append(starts, len(i)))
         n = np.repeat(sizes, sizes)
         i, n = i[n > 1], n[n > 1]
         if len(i):
-            yield _found(id=ids[i], tie=ties[i], lo=at[i], run=run[i].view(np.int64), n=n)
+            yield _found(id=ids[i], tie=_hex(names[ties[i]]), lo=at[i], run=run[i].view(np.int64), n=n)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blocks = None, []
@@ -322,14 +332,14 @@ def _contexts(threshold: int):
                         last.tolist(), map(bytes, around),
                     )
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                     names = ["run", "id", "tie", "at", "first", "last", "around"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return run, "run long, id long, tie int, at long, first int, last int, around binary"
+    return run, "run long, id long, tie string, at long, first int, last int, around binary"
 
 
-_SPAN = "id long, tie int, lo long, hi long"
+_SPAN = "id long, tie string, lo long, hi long"
 
 
 def _compare(threshold: int):
@@ -339,7 +349,7 @@ def _compare(threshold: int):
     def spans(rows: pa.Table) -> pa.RecordBatch:
         n = rows.num_rows
         run, ids, at, first, last = (rows.column(c).to_numpy() for c in ("run", "id", "at", "first", "last"))
-        ties = rows.column("tie").to_numpy()
+        ties = rows.column("tie").combine_chunks()
         around = np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint8).reshape(n, -1)
         strings = _string_hashes(around, threshold)
         place = np.arange(reach + 1)
@@ -357,7 +367,7 @@ def _compare(threshold: int):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids[row[begins]], pa.int64()),
-                pa.array(ties[row[begins]], pa.int32()),
+                ties.take(pa.array(row[begins], pa.int64())),
                 pa.array(lo[begins], pa.int64()),
                 pa.array(lo[ends] + threshold, pa.int64()),
             ],
@@ -396,13 +406,13 @@ def _strings(threshold: int):
             out[0].append(_string_hashes(around, threshold)[r, p].view(np.int64))
             out[1].append(np.array(runs[row], np.int64)[r])
             out[2].append(np.full(len(r), ids[row]))
-            out[3].append(np.full(len(r), ties[row]))
+            out[3].append(np.full(len(r), ties[row], "U32"))
             out[4].append(at[r] - reach + p)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
         columns = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)]
         return pa.RecordBatch.from_arrays(columns, ["key", "key2", "id", "tie", "lo"])
 
-    return run, "key long, key2 long, id long, tie int, lo long"
+    return run, "key long, key2 long, id long, tie string, lo long"
 
 
 def _apply(threshold: int, whole_characters: bool):
@@ -467,7 +477,7 @@ def without_repeats(
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.hash(text).alias("tie"),
+        tie_of(text).alias("tie"),
         text.alias("text"),
         rest.alias("rest"),
     )

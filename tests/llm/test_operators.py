@@ -340,6 +340,17 @@ def test_repeats_in_blocks_whole_characters_and_odd_rows(spark, monkeypatch, rep
     assert suffixes.without_repeats(none).count() == 0
 
 
+def test_rows_of_one_id_whose_texts_have_one_short_hash(spark):
+    texts = ["zwok pukk wsgh lkdt upfq jpa", "pjrt jfrz qhgp sdbc bkot jst"]  # F.hash of both is 271610586
+    table = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert table.select(F.hash("text")).distinct().count() == 1
+    assert sorted(bytes(r.left).decode() for r in suffixes.without_repeats(table, 20).collect()) == sorted(texts)
+    both = table.union(spark.createDataFrame([(k, f"{t} x") for k, t in enumerate(texts)], table.schema))
+    got = jaccard.similar(both, 2, (80, 100)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("0", "None"), ("1", "None"), ("None", "None"), ("None", "None")]
+    assert sum(r.kept for r in got) == 2
+
+
 @pytest.mark.parametrize("n_buckets", [48, 800])
 def test_buckets_of_suffixes_are_even(n_buckets):
     data = np.random.default_rng(8).integers(97, 123, 1_200_000, dtype=np.uint8)
