@@ -14,6 +14,10 @@ sequences than its tokens fill.
 A task holds the lengths of one shard, never more; the tokens themselves are
 counted and checksummed where the text is read and are not moved.
 
+Text is only text: the words ``<|endoftext|>`` and ``<|startoftext|>`` in a
+document are encoded as ordinary words (``encode_special_tokens``), unlike the
+library's default, by which they would be the ids of the markers themselves.
+
 Defined results: null counts as empty, so that a document without tokens is one
 piece of length 1; texts of any length are tokenised whole; repeated rows are
 pieces of their own; an empty table gives an empty table; other columns are not
