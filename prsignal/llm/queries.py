@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prsignal.llm import bpe, exact, jaccard, langid, licenses, packing, quality, simhash, suffixes, urls
+from prsignal.llm import (
+    bpe,
+    dialogue,
+    exact,
+    jaccard,
+    langid,
+    licenses,
+    mixing,
+    packing,
+    phrases,
+    quality,
+    simhash,
+    suffixes,
+    urls,
+)
 from prsignal.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +173,58 @@ def op10_ngram_jaccard(spark, sf_dir):
     """Components of documents whose sets of word trigrams are alike by 0.9."""
     docs = table(spark, sf_dir, "documents")
     return jaccard.similar(docs, n=3, similarity=(90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    """The phrases of each language whose words keep company most."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), sizes AS (
+  SELECT lang, sum(len(ws))::HUGEINT AS n FROM pieces GROUP BY lang
+), f AS (
+  SELECT lang, phrase, k, count(*)::HUGEINT AS a
+  FROM (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+        FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces), range(1, 6) AS t(k)
+        WHERE i + k - 1 <= len(ws))
+  GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.a, j, l.a AS l, r.a AS r, s.n, (1000 * c.a * s.n) // (l.a * r.a) AS score
+  FROM f c, range(1, 5) AS t(j), f l, f r, sizes s
+  WHERE j < c.k AND l.lang = c.lang AND r.lang = c.lang AND s.lang = c.lang
+    AND l.phrase = array_to_string(string_split(c.phrase, ' ')[:j], ' ')
+    AND r.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM weakest c
+  WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.lang = c.lang AND q.k > c.k AND q.a >= c.a
+    AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+@query
+def op12_conversations(spark, sf_dir):
+    """What is wrong with every damaged conversation, its cheapest repair and what that gives."""
+    spoiled, copies = dialogue.damaged(table(spark, sf_dir, "conversations"))
+    rows = dialogue.turns(spoiled, copies)
+    return dialogue.summary(rows, dialogue.edits(rows))
+
+
+@query
+def op13_mixture(spark, sf_dir):
+    """How many words a mix of all sources takes of every document."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
