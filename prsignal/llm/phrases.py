@@ -10,13 +10,13 @@ holds fewer than ``min_count`` is left at once, with all that is in it.  The
 counts of one and two words, by which windows are dealt, are sums over the same
 windows.
 
-Before windows move, a sieve of bounded size cuts them: words and pairs of
-words are hashed to buckets, and what falls into a bucket with fewer than
-``min_count`` in all texts can be in no phrase that is wanted.  The sieve only
-saves work; collisions let more through and nothing is lost.  It has about one
-bucket for 64 bytes of text and 2^26 at most, so where a corpus outgrows that,
-windows are cut less, and up to five times the text moves unless ``min_count``
-grows with the corpus.
+Before windows move, a sieve of bounded size cuts them: words, pairs and
+triples of words are hashed to buckets, and what falls into a bucket with fewer
+than ``min_count`` in all texts can be in no phrase that is wanted.  The sieve
+only saves work; collisions let more through and nothing is lost.  It has about
+one bucket of each kind for 64 bytes of text and 2^26 at most, so where a corpus
+outgrows that, windows are cut less, and up to five times the text moves unless
+``min_count`` grows with the corpus.
 
 Only distinct windows are dealt, so copies of a text or a very frequent phrase
 add weight to rows but no rows.  A word that very many phrases begin or end
@@ -121,7 +121,7 @@ def _numbered(words: list[bytes], lang: str) -> tuple[np.ndarray, np.ndarray, li
     return ids, hashes, list(numbers)
 
 
-def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ ((second << np.uint64(29)) | (second >> np.uint64(35)))
     return mixed * np.uint64(0xD6E8FEB86659FD93)
 
@@ -153,27 +153,33 @@ def _texts_by_language(batches) -> Iterator[tuple[str, list[bytes]]]:
 # -- sieve -----------------------------------------------------------------
 
 
-def _count_buckets(batches, bits: int):
-    """Rows (block, counts): how often words and pairs of a task fall into each bucket, 255 at most."""
-    shift = np.uint64(64 - bits)
-    counts = np.zeros(2 << bits, np.uint8)
+def _buckets(order: int, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the sieve of sequences of ``order`` words."""
+    return (hashes >> np.uint64(64 - bits)) + np.uint64((order - 1) << bits)
 
-    def add(buckets):
-        found, n = np.unique(buckets, return_counts=True)
-        counts[found] = np.minimum(counts[found] + n, 255)
 
+def _count_buckets(batches, bits: int):
+    """Rows (block, counts): how often sequences of 1 to ``LEADING`` words of a task fall into a bucket, 255 at most."""
+    counts = np.zeros(LEADING << bits, np.uint8)
     for lang, texts in _texts_by_language(batches):
         for words, own in words_of(texts):
             ids, hashes, _ = _numbered(words, lang)
             of_word = hashes[ids]
-            real = ids != 0
-            add(of_word[:own][real[:own]] >> shift)
-            pairs = (real[:-1] & real[1:])[:own]
-            at = np.flatnonzero(pairs)
-            add((_pair_hashes(of_word[at], of_word[at + 1]) >> shift) + np.uint64(1 << bits))
+            at = np.flatnonzero(ids[:own])
+            joined = of_word[at]
+            for order in range(1, LEADING + 1):
+                if order > 1:
+                    inside = at + order - 1 < len(ids)
+                    at, joined = at[inside], joined[inside]
+                    inside = ids[at + order - 1] != 0
+                    at, joined = at[inside], joined[inside]
+                    joined = _joined(joined, of_word[at + order - 1])
+                found, n = np.unique(_buckets(order, joined, bits), return_counts=True)
+                counts[found] = np.minimum(counts[found] + n, 255)
     blocks = counts.reshape(-1, 1 << BLOCK_BITS)
     for block in np.flatnonzero(blocks.any(axis=1)):
-        row = [pa.array([block], pa.int32()), pa.array([blocks[block].tobytes()], pa.binary())]
+        packed = pa.compress(blocks[block].tobytes(), codec="zstd", asbytes=True)
+        row = [pa.array([block], pa.int32()), pa.array([packed], pa.binary())]
         yield pa.RecordBatch.from_arrays(row, names=["block", "counts"])
     del counts, blocks
     give_back()
@@ -186,16 +192,16 @@ def _passing(batches, least: int):
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
             if block not in sums:
                 sums[block] = np.zeros(1 << BLOCK_BITS, np.uint64)
-            sums[block] += np.frombuffer(counts, np.uint8)
+            sums[block] += np.frombuffer(pa.decompress(counts, 1 << BLOCK_BITS, "zstd"), np.uint8)
     for block, n in sums.items():
         row = [pa.array([block], pa.int32()), pa.array([np.packbits(n >= least).tobytes()], pa.binary())]
         yield pa.RecordBatch.from_arrays(row, names=["block", "bits"])
 
 
 def sieve(docs: DataFrame, min_count: int = MIN_COUNT, bits: int | None = None) -> tuple[int, np.ndarray]:
-    """(bits, passing buckets as a bit array): buckets of words, then of pairs, that ``min_count`` may be in.
+    """(bits, passing buckets as a bit array): buckets of words, pairs and triples that ``min_count`` may be in.
 
-    At most 2^(MOST_BITS - 2) bytes, 16 MB, reach the driver, whatever the size of ``docs`` (lang, text).
+    At most LEADING * 2^(MOST_BITS - 3) bytes, 24 MB, reach the driver, whatever the size of ``docs`` (lang, text).
     """
     if bits is None:
         size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -203,7 +209,7 @@ def sieve(docs: DataFrame, min_count: int = MIN_COUNT, bits: int | None = None)
     least = min(min_count, 255)
     counted = docs.mapInArrow(lambda b: _count_buckets(b, bits), "block int, counts binary")
     passing = counted.repartition("block").mapInArrow(lambda b: _passing(b, least), "block int, bits binary")
-    table = np.zeros((2 << bits) // 8, np.uint8)
+    table = np.zeros((LEADING << bits) // 8, np.uint8)
     width = (1 << BLOCK_BITS) // 8
     for row in passing.collect():
         table[row.block * width : (row.block + 1) * width] = np.frombuffer(row.bits, np.uint8)
@@ -221,23 +227,28 @@ def _passes(table: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 
 def _windows(batches, bits: int, table: np.ndarray, longest: int):
     """Rows (lang, words, n): distinct windows of a stretch of text, and the number of all words (words null)."""
-    shift = np.uint64(64 - bits)
     for lang, texts in _texts_by_language(batches):
         for words, own in words_of(texts, ahead=longest - 1):
             ids, hashes, names = _numbered(words, lang)
-            real = ids != 0
-            fine = _passes(table, hashes >> shift)[ids] & real
             of_word = hashes[ids]
-            linked = np.zeros(len(ids), bool)
-            at = np.flatnonzero(fine[:-1] & fine[1:])
-            linked[at] = _passes(
-                table, (_pair_hashes(of_word[at], of_word[at + 1]) >> shift) + np.uint64(1 << bits)
-            )
-            # The last word that the run of each word reaches.
-            place = np.arange(len(ids))
-            last = np.minimum.accumulate(np.where(linked, len(ids), place)[::-1])[::-1]
-            starts = np.flatnonzero(fine[:own])
-            depth = np.minimum(last[starts] - starts + 1, longest)
+            starts = np.flatnonzero(_passes(table, _buckets(1, hashes, bits))[ids] & (ids != 0))
+            # How many words from each place on the sieve lets through, by LEADING at a time.
+            reach = np.zeros(len(ids) + longest, np.int64)
+            reach[starts] = 1
+            at, joined = starts, of_word[starts]
+            for order in range(2, LEADING + 1):
+                inside = reach[at + order - 1] > 0
+                at, joined = at[inside], _joined(joined[inside], of_word[at[inside] + order - 1])
+                fine = _passes(table, _buckets(order, joined, bits))
+                at, joined = at[fine], joined[fine]
+                reach[at] = order
+            # Places whose full reach overlaps that of the next go on.
+            depth = reach.copy()
+            full = reach == LEADING
+            for _ in range(LEADING, longest):
+                depth[:-1] = np.where(full[:-1], np.maximum(depth[:-1], np.minimum(depth[1:] + 1, longest)), depth[:-1])
+            starts = starts[starts < own]
+            depth = np.minimum(depth[starts], longest)
             padded = np.concatenate([ids, np.zeros(longest, np.int64)])
             columns = [np.where(depth > d, padded[starts + d], 0) for d in range(longest)]
             order = np.lexsort(columns[::-1])
@@ -252,7 +263,7 @@ def _windows(batches, bits: int, table: np.ndarray, longest: int):
                 [
                     pa.array([lang] * (len(rows) + 1), pa.string()),
                     pa.array([*rows, None], pa.binary()).cast(pa.string()),
-                    pa.array([*n.tolist(), int(real[:own].sum())], pa.int64()),
+                    pa.array([*n.tolist(), int(np.count_nonzero(ids[:own]))], pa.int64()),
                 ],
                 names=["lang", "words", "n"],
             )
