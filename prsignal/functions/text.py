@@ -21,6 +21,8 @@ END_QUOTES = r'^"|"$'
 END_QUOTE_RUNS = r'^"+|"+$'
 DIRECTORIES = r".*/"
 WHITESPACE_ONLY = r"\A\s+\z"
+# One JSON string literal and nothing else; possessive, so that long texts need no stack.
+JSON_TEXT = r'(?s)\A\s*+"(?:[^"\\]++|\\.)*+"\s*+\z'
 # The training side once wrote this pattern with a lost backslash.
 WHITESPACE_ONLY_COMPAT = r"^s+$"
 
@@ -41,8 +43,9 @@ def drop_quotes(text: Column) -> Column:
 
 
 def decode_json_text(text: Column) -> Column:
-    """Decode a JSON string literal; text that is not JSON gives null."""
-    return F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), F.lit(0))
+    """Decode a JSON string literal; text that is anything else gives null."""
+    decoded = F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), F.lit(0))
+    return F.when(text.rlike(JSON_TEXT), decoded)
 
 
 def parse_int(text: Column) -> Column:

@@ -10,18 +10,12 @@ from pyspark.sql import functions as F
 from prsignal.functions.arrays import compute_once
 from prsignal.functions.text import bucket_of, drop_quotes
 from prsignal.schemas import EVENT_PAYLOAD
-from prsignal.session import broadcast_if_small
 
 # Event types and the stand-in for a missing position.
 REVIEW_EVENT_TYPES = ("PullRequestReviewCommentEvent", "PullRequestEvent2")
 ISSUE_EVENT_TYPE = "IssuesEvent"
 OPENED = "opened"
 NO_POSITION = "-1"
-# Fixed value: default number of cells of an extract; -1 means all.
-CELL_LIMIT = 100
-
-# Comments of one pull request that one output row holds at most, on average.
-MAX_COMMENTS_PER_ROW = 50_000
 
 _CORRUPT = "_corrupt"
 
@@ -69,19 +63,17 @@ def review_comments(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     ).where(F.col("pull_request_url").isNotNull())
 
 
-def _with_part(comments: DataFrame, keys: Sequence[str], max_comments: int) -> DataFrame:
-    """Number the output row of each comment: 0, unless a pull request has too many.
-
-    The pull requests with too many are few (each stands for ``max_comments``
-    rows), so they are usually broadcast and the comments not shuffled for this.
-    """
+def _with_part(comments: DataFrame, keys: Sequence[str], max_comments: int | None) -> DataFrame:
+    """Number the output row of each comment: 0, unless a pull request has too many."""
+    if max_comments is None:
+        return comments.withColumn("part", F.lit(0))
     hot = (
         comments.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > max_comments)
         .select(*keys, F.ceil(F.col("n") / max_comments).alias("parts"))
     )
-    return comments.join(broadcast_if_small(hot), list(keys), "left").withColumn(
+    return comments.join(hot, list(keys), "left").withColumn(
         "part",
         F.coalesce(bucket_of(F.col("event_id").cast("string"), F.col("parts")), F.lit(0)).cast("int"),
     )
@@ -89,16 +81,15 @@ def _with_part(comments: DataFrame, keys: Sequence[str], max_comments: int) -> D
 
 def comments_by_pull_request(
     comments: DataFrame,
-    max_comments: int = MAX_COMMENTS_PER_ROW,
+    max_comments: int | None = None,
     keys: Sequence[str] = ("pull_request_url",),
 ) -> DataFrame:
     """One row per pull request with its comments as aligned arrays, by event id.
 
-    ``keys`` may add a day, which gives one row per pull request and day.
-
-    A pull request with more than ``max_comments`` comments is spread over
-    several rows (``part`` 0, 1, …), so no task ever gathers an unbounded
-    group; everyone else has the one row with ``part`` 0.
+    ``keys`` may add a day, which gives one row per pull request and day.  With
+    ``max_comments`` a pull request that has more is spread over several rows
+    (``part`` 0, 1, ...).  This is the form of the CSV extract; the jobs keep one
+    row per comment, see ``comments.py``, and gather nothing.
     """
     by_event = F.array_sort(
         F.collect_list(

@@ -33,13 +33,27 @@ def line_features(text: Column, filename: Column, compat: bool = False) -> dict[
     }
 
 
-def with_issue_marker(lines: DataFrame, facts: DataFrame) -> DataFrame:
+def facts_of_projects(facts: DataFrame, projects: DataFrame) -> DataFrame:
+    """The facts of some projects.
+
+    Where facts are kept in folders by project, the projects are looked up
+    first and only their folders are read.  (Spark adds this filter at run time
+    where the side that is looked up has a comparison of its own.)
+    """
+    wanted = projects.select("project").where(F.col("project") > "").distinct()
+    return facts.join(wanted, "project", "left_semi")
+
+
+def with_issue_marker(lines: DataFrame, facts: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """Add ``not_in_issues``: 1.0 unless a stack frame of the project names the line.
 
     The key is (project, last part of the file name, line).  Facts are reduced
-    to distinct keys first, so no line is duplicated.  Which join is used, and
-    how a key that many lines share is split, is left to adaptive execution.
+    to distinct keys first, so no line is duplicated, and to ``projects``, those
+    of the lines, where they are given.  Which join is used, and how a key that
+    many lines share is split, is left to adaptive execution.
     """
+    if projects is not None:
+        facts = facts_of_projects(facts, projects)
     keys = (
         facts.select(
             "project", basename(F.col("filename")).alias("basename"), "line", F.lit(True).alias("hit")
@@ -109,14 +123,18 @@ def prepare_training_data(
 
 
 def prepare_scoring_data(
-    lines: DataFrame, facts: DataFrame, keep: tuple[str, ...] = ("pull_request_url",)
+    lines: DataFrame,
+    facts: DataFrame,
+    keep: tuple[str, ...] = ("pull_request_url",),
+    projects: DataFrame | None = None,
 ) -> DataFrame:
     """Prepared rows of the changed lines of new pull requests.
 
-    ``lines`` is the output of the patch parser with a ``project`` column.
+    ``lines`` is the output of the patch parser with a ``project`` column;
+    ``projects`` are the projects that may occur in it.
     """
     features = line_features(F.col("text"), F.col("filename"))
-    joined = with_issue_marker(lines.withColumn("line", F.col("old_pos")), facts)
+    joined = with_issue_marker(lines.withColumn("line", F.col("old_pos")), facts, projects)
     return joined.select(
         *keep,
         "previous_lines",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prsignal.functions.text import basename, stack_frames
+from prsignal.functions.text import stack_frames
 
 
 def issue_facts(issues: DataFrame, dedupe: bool = True) -> DataFrame:
@@ -28,8 +28,3 @@ def _frames(issues: DataFrame) -> DataFrame:
     return issues.select(
         F.col("name").alias("project"), F.inline(stack_frames(F.col("body")))
     ).select("project", "filename", "line")
-
-
-def facts_by_basename(facts: DataFrame) -> DataFrame:
-    """Facts with the last part of their file name as ``basename``."""
-    return facts.withColumn("basename", basename(F.col("filename")))

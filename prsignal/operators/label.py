@@ -1,8 +1,10 @@
 """Labelling changed lines by review comments.
 
-Comments, hunks and patch of a pull request arrive in one row, so matching
-lines against comments needs no join: the positions commented on in a file are
-turned into one flag per position before its lines are exploded.
+Comments are rows of a table of their own (see ``comments.py``), patches of
+another.  What the comments of a file point at is summed up per file and joined
+to the file's section of the patch, before the section is cut into lines: its
+text moves once, its lines with their context not at all, and there is no
+join per line.
 
 Comment positions count from the first hunk header of a file, like the
 ``position`` of a changed line.  A line that a comment points at is a positive,
@@ -20,7 +22,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prsignal.operators.comments import comments_of_rows, file_marks
 from prsignal.operators.patch import changed_lines, file_sections, split_rejects
+from prsignal.session import materialize
 
 LABELLED_COLUMNS = (
     "pull_request_url",
@@ -63,17 +67,16 @@ def comment_hunks(resolved: DataFrame) -> DataFrame:
     )
 
 
-# Parser options where only the lines themselves matter.
-NO_CONTEXT = {"previous_lines": 0, "next_lines": 0}
-
-
-def hunk_records(resolved: DataFrame, last_line_only: bool = False) -> DataFrame:
+def records_of_hunks(comments: DataFrame, last_line_only: bool = False) -> DataFrame:
     """Every changed line of a comment's hunk, as commented.
 
     A hunk ends at the line its comment is on; ``last_line_only`` keeps that
     line alone.
     """
-    ok, _ = split_rejects(comment_hunks(resolved), "hunk", hunk_mode=True)
+    hunks = comments.where("has_hunk").select(
+        "pull_request_url", "day", "item", "hunk", F.col("filename").alias("path"), "comment_text"
+    )
+    ok, _ = split_rejects(hunks, "hunk", hunk_mode=True)
     ok = ok.withColumn("last", F.size(F.split(F.rtrim(F.col("hunk"), F.lit("\n")), "\n", -1)) - 1)
     lines = changed_lines(file_sections(ok, "hunk", hunk_mode=True))
     if last_line_only:
@@ -91,118 +94,54 @@ def hunk_records(resolved: DataFrame, last_line_only: bool = False) -> DataFrame
         F.lit(None).cast("int").alias("offset"),
         "comment_text",
         F.lit(FROM_HUNK).alias("source"),
+        "day",
         "item",
         "line_at",
     )
 
 
-# SQL of the parallel arrays of a pull request's comments, zipped by index.
-_POS, _FILES, _COMMITS = (
-    f"coalesce(parsed_input.{c}, array())"
-    for c in ("comment_positions", "comment_file_paths", "comment_commit_ids")
-)
-
-
-def _zip_sql(**arrays: str) -> str:
-    """SQL for an array of structs by index, as long as the shortest array."""
-    zipped = ", ".join(arrays.values())
-    names = ", ".join(f"'{name}', z.`{i}`" for i, name in enumerate(arrays))
-    sizes = ", ".join(f"size({a})" for a in arrays.values())
-    return f"transform(slice(arrays_zip({zipped}), 1, least({sizes})), z -> named_struct({names}))"
+def hunk_records(resolved: DataFrame, last_line_only: bool = False) -> DataFrame:
+    """:func:`records_of_hunks` of the comments of nested rows."""
+    return records_of_hunks(comments_of_rows(resolved), last_line_only)
 
 
-def _with_marks(sections: DataFrame) -> DataFrame:
-    """Positions of a file section that comments point at (``hit_at``) or are next to (``near_at``).
+def newest_patches(resolved: DataFrame, newest_by: str | None = None) -> DataFrame:
+    """(pull_request_url, patch, has_comment) of each pull request, once.
 
-    ``on_commit`` and ``on_file`` hold the comments of the pull request.
+    Of several rows the one with the greatest ``newest_by`` counts, of equal
+    ones that with the greatest patch; rows without a patch come last.
     """
-    both = "array(c.pos.original_position, c.pos.new_position)"
-    exact = "filter(on_commit, c -> c.file = filename AND c.commit_id <=> commit_id)"
-    around = f"flatten(transform(filter(on_file, c -> c.file = filename), c -> {both}))"
-    others = [c for c in sections.columns if c not in ("on_commit", "on_file")]
-    return sections.selectExpr(
-        *others,
-        f"flatten(transform({exact}, c -> {both})) AS hit_at",
-        f"flatten(transform({around}, p -> array(p - 1, p, p + 1))) AS near_at",
+    parsed = F.col("parsed_input")
+    any_comment = (F.coalesce(F.size(parsed["diff_hunks"]), F.lit(0)) > 0) | (
+        F.coalesce(F.size(parsed["comment_positions"]), F.lit(0)) > 0
     )
-
-
-_MARKS = {"hit": "hit_at", "near": "near_at"}
-
-
-def _patch_lines_with_flags(resolved: DataFrame, **context: int) -> DataFrame:
-    """Changed lines of the patch with the flags ``hit`` and ``near``."""
-    df = resolved.selectExpr(
-        "pull_request_url",
-        "patch",
-        _zip_sql(commit_id=_COMMITS, pos=_POS, file=_FILES) + " AS on_commit",
-        _zip_sql(pos=_POS, file=_FILES) + " AS on_file",
+    newest = F.col(newest_by) if newest_by else F.lit(0)
+    order = F.struct(F.col("patch").isNotNull(), newest, "patch")
+    return resolved.groupBy("pull_request_url").agg(
+        F.max_by("patch", order).alias("patch"), F.bool_or(any_comment).alias("has_comment")
     )
-    ok, _ = split_rejects(df)
-    return changed_lines(_with_marks(file_sections(ok)), marks=_MARKS, **context)
 
 
-def _records_in_one_pass(resolved: DataFrame, **context: int) -> DataFrame:
-    """Hunk records and patch records together, from one pass over the rows.
+def flagged_lines(patches: DataFrame, comments: DataFrame, **context: int) -> DataFrame:
+    """Changed lines of (pull_request_url, patch) with the flags ``hit`` and ``near``.
 
-    Patch and hunks of a pull request become one text per row and go through
-    the same parse; only the hunks are read in hunk mode.
+    ``hit`` says that a comment on the line's commit points at it, ``near`` that
+    one on any commit points at it or next to it.
     """
-    hunks = _zip_sql(
-        hunk="coalesce(parsed_input.diff_hunks, array())",
-        path=_FILES,
-        comment_text="coalesce(parsed_input.comment_text, array())",
-    )
-    on_commit = _zip_sql(commit_id=_COMMITS, pos=_POS, file=_FILES)
-    on_file = _zip_sql(pos=_POS, file=_FILES)
-    pos = "pos:struct<original_position:int,new_position:int>"
-    texts = resolved.selectExpr(
-        "pull_request_url",
-        f"""inline(concat(
-            array(named_struct('source', {FROM_PATCH}, 'item', 0, 'body', patch,
-                'path', CAST(NULL AS STRING), 'comment_text', '',
-                'on_commit', {on_commit}, 'on_file', {on_file})),
-            transform({hunks}, (h, i) -> named_struct('source', {FROM_HUNK}, 'item', i,
-                'body', h.hunk, 'path', h.path, 'comment_text', h.comment_text,
-                'on_commit', CAST(array() AS array<struct<commit_id:string,{pos},file:string>>),
-                'on_file', CAST(array() AS array<struct<{pos},file:string>>)))
-        )) AS (source, item, body, path, comment_text, on_commit, on_file)""",
-    ).selectExpr("*", f"source = {FROM_HUNK} AS bare")
-    ok, _ = split_rejects(texts, "body", hunk_mode="bare")
-    sections = _with_marks(file_sections(ok, "body", hunk_mode="bare"))
-    lines = changed_lines(sections, marks=_MARKS, **context)
-    return lines.where("bare OR hit OR NOT near").selectExpr(
-        "pull_request_url",
-        "previous_lines",
-        "text AS line_text",
-        "next_lines",
-        "CASE WHEN bare THEN path ELSE filename END AS filename",
-        "is_added",
-        "bare OR hit AS commented",
-        "old_pos AS line",
-        "CAST(NULL AS STRING) AS commit_id",
-        "CAST(NULL AS INT) AS offset",
-        "comment_text",
-        "source",
-        "item",
-        "line_at",
+    ok, _ = split_rejects(patches.select("pull_request_url", "patch"))
+    sections = file_sections(ok)
+    marked = sections.join(file_marks(comments), ["pull_request_url", "filename"], "left").selectExpr(
+        *sections.columns,
+        "transform(filter(coalesce(hits, array()), h -> h.commit_id <=> commit_id), h -> h.at) AS hit_at",
+        "flatten(transform(coalesce(points, array()), p -> array(p - 1, p, p + 1))) AS near_at",
     )
+    return changed_lines(marked, marks={"hit": "hit_at", "near": "near_at"}, **context)
 
 
 def comment_marks(resolved: DataFrame) -> DataFrame:
     """One row per comment: pull request, file, commit (null if none by index), positions."""
-    parsed = F.col("parsed_input")
-    items = zip_shortest(pos=parsed["comment_positions"], file=parsed["comment_file_paths"])
-    commits = F.coalesce(parsed["comment_commit_ids"], F.array())
-    return resolved.select(
-        "pull_request_url", commits.alias("commits"), F.posexplode(items).alias("i", "c")
-    ).select(
-        "pull_request_url",
-        F.col("c.file").alias("filename"),
-        F.get("commits", F.col("i")).alias("commit_id"),
-        (F.col("i") < F.size("commits")).alias("has_commit"),
-        F.col("c.pos.original_position").alias("original_position"),
-        F.col("c.pos.new_position").alias("new_position"),
+    return comments_of_rows(resolved).where("has_position").select(
+        "pull_request_url", "filename", "commit_id", "has_commit", "original_position", "new_position"
     )
 
 
@@ -292,28 +231,21 @@ def flag_commented_lines(
     ).drop("at", "commit_key", "hit0", "hit1", "near0", "near1")
 
 
-def patch_records(
-    resolved: DataFrame, compat: bool = False, several_rows: bool = False
-) -> DataFrame:
-    """Labelled lines of the patch itself.
+def records_of_patches(patches: DataFrame, comments: DataFrame, compat: bool = False) -> DataFrame:
+    """Labelled lines of patches (one row per pull request).
 
     ``compat`` gives the lines near a comment but not exactly on one, all as
     commented; otherwise hits are positives and lines away from any comment
-    negatives.  ``several_rows`` says that the comments of one pull request may
-    be spread over several rows (as the extract does with very many comments);
-    lines are then matched by a join.
+    negatives.
     """
-    if compat or several_rows:
-        ok, _ = split_rejects(resolved.select("pull_request_url", "patch"))
-        if several_rows:
-            ok = ok.dropDuplicates(["pull_request_url"])
-        lines = changed_lines(file_sections(ok))
-        flagged = flag_commented_lines(lines, comment_marks(resolved), compat=compat)
-    else:
-        flagged = _patch_lines_with_flags(resolved)
     if compat:
+        ok, _ = split_rejects(patches.select("pull_request_url", "patch"))
+        flagged = flag_commented_lines(
+            changed_lines(file_sections(ok)), comments.where("has_position"), compat=True
+        )
         kept, commented = flagged.where(F.col("near") & ~F.col("hit")), F.lit(True)
     else:
+        flagged = flagged_lines(patches, comments)
         kept, commented = flagged.where(F.col("hit") | ~F.col("near")), F.col("hit")
     return kept.select(
         "pull_request_url",
@@ -328,14 +260,20 @@ def patch_records(
         F.lit(None).cast("int").alias("offset"),
         F.lit("").alias("comment_text"),
         F.lit(FROM_PATCH).alias("source"),
-        F.lit(0).alias("item"),
+        F.lit("").alias("day"),
+        F.lit(0).cast("bigint").alias("item"),
         "line_at",
     )
 
 
+def patch_records(resolved: DataFrame, compat: bool = False) -> DataFrame:
+    """:func:`records_of_patches` of nested rows, however the comments are spread over them."""
+    return records_of_patches(newest_patches(resolved), comments_of_rows(resolved), compat)
+
+
 def distinct_records(records: DataFrame) -> DataFrame:
     """Structural distinct of the records of a pull request, whatever their origin."""
-    return records.drop("source", "item", "line_at").distinct()
+    return records.drop("source", "day", "item", "line_at").distinct()
 
 
 def with_commented_lines(records: DataFrame) -> DataFrame:
@@ -348,48 +286,49 @@ def first_per_text(records: DataFrame) -> DataFrame:
     """One record per line text and pull request.
 
     Commented records with a text come first, then commented ones, then the
-    rest; within each in order of origin.  A null comment text counts as a text.
+    rest; within each in order of origin (source, ``day`` if there is one, item,
+    line).  A null comment text counts as a text.
     """
     has_text = F.col("comment_text").isNull() | (F.col("comment_text") != "")
     priority = F.when(F.col("commented") & has_text, 0).when(F.col("commented"), 1).otherwise(2)
+    day = ["day"] if "day" in records.columns else []
+    # Rows of one origin that the same line of several days has are told apart by what they say.
+    ties = [c for c in ("filename", "comment_text", "is_added", "line") if c in records.columns]
     window = Window.partitionBy("pull_request_url", "line_text").orderBy(
-        priority, "source", "item", "line_at"
+        priority, "source", *day, "item", "line_at", *ties
     )
     return records.withColumn("nth", F.row_number().over(window)).where("nth = 1").drop("nth")
 
 
-def with_any_comment(resolved: DataFrame) -> DataFrame:
-    """Pull requests that have a hunk or a position; no other can have a commented line."""
-    parsed = F.col("parsed_input")
-    return resolved.where(
-        (F.coalesce(F.size(parsed["diff_hunks"]), F.lit(0)) > 0)
-        | (F.coalesce(F.size(parsed["comment_positions"]), F.lit(0)) > 0)
-    )
+def records(patches: DataFrame, comments: DataFrame, compat: bool = False) -> DataFrame:
+    """Hunk records and patch records together."""
+    return records_of_hunks(comments).unionByName(records_of_patches(patches, comments, compat))
 
 
-def all_records(
-    resolved: DataFrame, compat: bool = False, several_rows: bool = False, **context: int
-) -> DataFrame:
-    """Hunk records and patch records of resolved pull requests."""
-    if compat or several_rows:
-        return hunk_records(resolved).unionByName(patch_records(resolved, compat, several_rows))
-    return _records_in_one_pass(resolved, **context)
+def all_records(resolved: DataFrame, compat: bool = False) -> DataFrame:
+    """:func:`records` of nested rows."""
+    return records(newest_patches(resolved), comments_of_rows(resolved), compat)
 
 
-def labelled_lines(
-    resolved: DataFrame, compat: bool = False, several_rows: bool = False
-) -> DataFrame:
-    """Labelled lines of resolved pull requests, one per line text.
+def labelled(patches: DataFrame, comments: DataFrame, compat: bool = False) -> DataFrame:
+    """Labelled lines of patches (one row per pull request) and their comments, one per line text.
 
     The structural distinct that precedes the choice per text cannot change its
     result (equal records share their text), so it is not run.  Pull requests
-    without any commented record give nothing (``compat`` has no other kind),
-    so those without comments are not even parsed.
+    without any commented record give nothing (``compat`` has no other kind).
+    If one has a commented record, one of its chosen records is commented, so
+    the chosen ones, which are kept for the two steps, say which these are.
     """
-    resolved = with_any_comment(resolved)
-    chosen = first_per_text(all_records(resolved, compat, several_rows))
-    if compat:
-        return chosen
-    light = all_records(resolved, several_rows=several_rows, **NO_CONTEXT)
-    commented = light.where("commented").select("pull_request_url").distinct()
-    return chosen.join(commented, "pull_request_url", "left_semi")
+    chosen = first_per_text(records(patches, comments, compat))
+    return chosen if compat else with_commented_lines(materialize(chosen))
+
+
+def labelled_lines(resolved: DataFrame, compat: bool = False, newest_by: str | None = None) -> DataFrame:
+    """:func:`labelled` of nested rows.
+
+    The comments of a pull request may lie in several rows, of several days or
+    parts; of their patches the newest counts.  Pull requests without comments
+    are not parsed.
+    """
+    patches = newest_patches(resolved, newest_by).where("has_comment")
+    return labelled(patches, comments_of_rows(resolved, newest_by), compat)

@@ -186,7 +186,6 @@ def train_and_evaluate(
     train: float = 0.9,
     fast: bool = False,
     compat: bool = False,
-    several_rows: bool = True,
     prep_options: dict | None = None,
     classifier_options: dict | None = None,
 ) -> tuple[PipelineModel, DataFrame]:
@@ -198,7 +197,7 @@ def train_and_evaluate(
     spark = resolved.sparkSession
     prepared = materialize(
         prepare_training_data(
-            labelled_lines(resolved, compat, several_rows),
+            labelled_lines(resolved, compat),
             facts,
             compat=compat,
             keep=("pull_request_url",),

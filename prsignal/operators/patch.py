@@ -28,25 +28,14 @@ NEW_FILE = r"\A\+\+\+\sb/(.+)\s?\z"
 HUNK_HEADER = r"\A@@ -(\d+),\d+ \+(\d+),\d+ @@.*\z"
 BODY_LINE = r"\A[-+\s].*\z"
 CONTEXT_LINE = r"\A\s.*\z"
-# Defaults of the record.
+# Default context of a record, and the length (its sign included)
+# beyond which the described job leaves a changed line out.
 CONTEXT_LINES = 4
-MAX_TEXT_LENGTH = 2000
+DESCRIBED_MAX_LENGTH = 2000
 
 # Hunk headers of the strict mode may leave out their counts.
 STRICT_HUNK_HEADER = r"\A@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@.*\z"
 
-RECORD_FIELDS = (
-    "commit_id",
-    "old_pos",
-    "new_pos",
-    "position",
-    "previous_lines",
-    "text",
-    "next_lines",
-    "filename",
-    "is_added",
-)
-
 
 def _is(line: str, prefix: str, pattern: str) -> str:
     """Full match, with a cheap byte comparison in front of the pattern."""
@@ -169,19 +158,21 @@ def changed_lines(
     marks: Mapping[str, str] | None = None,
     previous_lines: int = CONTEXT_LINES,
     next_lines: int = CONTEXT_LINES,
-    max_length: int = MAX_TEXT_LENGTH,
+    max_length: int | None = None,
     strict: bool = False,
 ) -> DataFrame:
     """One row per added or removed line of :func:`file_sections`.
 
     ``marks`` maps an output name to a column with an ``array<int>`` of
     positions; the output has a boolean column of that name instead, true where
-    the line's position is in the array.
+    the line's position is in the array.  ``max_length`` leaves out changed
+    lines that are longer, their sign included; by default none is left out.
     """
     marks = dict(marks or {})
     used = ("commit_id", "filename", "first_position", "section_at", "own", "lines", *marks.values())
     keep = _quoted([c for c in sections.columns if c not in used])
     header = _header(strict)
+    short = "" if max_length is None else f"AND length(lines[i]) <= {max_length}"
 
     # Nothing counts before the first hunk header of a section.
     kinds = bind(
@@ -217,8 +208,7 @@ def changed_lines(
             "CASE WHEN kind IN ('+', '-', ' ') THEN substring(lines[i], 2) END)"
         ),
         changed=present(
-            "transform(kinds, (kind, i) -> CASE WHEN kind IN ('+', '-') "
-            f"AND length(lines[i]) <= {max_length} THEN i END)"
+            f"transform(kinds, (kind, i) -> CASE WHEN kind IN ('+', '-') {short} THEN i END)"
         ),
         **{f"at_{name}": flags_at(at, "size(kinds) + 1") for name, at in marks.items()},
     )
@@ -320,14 +310,15 @@ def parse_patches(
     hunk_mode: bool = False,
     previous_lines: int = CONTEXT_LINES,
     next_lines: int = CONTEXT_LINES,
-    max_length: int = MAX_TEXT_LENGTH,
+    max_length: int | None = None,
     strict: bool = False,
 ) -> DataFrame:
     """One row per changed line: ``id_cols``, ``line_at`` and the record fields.
 
     ``previous_lines`` and ``next_lines`` include the line itself.  ``strict``
     takes headers without counts, drops the ``\\r`` of CRLF lines and does not
-    read the mail signature line ``-- `` as a removed line.
+    read the mail signature line ``-- `` as a removed line.  ``max_length``
+    leaves out longer changed lines; by default all are kept.
     """
     ok, _ = split_rejects(df.select(*id_cols, text_col), text_col, hunk_mode=hunk_mode, strict=strict)
     sections = file_sections(ok, text_col, hunk_mode=hunk_mode, next_lines=next_lines, strict=strict)

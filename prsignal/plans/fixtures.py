@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from prsignal.functions.arrays import compute_once
 from prsignal.functions.text import bucket_of
+from prsignal.operators.comments import comments_of_rows
 from prsignal.operators.patch import parse_patches
-from prsignal.sources.tables import spread
 
 HOST = "https://api.example.com/repos/"
 WEB = "https://example.com/"
@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread over all cores before their long texts are worked on."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    """The documents, dealt by id: the given table is one file that one task would read."""
+    return table(spark, sf_dir, "documents").repartition("doc_id")
 
 
 # SQL of names that hang on a key.
@@ -62,7 +62,7 @@ def archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ',"commit_id":"', md5(CAST(event_id AS STRING)), '","path":', {path},
         ',"body":"note ', event_id, r'","diff_hunk":"@@ -1,2 +1,3 @@\\n a\\n+b', event_id,
         '"}},"issue":{{"url":"{HOST}', {project("user_id")}, '/issues/', event_id, '"}}}}')"""
-    return spread(table(spark, sf_dir, "events"), "event_id").selectExpr(
+    return table(spark, sf_dir, "events").repartition("event_id").selectExpr(
         "event_id",
         "ts",
         """CASE event_type WHEN 'click' THEN 'PullRequestReviewCommentEvent'
@@ -83,8 +83,11 @@ FILE_ONE = (
     "get(array('py', 'go', 'md', 'java'), CAST(doc_id % 4 AS INT)))"
 )
 FILE_TWO = "concat('lib/util', doc_id % 50, '.py')"
-# A text line as a body line of a patch.
-BODY_LINE = "concat(get(array(' ', '+', '-'), CAST((doc_id + i) % 3 AS INT)), line)"
+
+
+def _body_line(line: str = "line", i: str = "i") -> str:
+    """A text line as a body line of a patch."""
+    return f"concat(get(array(' ', '+', '-'), CAST((doc_id + {i}) % 3 AS INT)), {line})"
 
 
 def _mail(commit: str) -> str:
@@ -111,7 +114,7 @@ PATCH = f"""concat(array_join(transform(split(text, '\\n', -1), (line, i) -> con
         WHEN 8 THEN concat({_file(FILE_TWO)}, '@@ -70,3 +75,4 @@ class C\\n')
         WHEN 12 THEN concat({_mail(COMMIT_TWO)}, {_file(FILE_ONE)}, '@@ -20,8 +21,8 @@\\n')
         ELSE '' END,
-    {BODY_LINE})), '\\n'), '\\n-- \\n2.30\\n')"""
+    {_body_line()})), '\\n'), '\\n-- \\n2.30\\n')"""
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +126,13 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compute_once(docs, patch=PATCH).selectExpr("doc_id AS patch_id", "patch")
 
 
+def long_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(patch_id, patch): every document as a patch that changes one line as long as the document."""
+    line = "replace(text, '\\n', ' ')"
+    patch = f"concat('diff --git a/', {FILE_ONE}, ' b/', {FILE_ONE}, '\\n@@ -1,2 +1,2 @@\\n-', {line}, '\\n+', {line}, ' ')"
+    return compute_once(documents(spark, sf_dir), patch=patch).selectExpr("doc_id AS patch_id", "patch")
+
+
 # -- review comments -------------------------------------------------------
 
 # Aligned arrays over the numbers js of a document's comments.
@@ -130,8 +140,13 @@ NEW = "transform(js, j -> CAST(1 + (doc_id * 7 + j * 5) % 13 AS INT))"
 OLD = """transform(js, j ->
     CASE WHEN j != 2 THEN CAST(1 + (doc_id * 7 + j * 5) % 13 + j % 2 AS INT) END)"""
 TEXTS = "transform(js, j -> CASE WHEN j = 3 THEN '' ELSE concat('note ', j) END)"
+# All lines of the text in as many parts as there are comments, a hunk for each.
 HUNKS = f"""transform(js, j -> concat('@@ -5,4 +5,6 @@ x\\n', array_join(
-    transform(slice(split(text, '\\n', -1), 1, j + 2), (line, i) -> {BODY_LINE}), '\\n')))"""
+    transform(
+        filter(
+            transform(split(text, '\\n', -1), (line, i) -> named_struct('line', line, 'i', i)),
+            s -> s.i * n_comments div size(split(text, '\\n', -1)) = j),
+        s -> {_body_line("s.line", "s.i")}), '\\n')))"""
 PATHS = f"transform(js, j -> CASE WHEN j % 2 = 0 THEN {FILE_ONE} ELSE {FILE_TWO} END)"
 COMMITS = f"transform(js, j -> CASE WHEN j = 1 THEN {COMMIT_TWO} ELSE {COMMIT_ONE} END)"
 
@@ -144,9 +159,10 @@ def _documents_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr(
             "doc_id",
             "text",
-            """filter(array(0, 1, 2, 3), j -> j < CASE quality WHEN 1 THEN 1 + doc_id % 4
-                WHEN 0 THEN doc_id % 2 ELSE 0 END) AS js""",
+            """CASE quality WHEN 1 THEN 1 + doc_id % 4 WHEN 0 THEN doc_id % 2 ELSE 0 END
+                AS n_comments""",
         )
+        .selectExpr("*", "filter(array(0, 1, 2, 3), j -> j < n_comments) AS js")
     )
 
 
@@ -168,24 +184,59 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL, PAGE = pull_request_url("doc_id"), patch_url("doc_id")
+PARSED = f"""named_struct('pull_request_url', {URL}, 'pull_patch_url', {PAGE},
+    'comment_positions', zip_with({OLD}, {NEW}, (old, new) ->
+        named_struct('original_position', old, 'new_position', new)),
+    'comment_text', {TEXTS}, 'diff_hunks', {HUNKS}, 'comment_file_paths', {PATHS},
+    'comment_commit_ids', {COMMITS})"""
+
+
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a pull request with clean comments and its patch."""
-    url, page = pull_request_url("doc_id"), patch_url("doc_id")
-    parsed = f"""named_struct('pull_request_url', {url}, 'pull_patch_url', {page},
-        'comment_positions', zip_with({OLD}, {NEW}, (old, new) ->
-            named_struct('original_position', old, 'new_position', new)),
-        'comment_text', {TEXTS}, 'diff_hunks', {HUNKS}, 'comment_file_paths', {PATHS},
-        'comment_commit_ids', {COMMITS})"""
     docs = _documents_with_comments(spark, sf_dir)
-    return compute_once(docs, parsed_input=parsed, patch=PATCH).selectExpr(
-        f"{url} AS pull_request_url",
-        f"{page} AS pull_patch_url",
+    return compute_once(docs, parsed_input=PARSED, patch=PATCH).selectExpr(
+        f"{URL} AS pull_request_url",
+        f"{PAGE} AS pull_patch_url",
         "parsed_input",
         "patch",
         "concat('diff of ', doc_id) AS diff",
     )
 
 
+def resolved_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in two rows: one comment in two is of the first day, when the patch was another one."""
+    days = (
+        _documents_with_comments(spark, sf_dir)
+        .withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("js", F.expr("filter(js, j -> j % 2 = n)"))
+    )
+    outdated = f"concat({_file(FILE_ONE)}, '@@ -1,2 +1,2 @@\\n+outdated ', doc_id)"
+    patch = f"CASE n WHEN 0 THEN {outdated} ELSE {PATCH} END"
+    return compute_once(days, parsed_input=PARSED, patch=patch).selectExpr(
+        f"{URL} AS pull_request_url", "parsed_input", "patch", "CAST(20240101 + n AS STRING) AS day"
+    )
+
+
+def hot_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments as rows, where a third of them belong to one pull request and its two files."""
+    number = "CAST(regexp_extract(pull_request_url, '[0-9]+$', 0) AS BIGINT)"
+
+    def of_hot(sql: str) -> str:
+        return sql.replace("doc_id", "CAST(0 AS BIGINT)")
+
+    rows = comments_of_rows(resolved(spark, sf_dir)).selectExpr("*", f"{number} AS doc_id")
+    return rows.selectExpr(
+        f"CASE WHEN doc_id % 3 = 0 THEN {of_hot(URL)} ELSE pull_request_url END AS pull_request_url",
+        f"""CASE WHEN doc_id % 3 != 0 THEN filename WHEN item % 2 = 0 THEN {of_hot(FILE_ONE)}
+            ELSE {of_hot(FILE_TWO)} END AS filename""",
+        f"""CASE WHEN doc_id % 3 != 0 THEN commit_id WHEN item = 1 THEN {of_hot(COMMIT_TWO)}
+            ELSE {of_hot(COMMIT_ONE)} END AS commit_id""",
+        "original_position", "new_position", "comment_text", "hunk", "day",
+        "doc_id * 4 + item AS item", "has_hunk", "has_position", "has_commit",
+    )
+
+
 # -- responses, cache, issues ----------------------------------------------
 
 
@@ -285,7 +336,7 @@ def pull_request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         '","patch_url":"', {patch_url(key)}, '","title":"change ', {key}, '","number":', {key},
         '}},"repository":{{"name":"repo', {key} % 25, '","full_name":"', {project(key)},
         '","owner":{{"login":"org', {key} % 10, '"}}}}}}')"""
-    return spread(table(spark, sf_dir, "orders"), key).selectExpr(
+    return table(spark, sf_dir, "orders").repartition(key).selectExpr(
         f"CASE WHEN {key} % 43 = 0 THEN 'not json' ELSE {value} END AS value",
         f"{key} AS order_key",
         "o_orderdate AS sent_at",

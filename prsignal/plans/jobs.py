@@ -7,11 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from prsignal.functions.text import project_of
 from prsignal.operators import model as M
 from prsignal.operators.clean import clean_comments
-from prsignal.operators.extract import comments_by_pull_request, review_comments, to_raw_comments
+from prsignal.operators.comments import add_comments, attach_comments, comments_of_events
+from prsignal.operators.extract import review_comments
 from prsignal.operators.features import prepare_scoring_data
 from prsignal.operators.issues import issue_facts
 from prsignal.operators.patch import changed_lines, file_sections, split_rejects
@@ -25,6 +27,7 @@ from prsignal.operators.score import (
     top_suggestions,
     with_messages,
 )
+from prsignal.schemas import COMMENT
 from prsignal.session import materialize
 from prsignal.sources.archive import read_archive
 from prsignal.sources.sinks import ingest_missing_days, write_issue_facts, write_report
@@ -35,18 +38,35 @@ from prsignal.sources.tables import (
     read_issue_inputs,
     read_resolved,
 )
+from prsignal.streaming.events import read_event_texts, start_daily_ingest, start_scoring
+
+
+def _extract_days(events: DataFrame) -> Callable[[Sequence[str]], DataFrame]:
+    def extract(days: Sequence[str]) -> DataFrame:
+        comments = review_comments(events.where(F.col("day").isin(list(days))), keep=["day"])
+        return comments_of_events(comments)
+
+    return extract
 
 
 def extract_comments(spark: SparkSession, archive: str, days: list[str], output: str) -> list[str]:
-    """Daily extract of review comments; days that are there already are skipped."""
-    events = read_archive(spark, archive)
+    """Daily extract of review comments, one row each; days that are finished already are skipped."""
+    return ingest_missing_days(spark, _extract_days(read_archive(spark, archive)), days, output)
+
 
-    def extract(missing: Sequence[str]) -> DataFrame:
-        comments = review_comments(events.where(F.col("day").isin(list(missing))), keep=["day"])
-        grouped = comments_by_pull_request(comments, keys=["day", "pull_request_url"])
-        return to_raw_comments(grouped, keep=["day"])
+def follow_days(spark: SparkSession, archive: str, requested: str, output: str, checkpoint: str) -> None:
+    """:func:`extract_comments` for all days that the files at ``requested`` (one day a line) name and no run has seen."""
+    extract = _extract_days(read_archive(spark, archive))
+    start_daily_ingest(read_event_texts(spark, requested), extract, output, checkpoint).awaitTermination()
 
-    return ingest_missing_days(spark, extract, days, output)
+
+def label_store(
+    spark: SparkSession, comments: str, days: Sequence[str], table: str, path: str, buckets: int
+) -> DataFrame:
+    """Days of the comment extract added to the table that is clustered by pull request and file."""
+    clustered = attach_comments(spark, table, path, buckets)
+    add_comments(spark.read.schema(COMMENT).parquet(comments).where(F.col("day").isin(list(days))), table)
+    return clustered
 
 
 def ingest_comments(
@@ -93,7 +113,8 @@ def score_requests(
     ``requests`` has pull_request_url and pull_patch_url, ``patches`` is a
     response table.  A request whose patch is missing or cannot be parsed gets
     a message instead of suggestions.  All requests are scored in one batch, and
-    once: the positive lines are kept for the two results.
+    once: the positive lines are kept for the two results.  Of the facts only
+    those of the requests' projects are read.
     """
     joined = requests.join(
         patches.select(F.col("url").alias("pull_patch_url"), F.col("body").alias("patch")),
@@ -104,7 +125,8 @@ def score_requests(
     lines = changed_lines(file_sections(ok)).withColumn(
         "project", project_of(F.col("pull_request_url"))
     )
-    prepared = prepare_scoring_data(lines, facts)
+    projects = requests.select(project_of(F.col("pull_request_url")).alias("project"))
+    prepared = prepare_scoring_data(lines, facts, projects=projects)
     scored = scorer(prepared) if callable(scorer) else M.score(scorer, prepared)
     placed, unplaced = split_unplaced(materialize(best_per_line(positive_only(scored))))
     suggestions = with_messages(dedupe_suggestions(top_suggestions(placed)))
@@ -112,3 +134,24 @@ def score_requests(
         unplaced.select("pull_request_url", F.lit("line without a commit").alias("error"))
     )
     return suggestions, responses(requests, suggestions, errors)
+
+
+def score_events(
+    texts: DataFrame,
+    patches: DataFrame,
+    facts: DataFrame,
+    scorer: PipelineModel | Callable[[DataFrame], DataFrame],
+    output: str,
+    checkpoint: str,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """A stream of pull-request events to suggestions, answers and rejects, in three tables below ``output``.
+
+    Every micro-batch is scored as :func:`score_requests` scores a batch.
+    """
+
+    def score(requests: DataFrame) -> dict[str, DataFrame]:
+        suggestions, answers = score_requests(requests, patches, facts, scorer)
+        return {"suggestions": suggestions, "answers": answers}
+
+    return start_scoring(texts, score, output, checkpoint, available_now)

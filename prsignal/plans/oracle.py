@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+from prsignal.functions.messages import GREETINGS, PHRASES
+from prsignal.functions.text import FILE_FORMATS
+
 # Views shared by the queries; each may use the ones before it.
 VIEWS: dict[str, str] = {}
 
@@ -115,7 +118,7 @@ SELECT k, ln::INT AS line_at, commit_id, old_pos::INT AS old_pos, new_pos::INT A
   substr(line, 2) AS text, array_to_string(nexts, '¶') AS next_lines, filename,
   line[1] = '+' AS is_added
 FROM {counted}
-WHERE body AND line[1] IN ('+', '-') AND length(line) - 1 < 2000
+WHERE body AND line[1] IN ('+', '-')
   AND k NOT IN (SELECT k FROM {files} WHERE header AND greatest(old0, new0) > 2147483647)"""
 
 
@@ -138,10 +141,15 @@ def _parser(name: str, texts: str, active: str, behind: int = 3, ahead: int = 3)
 
 VIEWS["patch_texts"] = "SELECT d AS k, patch AS text FROM patches"
 _parser("records", "patch_texts", "opened_by = 'd'")
+VIEWS["long_texts"] = """
+SELECT d AS k, 'diff --git a/' || f1 || ' b/' || f1 || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || '-'
+  || replace(text, chr(10), ' ') || chr(10) || '+' || replace(text, chr(10), ' ') || ' ' AS text
+FROM docs"""
+_parser("long_records", "long_texts", "opened_by = 'd'")
 _parser("short_records", "patch_texts", "opened_by = 'd'", behind=1, ahead=1)
 
 VIEWS["comments"] = """
-SELECT d, pr, page, j, c1, c2, f1, f2, lines,
+SELECT d, pr, page, j, c1, c2, f1, f2, lines, count(*) OVER (PARTITION BY d) AS n_comments,
   (1 + (d * 7 + j * 5) % 13)::INT AS new_at,
   CASE WHEN j <> 2 THEN (1 + (d * 7 + j * 5) % 13 + j % 2)::INT END AS old_at,
   CASE WHEN j = 3 THEN '' ELSE 'note ' || j END AS comment_text,
@@ -152,11 +160,11 @@ WHERE j < CASE quality WHEN 1 THEN 1 + d % 4 WHEN 0 THEN d % 2 ELSE 0 END"""
 
 VIEWS["comment_hunks"] = """
 SELECT d, pr, j, comment_text, filename, commit_id, old_at, new_at,
-  '@@ -5,4 +5,6 @@ x' || chr(10) || (
+  '@@ -5,4 +5,6 @@ x' || chr(10) || coalesce((
     SELECT string_agg(CASE (d + i) % 3 WHEN 0 THEN ' ' WHEN 1 THEN '+' ELSE '-' END || line,
       chr(10) ORDER BY i)
-    FROM (SELECT unnest(c.lines) AS line, generate_subscripts(c.lines, 1) - 1 AS i) WHERE i < j + 2
-  ) AS hunk
+    FROM (SELECT unnest(c.lines) AS line, generate_subscripts(c.lines, 1) - 1 AS i)
+    WHERE i * c.n_comments // len(c.lines) = j), '') AS hunk
 FROM comments c"""
 
 VIEWS["hunk_texts"] = "SELECT d || ':' || j AS k, hunk AS text FROM comment_hunks"
@@ -208,6 +216,35 @@ VIEWS["chosen"] = _CHOSEN.format(records="all_records")
 VIEWS["labelled"] = (
     "SELECT * FROM chosen WHERE pr IN (SELECT pr FROM all_records WHERE commented)"
 )
+VIEWS["labelled_by_day"] = """
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY pr, line_text ORDER BY
+    CASE WHEN commented AND comment_text <> '' THEN 0 WHEN commented THEN 1 ELSE 2 END,
+    source, item % 2, item, line_at) AS nth
+  FROM all_records WHERE pr IN (SELECT pr FROM all_records WHERE commented)) WHERE nth = 1"""
+VIEWS["hot_comments"] = """
+SELECT c.d || ':' || c.j AS k, CASE WHEN c.d % 3 = 0 THEN 0 ELSE c.d END AS d, c.d * 4 + c.j AS item,
+  c.new_at, c.old_at, c.comment_text,
+  CASE WHEN c.d % 3 <> 0 THEN c.filename WHEN c.j % 2 = 0 THEN z.f1 ELSE z.f2 END AS filename,
+  CASE WHEN c.d % 3 <> 0 THEN c.commit_id WHEN c.j = 1 THEN z.c2 ELSE z.c1 END AS commit_id
+FROM comment_hunks c, docs z WHERE z.d = 0"""
+VIEWS["hot_flags"] = """
+SELECT r.*, coalesce(h.hit, FALSE) AS hit, coalesce(h.near, FALSE) AS near
+FROM records r LEFT JOIN (
+  SELECT r.k, r.line_at, bool_or(c.commit_id = r.commit_id AND r.position IN (c.new_at, c.old_at)) AS hit,
+    bool_or(coalesce(abs(r.position - c.new_at) <= 1, FALSE)
+      OR coalesce(abs(r.position - c.old_at) <= 1, FALSE)) AS near
+  FROM records r JOIN hot_comments c ON c.d = r.k AND c.filename = r.filename GROUP BY r.k, r.line_at) h
+  ON h.k = r.k AND h.line_at = r.line_at"""
+VIEWS["hot_records"] = """
+SELECT docs.pr, 0 AS source, c.item, r.line_at, r.previous_lines, r.text AS line_text, r.next_lines,
+  c.filename, r.is_added, TRUE AS commented, r.old_pos AS line, c.comment_text
+FROM hunk_lines r JOIN hot_comments c ON r.k = c.k JOIN docs ON docs.d = c.d
+UNION ALL
+SELECT docs.pr, 1, 0, f.line_at, f.previous_lines, f.text, f.next_lines, f.filename, f.is_added, f.hit,
+  f.old_pos, ''
+FROM hot_flags f JOIN docs ON docs.d = f.k WHERE hit OR NOT near"""
+VIEWS["hot_chosen"] = _CHOSEN.format(records="hot_records")
 VIEWS["labelled_compat"] = _CHOSEN.format(records="all_records_compat")
 
 VIEWS["issue_bodies"] = """
@@ -226,10 +263,12 @@ FROM (SELECT project, regexp_extract_all(body, '{_FRAME}', 1) AS names,
   FROM (SELECT project, replace(replace(body, '(', ' '), ')', ' ') AS body FROM issue_bodies))"""
 VIEWS["facts"] = "SELECT DISTINCT project, filename, line FROM frames"
 
-_FORMATS = """('md', 'scala', 'go', 'gs', 'html', 'ahk', 'applescript', 'as', 'au3', 'bat', 'bas',
-  'cljs', 'cmd', 'coffee', 'cpp', 'duino', 'egg', 'egt', 'erb', 'hta', 'ibi', 'ici', 'ijs', '.ipynb',
-  'itcl', 'js', 'jsfl', 'lua', 'm', 'mrc', 'php', 'php5', 'php6', 'php7', 'pl', 'pm', 'py', 'r', 'rb',
-  'ruby', 'tcl', 'vbs')"""
+
+def _quoted(texts: tuple[str, ...]) -> str:
+    return ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
+
+
+_FORMATS = f"({_quoted(tuple(f.lower() for f in FILE_FORMATS))})"
 
 
 def _ext(name: str) -> str:
@@ -390,14 +429,8 @@ _CSV_FIELDS = ", ".join(
         "comment_commit_ids_space_delimited",
     )
 )
-_GREETINGS = """['Henlo friend. 🦄', 'Hrmmm...', 'Hi, just checking in.',
-  'Hi...🦄 So I read your PR...', 'Me again, just one more nit...🌈', 'Nit... but...']"""
-_PHRASES = """['Something looks weird here. Are you sure about this? 🌈',
-  'Woah... this old bit again... 🦄', 'So... are you sure about this 🐼 pandas?',
-  'Meeps... this looks strange...', 'Meeps Meeps... this looks weird...',
-  'Hrmm.. this looks funny...', 'Reviewer is confused... 🐼', 'Reviewer is confused... 🌈🐼',
-  'Are you sure about this?⚡', 'Wondering why this is here...? 🌈🐼',
-  'So maybe take a look here? ⚡🐼']"""
+_GREETINGS = f"[{_quoted(GREETINGS)}]"
+_PHRASES = f"[{_quoted(tuple(p.format(name='Reviewer') for p in PHRASES))}]"
 
 
 def _message(key: str) -> str:
@@ -409,6 +442,28 @@ def _message(key: str) -> str:
 
 _HASHED = "docs.pr || ':' || r.filename || ':' || r.position"
 
+_SCORING = f"""
+SELECT docs.pr AS pull_request_url, r.line_at, r.text AS line_text, r.filename, r.is_added,
+  0.0::DOUBLE AS commented, {_ext("r.filename")} AS extension, length(r.text)::DOUBLE AS line_length,
+  0.0::DOUBLE AS label, regexp_matches(r.text, '^\\s+$')::INT::DOUBLE AS only_spaces,
+  (NOT EXISTS (SELECT 1 FROM facts f WHERE f.project = docs.project AND f.line = r.old_pos
+    AND f.filename = {_base("r.filename")}))::INT::DOUBLE AS not_in_issues,
+  r.commit_id, r.position AS "offset", r.previous_lines, r.next_lines
+FROM records r JOIN docs ON docs.d = r.k"""
+
+VIEWS["answers"] = f"""
+SELECT docs.pr, coalesce(s.positions, '') AS positions,
+  CASE WHEN docs.d % 11 = 0 THEN 'no text'
+    WHEN docs.d IN (SELECT k FROM records_files WHERE header AND greatest(old0, new0) > 2147483647)
+    THEN 'line number does not fit an int' END AS message
+FROM docs LEFT JOIN (
+  SELECT pr, string_agg(filename || '@' || commit_id || ':' || position, '¶' ORDER BY nth) AS positions
+  FROM (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY p1 DESC, filename, position, commit_id)
+      AS nth
+    FROM (SELECT DISTINCT docs.pr, r.filename, r.position, r.commit_id, {_bucket(_HASHED, 1000)} AS p1
+      FROM records r JOIN docs ON docs.d = r.k WHERE docs.d % 11 <> 0) WHERE p1 >= 700)
+  WHERE nth <= 7 GROUP BY pr) s ON s.pr = docs.pr"""
+
 SQL: dict[str, str] = {
     "changed_lines_by_extension": f"""
 SELECT coalesce({_ext("filename")}, 'other') AS extension, is_added, count(*) AS n_lines,
@@ -418,6 +473,10 @@ FROM records GROUP BY ALL""",
     "changed_lines": """
 SELECT k AS patch_id, line_at, commit_id, old_pos, new_pos, position, previous_lines, text,
   next_lines, filename, is_added FROM records""",
+    "changed_lines_up_to_2000": """
+SELECT k AS patch_id, line_at, length(text)::INT AS n_chars FROM records WHERE length(text) < 2000""",
+    "changed_long_lines": """
+SELECT k AS patch_id, line_at, position, text, is_added FROM long_records""",
     "changed_lines_short_context": """
 SELECT k AS patch_id, line_at, previous_lines, next_lines FROM short_records""",
     "hunk_lines": """
@@ -517,6 +576,9 @@ WHERE pr IN (SELECT pr FROM all_records WHERE commented)""",
 SELECT pr AS pull_request_url, source::INT AS source, item, line_at, line_text, commented
 FROM chosen""",
     "labelled_lines": f"SELECT {_RECORD_COLUMNS} FROM labelled",
+    "labelled_lines_by_day": f"SELECT {_RECORD_COLUMNS} FROM labelled_by_day",
+    "labelled_lines_hot": f"""
+SELECT {_RECORD_COLUMNS} FROM hot_chosen WHERE pr IN (SELECT pr FROM hot_records WHERE commented)""",
     "labelled_lines_compat": f"SELECT {_RECORD_COLUMNS} FROM labelled_compat",
     "file_extensions": f"""
 SELECT filename, {_base("filename")} AS basename, {_ext("filename")} AS extension
@@ -534,14 +596,8 @@ SELECT l.pr AS pull_request_url, l.line_text, l.line, 1.0::DOUBLE AS label,
   (count(f.filename) = 0)::INT::DOUBLE AS not_in_issues, count(*) AS n
 FROM labelled_compat l LEFT JOIN frames f ON f.line = l.line AND f.filename = {_base("l.filename")}
 WHERE ({_ext("l.filename")}) = 'py' GROUP BY l.pr, l.line_text, l.line""",
-    "prepared_scoring": f"""
-SELECT docs.pr AS pull_request_url, r.line_at, r.text AS line_text, r.filename, r.is_added,
-  0.0::DOUBLE AS commented, {_ext("r.filename")} AS extension, length(r.text)::DOUBLE AS line_length,
-  0.0::DOUBLE AS label, regexp_matches(r.text, '^\\s+$')::INT::DOUBLE AS only_spaces,
-  (NOT EXISTS (SELECT 1 FROM facts f WHERE f.project = docs.project AND f.line = r.old_pos
-    AND f.filename = {_base("r.filename")}))::INT::DOUBLE AS not_in_issues,
-  r.commit_id, r.position AS "offset", r.previous_lines, r.next_lines
-FROM records r JOIN docs ON docs.d = r.k""",
+    "prepared_scoring": _SCORING,
+    "prepared_scoring_of_projects": f"{_SCORING} WHERE docs.project LIKE 'org3/%'",
     "train_test_split": f"""
 SELECT pr AS pull_request_url, CASE WHEN {_bucket("pr", 1000)} < 900 THEN 'train' ELSE 'test' END AS side
 FROM docs""",
@@ -588,18 +644,17 @@ SELECT pr AS pull_request_url, commit_id || filename || line AS suggestion_key,
   {_message("commit_id || filename || line")} AS message FROM top""",
     "document_messages": f"""
 SELECT doc_id, {_message("doc_id::VARCHAR")} AS message FROM documents""",
-    "scoring_responses": f"""
-SELECT docs.pr AS pull_request_url, coalesce(s.positions, '') AS positions,
-  CASE WHEN docs.d % 11 = 0 THEN 'no text'
-    WHEN docs.d IN (SELECT k FROM records_files WHERE header AND greatest(old0, new0) > 2147483647)
-    THEN 'line number does not fit an int' END AS message
-FROM docs LEFT JOIN (
-  SELECT pr, string_agg(filename || '@' || commit_id || ':' || position, '¶' ORDER BY nth) AS positions
-  FROM (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY p1 DESC, filename, position, commit_id)
-      AS nth
-    FROM (SELECT DISTINCT docs.pr, r.filename, r.position, r.commit_id, {_bucket(_HASHED, 1000)} AS p1
-      FROM records r JOIN docs ON docs.d = r.k WHERE docs.d % 11 <> 0) WHERE p1 >= 700)
-  WHERE nth <= 7 GROUP BY pr) s ON s.pr = docs.pr""",
+    "scoring_responses": "SELECT pr AS pull_request_url, positions, message FROM answers",
+    "streamed_suggestions": """
+SELECT DISTINCT o.pull_request_url, coalesce(a.positions, '') AS positions,
+  CASE WHEN a.pr IS NULL THEN 'no text' ELSE a.message END AS message
+FROM pr_opened o LEFT JOIN answers a ON a.pr = o.pull_request_url""",
+    "streamed_rejects": """
+SELECT value FROM pr_events WHERE NOT json_valid(value) OR (k % 43 <> 0 AND k % 37 = 0)""",
+    "ingested_days_with_empty_day": """
+SELECT t.day, (SELECT count(*) FROM review JOIN archive USING (event_id) WHERE archive.day = t.day) AS n_rows,
+  t.run, 1::BIGINT AS n_extracts
+FROM (VALUES ('20231231', '0'), ('20240102', '0'), ('20240103', '0'), ('20240104', '1')) AS t(day, run)""",
     "json_dump": f"""
 SELECT {_DUMP} AS value FROM documents ORDER BY doc_id LIMIT 50""",
     "json_dump_escaped": f"""
@@ -611,10 +666,15 @@ SELECT d AS patch_id, CASE WHEN d % 2 = 1 THEN length(patch) END::INT AS size FR
 SELECT k AS order_key, value FROM pr_events
 WHERE NOT json_valid(value) OR (k % 43 <> 0 AND k % 37 = 0)""",
     "streamed_pull_requests": "SELECT * FROM pr_opened",
-    "streamed_suggestions": "SELECT pull_request_url, repo_name, 1::INT AS line FROM pr_opened",
+    "streamed_dedupe": """
+SELECT pr AS pull_request_url, commit_id, filename, line, sent, (SELECT count(*) FROM (
+    SELECT DISTINCT pr, commit_id, filename, line FROM predictions
+    WHERE commit_id IS NOT NULL AND line % 2 = 1 AND line % 3 = 0)) AS n_late
+FROM (SELECT DISTINCT pr, commit_id, filename, line FROM predictions WHERE commit_id IS NOT NULL),
+  (VALUES (0, '12:00'), (1, '18:00'), (0, '18:10')) AS t(odd, sent)
+WHERE line % 2 = odd""",
 }
 SQL["patch_rejects_written"] = SQL["patch_rejects"]
-SQL["streamed_dedupe"] = SQL["deduped_suggestions"]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prsignal.functions import text as X
 from prsignal.functions.messages import suggestion_message
-from prsignal.operators import clean, extract, features, issues, label, metrics, patch, resolve
+from prsignal.operators import clean, comments, extract, features, issues, label, metrics, patch, resolve
 from prsignal.operators import model as ml
 from prsignal.operators import sample, score
 from prsignal.plans import fixtures as V
@@ -70,6 +70,21 @@ def changed_lines(spark, sf_dir):
     )
 
 
+@query
+def changed_lines_up_to_2000(spark, sf_dir):
+    """The described filter: lines of 2,000 characters and more left out."""
+    lines = patch.parse_patches(V.patches(spark, sf_dir), max_length=patch.DESCRIBED_MAX_LENGTH)
+    return lines.select("patch_id", "line_at", F.length("text").alias("n_chars"))
+
+
+@query
+def changed_long_lines(spark, sf_dir):
+    """Patches that change one line as long as a document; none is left out."""
+    return patch.parse_patches(V.long_patches(spark, sf_dir)).select(
+        "patch_id", "line_at", "position", "text", "is_added"
+    )
+
+
 @query
 def changed_lines_short_context(spark, sf_dir):
     """The parser with two lines of context either way."""
@@ -197,7 +212,7 @@ def comment_cells(spark, sf_dir):
 @query
 def comment_cells_first_100(spark, sf_dir):
     """The cell limit of the extract."""
-    return extract.limit_cells(_cells(spark, sf_dir), extract.CELL_LIMIT, ["pull_request_url"])
+    return extract.limit_cells(_cells(spark, sf_dir), 100, ["pull_request_url"])
 
 
 @query
@@ -257,6 +272,27 @@ def ingested_days(spark, sf_dir):
     )
 
 
+@query
+def ingested_days_with_empty_day(spark, sf_dir):
+    """Three runs over requested days, one of which has no comments: the third run extracts nothing."""
+    path = _fresh_path(spark, "ledger")
+    events, asked = V.archive_events(spark, sf_dir), []
+
+    def extract_days(days: list[str]) -> DataFrame:
+        asked.append(days)
+        found = extract.review_comments(events.where(F.col("day").isin(days)), keep=["day"])
+        return found.select("day", "event_id", "pull_request_url")
+
+    for days in (["20240102", "20240103", "20231231"], ["20240103", "20240104", "20231231"], ["20231231", "20240104"]):
+        requested = spark.createDataFrame([(d,) for d in days], "value string")
+        requested.coalesce(1).write.mode("append").text(f"{path}/requested")
+        texts = stream.read_event_texts(spark, f"{path}/requested")
+        stream.start_daily_ingest(texts, extract_days, f"{path}/days", f"{path}/state").awaitTermination()
+    times = spark.createDataFrame([(d,) for days in asked for d in days], "day string")
+    times = times.groupBy("day").agg(F.count(F.lit(1)).alias("n_extracts"))
+    return sinks.read_ledger(spark, f"{path}/days").join(times, "day")
+
+
 # -- cleaning --------------------------------------------------------------
 
 
@@ -413,13 +449,14 @@ def comment_hunks(spark, sf_dir):
 
 @query
 def hunk_records(spark, sf_dir):
-    return _shown_records(label.hunk_records(V.resolved(spark, sf_dir)), "item", "line_at")
+    records = label.hunk_records(V.resolved(spark, sf_dir))
+    return _shown_records(records.withColumn("item", F.col("item").cast("int")), "item", "line_at")
 
 
 @query
 def hunk_records_last_line(spark, sf_dir):
     records = label.hunk_records(V.resolved(spark, sf_dir), last_line_only=True)
-    return records.select("pull_request_url", "item", "line_at", "line_text")
+    return records.select("pull_request_url", F.col("item").cast("int").alias("item"), "line_at", "line_text")
 
 
 def _flagged(spark, sf_dir, **options):
@@ -477,7 +514,7 @@ def distinct_records(spark, sf_dir):
 def records_with_comments(spark, sf_dir):
     """Records of pull requests that have a commented one."""
     return label.with_commented_lines(_records(spark, sf_dir)).select(
-        "pull_request_url", "source", "item", "line_at", "commented"
+        "pull_request_url", "source", F.col("item").cast("int").alias("item"), "line_at", "commented"
     )
 
 
@@ -485,8 +522,9 @@ def records_with_comments(spark, sf_dir):
 def first_per_text(spark, sf_dir):
     """One record per line text, by priority."""
     return label.first_per_text(_records(spark, sf_dir)).select(
-        "pull_request_url", "source", "item", "line_at", "line_text", "commented"
-    )
+        "pull_request_url", "source", F.col("item").cast("int").alias("item"), "line_at", "line_text",
+        "commented",
+    )
 
 
 @query
@@ -499,6 +537,34 @@ def labelled_lines_compat(spark, sf_dir):
     return _shown_records(label.labelled_lines(V.resolved(spark, sf_dir), compat=True))
 
 
+def _clustered(spark, *parts: DataFrame) -> DataFrame:
+    """Comments added one after the other to a table that is clustered by pull request and file."""
+    path = _fresh_path(spark, "comments")
+    name = "comments_" + path.rsplit("-", 1)[1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    comments.attach_comments(spark, name, path, buckets)
+    for part in parts:
+        comments.add_comments(part, name)
+    return spark.table(name)
+
+
+@query
+def labelled_lines_by_day(spark, sf_dir):
+    """Labels where the comments of a pull request came on two days, the second with a newer patch."""
+    rows = V.resolved_by_day(spark, sf_dir)
+    days = [
+        comments.comments_of_rows(rows.where(F.col("day") == day), "day") for day in ("20240101", "20240102")
+    ]
+    return _shown_records(label.labelled(label.newest_patches(rows, "day"), _clustered(spark, *days)))
+
+
+@query
+def labelled_lines_hot(spark, sf_dir):
+    """Labels where a third of all comments belong to one pull request."""
+    patches = V.resolved(spark, sf_dir).select("pull_request_url", "patch")
+    return _shown_records(label.labelled(patches, _clustered(spark, V.hot_comments(spark, sf_dir))))
+
+
 # -- features --------------------------------------------------------------
 
 
@@ -581,6 +647,22 @@ def prepared_scoring(spark, sf_dir):
     return _shown_prepared(prepared, "pull_request_url", "line_at")
 
 
+@query
+def prepared_scoring_of_projects(spark, sf_dir):
+    """The same for the pull requests of one organisation: only its folders of facts are read."""
+    path = _fresh_path(spark, "facts")
+    sinks.write_issue_facts(_facts(spark, sf_dir), path)
+    lines = V.changed(spark, sf_dir).where(F.col("project").startswith("org3/"))
+    projects = V.documents(spark, sf_dir).selectExpr(f"{V.project('doc_id')} AS project")
+    prepared = features.prepare_scoring_data(
+        lines,
+        tables.read_issue_facts(spark, path),
+        keep=("pull_request_url", "line_at"),
+        projects=projects.where(F.col("project").startswith("org3/")),
+    )
+    return _shown_prepared(prepared, "pull_request_url", "line_at")
+
+
 # -- sampling --------------------------------------------------------------
 
 
@@ -728,27 +810,24 @@ def document_messages(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", suggestion_message(key).alias("message"))
 
 
+def _by_hash(prepared: DataFrame) -> DataFrame:
+    """A scorer that SQL can repeat."""
+    p1 = V.unit_score(F.concat_ws(":", "pull_request_url", "filename", "offset"))
+    return prepared.withColumns({"p1": p1, "prediction": (p1 >= 0.7).cast("double")})
+
+
+def _shown_answers(answers: DataFrame) -> DataFrame:
+    place = F.expr("transform(positions, p -> concat(p.filename, '@', p.commit_id, ':', p.position))")
+    return answers.select("pull_request_url", shown(place).alias("positions"), "message")
+
+
 @query
 def scoring_responses(spark, sf_dir):
     """One response per request; failed requests carry a message."""
     requests = V.resolved(spark, sf_dir).select("pull_request_url", "pull_patch_url")
     pages = V.responses(spark, sf_dir).where("status = 200")
-
-    def by_hash(prepared: DataFrame) -> DataFrame:
-        key = F.concat_ws(":", "pull_request_url", "filename", "offset")
-        p1 = V.unit_score(key)
-        return prepared.withColumns({"p1": p1, "prediction": (p1 >= 0.7).cast("double")})
-
-    _, answers = jobs.score_requests(requests, pages, _facts(spark, sf_dir), by_hash)
-    return answers.select(
-        "pull_request_url",
-        shown(
-            F.expr(
-                "transform(positions, p -> concat(p.filename, '@', p.commit_id, ':', p.position))"
-            )
-        ).alias("positions"),
-        "message",
-    )
+    _, answers = jobs.score_requests(requests, pages, _facts(spark, sf_dir), _by_hash)
+    return _shown_answers(answers)
 
 
 # -- debug dump, merged schemas --------------------------------------------
@@ -811,38 +890,60 @@ def streamed_pull_requests(spark, sf_dir):
     )
 
 
-@query
-def streamed_suggestions(spark, sf_dir):
-    """Every micro-batch scored and written; here one suggestion per request."""
+def _scored_stream(spark, sf_dir, scorer, facts) -> str:
+    """Events of pull requests scored as a stream of three micro-batches; the folder of the tables."""
     path = _fresh_path(spark, "scoring")
     V.pull_request_events(spark, sf_dir).select("value").repartition(3).write.text(f"{path}/in")
     texts = stream.read_event_texts(spark, f"{path}/in", max_files=1)
+    pages = V.responses(spark, sf_dir).where("status = 200")
+    jobs.score_events(texts, pages, facts, scorer, f"{path}/out", f"{path}/state").awaitTermination()
+    return f"{path}/out"
 
-    def suggest_first_line(requests: DataFrame) -> DataFrame:
-        return requests.select("pull_request_url", "repo_name", F.lit(1).alias("line"))
 
-    q = stream.start_scoring(texts, suggest_first_line, f"{path}/out", f"{path}/state")
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("pull_request_url", "repo_name", "line")
+@query
+def streamed_suggestions(spark, sf_dir):
+    """Every micro-batch of events scored with patches and facts; one answer per opened pull request."""
+    out = _scored_stream(spark, sf_dir, _by_hash, _facts(spark, sf_dir))
+    return _shown_answers(spark.read.parquet(f"{out}/answers"))
+
+
+@query
+def streamed_rejects(spark, sf_dir):
+    """What the scoring stream could not decode."""
+    out = _scored_stream(spark, sf_dir, _by_hash, _facts(spark, sf_dir))
+    return spark.read.parquet(f"{out}/rejects").select("value")
 
 
 @query
 def streamed_dedupe(spark, sf_dir):
-    """Repeated suggestions dropped from a stream of changed lines."""
+    """Repeated suggestions dropped from a stream whose watermark moves, and let in again when they are forgotten.
+
+    Suggestions come at noon, again ten minutes later (dropped), those of other
+    lines at six, which moves the watermark on, and the first ones once more at
+    ten past six (let in) together with some of noon (too late).
+    """
     path = _fresh_path(spark, "dedupe")
-    twice = V.predictions(spark, sf_dir).where("commit_id is not null").select(
-        score.PR, "commit_id", "filename", F.col("offset").alias("line"),
-        F.lit(dt.datetime(2024, 1, 1)).cast("timestamp").alias("sent_at"),
-    )
-    twice.write.parquet(f"{path}/in")
-    rows = spark.readStream.schema(twice.schema).parquet(f"{path}/in")
-    q = (
-        stream.dedupe_stream(rows, "sent_at")
-        .writeStream.option("checkpointLocation", f"{path}/state")
-        .trigger(availableNow=True)
-        .start(f"{path}/out")
-    )
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/out").select(score.PR, "commit_id", "filename", "line")
+    rows = V.predictions(spark, sf_dir).where("commit_id is not null").select(
+        score.PR, "commit_id", "filename", F.col("offset").alias("line")
+    ).distinct()
+    rows = materialize(rows)
+    early, other = rows.where("line % 2 = 0"), rows.where("line % 2 = 1")
 
+    def at(df, hour, minute):
+        return df.withColumn("sent_at", F.lit(f"2024-01-01 {hour}:{minute:02}:00").cast("timestamp"))
 
+    steps = (
+        at(early, 12, 0), at(early, 12, 10), at(other, 18, 0),
+        at(early, 18, 10).unionByName(at(other.where("line % 3 = 0"), 12, 0)),
+    )
+    late = 0
+    for step in steps:
+        step.write.mode("append").parquet(f"{path}/in")
+        q = stream.start_dedupe(
+            spark.readStream.schema(step.schema).parquet(f"{path}/in"), "sent_at", f"{path}/out", f"{path}/state"
+        )
+        q.awaitTermination()
+        late += stream.late_rows(q)
+    sent = F.date_format("sent_at", "HH:mm").alias("sent")
+    kept = spark.read.parquet(f"{path}/out").select(score.PR, "commit_id", "filename", "line", sent)
+    return kept.withColumn("n_late", F.lit(late).cast("bigint"))

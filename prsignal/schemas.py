@@ -28,6 +28,16 @@ CLEAN_COMMENT_COLUMNS = (
     "comment_commit_ids",
 )
 
+# One row per review comment; ``item`` orders the comments of a pull request within a day.
+COMMENT = (
+    "pull_request_url string, filename string, commit_id string, original_position int, "
+    "new_position int, comment_text string, hunk string, day string, item bigint, "
+    "has_hunk boolean, has_position boolean, has_commit boolean"
+)
+
+# A finished day of a daily table.
+LEDGER = "day string, n_rows bigint, run string"
+
 STORED_PATCH = "pull_request_url string, patch string, diff string"
 
 RESOLVED = (

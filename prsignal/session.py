@@ -5,10 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows of a table of short keys that may be broadcast: some tens of megabytes.
-BROADCAST_ROWS = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -33,13 +29,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A table of short keys, marked for broadcast only when it turns out to be small.
-
-    The table is computed and counted now.  A larger one is returned without
-    the mark, and is joined by a shuffle.
-    """
-    kept = materialize(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept

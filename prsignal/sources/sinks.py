@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prsignal.schemas import LEDGER
 from prsignal.sources.archive import missing_days
 from prsignal.sources.tables import read_or_empty
 
@@ -97,28 +98,48 @@ def write_rejects(rejects: DataFrame, path: str, mode: str = "errorifexists") ->
     rejects.write.mode(mode).json(path)
 
 
+def ledger_path(path: str) -> str:
+    """Where the finished days of the table at ``path`` are written down; readers of the table skip this folder."""
+    return f"{path}/_ledger"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(day, n_rows, run) of the days that are finished at ``path``, those without rows too."""
+    return read_or_empty(spark, ledger_path(path), LEDGER)
+
+
 def ingest_missing_days(
     spark: SparkSession,
     extract: Callable[[Sequence[str]], DataFrame],
     days: Sequence[str],
     path: str,
+    run: str = "",
 ) -> list[str]:
-    """Write the days that are not at ``path`` yet, one partition per day, in one job.
+    """Write the days that are not finished at ``path`` yet, one partition per day, in one job.
 
-    ``extract(days)`` gives the rows of these days with their ``day``.  A run
-    that is repeated, or that follows one that failed half way, writes only
-    what is missing.  Returns the days it wrote.
+    ``extract(days)`` gives the rows of these days with their ``day``.  When the
+    rows are written, the days are entered in a ledger, with the number of their
+    rows, so a day without any is finished too.  A run that failed half way has
+    no entry; the next one writes its days again and overwrites what is there.
+    Returns the days it wrote.
     """
     requested = spark.createDataFrame([(d,) for d in days], "day string")
-    present = read_or_empty(spark, path, requested.schema)
     # As many rows as days were asked for.
-    todo = sorted(r.day for r in missing_days(requested, present).collect())
+    todo = sorted(r.day for r in missing_days(requested, read_ledger(spark, path)).collect())
     if todo:
+        rows = extract(todo)
         (
-            extract(todo)
-            .write.partitionBy("day")
+            rows.write.partitionBy("day")
             .option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")
             .parquet(path)
         )
+        written = read_or_empty(spark, path, rows.schema).where(F.col("day").isin(todo))
+        counts = written.groupBy("day").agg(F.count(F.lit(1)).alias("n_rows"))
+        finished = (
+            spark.createDataFrame([(d,) for d in todo], "day string")
+            .join(counts, "day", "left")
+            .select("day", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.lit(run).alias("run"))
+        )
+        append_parquet(finished.coalesce(1), ledger_path(path))
     return todo

@@ -23,17 +23,6 @@ def read_parquet(
     return df.repartition(partitions) if partitions else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute a poorly split input over all cores, by hash of ``keys``.
-
-    Only an input with fewer partitions than cores is shuffled, that is one
-    that is small or sits in a few files that cannot be split; a large input
-    keeps its own splits.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_comments(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     return read_parquet(spark, path, schemas.RAW_COMMENTS, partitions)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from prsignal.functions.arrays import compute_once
 from prsignal.schemas import PULL_REQUEST_EVENT
+from prsignal.session import materialize
+from prsignal.sources.sinks import ingest_missing_days
 
 OPENED = "opened"
 
@@ -59,30 +61,54 @@ def dedupe_stream(
     )
 
 
+def start_dedupe(
+    suggestions: DataFrame, event_time: str, output: str, checkpoint: str, delay: str = "1 hour"
+) -> StreamingQuery:
+    """:func:`dedupe_stream` of all that has come, appended to ``output``; what it has seen is in ``checkpoint``."""
+    return (
+        dedupe_stream(suggestions, event_time, delay)
+        .writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(output)
+    )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a run left out because they were older than its watermark."""
+    return sum(
+        int(state["numRowsDroppedByWatermark"])
+        for progress in query.recentProgress
+        for state in progress["stateOperators"]
+    )
+
+
+def _overwrite_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch to its own folder, again if it was there: a batch that is repeated changes nothing."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
 def start_scoring(
     texts: DataFrame,
-    score: Callable[[DataFrame], DataFrame],
+    score: Callable[[DataFrame], dict[str, DataFrame]],
     output: str,
     checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Score the opened pull requests of every micro-batch and write the suggestions.
-
-    ``score(requests)`` gives suggestion rows.  All lines of a pull request come
-    from one event, so a batch holds every line its ranking needs.  A batch
-    that is run again after a failure overwrites its own folder.
+    """Score the opened pull requests of every micro-batch and write what comes of it.
+
+    ``score(requests)`` gives the rows of tables by name; each goes to a table of
+    that name below ``output``, and events that can't be decoded go to ``rejects``
+    there.  All lines of a pull request come from one event, so a batch holds
+    every line its ranking needs.  A batch that is run again after a failure
+    overwrites its own folders, so every table has each batch once.  The
+    batch's events are decoded once and kept for its tables.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        requests = opened_pull_requests(decode_events(batch))
-        (
-            score(requests)
-            .withColumn("batch", F.lit(batch_id))
-            .write.partitionBy("batch")
-            .option("partitionOverwriteMode", "dynamic")
-            .mode("overwrite")
-            .parquet(output)
-        )
+        decoded = materialize(decode_events(batch))
+        tables = {"rejects": rejected_events(decoded), **score(opened_pull_requests(decoded))}
+        for name, rows in tables.items():
+            _overwrite_batch(rows, f"{output}/{name}", batch_id)
 
     writer = texts.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if available_now:
@@ -90,6 +116,33 @@ def start_scoring(
     return writer.start()
 
 
+def start_daily_ingest(
+    requested: DataFrame,
+    extract: Callable[[Sequence[str]], DataFrame],
+    path: str,
+    checkpoint: str,
+    col: str = "value",
+) -> StreamingQuery:
+    """Ingest the days that a stream of requests names and that are not finished yet.
+
+    One run takes all requests that have come since the last and ends, so it can
+    be started every few minutes.  The ledger at ``path`` says what is
+    finished; a batch that is repeated finds its days there.
+    """
+
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        # As many rows as days were asked for.
+        days = sorted(r.day for r in batch.select(F.trim(col).alias("day")).where("day != ''").distinct().collect())
+        ingest_missing_days(batch.sparkSession, extract, days, path, run=str(batch_id))
+
+    return (
+        requested.writeStream.foreachBatch(ingest)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def start_event_log(
     texts: DataFrame, output: str, rejects: str, checkpoint: str, available_now: bool = True
 ) -> list[StreamingQuery]:

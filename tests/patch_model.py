@@ -11,7 +11,7 @@ HEADER = re.compile(f"@@ -([0-9]+),[0-9]+ \\+([0-9]+),[0-9]+ @@{DOT}*")
 BODY = re.compile(f"[-+ \t\x0b\f\r]{DOT}*")
 
 
-def changed_lines(patch, hunk_mode=False, previous=4, following=4):
+def changed_lines(patch, hunk_mode=False, previous=4, following=4, max_length=None):
     lines = patch.split("\n")
     commit = file = None
     numbers = None  # [old, new] once a hunk is open
@@ -38,7 +38,7 @@ def changed_lines(patch, hunk_mode=False, previous=4, following=4):
             position += 1
             numbers[0] += line[0] != "+"
             numbers[1] += line[0] != "-"
-            if line[0] in "+-" and len(line) - 1 < 2000:
+            if line[0] in "+-" and (max_length is None or len(line) <= max_length):
                 shown = [
                     x[1:]
                     for x in lines[at : at + following]

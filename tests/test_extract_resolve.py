@@ -7,8 +7,7 @@ from prsignal import schemas
 from prsignal.operators import extract, resolve
 from prsignal.operators.clean import clean_comments
 from prsignal.plans import jobs
-from prsignal.session import broadcast_if_small
-from prsignal.sources import tables
+from prsignal.sources import sinks, tables
 
 
 def event(i, kind="PullRequestReviewCommentEvent", url="https://api.h/repos/o/r/pulls/1", **comment):
@@ -71,15 +70,7 @@ def test_a_hot_pull_request_takes_several_rows_and_loses_nothing(spark):
 def test_comments_are_shuffled_once(spark):
     grouped = extract.comments_by_pull_request(extract.review_comments(events(spark, [event(1)])))
     plan = grouped._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
-
-
-def test_broadcast_only_below_the_limit(spark):
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
-
-    assert hinted(broadcast_if_small(spark.range(10), 10))
-    assert not hinted(broadcast_if_small(spark.range(11), 10))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
 def test_opened_issues(spark):
@@ -233,7 +224,16 @@ def test_daily_extract_job(spark, tmp_path):
     events(spark, rows).write.partitionBy("day").parquet(path)
     assert jobs.extract_comments(spark, path, ["20240101", "20240102"], out) == ["20240101", "20240102"]
     assert jobs.extract_comments(spark, path, ["20240101", "20240102"], out) == []
-    back = clean_comments(tables.read_comments(spark, out))
-    got = sorted([p.new_position for p in r.comment_positions] for r in back.collect())
-    assert got == [[0, 1], [2]]
-    assert {h for r in back.collect() for h in r.diff_hunks} == {"@@ -1,1 +1,1 @@\n+a"}
+    back = spark.read.schema(schemas.COMMENT).parquet(out)
+    assert sorted((r.day, r.item, r.new_position, r.filename, r.has_commit) for r in back.collect()) == [
+        ("20240101", 0, 0, "a.py", True), ("20240101", 1, 1, "a.py", True), ("20240102", 2, 2, "a.py", True),
+    ]
+    assert {r.hunk for r in back.collect()} == {"@@ -1,1 +1,1 @@\n+a"}
+    requested = str(tmp_path / "requested")
+    for days in (["20240102", "20240103"], ["20240103", "20240104"]):
+        spark.createDataFrame([(d,) for d in days], "value string").write.mode("append").text(requested)
+        jobs.follow_days(spark, path, requested, out, str(tmp_path / "state"))
+    ledger = sorted(tuple(r) for r in sinks.read_ledger(spark, out).collect())
+    assert ledger == [("20240101", 2, ""), ("20240102", 1, ""), ("20240103", 0, "0"), ("20240104", 0, "1")]
+    clustered = jobs.label_store(spark, out, ["20240101"], "daily_comments", str(tmp_path / "clustered"), 3)
+    assert clustered.count() == 2

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from patch_model import changed_lines
 from prsignal import schemas
-from prsignal.operators import features, label, metrics, sample, score
+from prsignal.operators import comments, features, label, metrics, sample, score
+from prsignal.sources import sinks, tables
 
 URL = "https://api.h/repos/o/r/pulls/{}"
-HUNK = "@@ -33,4 +33,5 @@ type X int\n type M struct {\n \tN  N\n \tS   S\n+\tIP *ip\n \tA int\n \tH s\n \tP p"
+HUNK = "@@ -70,3 +82,5 @@ def load():\n rows = []\n-skip = 1\n for r in read():\n+    check(r)\n     rows += r"
 PATCH = """From c1 Mon Sep
 diff --git a/x/a.py b/x/a.py
 --- a/x/a.py
@@ -38,14 +39,18 @@ def resolved(spark, rows):
     )
 
 
-def test_hunk_gives_one_record(spark):
-    df = resolved(spark, [(1, [(11, 11)], ["text"], [HUNK], ["constant/m.go"], ["5bda"], "")])
+def test_hunk_gives_its_changed_lines(spark):
+    df = resolved(spark, [(1, [(4, 5)], ["why?"], [HUNK], ["app/io.py"], ["e1"], "")])
     for rows in (label.hunk_records(df).collect(), label.labelled_lines(df).collect()):
-        (r,) = rows
-        assert (r.line_text, r.filename, r.is_added, r.commented, r.line) == ("\tIP *ip", "constant/m.go", True, True, 35)
-        assert r.previous_lines == ["type M struct {", "\tN  N", "\tS   S", "\tIP *ip"]
-        assert r.next_lines == ["\tIP *ip", "\tA int", "\tH s", "\tP p"]
-        assert (r.comment_text, r.commit_id, r.offset) == ("text", None, None)
+        old, new = sorted(rows, key=lambda r: r.line_at)
+        assert (old.line_text, old.filename, old.is_added, old.commented, old.line) == ("skip = 1", "app/io.py", False, True, 71)
+        assert (new.line_text, new.filename, new.is_added, new.commented, new.line) == ("    check(r)", "app/io.py", True, True, 72)
+        assert new.previous_lines == ["rows = []", "skip = 1", "for r in read():", "    check(r)"]
+        assert old.next_lines == ["skip = 1", "for r in read():", "    check(r)", "    rows += r"]
+        assert (new.comment_text, new.commit_id, new.offset) == ("why?", None, None)
+    (last,) = label.hunk_records(df.withColumn("parsed_input", F.col("parsed_input").withField(
+        "diff_hunks", F.array(F.lit("@@ -1,1 +1,2 @@\n a\n+b\n")))), last_line_only=True).collect()
+    assert last.line_text == "b"
 
 
 def test_parallel_arrays_stop_at_the_shortest(spark):
@@ -176,24 +181,74 @@ def test_patch_records_against_brute_force(spark, compat):
     assert got == want and len(want) > (30 if compat else 200)
 
 
-def test_one_pass_join_and_separate_records_agree(spark):
+def shown(df, *without):
+    columns = [c for c in label.LABELLED_COLUMNS if c not in without]
+    return sorted(map(str, df.select(columns).collect()))
+
+
+def test_comments_in_several_rows_give_the_same_labels(spark):
     df = resolved(spark, random_rows(4))
-    columns = list(label.LABELLED_COLUMNS)
-    key = lambda rows: sorted(map(str, rows))
-    one_pass = key(label.all_records(df).select(columns).collect())
-    assert one_pass == key(label.hunk_records(df).unionByName(label.patch_records(df)).select(columns).collect())
-    # The comments of a pull request spread over several rows.
+    whole = shown(label.labelled_lines(df), "item")
+    assert len(whole) > 50
+    # Hunks in one row, positions in the other.
     parsed = F.col("parsed_input")
-    halves = [
-        df.withColumn("parsed_input", parsed.withField("diff_hunks", F.array().cast("array<string>"))),
-        df.withColumn(
-            "parsed_input",
-            parsed.withField("comment_positions", F.slice(parsed["comment_positions"], 1, 0)),
-        ),
-    ]
-    split = label.labelled_lines(halves[0].unionByName(halves[1]), several_rows=True)
-    light = [c for c in columns if c not in ("item",)]
-    assert key(split.select(light).collect()) == key(label.labelled_lines(df).select(light).collect())
+    hunks = parsed.withField("comment_positions", F.slice(parsed["comment_positions"], 1, 0))
+    positions = parsed.withField("diff_hunks", F.array().cast("array<string>"))
+    rows = df.withColumn("parsed_input", positions).unionByName(df.withColumn("parsed_input", hunks))
+    assert shown(label.labelled_lines(rows), "item") == whole
+    # The whole and an older patch besides.
+    empty = parsed.withField("comment_positions", F.slice(parsed["comment_positions"], 1, 0)).withField(
+        "diff_hunks", F.array().cast("array<string>")
+    )
+    old = df.withColumn("parsed_input", empty).withColumns({"patch": F.lit("zzz"), "at": F.lit(1)})
+    rows = df.withColumn("at", F.lit(2)).unionByName(old)
+    assert shown(label.labelled_lines(rows, newest_by="at"), "item") == whole
+    assert shown(label.labelled_lines(df.withColumn("at", F.lit(2)), newest_by="at"), "item") == whole
+
+
+def test_two_rows_of_one_pull_request(spark):
+    rows = [(1, [(None, n)], [], [], ["x/a.py"], ["c1"], PATCH) for n in (1, 5)]
+    got = {r.line_text: r.commented for r in label.labelled_lines(resolved(spark, rows)).collect()}
+    assert got == {"one": True, "five": True, "seven": False, "eight": False, "nine": False}
+
+
+def test_clustered_comments_are_not_moved(spark, tmp_path):
+    df = resolved(spark, random_rows(5))
+    comments.attach_comments(spark, "clustered_for_test", str(tmp_path / "c"), 4)
+    assert spark.table("clustered_for_test").count() == 0
+    rows = comments.comments_of_rows(df)
+    for half in (0, 1):
+        comments.add_comments(rows.where(F.col("item") % 2 == half), "clustered_for_test")
+    kept = spark.table("clustered_for_test")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.select(kept.columns).collect()))
+    got = label.labelled(label.newest_patches(df), kept)
+    assert shown(got) == shown(label.labelled_lines(df).withColumn("item", F.col("item").cast("bigint")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = label.flagged_lines(df.select("pull_request_url", "patch"), kept)
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One exchange, of the sections of the patches; the comments are read in buckets.
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert "SortMergeJoin" in plan and "patch" not in plan.split("Bucketed: true")[1].split("\n")[0]
+
+
+def test_only_the_folders_of_wanted_projects_are_read(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    sinks.write_issue_facts(spark.createDataFrame(FACTS, schemas.ISSUE_FACT), path)
+    lines = spark.createDataFrame(
+        [("u", "x/a.py", 11, "o/s"), ("u", "x/a.py", 10, "o/s"), ("u", "x/a.py", 10, None)],
+        "pull_request_url string, filename string, line int, project string",
+    )
+    lines.write.parquet(str(tmp_path / "lines"))
+    lines, facts = spark.read.parquet(str(tmp_path / "lines")), tables.read_issue_facts(spark, path)
+    marked = features.with_issue_marker(lines, facts, lines.select("project"))
+    assert sorted((r.line, r.project or "", r.not_in_issues) for r in marked.collect()) == [
+        (10, "", 1.0), (10, "o/s", 1.0), (11, "o/s", 0.0),
+    ]
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(project" in plan
 
 
 FACTS = [("o/r", "a.py", 10), ("o/r", "a.py", 10), ("o/s", "a.py", 11), ("o/s", "lib/a.py", 11)]

@@ -153,17 +153,66 @@ def test_scoring_stream_equals_batch_and_resumes(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
 
     def score(requests):
-        return requests.select("pull_request_url", F.lit(1).alias("line"))
+        return {"lines": requests.select("pull_request_url", F.lit(1).alias("line"))}
 
     def run():
         S.start_scoring(S.read_event_texts(spark, source, 1), score, out, state).awaitTermination()
-        return sorted(r.pull_request_url for r in spark.read.parquet(out).collect())
+        rejects = sorted(r.value for r in spark.read.parquet(f"{out}/rejects").collect())
+        return sorted(r.pull_request_url for r in spark.read.parquet(f"{out}/lines").collect()), rejects
 
     texts(spark, EVENTS).write.text(source)
+    bad = ["not json", '{"number": 4}']
+    assert run() == (["u1", "u3"], bad)
+    assert run() == (["u1", "u3"], bad)  # nothing new
+    texts(spark, [event(7), event(8, "closed"), "[]"]).write.mode("append").text(source)
+    assert run() == (["u1", "u3", "u7"], [*bad[:0], "[]", *bad])
+
+
+def test_a_batch_that_is_run_again_writes_the_same(spark, tmp_path):
+    """The last entry of the log of finished batches is lost, as when a driver dies before it is written."""
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    runs = []
+
+    def score(requests):
+        runs.append(1)
+        return {"lines": requests.select("pull_request_url")}
+
+    def run():
+        S.start_scoring(S.read_event_texts(spark, source), score, out, state).awaitTermination()
+        return sorted(r.pull_request_url for r in spark.read.parquet(f"{out}/lines").collect())
+
+    texts(spark, EVENTS).coalesce(1).write.text(source)
     assert run() == ["u1", "u3"]
-    assert run() == ["u1", "u3"]  # nothing new
-    texts(spark, [event(7), event(8, "closed")]).write.mode("append").text(source)
-    assert run() == ["u1", "u3", "u7"]
+    commits = tmp_path / "state" / "commits"
+    for entry in commits.iterdir():
+        if entry.name.strip(".").split(".")[0] == "0":
+            entry.unlink()
+    assert run() == ["u1", "u3"] and len(runs) == 2
+
+
+def test_a_fitted_model_in_a_stream_says_what_it_says_in_a_batch(spark, tmp_path):
+    rows = resolved_rows(spark)
+    requests = rows.select("pull_request_url", "pull_patch_url")
+    pages = rows.select(F.col("pull_patch_url").alias("url"), F.lit(200).alias("status"), F.col("patch").alias("body"))
+    facts = str(tmp_path / "facts")
+    spark.createDataFrame([("o/r", "ab.py", 3)], schemas.ISSUE_FACT).write.partitionBy("project").parquet(facts)
+    facts = tables.read_issue_facts(spark, facts)
+    model = M.train_model(prepared(spark), fast=True, **SMALL).model
+    lines = requests.collect()
+    events = [
+        json.dumps({"action": "opened", "pull_request": {"url": r.pull_request_url, "patch_url": r.pull_patch_url}})
+        for r in lines
+    ]
+    texts(spark, [*events, "x"]).repartition(3).write.text(str(tmp_path / "in"))
+    source = S.read_event_texts(spark, str(tmp_path / "in"), max_files=1)
+    out = str(tmp_path / "out")
+    jobs.score_events(source, pages, facts, model, out, str(tmp_path / "state")).awaitTermination()
+    suggestions, answers = jobs.score_requests(requests, pages, facts, model)
+    for name, batch in (("suggestions", suggestions), ("answers", answers)):
+        streamed = spark.read.parquet(f"{out}/{name}")
+        assert sorted(map(str, streamed.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+    assert suggestions.count() > 0 and spark.read.parquet(f"{out}/answers").count() == len(lines)
+    assert [r.value for r in spark.read.parquet(f"{out}/rejects").collect()] == ["x"]
 
 
 def test_event_log_stream(spark, tmp_path):
@@ -175,17 +224,23 @@ def test_event_log_stream(spark, tmp_path):
     assert spark.read.parquet(rejects).count() == 2
 
 
-def test_dedupe_stream(spark, tmp_path):
-    rows = [("u", "c", "f", i % 3, f"2024-01-01 00:0{i}:00") for i in range(9)]
-    df = spark.createDataFrame(rows, "pull_request_url string, commit_id string, filename string, line int, t string")
-    df = df.withColumn("t", F.col("t").cast("timestamp"))
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = (
-        S.dedupe_stream(stream, "t")
-        .writeStream.option("checkpointLocation", str(tmp_path / "state"))
-        .trigger(availableNow=True)
-        .start(str(tmp_path / "out"))
-    )
-    q.awaitTermination()
-    assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+def test_dedupe_forgets_and_counts_late_rows(spark, tmp_path):
+    schema = "pull_request_url string, commit_id string, filename string, line int, t string"
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def run(*rows):
+        df = spark.createDataFrame([("u", "c", "f", n, f"2024-01-01 {t}") for n, t in rows], schema)
+        df = df.withColumn("t", F.col("t").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(source)
+        q = S.start_dedupe(spark.readStream.schema(df.schema).parquet(source), "t", out, state)
+        q.awaitTermination()
+        got = spark.read.parquet(out).select("line", F.date_format("t", "HH:mm").alias("t")).collect()
+        return sorted(tuple(r) for r in got), S.late_rows(q)
+
+    first = [(1, "12:00"), (2, "12:00")]
+    assert run((1, "12:00"), (1, "12:00"), (2, "12:00")) == (first, 0)
+    assert run((1, "12:30"), (2, "12:10")) == (first, 0)
+    assert run((3, "15:00")) == ([*first, (3, "15:00")], 0)
+    # What was seen at noon is forgotten; what comes from then is late.
+    assert run((1, "15:10"), (4, "12:05")) == ([(1, "12:00"), (1, "15:10"), (2, "12:00"), (3, "15:00")], 1)
+    assert run((1, "15:20")) == ([(1, "12:00"), (1, "15:10"), (2, "12:00"), (3, "15:00")], 0)

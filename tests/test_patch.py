@@ -166,6 +166,13 @@ def test_random_hunks(spark):
     check_random(spark, True)
 
 
+def test_long_lines_are_kept_unless_a_length_is_given(spark):
+    text = "diff --git a/x b/x\n@@ -1,1 +1,1 @@\n+" + "y" * 1999 + "\n-" + "z" * 2000 + "\n+" + "w" * 1_000_000
+    assert [len(g[6]) for g in parse(spark, text)] == [1999, 2000, 1_000_000]
+    assert [len(g[6]) for g in parse(spark, text, max_length=P.DESCRIBED_MAX_LENGTH)] == [1999]
+    assert [len(r[6]) for r in changed_lines(text, max_length=2000)] == [1999]
+
+
 def test_rejects(spark):
     big = "99999999999"
     patches = [

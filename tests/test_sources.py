@@ -156,8 +156,30 @@ def test_merged_schemas(spark, tmp_path):
     assert set(tables.read_merged(spark, str(tmp_path / "t")).columns) == {"a", "b", "c", "p"}
 
 
-def test_spread_only_touches_few_partitions(spark):
-    few = spark.range(10).coalesce(1)
-    assert tables.spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 10, 1, 50)
-    assert tables.spread(many, "id").rdd.getNumPartitions() == 50
+def test_a_day_without_rows_is_finished_too(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    asked = []
+
+    def extract(days):
+        asked.append(list(days))
+        rows = [(d, 1) for d in days if d != "20240102"]
+        return spark.createDataFrame(rows, "day string, n int")
+
+    assert sinks.ingest_missing_days(spark, extract, ["20240102"], path, "a") == ["20240102"]
+    assert sinks.ingest_missing_days(spark, extract, ["20240101", "20240102"], path, "b") == ["20240101"]
+    assert sinks.ingest_missing_days(spark, extract, ["20240101", "20240102"], path, "c") == []
+    assert asked == [["20240102"], ["20240101"]]
+    got = sorted(map(tuple, sinks.read_ledger(spark, path).collect()))
+    assert got == [("20240101", 1, "b"), ("20240102", 0, "a")]
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_a_run_that_failed_before_its_entry_is_repeated(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    spark.createDataFrame([("20240101", 7)], "day string, n int").write.partitionBy("day").parquet(path)
+
+    def extract(days):
+        return spark.createDataFrame([(d, 8) for d in days], "day string, n int")
+
+    assert sinks.ingest_missing_days(spark, extract, ["20240101"], path) == ["20240101"]
+    assert [r.n for r in spark.read.parquet(path).collect()] == [8]

@@ -21,6 +21,10 @@ def test_quotes(spark):
 def test_decode_json_text(spark):
     texts = [r'"@@ -1,2 +1,2 @@\n+a \"b\" \\ \u00e9"', '""', "not json", None]
     assert values(spark, texts, X.decode_json_text) == ['@@ -1,2 +1,2 @@\n+a "b" \\ é', "", None, None]
+    others = ['"a","b"', "5", "null", '["a"]', '"a"],["b"', '{"a":"b"}', '"a', 'a"', '"a"b"', '"\\x"', "", " "]
+    assert values(spark, others, X.decode_json_text) == [None] * len(others)
+    long = "x\\n" * 200_000
+    assert values(spark, [f' "{long}" '], X.decode_json_text) == ["x\n" * 200_000]
 
 
 def test_parse_int(spark):
