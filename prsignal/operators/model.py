@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
@@ -20,10 +23,12 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prsignal.functions.text import bucket_of
 from prsignal.operators.features import prepare_training_data
 from prsignal.operators.label import labelled_lines
-from prsignal.operators.sample import balance_classes, split_by_key, summarize
+from prsignal.operators.sample import split_by_key, summarize, weigh_classes
 from prsignal.session import materialize
+from prsignal.sources.sinks import fingerprint
 
 # Parameters of the model.
 MAX_BINS = 50
@@ -31,101 +36,141 @@ MIN_INFO_GAIN_GRID = (0.0, 0.0001)
 FOLDS = 3
 PARALLELISM = 2
 MIN_DOC_FREQ = 10
-# Tasks that fit word vectors side by side.
+# Columns that words are hashed to.
+HASHES = 1 << 12
+# Rows that word vectors are fitted on, at most (about), and the tasks that do it.
+WORD_SAMPLE = 1_000_000
 WORD_VECTOR_PARTITIONS = 8
 SEED = 42
 
 
-def tokens(df: DataFrame, text: str = "line_text") -> DataFrame:
-    """Lower-cased words of a line, as the tokenizer of the pipeline gives them."""
-    words = F.filter(F.split(F.lower(text), r"\s+", -1), lambda w: w != "")
-    return df.withColumn("tokens", words)
+def tokenizer() -> RegexTokenizer:
+    """Lower-cased words of a line."""
+    return RegexTokenizer(inputCol="line_text", outputCol="tokens")
 
 
-def extension_index(df: DataFrame) -> DataFrame:
-    """(extension, extension_index): most frequent first, ties by name, as the indexer assigns."""
-    counts = df.where(F.col("extension").isNotNull()).groupBy("extension").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # The extensions come from a fixed list, so this window has a few dozen rows.
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "extension")))
-    return counts.agg(F.transform(ordered, lambda e: e["extension"]).alias("e")).select(
-        F.posexplode("e").alias("i", "extension")
-    ).select("extension", F.col("i").cast("double").alias("extension_index"))
+def indexer() -> StringIndexer:
+    """Number of a line's extension, most frequent first, ties by name; lines without one are left out."""
+    return StringIndexer(inputCol="extension", outputCol="extension_index", handleInvalid="skip")
 
 
-def prep_pipeline(
-    term_frequency: bool = False,
+def term_frequencies(n_hashes: int = HASHES, min_doc_freq: int = MIN_DOC_FREQ) -> list:
+    """Words hashed to ``n_hashes`` columns, and their weights by inverse document frequency."""
+    return [
+        HashingTF(inputCol="tokens", outputCol="raw_tf", numFeatures=n_hashes),
+        IDF(inputCol="raw_tf", outputCol="tf_idf", minDocFreq=min_doc_freq),
+    ]
+
+
+def _word_vectors(vector_size: int, min_count: int) -> Word2Vec:
+    return Word2Vec(
+        inputCol="tokens",
+        outputCol="wordvecs",
+        vectorSize=vector_size,
+        minCount=min_count,
+        numPartitions=WORD_VECTOR_PARTITIONS,
+        seed=SEED,
+    )
+
+
+def sample_of_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About ``n`` rows at most, chosen by hash of ``key``, so that reruns agree."""
+    part = min(n / max(df.count(), 1), 1.0)
+    return df if part == 1.0 else df.where(bucket_of(F.col(key), 1_000_000) < round(part * 1_000_000))
+
+
+def fit_prep(
+    df: DataFrame,
+    word_vectors: bool = False,
+    n_hashes: int = HASHES,
+    min_doc_freq: int = MIN_DOC_FREQ,
     vector_size: int = 100,
     min_count: int = 5,
-    n_hashes: int = 1 << 18,
-) -> Pipeline:
-    """Extension index, tokens, text vector, assembled features.
+    word_sample: int = WORD_SAMPLE,
+) -> PipelineModel:
+    """The fitted steps from prepared rows to features: extension index, tokens, text vector, assembled.
 
-    ``term_frequency`` uses term frequencies hashed to ``n_hashes`` columns
-    with IDF for the text instead of word vectors.
+    Text becomes hashed term frequencies, whose fitting needs sums of fixed size
+    only.  ``word_vectors`` uses the mean of word vectors instead; these are
+    fitted on about ``word_sample`` rows at most, as their vocabulary is held by
+    the driver.
     """
-    indexer = StringIndexer(
-        inputCol="extension", outputCol="extension_index", handleInvalid="skip"
-    )
-    tokenizer = RegexTokenizer(inputCol="line_text", outputCol="tokens")
-    if term_frequency:
-        text = [
-            HashingTF(inputCol="tokens", outputCol="raw_tf", numFeatures=n_hashes),
-            IDF(inputCol="raw_tf", outputCol="tf_idf", minDocFreq=MIN_DOC_FREQ),
-        ]
+    words = tokenizer()
+    with_words = words.transform(df)
+    if word_vectors:
+        vectors = _word_vectors(vector_size, min_count)
+        text = [vectors.fit(sample_of_rows(with_words, "line_text", word_sample))]
+        column = vectors.getOutputCol()
     else:
-        text = [
-            Word2Vec(
-                inputCol="tokens",
-                outputCol="wordvecs",
-                vectorSize=vector_size,
-                minCount=min_count,
-                numPartitions=WORD_VECTOR_PARTITIONS,
-                seed=SEED,
-            )
-        ]
-    assembler = VectorAssembler(
-        inputCols=[
-            text[-1].getOutputCol(),
-            "only_spaces",
-            "extension_index",
-            "line_length",
-            "not_in_issues",
-        ],
-        outputCol="features",
+        hashed, weights = term_frequencies(n_hashes, min_doc_freq)
+        text = [hashed, weights.fit(hashed.transform(with_words))]
+        column = weights.getOutputCol()
+    features = VectorAssembler(
+        inputCols=[column, "only_spaces", "extension_index", "line_length", "not_in_issues"], outputCol="features"
     )
-    return Pipeline(stages=[indexer, tokenizer, *text, assembler])
+    return PipelineModel([indexer().fit(df), words, *text, features])
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def load_or_fit_prep(df: DataFrame, path: str | None, **options) -> PipelineModel:
-    """The prep model saved at ``path``; fitted on ``df`` and saved where there is none."""
-    if path is not None and path_exists(df.sparkSession, path):
-        return PipelineModel.load(path)
-    model = prep_pipeline(**options).fit(df)
-    if path is not None:
-        model.write().overwrite().save(path)
-    return model
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, files = _file_system(spark, path)
+    return files.exists(target)
+
+
+def prep_address(df: DataFrame, store: str, **options) -> str:
+    """Where the steps fitted on these rows with these options are kept in a store."""
+    rows = fingerprint(df.select("extension", "line_text")).first()
+    said = json.dumps([sorted(options.items()), rows.n_rows, rows.content_id])
+    return f"{store}/{hashlib.sha256(said.encode()).hexdigest()[:32]}"
+
+
+def load_or_fit_prep(df: DataFrame, store: str | None, **options) -> PipelineModel:
+    """The steps kept in ``store`` for the same rows and options; fitted and kept where there are none.
+
+    They are written aside and then renamed, so that a reader finds all or
+    nothing; of two that fit at once, the first stays.
+    """
+    if store is None:
+        return fit_prep(df, **options)
+    spark, path = df.sparkSession, prep_address(df, store, **options)
+    if not path_exists(spark, path):
+        aside = f"{store}/_aside-{uuid.uuid4().hex}"
+        fit_prep(df, **options).write().save(aside)
+        source, files = _file_system(spark, aside)
+        target, _ = _file_system(spark, path)
+        if files.exists(target) or not files.rename(source, target):
+            files.delete(source, True)
+    return PipelineModel.load(path)
 
 
-def train_classifier(features: DataFrame, fast: bool = False, **options) -> CrossValidatorModel:
-    """Gradient-boosted trees, chosen by 3-fold cross validation on area under PR."""
+def with_folds(df: DataFrame, folds: int = FOLDS, key: str = "pull_request_url") -> DataFrame:
+    """Add ``fold``, from a hash of ``key``: all rows of a pull request are in one fold."""
+    return df.withColumn("fold", bucket_of(F.col(key), folds).cast("int"))
+
+
+def train_classifier(features: DataFrame, fast: bool = False, folds: int = FOLDS, **options) -> CrossValidatorModel:
+    """Gradient-boosted trees, chosen by cross validation on area under PR.
+
+    ``features`` has the columns features, label, weight and fold.  Rows count
+    by their weight, in trees as in areas; none is repeated, so no row is on
+    both sides of a fold.
+    """
     classifier = GBTClassifier(
-        featuresCol="features", labelCol="label", maxBins=MAX_BINS, seed=SEED, **options
+        featuresCol="features", labelCol="label", weightCol="weight", maxBins=MAX_BINS, seed=SEED, **options
     )
     grid = ParamGridBuilder()
     if not fast:
         grid = grid.addGrid(classifier.minInfoGain, list(MIN_INFO_GAIN_GRID))
     return CrossValidator(
         estimator=classifier,
-        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderPR"),
+        evaluator=BinaryClassificationEvaluator(labelCol="label", weightCol="weight", metricName="areaUnderPR"),
         estimatorParamMaps=grid.build(),
-        numFolds=FOLDS,
+        numFolds=folds,
+        foldCol="fold",
         parallelism=PARALLELISM,
         collectSubModels=False,
         seed=SEED,
@@ -140,15 +185,18 @@ class Trained:
 
 def train_model(
     prepared: DataFrame,
-    prep_path: str | None = None,
+    prep_store: str | None = None,
     fast: bool = False,
     prep_options: dict | None = None,
     classifier_options: dict | None = None,
 ) -> Trained:
-    """Balance, prepare, cross validate; the result scores prepared rows."""
-    balanced = materialize(balance_classes(prepared))
-    prep = load_or_fit_prep(balanced, prep_path, **(prep_options or {}))
-    features = prep.transform(balanced).select("features", "label").persist()
+    """Weigh, prepare, cross validate; the result scores prepared rows.
+
+    ``prepared`` has the pull request of each row, by which folds are dealt.
+    """
+    rows = materialize(with_folds(weigh_classes(prepared)))
+    prep = load_or_fit_prep(rows, prep_store, **(prep_options or {}))
+    features = prep.transform(rows).select("features", "label", "weight", "fold").persist()
     try:
         validated = train_classifier(features, fast, **(classifier_options or {}))
     finally:
@@ -172,7 +220,7 @@ def evaluate(scored: DataFrame) -> dict[str, float]:
 
 
 def cv_summary(validated: CrossValidatorModel) -> list[dict]:
-    """Parameters and mean score (on balanced classes) of every cross-validated model."""
+    """Parameters and mean score (on weighted classes) of every cross-validated model."""
     return [
         {"params": {p.name: v for p, v in params.items()}, "area_under_pr": metric}
         for params, metric in zip(validated.getEstimatorParamMaps(), validated.avgMetrics)
@@ -182,7 +230,7 @@ def cv_summary(validated: CrossValidatorModel) -> list[dict]:
 def train_and_evaluate(
     resolved: DataFrame,
     facts: DataFrame,
-    prep_path: str | None = None,
+    prep_store: str | None = None,
     train: float = 0.9,
     fast: bool = False,
     compat: bool = False,
@@ -205,7 +253,7 @@ def train_and_evaluate(
     )
     size = summarize(prepared).first()
     train_rows, test_rows = split_by_key(prepared, train=train)
-    trained = train_model(train_rows, prep_path, fast, prep_options, classifier_options)
+    trained = train_model(train_rows, prep_store, fast, prep_options, classifier_options)
     scored = score(trained.model, test_rows).select("label", "rawPrediction", "p1").persist()
     try:
         metrics = evaluate(scored)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prsignal.functions.text import bucket_of
@@ -30,23 +30,33 @@ def summarize(df: DataFrame) -> DataFrame:
     )
 
 
-def balance_classes(df: DataFrame, ratio_basis: str = "total") -> DataFrame:
-    """Repeat every positive ceil(total / positives) times.
-
-    ``ratio_basis="negatives"`` uses ceil(negatives / positives) instead, which
-    is what evens out the classes.  Without any positive the result raises.
-    """
+def _times(df: DataFrame, ratio_basis: str) -> Column:
+    """How often a positive counts, as an uncorrelated scalar subquery: two numbers, computed once, no join."""
     if ratio_basis not in ("total", "negatives"):
         raise ValueError(f"unknown ratio basis {ratio_basis!r}")
     positives = F.sum((F.col("label") != 0).cast("bigint"))
     total = F.count(F.lit(1)) - (positives if ratio_basis == "negatives" else F.lit(0))
     # Null, and not 1, when there is nothing to repeat.
     ratio = F.when(positives > 0, F.greatest(F.ceil(total / positives), F.lit(1)))
-    # An uncorrelated scalar subquery: two numbers, computed once, no join.
     times = df.agg(ratio.cast("int").alias("ratio")).scalar()
-    checked = F.coalesce(
+    return F.coalesce(
         times, F.raise_error(F.lit("no positive examples, refusing to balance")).cast("int")
     )
-    copies = F.array_repeat(F.lit(1), F.when(F.col("label") != 0, checked).otherwise(
-        F.when(checked > 0, 1)))
+
+
+def balance_classes(df: DataFrame, ratio_basis: str = "total") -> DataFrame:
+    """Repeat every positive ceil(total / positives) times.
+
+    ``ratio_basis="negatives"`` uses ceil(negatives / positives) instead, which
+    is what evens out the classes.  Without any positive the result raises.
+    """
+    times = _times(df, ratio_basis)
+    copies = F.array_repeat(F.lit(1), F.when(F.col("label") != 0, times).otherwise(F.when(times > 0, 1)))
     return df.withColumn("copy", F.explode(copies)).drop("copy")
+
+
+def weigh_classes(df: DataFrame, ratio_basis: str = "total") -> DataFrame:
+    """Add ``weight``: how often :func:`balance_classes` would repeat the row, without a copy of it."""
+    times = _times(df, ratio_basis)
+    weight = F.when(F.col("label") != 0, times).otherwise(F.when(times > 0, 1))
+    return df.withColumn("weight", weight.cast("double"))

@@ -91,11 +91,11 @@ def mine_issues(
 
 
 def train(
-    spark: SparkSession, resolved: str, facts: str, output: str, prep_path: str, **options
+    spark: SparkSession, resolved: str, facts: str, output: str, prep_store: str, **options
 ) -> DataFrame:
     """Train, save the model (fails where one is saved already) and write the report."""
     trained, report = M.train_and_evaluate(
-        read_resolved(spark, resolved), read_issue_facts(spark, facts), prep_path, **options
+        read_resolved(spark, resolved), read_issue_facts(spark, facts), prep_store, **options
     )
     trained.write().save(f"{output}/model")
     write_report(report, f"{output}/effectiveness")

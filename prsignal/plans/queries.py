@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from prsignal.functions import text as X
 from prsignal.functions.messages import suggestion_message
 from prsignal.operators import clean, comments, extract, features, issues, label, metrics, patch, resolve
@@ -706,42 +708,143 @@ def balanced_classes_by_negatives(spark, sf_dir):
 
 @query
 def extension_index(spark, sf_dir):
-    """Index of extensions as the indexer assigns it."""
-    lines = V.changed(spark, sf_dir).withColumn("extension", X.extension(F.col("filename")))
-    return ml.extension_index(lines)
+    """Index of extensions as the fitted indexer assigns it to lines."""
+    lines = V.changed(spark, sf_dir).select(X.extension(F.col("filename")).alias("extension"))
+    lines = materialize(lines)
+    return ml.indexer().fit(lines).transform(lines).distinct()
 
 
 @query
 def tokens(spark, sf_dir):
-    """Words of every line as the tokenizer gives them, counted."""
-    words = ml.tokens(V.changed(spark, sf_dir), "text").select(F.explode("tokens").alias("token"))
+    """Words of every line as the tokenizer of the model gives them, counted."""
+    lines = V.changed(spark, sf_dir).select(F.col("text").alias("line_text"))
+    words = ml.tokenizer().transform(lines).select(F.explode("tokens").alias("token"))
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def hashed_words(spark, sf_dir):
+    """Document frequencies of hashed words: lines, lines with a word, and whether fitted and counted ones agree.
+
+    Columns of rare words, which get no weight, are left out.
+    """
+    lines = materialize(V.changed(spark, sf_dir).select(F.col("text").alias("line_text")))
+    hashed, weights = ml.term_frequencies(n_hashes=1 << 10)
+    rows = hashed.transform(ml.tokenizer().transform(lines))
+    fitted = weights.fit(rows)
+    counted = (
+        rows.select(F.posexplode(vector_to_array("raw_tf")).alias("column", "tf"))
+        .where("tf > 0")
+        .groupBy("column")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= ml.MIN_DOC_FREQ)
+    )
+    frequencies = [(i, int(n)) for i, n in enumerate(fitted.docFreq) if n >= ml.MIN_DOC_FREQ]
+    known = spark.createDataFrame(frequencies, "column int, fitted bigint")
+    agree = known.join(counted, "column", "full").agg(F.bool_and(F.expr("fitted <=> n")).alias("agree")).scalar()
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.size("tokens") > 0).alias("n_with_words"), agree.alias("agree")
+    )
+
+
+@query
+def weighted_classes(spark, sf_dir):
+    """Weights of rows in training, instead of copies."""
+    return sample.weigh_classes(materialize(_prepared(spark, sf_dir))).groupBy("label", "weight").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query
+def training_folds(spark, sf_dir):
+    """Folds of cross validation: every pull request is in one of them."""
+    folds = ml.with_folds(_prepared(spark, sf_dir))
+    return folds.groupBy("pull_request_url", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def prep_models(spark, sf_dir):
+    """Preparation steps fitted, kept and found again: by the same rows and options only."""
+    store = _fresh_path(spark, "prep")
+    rows = materialize(_prepared(spark, sf_dir))
+    others = rows.where("is_added")
+    steps = (("first", rows, 64), ("again", rows, 64), ("other options", rows, 32), ("other rows", others, 64))
+    out = []
+    for name, df, n_hashes in steps:
+        there = ml.path_exists(spark, ml.prep_address(df, store, n_hashes=n_hashes))
+        kept = ml.load_or_fit_prep(df, store, n_hashes=n_hashes)
+        fitted = ml.fit_prep(df, n_hashes=n_hashes)
+        ways = [
+            m.transform(df).groupBy(F.md5(F.to_json(vector_to_array("features"))).alias("row")).agg(
+                F.count(F.lit(1)).alias("n")
+            )
+            for m in (kept, fitted)
+        ]
+        out.append(
+            ways[0].agg(F.sum("n").alias("n_rows")).select(
+                F.lit(name).alias("step"), F.lit(there).alias("found"), "n_rows",
+                (F.lit(ways[0].exceptAll(ways[1]).isEmpty() and ways[1].exceptAll(ways[0]).isEmpty())).alias("agree"),
+            )
+        )
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+# Small settings for queries that train.
+_TOY = {"prep_options": {"n_hashes": 64}, "classifier_options": {"maxIter": 3, "maxDepth": 3}}
+
+
 @query
 def model_report(spark, sf_dir):
-    """Train on most pull requests, evaluate on the rest."""
-    _, report = ml.train_and_evaluate(
-        V.resolved(spark, sf_dir), _facts(spark, sf_dir), fast=True,
-        prep_options={"vector_size": 16}, classifier_options={"maxIter": 3, "maxDepth": 3},
-    )
-    return report.select("n", "positives", F.col("pr").isNotNull().alias("has_pr"),
-                         F.col("roc").isNotNull().alias("has_roc"), F.size("cv").alias("n_models"))
+    """Train on most pull requests with the whole grid, evaluate on the rest."""
+    _, report = ml.train_and_evaluate(V.resolved(spark, sf_dir), _facts(spark, sf_dir), **_TOY)
+    return report.select("n", "positives", F.col("pr").between(0, 1).alias("has_pr"),
+                         F.col("roc").between(0, 1).alias("has_roc"), F.size("cv").alias("n_models"))
 
 
 @query
 def model_suggestions(spark, sf_dir):
-    """Model trained on the labelled lines, new pull requests scored with it."""
+    """Model trained on the labelled lines, saved and loaded, and new pull requests scored with it.
+
+    One row per request: its message, and whether its suggestions are at most
+    seven, ranked from 1 without gaps, on lines that the patch changes, and the
+    same with the model as it was before it was saved.
+    """
     facts = materialize(_facts(spark, sf_dir))
-    prepared = features.prepare_training_data(label.labelled_lines(V.resolved(spark, sf_dir)), facts)
-    trained = ml.train_model(
-        prepared, fast=True, prep_options={"vector_size": 16},
-        classifier_options={"maxIter": 2, "maxDepth": 3},
-    )
+    labelled = label.labelled_lines(V.resolved(spark, sf_dir))
+    prepared = features.prepare_training_data(labelled, facts, keep=("pull_request_url",))
+    trained = ml.train_model(prepared, fast=True, **_TOY).model
+    path = _fresh_path(spark, "model")
+    trained.write().save(path)
     requests = V.resolved(spark, sf_dir).select("pull_request_url", "pull_patch_url")
     pages = V.responses(spark, sf_dir).where("status = 200")
-    suggestions, _ = jobs.score_requests(requests, pages, facts, trained.model)
-    return suggestions.select("pull_request_url", "filename", "commit_id", "line", "rank", "message")
+    suggestions, answers = jobs.score_requests(requests, pages, facts, PipelineModel.load(path))
+    again, _ = jobs.score_requests(requests, pages, facts, trained)
+    there = V.changed(spark, sf_dir).select(
+        "pull_request_url", "filename", "commit_id", F.col("position").alias("line"), F.lit(True).alias("there")
+    ).distinct()
+    key = ["pull_request_url", "filename", "commit_id", "line", "rank"]
+    checked = (
+        suggestions.select(*key, "message")
+        .join(again.select(*key, F.col("message").alias("before")), key, "full")
+        .join(there, key[:4], "left")
+        .groupBy("pull_request_url")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("rank").alias("last"),
+            F.countDistinct("rank").alias("ranks"),
+            F.bool_and(F.coalesce("there", F.lit(False))).alias("there"),
+            F.bool_and(F.coalesce(F.col("message") == F.col("before"), F.lit(False))).alias("same"),
+        )
+    )
+    return answers.join(checked, "pull_request_url", "left").select(
+        "pull_request_url",
+        "message",
+        (F.coalesce("n", F.lit(0)) == F.size("positions")).alias("all_listed"),
+        (F.coalesce("n", F.lit(0)) <= score.MAX_SUGGESTIONS).alias("at_most_seven"),
+        F.coalesce((F.col("last") == F.col("n")) & (F.col("ranks") == F.col("n")), F.lit(True)).alias("ranked"),
+        F.coalesce("there", F.lit(True)).alias("lines_exist"),
+        F.coalesce("same", F.lit(True)).alias("saved_agrees"),
+    )
 
 
 @query

@@ -2,16 +2,16 @@ import json
 
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import RegexTokenizer, StringIndexer
 from pyspark.sql import functions as F
 
 from prsignal import schemas
 from prsignal.operators import model as M
+from prsignal.operators.sample import balance_classes, weigh_classes
 from prsignal.plans import jobs
 from prsignal.sources import tables
 from prsignal.streaming import events as S
 
-SMALL = {"prep_options": {"vector_size": 4, "min_count": 1}, "classifier_options": {"maxIter": 2, "maxDepth": 2}}
+SMALL = {"prep_options": {"n_hashes": 64, "min_doc_freq": 1}, "classifier_options": {"maxIter": 2, "maxDepth": 2}}
 
 
 def prepared(spark, n=240):
@@ -34,41 +34,58 @@ def prepared(spark, n=240):
     )
 
 
-def test_tokens_match_the_tokenizer(spark):
-    texts = ["  Foo(bar)  BAZ\t", "", "   ", "a  b", "Äß x"]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, line_text string")
-    want = RegexTokenizer(inputCol="line_text", outputCol="w").transform(df).orderBy("i").collect()
-    got = M.tokens(df).orderBy("i").collect()
-    assert [r.tokens for r in got] == [r.w for r in want]
-
-
-def test_extension_index_matches_the_indexer(spark):
-    items = ["py"] * 5 + ["go"] * 7 + ["md"] * 5 + [None] * 3 + ["js"]
-    df = spark.createDataFrame([(e,) for e in items], "extension string")
-    indexer = StringIndexer(inputCol="extension", outputCol="i", handleInvalid="skip").fit(df)
-    got = {r.extension: r.extension_index for r in M.extension_index(df).collect()}
-    assert got == {e: float(i) for i, e in enumerate(indexer.labels)}
-
-
-def test_prep_model_is_reused(spark, tmp_path):
-    path = str(tmp_path / "prep")
-    first = M.load_or_fit_prep(prepared(spark), path, vector_size=4, min_count=1)
-    other = prepared(spark).withColumn("line_text", F.lit("something else entirely"))
-    again = M.load_or_fit_prep(other, path, vector_size=4, min_count=1)
-    words = lambda m: sorted(r.word for r in m.stages[2].getVectors().collect())
-    assert words(first) == words(again)
-    assert (tmp_path / "prep" / "metadata").exists()
+def test_prep_models_are_kept_by_rows_and_options(spark, tmp_path):
+    store = str(tmp_path / "prep")
+    rows = prepared(spark)
+    first = M.load_or_fit_prep(rows, store, n_hashes=16)
+    path = M.prep_address(rows.repartition(3), store, n_hashes=16)
+    assert M.path_exists(spark, path) and path == M.prep_address(rows, store, n_hashes=16)
+    other = rows.withColumn("line_text", F.lit("something else entirely"))
+    assert M.prep_address(other, store, n_hashes=16) != path != M.prep_address(rows, store, n_hashes=17)
+    again = M.load_or_fit_prep(rows, store, n_hashes=16)
+    assert again.stages[3].docFreq == first.stages[3].docFreq
+    assert M.load_or_fit_prep(other, store, n_hashes=16).stages[3].docFreq != first.stages[3].docFreq
+    # One folder a model and nothing left aside.
+    assert len(list((tmp_path / "prep").iterdir())) == 2
 
 
 def test_word_vectors_and_term_frequencies(spark):
-    for options, size in (({"vector_size": 4, "min_count": 1}, 8), ({"term_frequency": True, "n_hashes": 16}, 20)):
-        model = M.prep_pipeline(**options).fit(prepared(spark))
+    for options, size in (({"word_vectors": True, "vector_size": 4, "min_count": 1}, 8), ({"n_hashes": 16}, 20)):
+        model = M.fit_prep(prepared(spark), **options)
         rows = prepared(spark).unionByName(prepared(spark, 1).withColumn("extension", F.lit("unseen")))
         out = model.transform(rows)
         assert out.count() == 240  # an unseen extension is skipped
         assert out.first().features.size == size
 
 
+def test_word_vectors_are_fitted_on_a_bounded_sample(spark):
+    rows = spark.range(5000).selectExpr("concat('x', id) AS line_text")
+    assert M.sample_of_rows(rows, "line_text", 5000).count() == 5000
+    some = M.sample_of_rows(rows, "line_text", 500)
+    assert 300 < some.count() < 700
+    assert some.exceptAll(M.sample_of_rows(rows.repartition(7), "line_text", 500)).isEmpty()
+
+
+def test_rare_words_get_no_weight(spark):
+    rows = spark.createDataFrame([("a b",)] * 12 + [("c",)] * 9, "line_text string")
+    words = M.tokenizer().transform(rows)
+    hashed, weights = M.term_frequencies(n_hashes=1 << 16)
+    model = weights.fit(hashed.transform(words))
+    assert sorted(int(n) for n in model.docFreq if n >= M.MIN_DOC_FREQ) == [12, 12]
+    assert sorted(round(v, 3) for v in model.idf.toArray() if v) == [0.526, 0.526]
+
+
+def test_folds_hold_whole_pull_requests_and_weights_stand_for_copies(spark):
+    rows = M.with_folds(weigh_classes(prepared(spark)))
+    assert rows.select("pull_request_url", "fold").distinct().count() == 30
+    assert {r.fold for r in rows.select("fold").collect()} == {0, 1, 2}
+    copies = balance_classes(prepared(spark)).groupBy("label").count().collect()
+    weights = rows.groupBy("label").agg(F.sum("weight").alias("count")).collect()
+    assert sorted((r.label, float(r["count"])) for r in weights) == sorted((r.label, float(r["count"])) for r in copies)
+    with pytest.raises(Exception, match="no positive examples"):
+        weigh_classes(prepared(spark).where("label = 0")).collect()
+
+
 def test_train_and_score(spark):
     trained = M.train_model(prepared(spark), **SMALL)
     assert len(M.cv_summary(trained.cross_validation)) == len(M.MIN_INFO_GAIN_GRID)

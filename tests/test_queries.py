@@ -21,16 +21,9 @@ def test_query_equals_sql(spark, db, name):
     assert differences(spark, db, name, QUERIES[name], SQL[name], SF_DIR) == []
 
 
-def test_every_query_but_model_training_has_sql():
-    own = QUERIES.keys() - entry.LLM_QUERIES.keys()
-    assert own - SQL.keys() == {"model_report", "model_suggestions"}
-    assert SQL.keys() <= QUERIES.keys()
+def test_every_query_has_sql():
+    assert QUERIES.keys() - entry.LLM_QUERIES.keys() == SQL.keys() - entry.LLM_SQL.keys()
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_model_report(spark):
-    row = QUERIES["model_report"](spark, SF_DIR).first()
-    assert row.n > row.positives > 0 and row.has_pr and row.has_roc
