@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prsignal.operators.comments import comments_of_rows, file_marks
-from prsignal.operators.patch import changed_lines, file_sections, split_rejects
+from prsignal.operators.patch import changed_lines, file_sections
 from prsignal.session import materialize
 
 LABELLED_COLUMNS = (
@@ -76,8 +76,7 @@ def records_of_hunks(comments: DataFrame, last_line_only: bool = False) -> DataF
     hunks = comments.where("has_hunk").select(
         "pull_request_url", "day", "item", "hunk", F.col("filename").alias("path"), "comment_text"
     )
-    ok, _ = split_rejects(hunks, "hunk", hunk_mode=True)
-    ok = ok.withColumn("last", F.size(F.split(F.rtrim(F.col("hunk"), F.lit("\n")), "\n", -1)) - 1)
+    ok = hunks.withColumn("last", F.size(F.split(F.rtrim(F.col("hunk"), F.lit("\n")), "\n", -1)) - 1)
     lines = changed_lines(file_sections(ok, "hunk", hunk_mode=True))
     if last_line_only:
         lines = lines.where(F.col("line_at") == F.col("last"))
@@ -128,8 +127,7 @@ def flagged_lines(patches: DataFrame, comments: DataFrame, **context: int) -> Da
     ``hit`` says that a comment on the line's commit points at it, ``near`` that
     one on any commit points at it or next to it.
     """
-    ok, _ = split_rejects(patches.select("pull_request_url", "patch"))
-    sections = file_sections(ok)
+    sections = file_sections(patches.select("pull_request_url", "patch"))
     marked = sections.join(file_marks(comments), ["pull_request_url", "filename"], "left").selectExpr(
         *sections.columns,
         "transform(filter(coalesce(hits, array()), h -> h.commit_id <=> commit_id), h -> h.at) AS hit_at",
@@ -239,10 +237,8 @@ def records_of_patches(patches: DataFrame, comments: DataFrame, compat: bool = F
     negatives.
     """
     if compat:
-        ok, _ = split_rejects(patches.select("pull_request_url", "patch"))
-        flagged = flag_commented_lines(
-            changed_lines(file_sections(ok)), comments.where("has_position"), compat=True
-        )
+        lines = changed_lines(file_sections(patches.select("pull_request_url", "patch")))
+        flagged = flag_commented_lines(lines, comments.where("has_position"), compat=True)
         kept, commented = flagged.where(F.col("near") & ~F.col("hit")), F.lit(True)
     else:
         flagged = flagged_lines(patches, comments)

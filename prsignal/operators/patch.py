@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prsignal.functions.arrays import bind, compute_once, counts_before, flags_at, pieces, present
@@ -92,6 +92,70 @@ def _quoted(names: Sequence[str]) -> list[str]:
     return [f"`{n}`" for n in names]
 
 
+def _reason(lines: str, hunk_mode: bool | str, strict: bool) -> str:
+    """Why a patch of these lines cannot be parsed, or null.
+
+    A header whose line number does not fit an int is an error where headers
+    count: after a ``diff`` command, and everywhere in hunk mode.  In hunk mode
+    a header between a commit line and the next ``diff`` command has no
+    position to count from.
+    """
+    header = _header(strict)
+    number = f"try_cast(regexp_extract(line, r'{header}', {{}}) AS INT)"
+    # d = diff command, c = commit line, h/o = header that fits / overflows.
+    kind = f"""CASE WHEN {_opens_file()} THEN 'd' WHEN {_opens_commit()} THEN 'c'
+        WHEN {_is("line", "@@ -", header)} THEN
+            CASE WHEN {number.format(1)} IS NULL OR {number.format(2)} IS NULL THEN 'o' ELSE 'h' END
+        ELSE '' END"""
+    mode = _mode(hunk_mode)
+    return bind(
+        f"array_join(transform({lines}, line -> {kind}), '')",
+        "word",
+        f"""CASE
+            WHEN word RLIKE 'd[dho]*o' OR ({mode} AND word RLIKE 'o')
+                THEN 'line number does not fit an int'
+            WHEN {mode} AND word RLIKE 'c[cho]*[ho]' THEN 'header without a position' END""",
+    )
+
+
+def _sections_and_rejects(
+    df: DataFrame, text_col: str, hunk_mode: bool | str, look: int, strict: bool
+) -> DataFrame:
+    """File sections of the patches that parse, and one row with an ``error`` for each that does not.
+
+    A text is split once, both for the check and for the cut.
+    """
+    keep = _quoted([c for c in df.columns if c != text_col])
+    empty = "CAST(array() AS array<string>)"
+
+    def or_error(found: str, error: str) -> str:
+        return (
+            f"CASE WHEN {error} IS NULL THEN {found} "
+            f"ELSE array(named_struct('at', 0, 'own', 0, 'lines', {empty})) END"
+        )
+
+    cut = bind(
+        _reason("patch_lines", hunk_mode, strict),
+        "error",
+        "named_struct('error', error, 'commits', "
+        + or_error(pieces("patch_lines", "size(patch_lines)", _opens_commit(), look), "error")
+        + ")",
+    )
+    commits = compute_once(
+        df.where(F.col(text_col).isNotNull()), cut=bind(_lines(text_col, strict), "patch_lines", cut)
+    ).selectExpr(*keep, "cut.error AS error", "inline(cut.commits) AS (commit_at, commit_own, commit_lines)")
+    return commits.selectExpr(
+        *keep,
+        "error",
+        "commit_at",
+        f"CASE WHEN {_opens_commit('get(commit_lines, 0)')} "
+        f"THEN regexp_extract(commit_lines[0], r'{COMMIT_LINE}', 1) END AS commit_id",
+        "inline("
+        + or_error(pieces("commit_lines", "commit_own", _opens_file(), look), "error")
+        + ") AS (file_at, own, lines)",
+    )
+
+
 def file_sections(
     df: DataFrame,
     text_col: str = "patch",
@@ -103,30 +167,13 @@ def file_sections(
     """One row per file section of a patch, next to the other columns of ``df``.
 
     Adds ``commit_id``, ``filename``, ``first_position`` and the section's
-    lines.  Only for patches that can be parsed (see :func:`split_rejects`).
+    lines.  Patches that cannot be parsed give nothing (see :func:`split_rejects`).
     In ``hunk_mode`` the text is a bare hunk, so lines before any ``diff``
     command count as well; the name of a boolean column decides row by row.
     """
-    look = max(next_lines - 1, 0)
+    rows = _sections_and_rejects(df, text_col, hunk_mode, max(next_lines - 1, 0), strict)
     keep = _quoted([c for c in df.columns if c != text_col])
-    commits = df.where(F.col(text_col).isNotNull()).selectExpr(
-        *keep,
-        "inline("
-        + bind(
-            _lines(text_col, strict),
-            "patch_lines",
-            pieces("patch_lines", "size(patch_lines)", _opens_commit(), look),
-        )
-        + ") AS (commit_at, commit_own, commit_lines)",
-    )
-    sections = commits.selectExpr(
-        *keep,
-        "commit_at",
-        f"CASE WHEN {_opens_commit('commit_lines[0]')} "
-        f"THEN regexp_extract(commit_lines[0], r'{COMMIT_LINE}', 1) END AS commit_id",
-        f"inline({pieces('commit_lines', 'commit_own', _opens_file(), look)}) "
-        "AS (file_at, own, lines)",
-    )
+    sections = rows.where("error IS NULL")
     opened = _opens_file("lines[0]")
     sections = sections.where(f"{opened} OR {_mode(hunk_mode)}")
     # The last "+++ b/" line before the first hunk header names the file.
@@ -260,38 +307,12 @@ def changed_lines(
     )
 
 
-def _rejection(text_col: str, hunk_mode: bool | str, strict: bool) -> Column:
-    """Why a patch cannot be parsed, or null.
-
-    A header whose line number does not fit an int is an error where headers
-    count: after a ``diff`` command, and everywhere in hunk mode.  In hunk mode
-    a header between a commit line and the next ``diff`` command has no
-    position to count from.
-    """
-    header = _header(strict)
-    number = f"try_cast(regexp_extract(line, r'{header}', {{}}) AS INT)"
-    # d = diff command, c = commit line, h/o = header that fits / overflows.
-    kind = f"""CASE WHEN {_opens_file()} THEN 'd' WHEN {_opens_commit()} THEN 'c'
-        WHEN {_is("line", "@@ -", header)} THEN
-            CASE WHEN {number.format(1)} IS NULL OR {number.format(2)} IS NULL THEN 'o' ELSE 'h' END
-        ELSE '' END"""
-    mode = _mode(hunk_mode)
-    reason = bind(
-        f"array_join(transform({_lines(text_col, strict)}, line -> {kind}), '')",
-        "word",
-        f"""CASE
-            WHEN word RLIKE 'd[dho]*o' OR ({mode} AND word RLIKE 'o')
-                THEN 'line number does not fit an int'
-            WHEN {mode} AND word RLIKE 'c[cho]*[ho]' THEN 'header without a position' END""",
-    )
-    return F.expr(f"CASE WHEN `{text_col}` IS NULL THEN 'no text' ELSE {reason} END")
-
-
 def split_rejects(
     df: DataFrame, text_col: str = "patch", *, hunk_mode: bool | str = False, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(patches that parse, patches that do not with an ``error`` column)."""
-    reason = _rejection(text_col, hunk_mode, strict)
+    found = _reason(_lines(text_col, strict), hunk_mode, strict)
+    reason = F.expr(f"CASE WHEN `{text_col}` IS NULL THEN 'no text' ELSE {found} END")
     ok = df.where(reason.isNull())
     bad = df.withColumn("error", reason).where(F.col("error").isNotNull())
     return ok, bad
@@ -320,8 +341,8 @@ def parse_patches(
     read the mail signature line ``-- `` as a removed line.  ``max_length``
     leaves out longer changed lines; by default all are kept.
     """
-    ok, _ = split_rejects(df.select(*id_cols, text_col), text_col, hunk_mode=hunk_mode, strict=strict)
-    sections = file_sections(ok, text_col, hunk_mode=hunk_mode, next_lines=next_lines, strict=strict)
+    texts = df.select(*id_cols, text_col)
+    sections = file_sections(texts, text_col, hunk_mode=hunk_mode, next_lines=next_lines, strict=strict)
     return changed_lines(
         sections,
         previous_lines=previous_lines,

@@ -16,7 +16,7 @@ from prsignal.operators.comments import add_comments, attach_comments, comments_
 from prsignal.operators.extract import review_comments
 from prsignal.operators.features import prepare_scoring_data
 from prsignal.operators.issues import issue_facts
-from prsignal.operators.patch import changed_lines, file_sections, split_rejects
+from prsignal.operators.patch import changed_lines, file_sections, rejected_patches, split_rejects
 from prsignal.operators.resolve import fetch_and_store, resolve_issues
 from prsignal.operators.score import (
     best_per_line,
@@ -30,7 +30,7 @@ from prsignal.operators.score import (
 from prsignal.schemas import COMMENT
 from prsignal.session import materialize
 from prsignal.sources.archive import read_archive
-from prsignal.sources.sinks import ingest_missing_days, write_issue_facts, write_report
+from prsignal.sources.sinks import ingest_missing_days, write_issue_facts, write_rejects, write_report
 from prsignal.sources.tables import (
     read_cache,
     read_comments,
@@ -93,10 +93,10 @@ def mine_issues(
 def train(
     spark: SparkSession, resolved: str, facts: str, output: str, prep_store: str, **options
 ) -> DataFrame:
-    """Train, save the model (fails where one is saved already) and write the report."""
-    trained, report = M.train_and_evaluate(
-        read_resolved(spark, resolved), read_issue_facts(spark, facts), prep_store, **options
-    )
+    """Train, save the model (fails where one is saved already), write rejected patches and the report."""
+    rows = read_resolved(spark, resolved)
+    trained, report = M.train_and_evaluate(rows, read_issue_facts(spark, facts), prep_store, **options)
+    write_rejects(rejected_patches(rows.where("patch IS NOT NULL")), f"{output}/rejects")
     trained.write().save(f"{output}/model")
     write_report(report, f"{output}/effectiveness")
     return report
@@ -121,8 +121,8 @@ def score_requests(
         "pull_patch_url",
         "left",
     ).select("pull_request_url", "patch")
-    ok, bad = split_rejects(joined)
-    lines = changed_lines(file_sections(ok)).withColumn(
+    bad = split_rejects(joined)[1]
+    lines = changed_lines(file_sections(joined)).withColumn(
         "project", project_of(F.col("pull_request_url"))
     )
     projects = requests.select(project_of(F.col("pull_request_url")).alias("project"))

@@ -529,14 +529,19 @@ def first_per_text(spark, sf_dir):
     )
 
 
+def _stored(spark, sf_dir) -> DataFrame:
+    """Pull requests as the jobs read them: from a table, of which each step reads its columns."""
+    return materialize(V.resolved(spark, sf_dir))
+
+
 @query
 def labelled_lines(spark, sf_dir):
-    return _shown_records(label.labelled_lines(V.resolved(spark, sf_dir)))
+    return _shown_records(label.labelled_lines(_stored(spark, sf_dir)))
 
 
 @query
 def labelled_lines_compat(spark, sf_dir):
-    return _shown_records(label.labelled_lines(V.resolved(spark, sf_dir), compat=True))
+    return _shown_records(label.labelled_lines(_stored(spark, sf_dir), compat=True))
 
 
 def _clustered(spark, *parts: DataFrame) -> DataFrame:
@@ -612,13 +617,13 @@ def _shown_prepared(df: DataFrame, *more: str) -> DataFrame:
 @query
 def prepared_training(spark, sf_dir):
     """Labelled lines with all features, Python files only."""
-    labelled = label.labelled_lines(V.resolved(spark, sf_dir))
+    labelled = label.labelled_lines(_stored(spark, sf_dir))
     return _shown_prepared(features.prepare_training_data(labelled, _facts(spark, sf_dir)))
 
 
 @query
 def prepared_training_all_files(spark, sf_dir):
-    labelled = label.labelled_lines(V.resolved(spark, sf_dir))
+    labelled = label.labelled_lines(_stored(spark, sf_dir))
     prepared = features.prepare_training_data(
         labelled, _facts(spark, sf_dir), py_only=False, keep=("pull_request_url",)
     )
@@ -628,7 +633,7 @@ def prepared_training_all_files(spark, sf_dir):
 @query
 def prepared_training_compat(spark, sf_dir):
     """The older join: any project, one row per matching fact; counted per line."""
-    labelled = label.labelled_lines(V.resolved(spark, sf_dir), compat=True)
+    labelled = label.labelled_lines(_stored(spark, sf_dir), compat=True)
     prepared = features.prepare_training_data(
         labelled,
         _facts(spark, sf_dir, dedupe=False),
@@ -669,7 +674,7 @@ def prepared_scoring_of_projects(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    labelled = label.labelled_lines(V.resolved(spark, sf_dir))
+    labelled = label.labelled_lines(_stored(spark, sf_dir))
     return features.prepare_training_data(
         labelled, _facts(spark, sf_dir), py_only=False, keep=("pull_request_url",)
     )
@@ -810,7 +815,7 @@ def model_suggestions(spark, sf_dir):
     same with the model as it was before it was saved.
     """
     facts = materialize(_facts(spark, sf_dir))
-    labelled = label.labelled_lines(V.resolved(spark, sf_dir))
+    labelled = label.labelled_lines(_stored(spark, sf_dir))
     prepared = features.prepare_training_data(labelled, facts, keep=("pull_request_url",))
     trained = ml.train_model(prepared, fast=True, **_TOY).model
     path = _fresh_path(spark, "model")
