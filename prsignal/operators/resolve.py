@@ -7,7 +7,8 @@ Network access, where it is wanted, fills the response table in one
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,10 +18,13 @@ from prsignal import schemas
 from prsignal.functions.text import diff_url, strip_quote_runs
 from prsignal.session import materialize
 from prsignal.sources.sinks import append_parquet
+from prsignal.sources.tables import read_or_empty
 
 OK = 200
 # Fixed value: requests in flight per task.
 MAX_IN_FLIGHT = 8
+# What a task hands to Spark at once.
+PIECE_ROWS, PIECE_BYTES = 256, 8 << 20
 
 
 def not_cached(inputs: DataFrame, cache: DataFrame) -> DataFrame:
@@ -86,23 +90,103 @@ def stored_patches(resolved: DataFrame) -> DataFrame:
     return resolved.select("pull_request_url", "patch", "diff")
 
 
+def resolve_with_cached(inputs: DataFrame, cache: DataFrame, responses: DataFrame) -> DataFrame:
+    """All cleaned comment rows whose texts are known, ``is_new`` where they came from the responses.
+
+    A row of a pull request that is in the cache, such as a comment that came
+    late, gets the texts that are kept there.
+    """
+    fresh = resolve_patches(inputs, cache, responses).withColumn("is_new", F.lit(True))
+    known = inputs.join(cache.select("pull_request_url", "patch", "diff"), "pull_request_url").select(
+        "pull_request_url",
+        "pull_patch_url",
+        F.struct(*schemas.CLEAN_COMMENT_COLUMNS).alias("parsed_input"),
+        "patch",
+        "diff",
+        F.lit(False).alias("is_new"),
+    )
+    return fresh.unionByName(known)
+
+
+def _digest() -> Column:
+    """Tells the comments of one row of a pull request from those of another."""
+    return F.sha2(F.to_json("parsed_input"), 256)
+
+
+def only_new(resolved: DataFrame, stored: DataFrame) -> DataFrame:
+    """Resolved rows that ``stored`` does not hold, each once: by pull request and comments."""
+    there = stored.select("pull_request_url", _digest().alias("digest"))
+    return (
+        resolved.withColumn("digest", _digest())
+        .dropDuplicates(["pull_request_url", "digest"])
+        .join(there, ["pull_request_url", "digest"], "left_anti")
+        .drop("digest")
+    )
+
+
 def fetch_and_store(
     inputs: DataFrame,
     cache: DataFrame,
     responses: DataFrame,
     output: str,
     cache_path: str | None = None,
+    compat: bool = False,
 ) -> None:
     """Append newly resolved rows to ``output`` and their texts to the cache.
 
-    The rows are kept in reliable storage in between, so both tables get the
-    same rows even when executors are lost.
+    Rows are new when ``output`` does not hold them yet, also those of pull
+    requests that are in the cache; a run that is repeated, or that follows one
+    that failed half way, adds only what is missing.  The rows are kept in
+    reliable storage in between, so both tables get the same rows even when
+    executors are lost.  ``compat`` is the older behaviour: what is in the cache
+    is left out, later comments on it too.
     """
-    resolved = resolve_patches(inputs, cache, responses)
+    if compat:
+        resolved = resolve_patches(inputs, cache, responses)
+        if cache_path is not None:
+            resolved = materialize(resolved)
+            append_parquet(stored_patches(resolved), cache_path)
+        append_parquet(resolved, output)
+        return
+    stored = read_or_empty(inputs.sparkSession, output, schemas.RESOLVED)
+    resolved = materialize(only_new(resolve_with_cached(inputs, cache, responses), stored))
     if cache_path is not None:
-        resolved = materialize(resolved)
-        append_parquet(stored_patches(resolved), cache_path)
-    append_parquet(resolved, output)
+        fresh = resolved.where("is_new").dropDuplicates(["pull_request_url"])
+        append_parquet(stored_patches(fresh), cache_path)
+    append_parquet(resolved.drop("is_new"), output)
+
+
+def wanted_again(urls: DataFrame, responses: DataFrame) -> DataFrame:
+    """The urls that have no answer yet: never asked for, or asked for in vain."""
+    answered = responses.where("status IS NOT NULL").select("url")
+    return urls.select("url").distinct().join(answered, "url", "left_anti")
+
+
+def in_completion_order(
+    items: Iterable[str], call: Callable[[str], object], max_in_flight: int
+) -> Iterator[tuple[str, object, Exception | None]]:
+    """(item, result, error) of ``call`` for every item, as they come in.
+
+    At most ``max_in_flight`` calls are open, and no more items are taken than
+    that; with 0 they are made one after the other.
+    """
+
+    def attempt(item: str) -> tuple[str, object, Exception | None]:
+        try:
+            return item, call(item), None
+        except Exception as error:
+            return item, None, error
+
+    if max_in_flight <= 0:
+        yield from map(attempt, items)
+        return
+    items = iter(items)
+    with ThreadPoolExecutor(max_in_flight) as pool:
+        waiting = {pool.submit(attempt, item) for item in islice(items, max_in_flight)}
+        while waiting:
+            done, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+            waiting |= {pool.submit(attempt, item) for item in islice(items, len(done))}
+            yield from (future.result() for future in done)
 
 
 def fetch_responses(
@@ -110,23 +194,29 @@ def fetch_responses(
     fetch: Callable[[str], tuple[int, str]],
     max_in_flight: int = MAX_IN_FLIGHT,
 ) -> DataFrame:
-    """Fetch every url of ``urls.url`` into a response table.
+    """Fetch every url of ``urls.url`` into a response table with an ``error``.
 
-    ``fetch(url)`` gives (status, body).  Each task has at most
-    ``max_in_flight`` requests open; requests that raise are dropped.
+    ``fetch(url)`` gives (status, body).  Each task has at most ``max_in_flight``
+    requests open and holds about ``PIECE_BYTES`` of bodies.  A request that
+    raises gives a row without status that says why; :func:`wanted_again` finds
+    these for another round.
     """
 
-    def attempt(url: str) -> tuple[str, int, str] | None:
-        try:
-            status, body = fetch(url)
-        except Exception:
-            return None
-        return url, int(status), body
-
-    def fetch_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(max(max_in_flight, 1)) as pool:
-            for batch in batches:
-                done = [r for r in pool.map(attempt, batch["url"]) if r is not None]
-                yield pd.DataFrame(done, columns=["url", "status", "body"])
-
-    return urls.select("url").mapInPandas(fetch_batches, schemas.RESPONSE)
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        all_urls = (url for batch in batches for url in batch["url"])
+        piece, size = [], 0
+        for url, result, error in in_completion_order(all_urls, fetch, max_in_flight):
+            status, body = result if error is None else (None, None)
+            piece.append((url, status, body, None if error is None else f"{type(error).__name__}: {error}"))
+            size += len(body or "")
+            if size >= PIECE_BYTES or len(piece) >= PIECE_ROWS:
+                yield _piece(piece)
+                piece, size = [], 0
+        yield _piece(piece)
+
+    return urls.select("url").mapInPandas(rows, schemas.FETCHED)
+
+
+def _piece(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["url", "status", "body", "error"])
+    return out.astype({"status": "Int32"})

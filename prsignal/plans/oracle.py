@@ -515,6 +515,7 @@ FROM cells""",
     "comment_cells_through_csv": "SELECT * FROM cells",
     "opened_issues": "SELECT * FROM opened_issues",
     "issue_inputs_through_csv": "SELECT * FROM opened_issues",
+    "issue_inputs_through_parquet": "SELECT * FROM opened_issues",
     "missing_days": """
 SELECT DISTINCT day FROM archive WHERE day NOT IN (SELECT day FROM archive
   WHERE type = 'IssuesEvent' AND event_id % 2 = 1 AND substr(day, 7, 2) NOT IN ('03', '14', '27'))""",
@@ -532,10 +533,13 @@ SELECT pr AS pull_request_url, page || '.patch' AS pull_patch_url FROM uncached"
     "wanted_urls": """
 SELECT page || '.patch' AS url FROM uncached UNION SELECT page || '.diff' FROM uncached""",
     "fetched_responses": """
-SELECT url, CASE WHEN url LIKE '%3.patch' THEN 404 ELSE 200 END::INT AS status,
-  'body of ' || url AS body
-FROM (SELECT page || '.patch' AS url FROM known UNION SELECT page || '.diff' FROM known)
-WHERE url NOT LIKE '%7.diff'""",
+SELECT url, CASE WHEN url LIKE '%3.patch' THEN 404 WHEN url NOT LIKE '%7.diff' THEN 200 END::INT AS status,
+  CASE WHEN url NOT LIKE '%7.diff' THEN 'body of ' || url END AS body,
+  CASE WHEN url LIKE '%7.diff' THEN 'OSError: no answer' END AS error
+FROM (SELECT page || '.patch' AS url FROM known UNION SELECT page || '.diff' FROM known)""",
+    "fetched_again": """
+SELECT url, 200::INT AS status, CASE WHEN url LIKE '%7.diff' THEN 'second' ELSE 'first' END AS body
+FROM (SELECT page || '.patch' AS url FROM known UNION SELECT page || '.diff' FROM known)""",
     "resolve_patches": """
 SELECT r.pr AS pull_request_url, r.page || '.patch' AS pull_patch_url,
   (SELECT count(*) FROM comments c WHERE c.d = r.d)::INT AS n_comments, md5(r.patch) AS patch_md5,
@@ -543,6 +547,12 @@ SELECT r.pr AS pull_request_url, r.page || '.patch' AS pull_patch_url,
     "resolve_with_cache": """
 SELECT pr AS pull_request_url, kept_as FROM known, unnest(['result', 'cache']) AS t(kept_as)
 WHERE d % 11 <> 0 AND d % 13 <> 0""",
+    "resolve_with_cache_compat": """
+SELECT pr AS pull_request_url FROM known WHERE d % 11 <> 0 AND d % 13 <> 0""",
+    "late_comments_on_cached": """
+SELECT docs.pr AS pull_request_url, CASE WHEN count(c.j) = 0 THEN 1 ELSE 2 END::BIGINT AS n_rows,
+  count(c.j) AS n_comments, 1::BIGINT AS n_patches, 1::BIGINT AS n_cached
+FROM docs LEFT JOIN comments c ON c.d = docs.d WHERE docs.d % 11 <> 0 AND docs.d % 13 <> 0 GROUP BY docs.pr""",
     "resolve_issues": """
 SELECT project AS name, md5(body) AS body_md5 FROM issue_bodies WHERE d % 19 <> 0""",
     "issue_facts": "SELECT * FROM facts",
@@ -633,6 +643,15 @@ FROM (VALUES ('first'), ('again'), ('other options'), ('other rows')) AS t(step)
     "model_report": """
 SELECT count(*) AS n, sum(label)::BIGINT AS positives, TRUE AS has_pr, TRUE AS has_roc, 2::INT AS n_models
 FROM prepared WHERE extension = 'py'""",
+    "training_job": """
+SELECT count(*) FILTER (WHERE extension = 'py') AS n,
+  (sum(label) FILTER (WHERE extension = 'py'))::BIGINT AS positives,
+  (SELECT count(DISTINCT k) FROM records_files WHERE header AND greatest(old0, new0) > 2147483647) AS n_rejects,
+  count(*) FILTER (WHERE extension = 'py') AS n_scored
+FROM prepared""",
+    "word_vectors": """
+SELECT kind, size, count(*) AS n FROM prepared, (VALUES ('vectors', 10), ('frequencies', 36)) AS t(kind, size)
+WHERE extension IS NOT NULL GROUP BY kind, size""",
     "model_suggestions": """
 SELECT pr AS pull_request_url, message, TRUE AS all_listed, TRUE AS at_most_seven, TRUE AS ranked,
   TRUE AS lines_exist, TRUE AS saved_agrees

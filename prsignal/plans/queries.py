@@ -246,6 +246,14 @@ def issue_inputs_through_csv(spark, sf_dir):
     return tables.read_issue_inputs(spark, path, "csv")
 
 
+@query
+def issue_inputs_through_parquet(spark, sf_dir):
+    """Opened issues written as Parquet and read with a fixed schema, dealt over a given number of tasks."""
+    path = _fresh_path(spark, "issues")
+    extract.opened_issues(V.archive_events(spark, sf_dir)).write.parquet(path)
+    return tables.read_issue_inputs(spark, path, "parquet", partitions=7)
+
+
 @query
 def missing_days(spark, sf_dir):
     """Days of the archive that an output does not hold yet."""
@@ -372,6 +380,21 @@ def fetched_responses(spark, sf_dir):
     return resolve.fetch_responses(urls, fetch)
 
 
+@query
+def fetched_again(spark, sf_dir):
+    """Requests that failed made once more; all have an answer then, each once."""
+
+    def fetch(url: str) -> tuple[int, str]:
+        if url.endswith("7.diff"):
+            raise OSError("no answer")
+        return 200, "first"
+
+    urls = resolve.wanted_urls(_inputs(spark, sf_dir))
+    first = materialize(resolve.fetch_responses(urls, fetch))
+    second = resolve.fetch_responses(resolve.wanted_again(urls, first), lambda url: (200, "second"))
+    return first.where("status IS NOT NULL").unionByName(second).drop("error")
+
+
 def _resolved(spark, sf_dir):
     return resolve.resolve_patches(
         _inputs(spark, sf_dir), V.cached_patches(spark, sf_dir), V.responses(spark, sf_dir)
@@ -401,6 +424,44 @@ def resolve_with_cache(spark, sf_dir):
     return results.unionByName(stored)
 
 
+@query
+def resolve_with_cache_compat(spark, sf_dir):
+    """The older ingest: a second run finds everything in the cache and appends nothing."""
+    out, cache = _fresh_path(spark, "resolved"), _fresh_path(spark, "cache")
+    for _ in range(2):
+        resolve.fetch_and_store(
+            _inputs(spark, sf_dir), tables.read_cache(spark, cache), V.responses(spark, sf_dir), out, cache, compat=True
+        )
+    return tables.read_resolved(spark, out).select("pull_request_url")
+
+
+@query
+def late_comments_on_cached(spark, sf_dir):
+    """Three ingest runs: the first day, the second day with the first once more, and both again.
+
+    Comments of the second day are on pull requests that are in the cache by then.
+    """
+    out, cache = _fresh_path(spark, "resolved"), _fresh_path(spark, "cache")
+    rows = V.resolved_by_day(spark, sf_dir)
+    cleaned = rows.select("day", "parsed_input.*")
+    for days in (["20240101"], ["20240101", "20240102"], ["20240101", "20240102"]):
+        resolve.fetch_and_store(
+            cleaned.where(F.col("day").isin(days)).drop("day"),
+            tables.read_cache(spark, cache), V.responses(spark, sf_dir), out, cache,
+        )
+    stored = tables.read_cache(spark, cache).groupBy("pull_request_url").agg(F.count(F.lit(1)).alias("n_cached"))
+    return (
+        tables.read_resolved(spark, out)
+        .groupBy("pull_request_url")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum(F.size("parsed_input.comment_text").cast("bigint")).alias("n_comments"),
+            F.countDistinct("patch").alias("n_patches"),
+        )
+        .join(stored, "pull_request_url", "left")
+    )
+
+
 @query
 def resolve_issues(spark, sf_dir):
     pages = resolve.resolve_issues(V.issue_inputs(spark, sf_dir), V.issue_responses(spark, sf_dir))
@@ -794,6 +855,20 @@ def prep_models(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, out)
 
 
+@query
+def word_vectors(spark, sf_dir):
+    """Features with word vectors, and with term frequencies: rows by the size of the vector."""
+    rows = materialize(_prepared(spark, sf_dir))
+    sizes = {"vectors": {"word_vectors": True, "vector_size": 6, "min_count": 1}, "frequencies": {"n_hashes": 32}}
+    out = [
+        ml.fit_prep(rows, **options).transform(rows)
+        .groupBy(F.lit(name).alias("kind"), F.size(vector_to_array("features")).alias("size"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        for name, options in sizes.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 # Small settings for queries that train.
 _TOY = {"prep_options": {"n_hashes": 64}, "classifier_options": {"maxIter": 3, "maxDepth": 3}}
 
@@ -806,6 +881,22 @@ def model_report(spark, sf_dir):
                          F.col("roc").between(0, 1).alias("has_roc"), F.size("cv").alias("n_models"))
 
 
+@query
+def training_job(spark, sf_dir):
+    """The training job from paths to paths: its report and rejects as written, and that its model scores."""
+    path = _fresh_path(spark, "training")
+    V.resolved(spark, sf_dir).write.parquet(f"{path}/resolved")
+    sinks.write_issue_facts(_facts(spark, sf_dir), f"{path}/facts")
+    jobs.train(spark, f"{path}/resolved", f"{path}/facts", f"{path}/out", f"{path}/prep", fast=True, **_TOY)
+    report = spark.read.json(f"{path}/out/effectiveness")
+    rejects = spark.read.schema("patch string, error string").json(f"{path}/out/rejects")
+    model = PipelineModel.load(f"{path}/out/model")
+    scored = ml.score(model, _prepared(spark, sf_dir).where("extension = 'py'"))
+    return report.select("n", "positives").crossJoin(
+        rejects.agg(F.count(F.lit(1)).alias("n_rejects"))
+    ).crossJoin(scored.agg(F.count_if(F.col("p1").between(0, 1)).alias("n_scored")))
+
+
 @query
 def model_suggestions(spark, sf_dir):
     """Model trained on the labelled lines, saved and loaded, and new pull requests scored with it.

@@ -48,6 +48,8 @@ RESOLVED = (
 ISSUE_INPUT = "name string, url string"
 ISSUE_FACT = "project string, filename string, line int"
 RESPONSE = "url string, status int, body string"
+# A response table as it is fetched; without status where there was no answer.
+FETCHED = f"{RESPONSE}, error string"
 
 # Payload of an archive event; only the fields the extracts use are decoded.
 EVENT_PAYLOAD = (

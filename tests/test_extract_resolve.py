@@ -1,5 +1,6 @@
 import json
 import random
+import threading
 
 from pyspark.sql import functions as F
 
@@ -182,25 +183,81 @@ def test_ingest_twice_with_cache_adds_nothing(spark, tmp_path):
     assert tables.read_resolved(spark, out).count() == 1
     assert tables.read_cache(spark, cache).count() == 1
     jobs.ingest_comments(spark, raw, pages(spark, [1]), out)  # without a cache
-    assert tables.read_resolved(spark, out).count() == 2
+    assert tables.read_resolved(spark, out).count() == 1
+    # A late comment on the cached pull request, whose page is gone by now.
+    late = rows.withColumn("comment_text", F.array(F.lit("late")))
+    late.write.mode("append").parquet(raw)
+    for _ in range(2):
+        jobs.ingest_comments(spark, raw, pages(spark, []), out, cache)
+    got = tables.read_resolved(spark, out).collect()
+    assert sorted((r.parsed_input.comment_text[0], r.patch) for r in got) == [("late", "patch of 1"), ("t", "patch of 1")]
+    assert tables.read_cache(spark, cache).count() == 1
+
+
+def test_the_older_ingest_loses_late_comments(spark, tmp_path):
+    out, cache = str(tmp_path / "out"), str(tmp_path / "cache")
+    for numbers in ([1], [1, 2]):
+        rows = cleaned(spark, numbers)
+        resolve.fetch_and_store(rows, tables.read_cache(spark, cache), pages(spark, [1, 2]), out, cache, compat=True)
+    resolve.fetch_and_store(
+        cleaned(spark, [1]).withColumn("comment_text", F.array(F.lit("late"))),
+        tables.read_cache(spark, cache), pages(spark, [1]), out, cache, compat=True,
+    )
+    assert sorted(r.pull_request_url[-1] for r in tables.read_resolved(spark, out).collect()) == ["1", "2"]
 
 
-def test_fetch_drops_failures_and_limits_requests(spark):
+def test_failures_are_rows_and_are_asked_for_again(spark):
     def fetch(url):
-        import threading
         import time
 
-        assert threading.active_count() < 40
         time.sleep(random.random() / 200)
         if url.endswith("3"):
-            raise OSError
+            raise OSError(f"no {url}")
         return 200, url.upper()
 
     urls = spark.createDataFrame([(f"u{i}",) for i in range(100)], "url string").repartition(3)
     for in_flight in (0, 1, 8):
-        got = resolve.fetch_responses(urls, fetch, in_flight).collect()
-        assert sorted(r.url for r in got) == sorted(f"u{i}" for i in range(100) if i % 10 != 3)
-        assert all(r.body == r.url.upper() for r in got)
+        got = {r.url: r for r in resolve.fetch_responses(urls, fetch, in_flight).collect()}
+        assert len(got) == 100
+        for i in range(100):
+            r = got[f"u{i}"]
+            want = (None, None, f"OSError: no u{i}") if i % 10 == 3 else (200, f"U{i}", None)
+            assert (r.status, r.body, r.error) == want
+    first = resolve.fetch_responses(urls.where("url != 'u50'"), fetch)
+    again = resolve.wanted_again(urls, first).collect()
+    assert sorted(r.url for r in again) == sorted(["u50", *(f"u{i}" for i in range(3, 100, 10))])
+
+
+def test_answers_come_as_they_are_ready_within_the_window():
+    taken, open_now, most = [], [0], [0]
+    lock, slow = threading.Lock(), threading.Event()
+
+    def items():
+        for i in range(40):
+            taken.append(i)
+            yield i
+
+    def call(i):
+        with lock:
+            open_now[0] += 1
+            most[0] = max(most[0], open_now[0])
+        if i == 0:
+            slow.wait(20)
+        with lock:
+            open_now[0] -= 1
+        return i * i
+
+    got = []
+    for i, result, error in resolve.in_completion_order(items(), call, 4):
+        got.append(i)
+        assert (result, error) == (i * i, None)
+        # Taken are those that came back, those in flight, and no more.
+        assert len(taken) <= len(got) + 2 * 4
+        if len(got) == 30:
+            slow.set()
+    assert sorted(got) == list(range(40)) and got.index(0) >= 29 and most[0] <= 4
+    assert [i for i, *_ in resolve.in_completion_order(range(5), call, 0)] == list(range(5))
+    assert list(resolve.in_completion_order([], call, 3)) == []
 
 
 def test_resolve_and_mine_issues(spark, tmp_path):
