@@ -224,6 +224,97 @@ def op12_conversations(spark, sf_dir):
     return dialogue.summary(rows, dialogue.edits(rows))
 
 
+def _transitions() -> str:
+    """Ways to deal with a row as SQL values: state, initial (null: any), fault allowed, edits, cost, lines, next state.
+
+    States are N (nothing yet), S, U and A, after system, user and assistant.
+    """
+    wanted = {"N": "U", "S": "U", "U": "A", "A": "U"}
+    kept = {("N", "s"): "S", ("N", "u"): "U", ("S", "u"): "U", ("U", "a"): "A", ("A", "u"): "U"}
+    names = {"U": "user", "A": "assistant"}
+    rows = []
+    for start in wanted:
+        state, lines = start, ""
+        for n in range(3):
+            edits = "I" * n
+            rows.append((start, None, True, edits + "D", 5 * n + 2, lines, None, state))
+            for (before, initial), to in kept.items():
+                if before == state:
+                    rows.append((start, initial, False, edits + "K", 5 * n, lines, "", to))
+            to = wanted[state]
+            rows.append((start, None, False, edits + "R", 5 * n + 1, lines, names[to], to))
+            state, lines = to, lines + names[to] + ":\n"
+
+    def literal(value) -> str:
+        if value is None:
+            return "NULL"
+        return str(value) if isinstance(value, (int, bool)) else "'" + value.replace("\n", "' || chr(10) || '") + "'"
+
+    return ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+
+
+# CRC-32 of an ASCII text, bit by bit.
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce(
+  list_prepend(4294967295::UBIGINT, list_transform(string_split({text}, ''), lambda ch: ord(ch)::UBIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)))"""
+
+ORACLE_SQL["op12_conversations"] = f"""
+WITH RECURSIVE fates AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC32.format(text="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fates, range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS copies(n)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended
+  FROM damaged
+), faulty AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN ended = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM numbered
+), ways (state, initial, always, edits, cost, inserted, role, next) AS (
+  VALUES {_transitions()}
+), paths AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 'N' AS state, 0 AS cost, '' AS audit, '' AS lines FROM conversations
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    SELECT p.conv_id, f.i, w.next AS state, p.audit || w.edits AS audit,
+      p.cost + w.cost + CASE WHEN f.fault = 'truncated' AND NOT w.always THEN 5 ELSE 0 END AS cost,
+      p.lines || w.inserted || coalesce(
+        CASE WHEN w.role = '' THEN f.role ELSE w.role END || ':' || f.text || chr(10), '') AS lines
+    FROM paths p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1
+      JOIN ways w ON w.state = p.state AND (w.always OR f.fault NOT IN ('blank', 'duplicate'))
+        AND (w.initial IS NULL OR w.initial = f.initial))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+), facts AS (
+  SELECT c.conv_id, coalesce(max(f.turn) - min(f.turn) + 1 - count(DISTINCT f.turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+    coalesce(max(f.i), 0) AS last
+  FROM (SELECT DISTINCT conv_id FROM conversations) c
+    LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+  GROUP BY c.conv_id
+), ends AS (
+  SELECT p.conv_id, p.cost + e.cost AS cost, p.audit || e.edits AS audit, p.lines || e.inserted AS lines
+  FROM paths p JOIN facts f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.last = p.i
+    JOIN (VALUES ('N', 0, '', ''), ('A', 0, '', ''), ('U', 5, 'I', 'assistant:' || chr(10)),
+      ('S', 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))) AS e(state, cost, edits, inserted)
+      ON e.state = p.state
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + e.cost, p.audit || e.edits) = 1
+)
+SELECT f.conv_id, gaps, blank, duplicate, truncated, illegal, cost::BIGINT AS cost, audit,
+  sha256(CASE WHEN lines = '' THEN '' ELSE left(lines, length(lines) - 1) END) AS repaired_sha256
+FROM facts f JOIN ends e ON e.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
+
 @query
 def op13_mixture(spark, sf_dir):
     """How many words a mix of all sources takes of every document."""
