@@ -14,9 +14,9 @@ sequences than its tokens fill.
 A task holds the lengths of one shard, never more; the tokens themselves are
 counted and checksummed where the text is read and are not moved.
 
-Text is only text: the words ``<|endoftext|>`` and ``<|startoftext|>`` in a
-document are encoded as ordinary words (``encode_special_tokens``), unlike the
-library's default, by which they would be the ids of the markers themselves.
+Ids are those of the library with its defaults, but for special tokens around a
+text: the words ``<|endoftext|>`` and ``<|startoftext|>`` in a document are the
+ids of these markers.
 
 Defined results: null counts as empty, so that a document without tokens is one
 piece of length 1; texts of any length are tokenised whole; repeated rows are
@@ -63,7 +63,8 @@ class Tokens:
     Words of plain letters are one pre-token each, whose last id carries the word
     end, so many of them are encoded in one call and their ids told apart.  They
     need only be lower-cased and cut at white space, so the same vocabulary does
-    that for them without the general normalisation and pattern.
+    that for them without the general normalisation and pattern.  A text in which
+    a marker may stand is encoded as a whole.
     """
 
     def __init__(self, data: bytes):
@@ -102,13 +103,25 @@ class Tokens:
         if len(self._seen) > REMEMBERED:
             self._seen = {"": b""}
         known = self._seen.get
-        lists = [text.replace("\n", " ").split(" ") for text in texts]
+        marked = {i: self._whole(text) for i, text in enumerate(texts) if "<|" in text}
+        lists = [[""] if i in marked else text.replace("\n", " ").split(" ") for i, text in enumerate(texts)]
         found = [list(map(known, words)) for words in lists]
         self._learn(list({w for words, got in zip(lists, found) if None in got for w, g in zip(words, got) if g is None}))
-        return [
+        out = [
             b"".join([known(w) if g is None else g for w, g in zip(words, got)] if None in got else got)
             for words, got in zip(lists, found)
         ]
+        for i, ids in marked.items():
+            out[i] = ids
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text with its markers."""
+        self._tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            self._tokenizer.encode_special_tokens = True
 
 
 @functools.lru_cache(maxsize=2)

@@ -24,7 +24,7 @@ from prsignal.llm import (
     suffixes,
     urls,
 )
-from prsignal.llm.common import table
+from prsignal.llm.common import kept, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,8 +53,13 @@ def op1_byte_bpe(spark, sf_dir):
 
 @query
 def op2_simhash(spark, sf_dir):
-    """Fingerprints of every whole text, its edited text, and their likeness."""
-    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprints of every whole text, its edited text, and their likeness.
+
+    For ids divisible by 50 also how many other fingerprints differ in at most
+    three bits, and by how many the nearest.
+    """
+    found = kept(simhash.edited_fingerprints(table(spark, sf_dir, "documents")))
+    return simhash.neighbours(found, F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False)))
 
 
 # The rules of the url query.

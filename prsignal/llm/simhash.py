@@ -8,7 +8,8 @@ by the bits of its hash; a fingerprint has the bits with a positive sum.
 cut into b > r blocks; two fingerprints that differ in at most r bits agree in
 at least b - r blocks whole, so each choice of b - r blocks is a table whose key
 is these blocks, moved to the front.  Candidates meet by equality of a key and
-are confirmed by the distance, so nothing is missed.
+are confirmed by the distance, so nothing is missed.  ``neighbours`` counts what
+it finds for a stated set of rows against all.
 
 Defined results: null counts as empty; a text without words has the fingerprint
 0; equal texts have equal fingerprints.  The next document of an id is the one
@@ -257,3 +258,24 @@ def within(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks:
         .where(F.col("distance") <= radius)
         .distinct()
     )
+
+
+def neighbours(
+    fingerprints: DataFrame, asked: Column, radius: int = 3, blocks: int = 6
+) -> DataFrame:
+    """``fingerprints`` with ``n_within`` and ``least_distance`` for the rows that ``asked`` chooses (null for others).
+
+    ``n_within`` is the number of other fingerprints in the whole table that
+    differ in at most ``radius`` bits (copies have one fingerprint, which counts
+    once and not for itself), ``least_distance`` the fewest bits (null if none).
+    """
+    found = (
+        within(fingerprints.where(asked), fingerprints, radius, blocks)
+        .where("found != query")
+        .groupBy(F.col("query").alias("fingerprint"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("least_distance"))
+    )
+    n_within = F.when(asked, F.coalesce("n", F.lit(0)))
+    return fingerprints.join(found, "fingerprint", "left").select(
+        *fingerprints.columns, n_within.alias("n_within"), F.when(asked, F.col("least_distance")).alias("least_distance")
+    )

@@ -12,6 +12,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -109,6 +110,76 @@ def test_block_tables_find_every_fingerprint_within_the_radius(spark, radius, bl
     assert got == {(a, b) for a in base for b in stored if (a ^ b).bit_count() <= radius}
 
 
+def slow_fingerprint(text):
+    """SimHash word by word and bit by bit."""
+    words, mask = text.lower().split(), (1 << 64) - 1
+    n, counts = min(5, len(words)), {}
+    for at in range(len(words) - n + 1 if n else 0):
+        h = 0
+        for w in words[at : at + n]:
+            h = (h * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(w.encode())) & mask
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+        h ^= h >> 31
+        counts[h] = counts.get(h, 0) + 1
+    out = 0
+    for bit in range(64):
+        vote = sum((1 + math.log2(n)) * (1 if h >> bit & 1 else -1) for h, n in counts.items())
+        out |= (vote > 2e-3) << bit
+    return out
+
+
+def test_neighbours_are_those_of_a_search_through_all_rows(spark, docs):
+    found = simhash.edited_fingerprints(docs).select("doc_id", "fingerprint")
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in found.collect()}
+    for radius, blocks in ((3, 6), (12, 14)):
+        near = 0
+        for r in simhash.neighbours(found, F.col("doc_id") % 2 == 0, radius, blocks).collect():
+            own = prints[r.doc_id]
+            close = [n for o in set(prints.values()) - {own} if (n := (o ^ own).bit_count()) <= radius]
+            want = (len(close), min(close, default=None)) if r.doc_id % 2 == 0 else (None, None)
+            assert (r.n_within, r.least_distance) == want
+            near += len(close)
+    assert near > 0
+
+
+def test_registered_simhash_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    got = {r.doc_id: r for r in queries.QUERIES["op2_simhash"](spark, SF).collect()}
+    own = {d.doc_id: slow_fingerprint(d.text or "") for d in docs}
+    assert len(got) == len(docs)
+    for d in docs:
+        r = got[d.doc_id]
+        # A vote that is nearly even may be rounded either way.
+        assert (int(r.fingerprint, 16) ^ own[d.doc_id]).bit_count() <= 1
+        others = {int(o.fingerprint, 16) for o in got.values()} - {int(r.fingerprint, 16)}
+        near = [n for o in others if (n := (o ^ int(r.fingerprint, 16)).bit_count()) <= 3]
+        asked = d.doc_id % 50 == 0
+        assert (r.n_within, r.least_distance) == ((len(near), min(near, default=None)) if asked else (None, None))
+
+
+def test_registered_bpe_and_packing(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ranks = bpe.parse_ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoded = queries.QUERIES["op1_byte_bpe"](spark, SF).collect()
+    assert len(encoded) == len(docs)
+    for r in encoded:
+        ids = theirs.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()))
+        assert r.decoded_sha256 == sha(docs[r.doc_id].encode())
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = {}
+    for r in queries.QUERIES["op6_best_fit"](spark, SF).collect():
+        pieces[r.doc_id, r.piece] = r.ids_crc32
+    want = {}
+    for doc_id, text in docs.items():
+        ids = [*whole.encode(text, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            want[doc_id, k // 2048] = zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())
+    assert pieces == want
+
+
 # -- url rules -------------------------------------------------------------
 
 
@@ -194,8 +265,11 @@ def test_isotonic_is_the_nearest_rising_sequence():
 def test_packing_is_whole_gapless_and_tight(docs, rows, repeated, none):
     data = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()
     whole = Tokenizer.from_str(data.decode())
-    whole.encode_special_tokens = True
     capacity = 64
+    marked = ["one <|endoftext|> two", "<|startoftext|><|endoftext|>", "a<|ENDOFTEXT|>b <|", "x" * 3000 + "<|endoftext|>\n é"]
+    marked = [(10**6 + i, text, "en", "x", "y", "z") for i, text in enumerate(marked)]
+    rows = [*rows, *marked]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(marked, SCHEMA))
     got = packing.packed(docs, data, capacity).toPandas()
     want = {}
     for doc_id, text, *_ in rows:
