@@ -68,20 +68,20 @@ def with_issue_marker(lines: DataFrame, facts: DataFrame, projects: DataFrame |
 
 
 def with_issue_fan_out(lines: DataFrame, facts: DataFrame) -> DataFrame:
-    """The older form of :func:`with_issue_marker`: any project, and one row per matching fact.
+    """The older form of :func:`with_issue_marker`: any project, and a line counts once per matching fact.
 
-    Facts are counted per key before the join, so that only the result, not
-    the join, grows with repeated facts.
+    ``copies`` says how often a line counts.  Facts are counted per key before
+    the join, so a file name that very many facts share multiplies nothing.
     """
     counted = facts.groupBy(basename(F.col("filename")).alias("basename"), "line").agg(
-        F.count(F.lit(1)).alias("n_facts")
+        F.count(F.lit(1)).alias("copies")
     )
     return (
         lines.withColumn("basename", basename(F.col("filename")))
         .join(counted, ["basename", "line"], "left")
-        .withColumn("not_in_issues", F.col("n_facts").isNull().cast("double"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("n_facts", F.lit(1)))))
-        .drop("copy", "n_facts", "basename")
+        .withColumn("not_in_issues", F.col("copies").isNull().cast("double"))
+        .withColumn("copies", F.coalesce("copies", F.lit(1)))
+        .drop("basename")
     )
 
 
@@ -92,14 +92,17 @@ def prepare_training_data(
     compat: bool = False,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Prepared rows of labelled lines; ``keep`` names further columns to carry along."""
+    """Prepared rows of labelled lines; ``keep`` names further columns to carry along.
+
+    With ``compat`` they have ``copies``, how often a row counts in training.
+    """
     features = line_features(F.col("line_text"), F.col("filename"), compat)
     lines = labelled.withColumn("extension", features["extension"])
     if py_only:
         # The extension depends on the line alone, so the filter runs before the join.
         lines = lines.where(F.col("extension") == "py")
     if compat:
-        joined = with_issue_fan_out(lines, facts)
+        joined, keep = with_issue_fan_out(lines, facts), (*keep, "copies")
     else:
         joined = with_issue_marker(
             lines.withColumn("project", project_of(F.col("pull_request_url"))), facts

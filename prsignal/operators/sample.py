@@ -22,11 +22,17 @@ def split_by_key(
     return df.where(bucket < cut), df.where(~(bucket < cut))
 
 
+def _copies(df: DataFrame) -> Column:
+    """How often a row counts: its ``copies``, if there is such a column."""
+    return F.col("copies") if "copies" in df.columns else F.lit(1)
+
+
 def summarize(df: DataFrame) -> DataFrame:
-    """One row: number of rows and of positives."""
+    """One row: number of rows and of positives, with their ``copies`` if they have any."""
+    n = _copies(df).cast("bigint")
     return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.col("label").cast("bigint")), F.lit(0)).alias("positives"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.col("label").cast("bigint") * n), F.lit(0)).alias("positives"),
     )
 
 
@@ -34,8 +40,9 @@ def _times(df: DataFrame, ratio_basis: str) -> Column:
     """How often a positive counts, as an uncorrelated scalar subquery: two numbers, computed once, no join."""
     if ratio_basis not in ("total", "negatives"):
         raise ValueError(f"unknown ratio basis {ratio_basis!r}")
-    positives = F.sum((F.col("label") != 0).cast("bigint"))
-    total = F.count(F.lit(1)) - (positives if ratio_basis == "negatives" else F.lit(0))
+    copies = _copies(df).cast("bigint")
+    positives = F.sum((F.col("label") != 0).cast("bigint") * copies)
+    total = F.sum(copies) - (positives if ratio_basis == "negatives" else F.lit(0))
     # Null, and not 1, when there is nothing to repeat.
     ratio = F.when(positives > 0, F.greatest(F.ceil(total / positives), F.lit(1)))
     times = df.agg(ratio.cast("int").alias("ratio")).scalar()
@@ -56,7 +63,7 @@ def balance_classes(df: DataFrame, ratio_basis: str = "total") -> DataFrame:
 
 
 def weigh_classes(df: DataFrame, ratio_basis: str = "total") -> DataFrame:
-    """Add ``weight``: how often :func:`balance_classes` would repeat the row, without a copy of it."""
+    """Add ``weight``: how often :func:`balance_classes` would repeat the row and its ``copies``, without a copy of it."""
     times = _times(df, ratio_basis)
     weight = F.when(F.col("label") != 0, times).otherwise(F.when(times > 0, 1))
-    return df.withColumn("weight", weight.cast("double"))
+    return df.withColumn("weight", (weight * _copies(df)).cast("double"))

@@ -28,7 +28,7 @@ from prsignal.operators.score import (
     with_messages,
 )
 from prsignal.schemas import COMMENT
-from prsignal.session import materialize
+from prsignal.session import materialize, scratch
 from prsignal.sources.archive import read_archive
 from prsignal.sources.sinks import ingest_missing_days, write_issue_facts, write_rejects, write_report
 from prsignal.sources.tables import (
@@ -72,9 +72,10 @@ def label_store(
 def ingest_comments(
     spark: SparkSession, comments: str, responses: DataFrame, output: str, cache: str | None = None
 ) -> None:
-    """Clean raw comments, resolve those that are not cached, append results and cache."""
+    """Clean raw comments, give each its patch, append what is new to results and cache."""
     cleaned = clean_comments(read_comments(spark, comments))
-    fetch_and_store(cleaned, read_cache(spark, cache), responses, output, cache)
+    with scratch(spark):
+        fetch_and_store(cleaned, read_cache(spark, cache), responses, output, cache)
 
 
 def mine_issues(
@@ -95,10 +96,11 @@ def train(
 ) -> DataFrame:
     """Train, save the model (fails where one is saved already), write rejected patches and the report."""
     rows = read_resolved(spark, resolved)
-    trained, report = M.train_and_evaluate(rows, read_issue_facts(spark, facts), prep_store, **options)
-    write_rejects(rejected_patches(rows.where("patch IS NOT NULL")), f"{output}/rejects")
-    trained.write().save(f"{output}/model")
-    write_report(report, f"{output}/effectiveness")
+    with scratch(spark):
+        trained, report = M.train_and_evaluate(rows, read_issue_facts(spark, facts), prep_store, **options)
+        write_rejects(rejected_patches(rows.where("patch IS NOT NULL")), f"{output}/rejects")
+        trained.write().save(f"{output}/model")
+        write_report(report, f"{output}/effectiveness")
     return report
 
 

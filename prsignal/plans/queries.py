@@ -701,9 +701,9 @@ def prepared_training_compat(spark, sf_dir):
         compat=True,
         keep=("pull_request_url", "line"),
     )
-    return prepared.groupBy(
-        "pull_request_url", "line_text", "line", "label", "only_spaces", "not_in_issues"
-    ).agg(F.count(F.lit(1)).alias("n"))
+    return prepared.select(
+        "pull_request_url", "line_text", "line", "label", "only_spaces", "not_in_issues", F.col("copies").alias("n")
+    )
 
 
 @query

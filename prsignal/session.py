@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextvars
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
@@ -23,9 +28,33 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute once, write to the shared folder, and read from there.
 
     Lost executors cost no rerun of what came before, several readers share the
-    work, and the size of the table is known to the joins that follow.
+    work, and the size of the table is known to the joins that follow.  Within
+    :func:`scratch` the table goes when the work is done; else it stays, as a
+    lazy result may still read it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    tables = _scratch.get()
+    if tables is not None:
+        tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that are materialized inside, also when it fails.
+
+    For work whose results are written before it ends; nothing read later may
+    depend on these tables.
+    """
+    tables: list[str] = []
+    token = _scratch.set(tables)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        for path in tables:
+            target = path_of(path)
+            target.getFileSystem(conf).delete(target, True)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from prsignal.functions.arrays import compute_once
 from prsignal.schemas import PULL_REQUEST_EVENT
-from prsignal.session import materialize
+from prsignal.session import materialize, scratch
 from prsignal.sources.sinks import ingest_missing_days
 
 OPENED = "opened"
@@ -105,10 +105,11 @@ def start_scoring(
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        decoded = materialize(decode_events(batch))
-        tables = {"rejects": rejected_events(decoded), **score(opened_pull_requests(decoded))}
-        for name, rows in tables.items():
-            _overwrite_batch(rows, f"{output}/{name}", batch_id)
+        with scratch(batch.sparkSession):
+            decoded = materialize(decode_events(batch))
+            tables = {"rejects": rejected_events(decoded), **score(opened_pull_requests(decoded))}
+            for name, rows in tables.items():
+                _overwrite_batch(rows, f"{output}/{name}", batch_id)
 
     writer = texts.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if available_now:

@@ -2,6 +2,7 @@ import json
 import random
 import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from prsignal import schemas
@@ -194,6 +195,27 @@ def test_ingest_twice_with_cache_adds_nothing(spark, tmp_path):
     assert tables.read_cache(spark, cache).count() == 1
 
 
+def test_intermediate_tables_go_when_the_work_is_done(spark, tmp_path):
+    from pathlib import Path
+
+    from prsignal.session import checkpoint_dir, materialize, scratch
+
+    def tables_there():
+        folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+        return set(folder.glob("table-*")) if folder.exists() else set()
+
+    before = tables_there()
+    with scratch(spark):
+        materialize(spark.range(3))
+        assert len(tables_there() - before) == 1
+    assert tables_there() == before
+    with pytest.raises(RuntimeError), scratch(spark):
+        materialize(spark.range(3))
+        raise RuntimeError
+    assert tables_there() == before
+    assert materialize(spark.range(3)).count() == 3 and len(tables_there() - before) == 1
+
+
 def test_the_older_ingest_loses_late_comments(spark, tmp_path):
     out, cache = str(tmp_path / "out"), str(tmp_path / "cache")
     for numbers in ([1], [1, 2]):

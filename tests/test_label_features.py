@@ -278,7 +278,7 @@ def test_compat_fan_out(spark):
         [("u", "f/a.py", 10), ("u", "f/a.py", 11), ("u", "f/b.py", 11)],
         "pull_request_url string, filename string, line int",
     )
-    got = features.with_issue_fan_out(lines, facts).groupBy("filename", "line", "not_in_issues").count().collect()
+    got = features.with_issue_fan_out(lines, facts).select("filename", "line", "not_in_issues", "copies").collect()
     assert sorted(tuple(r) for r in got) == [("f/a.py", 10, 0.0, 2), ("f/a.py", 11, 0.0, 2), ("f/b.py", 11, 1.0, 1)]
 
 
@@ -301,6 +301,16 @@ def test_balance(spark, positives, total):
     assert by_negatives[1.0] == positives * max(1, -(-(total - positives) // positives))
 
 
+def test_copies_count_as_rows(spark):
+    df = spark.createDataFrame([(1, 1.0, 3), (2, 0.0, 4), (3, 0.0, 5)], "id int, label double, copies bigint")
+    rows = df.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("copy", "copies")
+    assert tuple(sample.summarize(df).first()) == tuple(sample.summarize(rows).first()) == (12, 3)
+    for basis in ("total", "negatives"):
+        want = dict(sample.balance_classes(rows, basis).groupBy("id").count().collect())
+        got = {r.id: r.weight for r in sample.weigh_classes(df, basis).collect()}
+        assert got == {k: float(n) for k, n in want.items()}
+
+
 def test_balance_refuses_without_positives(spark):
     df = spark.range(5).select(F.lit(0.0).alias("label"))
     with pytest.raises(Exception, match="no positive examples"):
