@@ -5,6 +5,14 @@ exact      of equal texts one stays
 near       of each group of similar texts (five words, similarity 0.8) one stays
 passages   repeated passages go, but for their first occurrence
 packing    what is left is packed into sequences of tokens
+
+Defined results: null text counts as empty; a text that is null or has no letter
+has no language, so its row goes in the first stage; a null id is an id like
+others.  Of rows that also share the id, one stays where one of a group stays,
+and of tied rows any, as they are alike.  Texts of any length are read whole.
+Extra columns are carried along by all stages but the last and never looked at,
+whatever their names.  An empty table stays empty, and so does what is left when
+a stage keeps nothing.
 """
 
 from __future__ import annotations
