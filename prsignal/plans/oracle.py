@@ -526,6 +526,15 @@ GROUP BY day""",
     "known_pull_requests": """
 SELECT '"' || pr || '"' AS pull_request_url, '"' || page || '.patch"' AS pull_patch_url FROM known""",
     "clean_comments": "SELECT * FROM clean",
+    "archive_to_clean_comments": """
+SELECT pull_request_url, min(pull_patch_url) AS pull_patch_url,
+  string_agg(coalesce(TRY_CAST(original_position AS INT)::VARCHAR, '∅'), '¶' ORDER BY event_id) AS old,
+  string_agg(coalesce(TRY_CAST(position AS INT)::VARCHAR, '∅'), '¶' ORDER BY event_id) AS new,
+  string_agg(body, '¶' ORDER BY event_id) AS comment_text,
+  string_agg(diff_hunk, '¶' ORDER BY event_id) AS diff_hunks,
+  string_agg(coalesce(path, '∅'), '¶' ORDER BY event_id) AS comment_file_paths,
+  string_agg(commit_id, '¶' ORDER BY event_id) AS comment_commit_ids
+FROM review WHERE pull_request_url <> 'null' GROUP BY pull_request_url""",
     "comments_through_json": "SELECT * FROM clean",
     "comments_through_parquet": "SELECT * FROM clean",
     "uncached_pull_requests": """

@@ -332,6 +332,14 @@ def clean_comments(spark, sf_dir):
     return _shown_clean(clean.clean_comments(V.raw_comments(spark, sf_dir)))
 
 
+@query
+def archive_to_clean_comments(spark, sf_dir):
+    """Comments of the archive in the nested form of the ingest, cleaned."""
+    found = extract.review_comments(V.archive_events(spark, sf_dir))
+    raw = extract.to_raw_comments(extract.comments_by_pull_request(found))
+    return _shown_clean(clean.clean_comments(raw))
+
+
 @query
 def comments_through_json(spark, sf_dir):
     """Raw comments as JSON texts, read with the fixed schema and cleaned."""
