@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prsignal.llm.common import caches, kept, whole_text
+from prsignal.llm.common import caches, whole_text
 
 WORDS, BITS = 5, 64
 
