@@ -15,12 +15,16 @@ _scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scr
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing a folder in the warehouse is used instead,
-    which all executors share as well.
+    Where that is unset, a session that is all on one machine uses a folder in
+    its warehouse; on a cluster, whose default warehouse may be local to each
+    machine, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
 
 

@@ -216,6 +216,24 @@ def test_intermediate_tables_go_when_the_work_is_done(spark, tmp_path):
     assert materialize(spark.range(3)).count() == 3 and len(tables_there() - before) == 1
 
 
+@pytest.mark.parametrize("master, named, works", [
+    ("local[4]", None, True), ("local-cluster[2,1,1024]", None, False), ("yarn", None, False), ("yarn", "s3://x/", True),
+])
+def test_a_cluster_has_to_name_a_shared_folder(master, named, works):
+    from types import SimpleNamespace
+
+    from prsignal.session import checkpoint_dir
+
+    settings = {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": "file:/w"}
+    conf = SimpleNamespace(get=lambda name, default=None: settings.get(name) or default)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    if works:
+        assert checkpoint_dir(session) == ("s3://x" if named else "file:/w/_work")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_dir(session)
+
+
 def test_the_older_ingest_loses_late_comments(spark, tmp_path):
     out, cache = str(tmp_path / "out"), str(tmp_path / "cache")
     for numbers in ([1], [1, 2]):
