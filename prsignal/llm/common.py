@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prsignal.session import checkpoint_dir
+
 # Rows that Python code turns into one output batch; bounds the memory of a task.
 SLICE = 512
 
@@ -44,11 +46,8 @@ def tie_of(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, on one machine only."""
+    return checkpoint_dir(spark)
 
 
 def kept(df: DataFrame) -> DataFrame:
