@@ -1,17 +1,22 @@
-"""License notices: word by word, with compression by each wording as a dictionary to rank them.
-
-A wording of m words is found wherever at most ``DIFFERENCES`` x m words are
-missing or added.  Cut into one part more than differences are allowed, at least
-one part of it is then there unchanged; texts are searched for these parts, so no
-notice is passed over, whatever the length of its line and wherever its lines
-break.  Around every part, the text is aligned with the wording (Sellers' dynamic
-programming over words), which gives the fewest differences for every end.
-
-Of notices that overlap, the one with most equal words less differences counts;
-then the one whose wording, as a raw zstandard dictionary, saves most bytes of
-the notice with ``BESIDE`` words on both sides; then the first of the list.
-``saved`` is reported, and never decides whether something is a notice: the few
-bytes that a wording saves are within the noise where much else is compressed.
+"""License notices by conditional compression: what a wording saves as a dictionary decides what is looked at.
+
+1. Candidate blocks.  A wording of m words may have ``DIFFERENCES`` x m words
+   missing or added.  Cut into one part more than that, at least one part stays
+   unchanged, and with it two neighbouring words of it.  Around such pairs the text
+   is cut into overlapping blocks of ``BLOCK`` words, whatever its lines.
+2. Conditional compression.  Every block is compressed alone and with every wording
+   as a raw zstandard dictionary, both as lower-cased words with single spaces.
+   Blocks are short, so the bytes a short notice saves aren't lost in others.  The
+   wordings that save ``LEAST`` bytes or more are the winners; no other is looked at.
+3. Confirmation.  Around a block, the text is aligned with each winner (Sellers'
+   dynamic programming over words), whatever the length of the wording.  A notice
+   has few enough words that differ, and none of them names another license.
+4. Of notices that overlap, the one counts whose wording saves most bytes of the
+   place they cover together; then the one with most equal words less differences;
+   then the first of the list.
+
+A notice that saves too little in its block is passed over; the tests hold the
+result against a search by words alone.
 
 Defined results: null and empty texts have no notice; equal wording found twice
 is two notices; texts are read whole; repeated rows each have their notices; an
@@ -23,6 +28,8 @@ from __future__ import annotations
 import functools
 import operator
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +76,44 @@ _BSD_TERMS = (
     "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
     "and/or other materials provided with the distribution."
 )
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_FULL = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+    "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+    "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+    'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+    "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+    "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+    "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies."
+)
+_ISC_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING '
+    "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+    "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+    "USE OR PERFORMANCE OF THIS SOFTWARE."
+)
 
-# The default: licenses and the wording of their notices.  ``BSD``: the sentence that BSD-2 and BSD-3 share, alone.
+# The default: licenses and the wording of their notices, short and full.  ``BSD``: the sentence that BSD-2 and BSD-3 share, alone.
 WORDINGS = (
     ("MIT", "Released under the MIT License."),
     (
@@ -79,11 +122,9 @@ WORDINGS = (
         "associated documentation files, to deal in the Software without restriction, including without limitation "
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ),
+    ("MIT", _MIT_FULL),
+    ("ISC", _ISC),
+    ("ISC", f"{_ISC} {_ISC_WARRANTY}"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License."),
     *_gnu("GPL-3.0", "General Public License", "3"),
@@ -98,11 +139,9 @@ WORDINGS = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD", _BSD),
     ("BSD-2-Clause", _BSD_TERMS),
-    (
-        "BSD-3-Clause",
-        f"{_BSD_TERMS} Neither the name of the copyright holder nor the names of its contributors may be used to "
-        "endorse or promote products derived from this software without specific prior written permission.",
-    ),
+    ("BSD-3-Clause", f"{_BSD_TERMS} {_BSD_NAMES}"),
+    ("BSD-2-Clause", f"{_BSD_TERMS} {_BSD_WARRANTY}"),
+    ("BSD-3-Clause", f"{_BSD_TERMS} {_BSD_NAMES} {_BSD_WARRANTY}"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0"),
@@ -117,31 +156,49 @@ WORDINGS = (
 # Tables of other wordings may have so many rows, and so many words in each.
 MAX_WORDINGS, MAX_WORDS = 1000, 10_000
 
-# Words, or parts of words with hyphens, that tell licenses apart; numbers do too.
-TELLING = frozenset(
-    "mit isc apache gnu lesser library affero mozilla eclipse boost attribution noncommercial noderivatives noderivs "
-    "sharealike nc nd sa".split()
-)
-
 DIFFERENCES = 0.1
 
-# Words on both sides of a notice that are compressed with it.
-BESIDE = 20
-
-_WORD = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
-_ONE = 1 << 32
+# Words of a block, those before the pair it is cut around, and those that the next block shares with it.
+BLOCK, BEFORE, SHARED = 48, 20, 20
 
+# Bytes of a block that a wording has to save.
+LEAST = 5
 
-def tells(word: str) -> bool:
-    return any(c.isdigit() for c in word) or not TELLING.isdisjoint(re.split(r"[.\-/]", word))
+# Words that tell licenses apart are in the wordings of so few names, or among so few differences of two names.
+FEW_NAMES, NEAR = 0.1, 5
 
+_WORD = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
+_ONE = 1 << 32
 
-def names_another(differ: list[str]) -> bool:
-    """Whether differences are more than wording: a name or version is missing, or another name was added."""
-    # Added numbers may be those of lists and lines, and notices of any license may speak of "this library".
-    return any(
-        tells(d[1:]) and (d[0] == "-" or not (d == "+library" or any(c.isdigit() for c in d))) for d in differ
-    )
+# The compression of blocks: a level that tries every place (lower ones skip short notices between strange words),
+# in frames without what says nothing of the block.
+LEVEL = 19
+_BARE = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+
+
+def telling(templates: tuple[tuple[str, str], ...]) -> frozenset[str]:
+    """The words that tell licenses apart: names that few wordings have, and what sets similar wordings apart."""
+    proper: dict[str, set[str]] = {}
+    plain, counts = set(), []
+    for name, wording in templates:
+        shouted = wording.upper()
+        found = [(m.group(), m.start()) for m in _WORD.finditer(wording)]
+        counts.append(Counter(w.lower() for w, _ in found))
+        for w, at in found:
+            opens = not wording[:at].rstrip() or wording[:at].rstrip()[-1] in ".:;"
+            if w == w.lower():
+                plain.add(w)
+            elif not opens and shouted[max(0, at - 20) : at + 20] != wording[max(0, at - 20) : at + 20]:
+                proper.setdefault(w.lower(), set()).add(name)
+    most = max(2, FEW_NAMES * len({name for name, _ in templates}))
+    out = {w for w, names in proper.items() if w not in plain and len(names) <= most}
+    for i, (name, _) in enumerate(templates):
+        for j in range(i):
+            if templates[j][0] != name:
+                differ = (counts[i] - counts[j]) + (counts[j] - counts[i])
+                if differ.total() <= min(NEAR, max(counts[i].total(), counts[j].total()) / 2):
+                    out |= differ.keys()
+    return frozenset(out)
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
@@ -150,15 +207,17 @@ def words(text: str) -> list[tuple[str, int, int]]:
 
 
 class Wordings:
-    """Wordings with the parts that texts are searched for."""
+    """Wordings as dictionaries, with the pairs of words around which blocks are cut."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.templates = templates
         self.words = [[w for w, _, _ in words(wording)] for _, wording in templates]
+        self.counts = [Counter(w) for w in self.words]
         self.most = [int(DIFFERENCES * len(w)) for w in self.words]
+        self.telling = telling(templates)
         parts = [(k, a, b) for k, w in enumerate(self.words) for a, b in self._cut(len(w), self.most[k])]
-        # Few words that every part has one of, long ones first: they are looked for in the texts.
-        self.parts: dict[str, list[tuple[int, int, int, int]]] = {}
+        # Few words that every part has one of, long ones first, each with its neighbours: (step, word).
+        self.pairs: dict[str, set[tuple[int, str]]] = {}
         while parts:
             holds: dict[str, int] = {}
             for k, a, b in parts:
@@ -167,8 +226,11 @@ class Wordings:
             best = max(holds, key=lambda w: (min(len(w), 7), holds[w], w))
             mine = [p for p in parts if best in self.words[p[0]][p[1] : p[2]]]
             parts = [p for p in parts if best not in self.words[p[0]][p[1] : p[2]]]
-            self.parts[best] = [(k, a, b, self.words[k].index(best, a)) for k, a, b in mine]
-        self._compressors: dict[int, zstandard.ZstdCompressor] = {}
+            for k, a, b in mine:
+                at = self.words[k].index(best, a)
+                step = 1 if at + 1 < b else -1 if at > a else 0
+                self.pairs.setdefault(best, set()).add((step, self.words[k][at + step]))
+        self._compressors: list[zstandard.ZstdCompressor] = []
 
     @staticmethod
     def _cut(n: int, most: int) -> list[tuple[int, int]]:
@@ -178,34 +240,61 @@ class Wordings:
     def __reduce__(self):
         return prepared, (self.templates,)
 
-    def saved(self, k: int, block: str) -> int:
-        """How many bytes a wording saves when the block is compressed."""
+    def saved(self, part: list[str], among: Iterable[int]) -> list[int]:
+        """How many bytes each of these wordings saves when the words are compressed."""
         if not self._compressors:
-            self._compressors[-1] = zstandard.ZstdCompressor(level=3)
-        if k not in self._compressors:
-            raw = self.templates[k][1].encode()
-            data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self._compressors[k] = zstandard.ZstdCompressor(level=3, dict_data=data)
-        data = block.encode()
-        return len(self._compressors[-1].compress(data)) - len(self._compressors[k].compress(data))
+            for want in self.words:
+                raw = zstandard.ZstdCompressionDict(" ".join(want).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                raw.precompute_compress(level=LEVEL)
+                self._compressors.append(zstandard.ZstdCompressor(dict_data=raw, **_BARE))
+            self._compressors.append(zstandard.ZstdCompressor(level=LEVEL, **_BARE))
+        data = " ".join(part).encode()
+        alone = len(self._compressors[-1].compress(data))
+        return [alone - len(self._compressors[k].compress(data)) for k in among]
+
+    def blocks(self, have: list[str]) -> Iterator[tuple[int, int]]:
+        """The ranges of words that are compressed: every pair is in one, with the words before it."""
+        low = high = 0
+        for i, word in enumerate(have):
+            for step, beside in self.pairs.get(word, ()):
+                if 0 <= i + step < len(have) and have[i + step] == beside:
+                    if i + SHARED >= high:
+                        low = max(0, i - BEFORE)
+                        high = low + BLOCK
+                        yield low, min(high, len(have))
+                    break
 
     def stretches(self, have: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """For each wording, the joined ranges of words in which all its notices lie."""
+        """For each winner of a block, the joined ranges of words in which its notices may lie."""
         out: dict[int, list[tuple[int, int]]] = {}
-        for i, word in enumerate(have):
-            for k, a, b, at in self.parts.get(word, ()):
-                begin = i - (at - a)
-                if begin >= 0 and have[begin : begin + b - a] == self.words[k][a:b]:
-                    low = max(0, begin - a - self.most[k])
-                    high = begin - a + len(self.words[k]) + self.most[k]
-                    mine = out.setdefault(k, [])
-                    if mine and low <= mine[-1][1]:
-                        # Parts come by their anchors, so a later one may begin a little earlier.
-                        mine[-1] = (min(low, mine[-1][0]), max(high, mine[-1][1]))
-                    else:
-                        mine.append((low, high))
+        everyone = range(len(self.words))
+        for begin, end in self.blocks(have):
+            for k, saved in enumerate(self.saved(have[begin:end], everyone)):
+                if saved < LEAST:
+                    continue
+                reach = len(self.words[k]) + self.most[k]
+                low, high = max(0, begin - reach), min(len(have), end + reach)
+                mine = out.setdefault(k, [])
+                if mine and low <= mine[-1][1]:
+                    mine[-1] = (mine[-1][0], high)
+                else:
+                    mine.append((low, high))
         return out
 
+    def names_another(self, differ: list[str], place: str) -> bool:
+        """Whether differences are more than wording: a name or version is missing, or another name was added."""
+        for d in differ:
+            w = d[1:]
+            number = any(c.isdigit() for c in w)
+            if d[0] == "-":
+                if number or w in self.telling:
+                    return True
+            # Added numbers may be those of lists and lines; names are written with capitals ("this library" is none).
+            elif w in self.telling and not number:
+                if any(m.group() != w for m in re.finditer(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])", place, re.IGNORECASE)):
+                    return True
+        return False
+
 
 @functools.cache
 def prepared(templates: tuple[tuple[str, str], ...]) -> Wordings:
@@ -261,30 +350,54 @@ def differences(want: list[str], part: list[str]) -> list[str]:
     return [f"-{w}" for w in missing[::-1]] + [f"+{w}" for w in extra[::-1]]
 
 
+def contenders(wordings: Wordings, have: list[str], text: str, found, ranges) -> list[tuple]:
+    """(wording, start, end, words that differ) of what is confirmed in ranges of words for each wording."""
+    out = []
+    for k, stretches in ranges.items():
+        want, most = wordings.words[k], wordings.most[k]
+        for low, high in stretches:
+            part = have[low:high]
+            # Words that the place lacks altogether are missing from every notice in it.
+            if (wordings.counts[k] - Counter(part)).total() > most:
+                continue
+            for _, start, end in occurrences(want, part, most):
+                start, end = start + low, end + low
+                differ = differences(want, have[start:end])
+                if not wordings.names_another(differ, text[found[start][1] : found[end - 1][2]]):
+                    out.append((k, start, end, differ))
+    return out
+
+
 def notices(text: str, templates: tuple[tuple[str, str], ...] = WORDINGS) -> list[dict]:
     """The notices of a text in the order of their places."""
     wordings = prepared(templates)
     found = words(text)
     have = [w for w, _, _ in found]
-    candidates = []
-    for k, ranges in wordings.stretches(have).items():
-        want = wordings.words[k]
-        for low, high in ranges:
-            for n, start, end in occurrences(want, have[low:high], wordings.most[k]):
-                start, end = start + low, end + low
-                block = text[found[max(0, start - BESIDE)][1] : found[min(len(found), end + BESIDE) - 1][2]]
-                missing_and_added = differences(want, have[start:end])
-                if names_another(missing_and_added):
-                    continue
-                equal = len(want) - sum(w[0] == "-" for w in missing_and_added)
-                candidates.append((n - equal, -wordings.saved(k, block), k, start, end, missing_and_added))
-    used, out = np.zeros(len(have), bool), []
-    for _, saved, k, start, end, differ in sorted(candidates, key=operator.itemgetter(0, 1, 2, 3)):
-        if not used[start:end].any():
-            used[start:end] = True
-            at, stop = found[start][1], found[end - 1][2]
-            name = templates[k][0]
-            out.append({"license": name, "start": at, "length": stop - at, "saved": -saved, "differences": differ})
+    confirmed = contenders(wordings, have, text, found, wordings.stretches(have))
+    confirmed.sort(key=operator.itemgetter(1))
+    out, at = [], 0
+    while at < len(confirmed):
+        stop, end = at, confirmed[at][2]
+        while stop < len(confirmed) and confirmed[stop][1] < end:
+            end = max(end, confirmed[stop][2])
+            stop += 1
+        group, begin = confirmed[at:stop], confirmed[at][1]
+        among = sorted({g[0] for g in group})
+        saves = dict(zip(among, wordings.saved(have[begin:end], among)))
+
+        def rank(g):
+            missing = sum(w[0] == "-" for w in g[3])
+            return -saves[g[0]], len(g[3]) + missing - len(wordings.words[g[0]]), g[0], g[1]
+
+        used = np.zeros(end - begin, bool)
+        for k, start, last, differ in sorted(group, key=rank):
+            if not used[start - begin : last - begin].any():
+                used[start - begin : last - begin] = True
+                place, length = found[start][1], found[last - 1][2] - found[start][1]
+                out.append(
+                    {"license": templates[k][0], "start": place, "length": length, "saved": saves[k], "differences": differ}
+                )
+        at = stop
     return sorted(out, key=operator.itemgetter("start"))
 
 
@@ -319,7 +432,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", templates=WORDINGS)
     or a DataFrame of them, of at most ``MAX_WORDINGS`` rows of ``MAX_WORDS`` words.
     """
     wordings = prepared(table_of(templates))
-    if not wordings.parts:
+    if not wordings.pairs:
         docs = docs.limit(0)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -327,7 +440,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", templates=WORDINGS)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_NOTICE))], ["id", "notices"])
 
     lower = F.lower("text")
-    holds = functools.reduce(operator.or_, [F.contains(lower, F.lit(w)) for w in wordings.parts], F.lit(False))
+    holds = functools.reduce(operator.or_, [F.contains(lower, F.lit(w)) for w in wordings.pairs], F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(holds)
     schema = (
         f"id {type_of(rows, 'id')}, notices array<struct<license: string, start: long, length: long, saved: long, "

@@ -356,6 +356,52 @@ def test_licenses_are_told_apart(spark):
             licenses.scan(table, templates=bad)
 
 
+def _notices_by_words(text):
+    """Licenses and places by aligning every wording with the whole text, without blocks or compression."""
+    wordings = licenses.prepared(licenses.WORDINGS)
+    found = licenses.words(text)
+    have = [w for w, _, _ in found]
+    whole = {k: [(0, len(have))] for k in range(len(wordings.words))}
+    all_places = licenses.contenders(wordings, have, text, found, whole)
+    taken, out = set(), set()
+    for k, start, end, differ in sorted(all_places, key=lambda p: (len(p[3]) - len(wordings.words[p[0]]), p[0], p[1])):
+        if taken.isdisjoint(range(start, end)):
+            taken.update(range(start, end))
+            out.add((licenses.WORDINGS[k][0], found[start][1], found[end - 1][2] - found[start][1]))
+    return out
+
+
+def _by_compression(text):
+    return {(r["license"], r["start"], r["length"]) for r in licenses.notices(text)}
+
+
+def test_license_recall_against_search_by_words(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rng = random.Random(7)
+    vocabulary = sorted({w for t in texts for w, _, _ in licenses.words(t or "")})
+    for _, wording in licenses.WORDINGS * 3:
+        # A tenth of the words at most is left out, added or replaced.
+        changed = wording.split()
+        for _ in range(rng.randrange(0, len(changed) // 12 + 1)):
+            at = rng.randrange(len(changed))
+            changed[at : at + rng.randrange(2)] = rng.choices(vocabulary, k=rng.randrange(2))
+        line = rng.choices(vocabulary, k=rng.randrange(20, 2000))
+        at = rng.randrange(len(line) + 1)
+        texts.append(" ".join(line[:at] + changed + line[at:]))
+    want = [_notices_by_words(t or "") for t in texts]
+    got = [_by_compression(t or "") for t in texts]
+    assert sum(map(len, want)) > 120
+    both = sum(len(w & g) for w, g in zip(want, got))
+    assert both >= 0.95 * sum(map(len, want)) and both >= 0.95 * sum(map(len, got))
+
+
+def test_license_compression_decides(monkeypatch):
+    text = "Some words before. Released under the MIT License. Some words after."
+    assert len(licenses.notices(text)) == 1
+    monkeypatch.setattr(licenses.Wordings, "saved", lambda self, part, among: [0 for _ in among])
+    assert licenses.notices(text) == []
+
+
 def test_license_differences_are_the_fewest():
     rng = random.Random(3)
 
