@@ -15,14 +15,19 @@ significant first, and leave the sort as soon as they are alone:
 2. The second digit is the whole surrounding that a string with this run can
    reach.  Of suffixes equal in it, all but the earliest are repeats throughout.
 3. What is left, one suffix for each different surrounding of a run, is ordered
-   by the remaining digits, for each way the string can lie around the run.
-   Equal groups now are exactly the repeated strings; the earliest stays.
-
-Digits are compared by 64-bit hashes, two of them together for each group.
+   by its content: digits of 8 bytes of the text itself, from the run on and from
+   the run backwards, most significant first; what is alone leaves after each
+   pass.  A string around a run is the equal bytes before it and after it, so its
+   groups follow from the two orders.  They are exactly the repeated strings, byte
+   for byte; the earliest stays.
+
+Hashes choose suffixes, deal them to tasks and drop runs that occur once.  Two
+things are taken as equal by their hashes, two of 64 bits together: the whole
+surroundings of step 2, and strings around the hot runs below.
 Copies are combined before every shuffle: within a task only the earliest of
 equal surroundings is sent on, so a group of copies counts once for each task.
-Runs with more than ``HOT`` different surroundings take another, equally exact
-way, in which all strings are grouped by Spark's own aggregation and join.
+Runs with more than ``HOT`` different surroundings take another way, in which
+all strings are grouped by Spark's own aggregation and join; none is left out.
 
 Defined results: null counts as empty; texts shorter than the threshold stay;
 texts of any length are read whole, in blocks.  Rows that share an id are ordered
@@ -342,6 +347,44 @@ def _contexts(threshold: int):
 _SPAN = "id long, tie string, lo long, hi long"
 
 
+def content_order(groups: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Rows of bytes in their order within groups that lie together: most significant digits of 8 bytes first.
+
+    After every pass, rows that are alone with their digits leave the sort.
+    """
+    n, width = content.shape
+    digits = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    digits[:, :width] = content
+    digits = digits.view(">u8")
+    order = np.arange(n)
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    group = np.repeat(starts, np.diff(np.append(starts, n)))
+    for digit in digits.T:
+        active = np.flatnonzero(np.bincount(group, minlength=n)[group] > 1)
+        if not len(active):
+            break
+        mine, rows = group[active], order[active]
+        value = digit[rows].astype(np.uint64)
+        by = np.lexsort((value, mine))
+        order[active], value = rows[by], value[by]
+        new = np.r_[True, (mine[1:] != mine[:-1]) | (value[1:] != value[:-1])]
+        group[active] = active[new][np.cumsum(new) - 1]
+    return order
+
+
+def classes(groups: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """[row, depth]: numbers that are equal where rows of a group have that many equal first bytes."""
+    n, width = content.shape
+    order = content_order(groups, content)
+    ordered = content[order]
+    differs = ordered[1:] != ordered[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    common[groups[order][1:] != groups[order][:-1]] = -1
+    out = np.zeros((n, width + 1), np.int64)
+    out[order[1:]] = np.cumsum(common[:, None] < np.arange(width + 1), axis=0)
+    return out
+
+
 def _compare(threshold: int):
     """Surroundings in the order of run, id, tie and position, to the spans of repeated strings."""
     reach = threshold - run_length(threshold)
@@ -351,14 +394,15 @@ def _compare(threshold: int):
         run, ids, at, first, last = (rows.column(c).to_numpy() for c in ("run", "id", "at", "first", "last"))
         ties = rows.column("tie").combine_chunks()
         around = np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint8).reshape(n, -1)
-        strings = _string_hashes(around, threshold)
+        # A string that starts at a place has the bytes from there to the run, backwards, and those from the run on.
+        before = classes(run, around[:, :reach][:, ::-1])
+        after = classes(run, around[:, reach:])
         place = np.arange(reach + 1)
         row, place = np.nonzero((place >= first[:, None]) & (place < last[:, None]))
-        own = run.view(np.uint64)[row]
-        key = mixed(strings[row, place] + own * np.uint64(_ODD) + place.astype(np.uint64) * np.uint64(_BASE))
+        key = (place * n + before[row, reach - place]) * n + after[row, threshold - reach + place]
         order = np.argsort(key, kind="stable")
-        k, r, p = key[order], own[order], place[order]
-        again = np.r_[False, (k[1:] == k[:-1]) & (r[1:] == r[:-1]) & (p[1:] == p[:-1])] if len(k) else np.zeros(0, bool)
+        k = key[order]
+        again = np.r_[False, k[1:] == k[:-1]] if len(k) else np.zeros(0, bool)
         repeated = np.sort(order[again])  # by row, then by place
         row, lo = row[repeated], (at[row] - reach + place)[repeated]
         begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (lo[1:] != lo[:-1] + 1)]) if len(row) else []

@@ -424,6 +424,26 @@ def test_license_differences_are_the_fewest():
 # -- repeated passages -----------------------------------------------------
 
 
+def test_content_order_and_classes():
+    rng = np.random.default_rng(5)
+    for n, width, letters in [(1, 5, 2), (40, 9, 2), (300, 21, 2), (200, 63, 1), (120, 8, 3)]:
+        groups = np.sort(rng.integers(0, 4, n))
+        content = rng.integers(0, letters, (n, width)).astype(np.uint8)
+        content[n // 2 :] = content[: n - n // 2]  # equal rows, in groups of their own too
+        order = suffixes.content_order(groups, content)
+        rows = [(int(g), bytes(c)) for g, c in zip(groups, content)]
+        assert [rows[i] for i in order] == sorted(rows)
+        assert sorted(order.tolist()) == list(range(n))
+        numbers = suffixes.classes(groups, content)
+        for depth in range(width + 1):
+            name = {}
+            for i, (g, c) in enumerate(rows):
+                assert name.setdefault((g, c[:depth]), numbers[i, depth]) == numbers[i, depth]
+            assert len(set(name.values())) == len(name)
+
+
+
+
 def without_repeats(rows, threshold):
     seen, out = set(), {}
     for doc_id, text in rows:
