@@ -576,6 +576,16 @@ def test_similar_odd_rows(repeated, none):
     assert jaccard.similar(none).count() == 0
 
 
+def test_a_null_id_is_not_the_smallest_of_a_component(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, words), (None, words), (5, words + " more"), (None, "alone here now"), (3, ""), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op10_ngram_jaccard"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [
+        ("3", 0, "3"), ("5", 39, "5"), ("7", 38, "5"), ("None", 0, "None"), ("None", 1, "None"), ("None", 38, "5"),
+    ]
+
+
 def test_signature_trees_lose_no_link():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, (12, 60), dtype=np.uint64)
