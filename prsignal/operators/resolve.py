@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from functools import reduce
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prsignal import schemas
@@ -47,32 +48,41 @@ def resolve_patches(inputs: DataFrame, cache: DataFrame, responses: DataFrame) -
     no text is shuffled twice.  ``responses`` has one row per url; those that
     end in ``.diff`` are diffs.
     """
-    good = responses.where(F.col("status") == OK)
-    url, is_diff = F.col("url"), F.col("url").endswith(".diff")
+    todo = not_cached(inputs, cache).withColumn("stem", _stem(F.col("pull_patch_url")))
+    return _with_texts(todo, responses).select(
+        "pull_request_url",
+        "pull_patch_url",
+        F.struct(*schemas.CLEAN_COMMENT_COLUMNS).alias("parsed_input"),
+        "patch",
+        "diff",
+    )
+
+
+def _without_last(text: Column, n: int) -> Column:
+    return F.substring(text, F.lit(1), F.length(text) - n)
+
 
-    def without_last(text: Column, n: int) -> Column:
-        return F.substring(text, F.lit(1), F.length(text) - n)
+def _stem(patch_url: Column) -> Column:
+    """A patch url without its last five characters."""
+    return _without_last(patch_url, 5)
 
+
+def _with_texts(todo: DataFrame, responses: DataFrame) -> DataFrame:
+    """Rows with ``pull_patch_url`` and its ``stem`` that were answered, with their patch and diff; dealt by ``stem``."""
+    good = responses.where(F.col("status") == OK)
+    url, is_diff = F.col("url"), F.col("url").endswith(".diff")
     patch_url = F.col("pull_patch_url")
-    todo = not_cached(inputs, cache).withColumn("stem", without_last(patch_url, 5))
     patches = good.where(~is_diff).select(
-        without_last(url, 5).alias("patch_stem"), url.alias("patch_page"), F.col("body").alias("patch")
+        _stem(url).alias("patch_stem"), url.alias("patch_page"), F.col("body").alias("patch")
     )
     diffs = good.where(is_diff).select(
-        without_last(url, 4).alias("diff_stem"), F.col("body").alias("diff")
+        _without_last(url, 4).alias("diff_stem"), F.col("body").alias("diff")
     )
     # Equal urls, said in a way that adds no second key to the join.
     same_page = F.col("patch_page").startswith(patch_url) & patch_url.startswith(F.col("patch_page"))
-    joined = todo.join(patches, (F.col("stem") == F.col("patch_stem")) & same_page).join(
+    return todo.join(patches, (F.col("stem") == F.col("patch_stem")) & same_page).join(
         diffs, F.col("stem") == F.col("diff_stem")
     )
-    return joined.select(
-        "pull_request_url",
-        "pull_patch_url",
-        F.struct(*schemas.CLEAN_COMMENT_COLUMNS).alias("parsed_input"),
-        "patch",
-        "diff",
-    )
 
 
 def resolve_issues(inputs: DataFrame, responses: DataFrame) -> DataFrame:
@@ -90,38 +100,83 @@ def stored_patches(resolved: DataFrame) -> DataFrame:
     return resolved.select("pull_request_url", "patch", "diff")
 
 
-def resolve_with_cached(inputs: DataFrame, cache: DataFrame, responses: DataFrame) -> DataFrame:
-    """All cleaned comment rows whose texts are known, ``is_new`` where they came from the responses.
+def _digest(comments: Column) -> Column:
+    """Tells the comments of one row of a pull request from those of another."""
+    return F.sha2(F.to_json(comments), 256)
+
 
-    A row of a pull request that is in the cache, such as a comment that came
-    late, gets the texts that are kept there.
+def _told_apart(inputs: DataFrame) -> DataFrame:
+    comments = F.struct(*schemas.CLEAN_COMMENT_COLUMNS)
+    return inputs.select("pull_request_url", "pull_patch_url", comments.alias("parsed_input")).withColumn(
+        "digest", _digest(F.col("parsed_input"))
+    )
+
+
+def new_rows(inputs: DataFrame, cache: DataFrame, responses: DataFrame, stored: DataFrame) -> DataFrame:
+    """Keys of the cleaned comment rows whose texts are known and that ``stored`` does not hold, each once.
+
+    Rows are told apart by pull request and comments.  ``is_new`` says that the
+    texts come from the responses and not from the cache, ``for_cache`` that the
+    cache gets them from this row, one of its pull request.  No text moves.
     """
-    fresh = resolve_patches(inputs, cache, responses).withColumn("is_new", F.lit(True))
-    known = inputs.join(cache.select("pull_request_url", "patch", "diff"), "pull_request_url").select(
-        "pull_request_url",
-        "pull_patch_url",
-        F.struct(*schemas.CLEAN_COMMENT_COLUMNS).alias("parsed_input"),
-        "patch",
-        "diff",
-        F.lit(False).alias("is_new"),
+    there = stored.select("pull_request_url", _digest(F.col("parsed_input")).alias("digest"))
+    kept = cache.select("pull_request_url").distinct().withColumn("is_cached", F.lit(True))
+    keys = (
+        _told_apart(inputs)
+        .select("pull_request_url", "pull_patch_url", "digest")
+        .distinct()
+        .join(there, ["pull_request_url", "digest"], "left_anti")
+        .join(kept, "pull_request_url", "left")
+        .withColumn("stem", _stem(F.col("pull_patch_url")))
+    )
+    columns = ("pull_request_url", "stem", "digest")
+    answered = _with_texts(keys.where("is_cached IS NULL"), responses).select(*columns).distinct()
+    first = Window.partitionBy("pull_request_url").orderBy("digest")
+    fresh = answered.select(
+        *columns, F.lit(True).alias("is_new"), (F.row_number().over(first) == 1).alias("for_cache")
+    )
+    known = keys.where("is_cached").select(
+        *columns, F.lit(False).alias("is_new"), F.lit(False).alias("for_cache")
     )
     return fresh.unionByName(known)
 
 
-def _digest() -> Column:
-    """Tells the comments of one row of a pull request from those of another."""
-    return F.sha2(F.to_json("parsed_input"), 256)
+def _wanted(keys: DataFrame, by: str) -> DataFrame:
+    """One row per ``by`` with the digests that are wanted of it."""
+    return keys.groupBy(F.col(by).alias("of")).agg(
+        F.collect_set("digest").alias("digests"),
+        F.collect_set(F.when(F.col("for_cache"), F.col("digest"))).alias("cache_digests"),
+    )
 
 
-def only_new(resolved: DataFrame, stored: DataFrame) -> DataFrame:
-    """Resolved rows that ``stored`` does not hold, each once: by pull request and comments."""
-    there = stored.select("pull_request_url", _digest().alias("digest"))
-    return (
-        resolved.withColumn("digest", _digest())
-        .dropDuplicates(["pull_request_url", "digest"])
-        .join(there, ["pull_request_url", "digest"], "left_anti")
-        .drop("digest")
-    )
+def resolve_rows(
+    keys: DataFrame, kinds: set[bool], inputs: DataFrame, cache: DataFrame, responses: DataFrame
+) -> DataFrame:
+    """The rows at some of the :func:`new_rows`, with patch and diff text.
+
+    Rows and texts are dealt by one key, the stem of the url where the texts come
+    from the responses and the pull request where they come from the cache, and
+    made distinct where they were joined.  ``kinds`` says of which kinds there
+    are keys, by their ``is_new``; the texts of the others are not read.
+    """
+    rows = _told_apart(inputs)
+    columns = ("pull_request_url", "pull_patch_url", "parsed_input", "patch", "diff", "is_new", "for_cache")
+    out = []
+    if True in kinds:
+        todo = rows.withColumn("stem", _stem(F.col("pull_patch_url")))
+        todo = todo.join(_wanted(keys.where("is_new"), "stem"), F.col("stem") == F.col("of"))
+        in_cache = F.expr("array_contains(cache_digests, digest)").alias("for_cache")
+        todo = todo.where("array_contains(digests, digest)").select(*rows.columns, "stem", in_cache)
+        fresh = _with_texts(todo, responses).dropDuplicates(["stem", "pull_request_url", "digest"])
+        out.append(fresh.withColumn("is_new", F.lit(True)).select(*columns))
+    if False in kinds:
+        known = rows.join(
+            _wanted(keys.where("NOT is_new"), "pull_request_url"), F.col("pull_request_url") == F.col("of")
+        ).where("array_contains(digests, digest)")
+        texts = cache.select("pull_request_url", "patch", "diff")
+        known = known.join(texts, "pull_request_url").dropDuplicates(["pull_request_url", "digest"])
+        out.append(known.withColumns({"is_new": F.lit(False), "for_cache": F.lit(False)}).select(*columns))
+    return reduce(DataFrame.unionByName, out)
 
 
 def fetch_and_store(
@@ -136,9 +191,10 @@ def fetch_and_store(
 
     Rows are new when ``output`` does not hold them yet, also those of pull
     requests that are in the cache; a run that is repeated, or that follows one
-    that failed half way, adds only what is missing.  The rows are kept in
-    reliable storage in between, so both tables get the same rows even when
-    executors are lost.  ``compat`` is the older behaviour: what is in the cache
+    that failed half way, adds only what is missing.  What is missing is found
+    from keys alone, and where it is nothing no text is read.  Rows that go to
+    both tables are kept in reliable storage in between, so both get the same
+    ones even when executors are lost.  ``compat`` is the older behaviour: what is in the cache
     is left out, later comments on it too.
     """
     if compat:
@@ -149,11 +205,15 @@ def fetch_and_store(
         append_parquet(resolved, output)
         return
     stored = read_or_empty(inputs.sparkSession, output, schemas.RESOLVED)
-    resolved = materialize(only_new(resolve_with_cached(inputs, cache, responses), stored))
-    if cache_path is not None:
-        fresh = resolved.where("is_new").dropDuplicates(["pull_request_url"])
-        append_parquet(stored_patches(fresh), cache_path)
-    append_parquet(resolved.drop("is_new"), output)
+    keys = materialize(new_rows(inputs, cache, responses, stored))
+    kinds = {r.is_new for r in keys.select("is_new").distinct().collect()}
+    if not kinds:
+        return
+    resolved = resolve_rows(keys, kinds, inputs, cache, responses)
+    if cache_path is not None and True in kinds:
+        resolved = materialize(resolved)
+        append_parquet(stored_patches(resolved.where("for_cache")), cache_path)
+    append_parquet(resolved.drop("is_new", "for_cache"), output)
 
 
 def wanted_again(urls: DataFrame, responses: DataFrame) -> DataFrame:

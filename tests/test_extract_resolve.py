@@ -195,6 +195,47 @@ def test_ingest_twice_with_cache_adds_nothing(spark, tmp_path):
     assert tables.read_cache(spark, cache).count() == 1
 
 
+def test_an_ingest_reads_no_text_that_it_need_not(spark, tmp_path):
+    out, cache = str(tmp_path / "out"), str(tmp_path / "cache")
+    resolve.fetch_and_store(cleaned(spark, [1, 2]), tables.read_cache(spark, cache), pages(spark, [1, 2]), out, cache)
+    unread = pages(spark, [1, 2]).withColumn("body", F.raise_error(F.lit("read")).cast("string"))
+    late = cleaned(spark, [2]).withColumn("comment_text", F.array(F.lit("late")))
+    for rows in (cleaned(spark, [1, 2]), late.unionByName(cleaned(spark, [1, 2, 2]))):
+        resolve.fetch_and_store(rows, tables.read_cache(spark, cache), unread, out, cache)
+    assert sorted(r.pull_request_url[-1] for r in tables.read_resolved(spark, out).collect()) == ["1", "2", "2"]
+    assert tables.read_cache(spark, cache).count() == 2
+
+
+def test_an_ingest_of_repeated_rows_and_pages_against_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    out, cache = str(tmp_path / "out"), str(tmp_path / "cache")
+    stored, kept = set(), set()
+    for _ in range(4):
+        rows = [(f"u{rng.randint(0, 5)}", rng.randint(0, 5), rng.choice("abc")) for _ in range(12)]
+        rows += [(None, 1, "a"), ("u1", None, "a")]
+        found = [n for n in range(6) if rng.random() < 0.6]
+        inputs = spark.createDataFrame(
+            [(u, None if n is None else f"https://h/o/r/pull/{n}.patch", [], [t], [], [], []) for u, n, t in rows],
+            schemas.CLEAN_COMMENTS,
+        )
+        answers = pages(spark, found + found[:2]) if found else pages(spark, [])
+        resolve.fetch_and_store(inputs, tables.read_cache(spark, cache), answers, out, cache)
+        cached = set(kept)
+        for u, n, t in set(rows):
+            # A row without a pull request is in no table that it could be looked up in.
+            if u in cached:
+                stored.add((u, n, t))
+            elif n in found and u:
+                stored.add((u, n, t))
+                kept.add(u)
+    resolved = tables.read_resolved(spark, out).collect()
+    got = [(r.pull_request_url, r.pull_patch_url, r.parsed_input.comment_text[0]) for r in resolved]
+    with_url = [(u, int(p[-7]) if p else None, t) for u, p, t in got if u]
+    assert len(with_url) == len(set(with_url)) and set(with_url) == stored
+    in_cache = tables.read_cache(spark, cache).where("pull_request_url IS NOT NULL").collect()
+    assert sorted(r.pull_request_url for r in in_cache) == sorted(kept)
+
+
 def test_intermediate_tables_go_when_the_work_is_done(spark, tmp_path):
     from pathlib import Path
 
