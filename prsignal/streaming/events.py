@@ -33,10 +33,14 @@ def _has_action() -> Column:
     return F.col("e").isNotNull() & F.col("e.action").isNotNull()
 
 
+def _opens() -> Column:
+    return _has_action() & (F.col("e.action") == OPENED)
+
+
 def opened_pull_requests(decoded: DataFrame) -> DataFrame:
     """Scoring requests of the events that open a pull request."""
     others = [c for c in decoded.columns if c != "e"]
-    return decoded.where(_has_action() & (F.col("e.action") == OPENED)).select(
+    return decoded.where(_opens()).select(
         F.col("e.pull_request.url").alias("pull_request_url"),
         F.col("e.pull_request.patch_url").alias("pull_patch_url"),
         F.coalesce("e.repository.full_name", "e.repository.name").alias("repo_name"),
@@ -101,12 +105,12 @@ def start_scoring(
     there.  All lines of a pull request come from one event, so a batch holds
     every line its ranking needs.  A batch that is run again after a failure
     overwrites its own folders, so every table has each batch once.  The
-    batch's events are decoded once and kept for its tables.
+    batch's events are decoded once, and those that its tables need are kept.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         with scratch(batch.sparkSession):
-            decoded = materialize(decode_events(batch))
+            decoded = materialize(decode_events(batch).where(_opens() | ~_has_action()))
             tables = {"rejects": rejected_events(decoded), **score(opened_pull_requests(decoded))}
             for name, rows in tables.items():
                 _overwrite_batch(rows, f"{output}/{name}", batch_id)

@@ -232,6 +232,29 @@ def test_a_fitted_model_in_a_stream_says_what_it_says_in_a_batch(spark, tmp_path
     assert [r.value for r in spark.read.parquet(f"{out}/rejects").collect()] == ["x"]
 
 
+def test_scoring_reads_each_body_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(text):
+        read.add(1)
+        return text
+
+    good = "diff --git a/x/ab.py b/x/ab.py\n@@ -1,2 +1,2 @@\n-a\n+b"
+    bad = "diff --git a/x/ab.py b/x/ab.py\n@@ -99999999999,2 +1,2 @@\n+b"
+    rows = [("u0.patch", f"From c1 x\n{good}"), ("u1.patch", bad), ("u2.patch", None), ("u3.patch", good)]
+    pages = spark.createDataFrame(rows, "url string, text string").repartition(2).select("url", body("text").alias("body"))
+    requests = spark.createDataFrame([(f"u{i}", f"u{i}.patch") for i in range(5)], "pull_request_url string, pull_patch_url string")
+    facts = spark.createDataFrame([], schemas.ISSUE_FACT)
+    _, answers = jobs.score_requests(
+        requests, pages, facts, lambda lines: lines.withColumns({"prediction": F.lit(1.0), "p1": F.lit(0.5)})
+    )
+    got = {r.pull_request_url: (len(r.positions), r.message) for r in answers.collect()}
+    unfit, no_commit = "line number does not fit an int", "line without a commit"
+    assert got == {"u0": (2, None), "u1": (0, unfit), "u2": (0, "no text"), "u3": (0, no_commit), "u4": (0, "no text")}
+    assert read.value == len(rows)
+
+
 def test_event_log_stream(spark, tmp_path):
     source, out, rejects, state = (str(tmp_path / n) for n in ("in", "out", "rejects", "state"))
     texts(spark, EVENTS).write.text(source)
