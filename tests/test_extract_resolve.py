@@ -375,3 +375,23 @@ def test_daily_extract_job(spark, tmp_path):
     assert ledger == [("20240101", 2, ""), ("20240102", 1, ""), ("20240103", 0, "0"), ("20240104", 0, "1")]
     clustered = jobs.label_store(spark, out, ["20240101"], "daily_comments", str(tmp_path / "clustered"), 3)
     assert clustered.count() == 2
+
+
+def test_hunks_of_the_fixture_split_a_text_once(spark, tmp_path):
+    from prsignal.plans import fixtures
+
+    texts = {1: "a\nb\nc\nd\ne", 2: "", 3: "one", 6: "x\n\ny", 7: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in texts], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for row in fixtures.resolved(spark, str(tmp_path)).select("pull_request_url", "parsed_input.diff_hunks").collect():
+        i = int(row.pull_request_url.rsplit("/", 1)[1])
+        n = 1 + i % 4
+        if texts[i] is None:
+            assert row.diff_hunks == [None] * n
+            continue
+        lines = texts[i].split("\n")
+        parts = [[] for _ in range(n)]
+        for at, line in enumerate(lines):
+            parts[at * n // len(lines)].append(" +-"[(i + at) % 3] + line)
+        assert row.diff_hunks == ["@@ -5,4 +5,6 @@ x\n" + "\n".join(part) for part in parts]
+    assert fixtures.HUNKS.count("split(text") == 1
