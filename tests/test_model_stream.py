@@ -244,7 +244,9 @@ def test_scoring_reads_each_body_once(spark):
     bad = "diff --git a/x/ab.py b/x/ab.py\n@@ -99999999999,2 +1,2 @@\n+b"
     rows = [("u0.patch", f"From c1 x\n{good}"), ("u1.patch", bad), ("u2.patch", None), ("u3.patch", good)]
     pages = spark.createDataFrame(rows, "url string, text string").repartition(2).select("url", body("text").alias("body"))
-    requests = spark.createDataFrame([(f"u{i}", f"u{i}.patch") for i in range(5)], "pull_request_url string, pull_patch_url string")
+    requests = spark.createDataFrame(
+        [(f"u{i}", f"u{i}.patch") for i in range(5)], "pull_request_url string, pull_patch_url string"
+    )
     facts = spark.createDataFrame([], schemas.ISSUE_FACT)
     _, answers = jobs.score_requests(
         requests, pages, facts, lambda lines: lines.withColumns({"prediction": F.lit(1.0), "p1": F.lit(0.5)})
