@@ -223,6 +223,42 @@ def test_places_move_and_not_the_records(spark, tmp_path, monkeypatch):
     assert len(moved) == 2 and not any({"previous_lines", "next_lines"} & set(columns) for columns in moved)
 
 
+def _scans_of_patches(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "FileScan" in line and "patch#" in line]
+
+
+def test_patches_move_once(spark, tmp_path, monkeypatch):
+    df = resolved(spark, random_rows(7))
+    # Rows repeated, older patches, and rows without a url.
+    df = df.unionByName(df.limit(5)).unionByName(df.limit(4).withColumn("patch", F.lit("a")))
+    df = df.unionByName(df.limit(2).withColumn("pull_request_url", F.lit(None).cast("string")))
+    df.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    kept, materialize = [], label.materialize
+    monkeypatch.setattr(label, "materialize", lambda texts: (kept.append(texts), materialize(texts))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        compat, got = label.patch_records(df, compat=True), label.labelled_lines(df)
+        # The exchange of the patches is used again where the records are cut, and the table of texts is read then.
+        assert [len(_scans_of_patches(x)) for x in (compat, *kept, got)] == [1, 1, 0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    newest = label.newest_patches(df)
+    lines = label.flag_commented_lines(
+        label.changed_lines(label.file_sections(newest.select("pull_request_url", "patch"))),
+        label.comment_marks(df),
+        compat=True,
+    ).where("near AND NOT hit")
+    columns = ["pull_request_url", "filename", "line_at", "previous_lines", "next_lines"]
+    assert sorted(map(str, compat.select(columns).collect())) == sorted(map(str, lines.select(columns).collect()))
+    assert lines.count() > 10 and newest.where("pull_request_url IS NULL").count() == 1
+    want = label.with_commented_lines(label.first_per_text(materialize(label.all_records(df))))
+    assert shown(got) == shown(want) and len(shown(got)) > 50
+
+
 def test_two_rows_of_one_pull_request(spark):
     rows = [(1, [(None, n)], [], [], ["x/a.py"], ["c1"], PATCH) for n in (1, 5)]
     got = {r.line_text: r.commented for r in label.labelled_lines(resolved(spark, rows)).collect()}
