@@ -1,14 +1,14 @@
 """Phrases whose words keep company, mined by multikey quicksort of suffix pointers.
 
 Texts are cut into pieces and words.  The suffix at each word, cut to the
-longest phrase, is a window.  Windows that are equal are counted on the way;
-those that are left are dealt to tasks by language and their first three words,
-so that all windows of a longer phrase meet in one task.  There a three-way
-quicksort orders pointers to them word by word: the rows of an equal partition
-at depth d are the occurrences of a phrase of d words, and a partition that
-holds fewer than ``min_count`` is left at once, with all that is in it.  The
-counts of one and two words, by which windows are dealt, are sums over the same
-windows.
+longest phrase, is a window.  Windows that are equal are counted on the way, in
+all the text of a task; those that are left are dealt to tasks by language and
+their first three words, so that all windows of a longer phrase meet in one
+task.  There a three-way quicksort orders pointers to them word by word: the
+rows of an equal partition at depth d are the occurrences of a phrase of d
+words, and a partition that holds fewer than ``min_count`` is left at once, with
+all that is in it.  The counts of one and two words, by which windows are dealt,
+are sums over the same windows.
 
 Before windows move, a sieve of bounded size cuts them: words, pairs and
 triples of words are hashed to buckets, and what falls into a bucket with fewer
@@ -18,6 +18,10 @@ one bucket of each kind for 64 bytes of text and 2^26 at most, so where a corpus
 outgrows that, windows are cut less, and up to five times the text moves unless
 ``min_count`` grows with the corpus.
 
+A frequent window is a row of every task that reads texts.  Tasks therefore read
+``TASK_BYTES`` of text, unless that leaves cores without work: with many small
+tasks, windows times tasks would grow faster than the text.
+
 Only distinct windows are dealt, so copies of a text or a very frequent phrase
 add weight to rows but no rows.  A word that very many phrases begin or end
 with is joined by several keys.  The best phrases are chosen in parts of a
@@ -57,6 +61,10 @@ _PLAIN = bytes.maketrans(BREAKS + b"\t", _BREAK * len(BREAKS) + b" ")
 
 # Bytes of text that are worked on at once.
 CHUNK = 1 << 22
+# Bytes of text that one task reads at least, where all cores have work.
+TASK_BYTES = 1 << 28
+# Distinct windows that a task holds before it gives them out, and rows that it gives out at once.
+HELD, ROWS = 500_000, 50_000
 # Windows that one task orders, on average.
 WINDOWS_PER_TASK = 500_000
 # Buckets of the sieve that make up one row.
@@ -198,14 +206,26 @@ def _passing(batches, least: int):
         yield pa.RecordBatch.from_arrays(row, names=["block", "bits"])
 
 
+def _size(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+
+
+def _bits(size: int) -> int:
+    return min(max((size // BYTES_PER_BUCKET).bit_length(), FEWEST_BITS), MOST_BITS)
+
+
+def in_large_tasks(docs: DataFrame, size: int, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``docs``, of ``size`` bytes of text, in one task for ``task_bytes`` but as many as there are cores."""
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes)))
+
+
 def sieve(docs: DataFrame, min_count: int = MIN_COUNT, bits: int | None = None) -> tuple[int, np.ndarray]:
     """(bits, passing buckets as a bit array): buckets of words, pairs and triples that ``min_count`` may be in.
 
     At most LEADING * 2^(MOST_BITS - 3) bytes, 24 MB, reach the driver, whatever the size of ``docs`` (lang, text).
     """
     if bits is None:
-        size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-        bits = min(max((size // BYTES_PER_BUCKET).bit_length(), FEWEST_BITS), MOST_BITS)
+        bits = _bits(_size(docs))
     least = min(min_count, 255)
     counted = docs.mapInArrow(lambda b: _count_buckets(b, bits), "block int, counts binary")
     passing = counted.repartition("block").mapInArrow(lambda b: _passing(b, least), "block int, bits binary")
@@ -225,8 +245,28 @@ def _passes(table: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 # -- windows ---------------------------------------------------------------
 
 
-def _windows(batches, bits: int, table: np.ndarray, longest: int):
-    """Rows (lang, words, n): distinct windows of a stretch of text, and the number of all words (words null)."""
+def _given_out(held: dict[str, dict]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, words, n) of what is held, which is empty then."""
+    while held:
+        lang, sums = held.popitem()
+        while sums:
+            rows = [sums.popitem() for _ in range(min(len(sums), ROWS))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(rows), pa.string()),
+                    pa.array([words for words, _ in rows], pa.binary()).cast(pa.string()),
+                    pa.array([n for _, n in rows], pa.int64()),
+                ],
+                names=["lang", "words", "n"],
+            )
+
+
+def _windows(batches, bits: int, table: np.ndarray, longest: int, most: int = HELD):
+    """Rows (lang, words, n): distinct windows of a task's texts, and the number of all words (words null).
+
+    Windows of all stretches of text are summed up; when more than ``most`` are held, they are given out.
+    """
+    held: dict[str, dict] = {}
     for lang, texts in _texts_by_language(batches):
         for words, own in words_of(texts, ahead=longest - 1):
             ids, hashes, names = _numbered(words, lang)
@@ -259,14 +299,13 @@ def _windows(batches, bits: int, table: np.ndarray, longest: int):
             heads = np.flatnonzero(new)
             n = np.diff(np.append(heads, len(order)))
             rows = [b" ".join(names[w] for w in row if w) for row in zip(*(c[heads].tolist() for c in columns))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * (len(rows) + 1), pa.string()),
-                    pa.array([*rows, None], pa.binary()).cast(pa.string()),
-                    pa.array([*n.tolist(), int(np.count_nonzero(ids[:own]))], pa.int64()),
-                ],
-                names=["lang", "words", "n"],
-            )
+            sums = held.setdefault(lang, {})
+            for window, times in zip(rows, n.tolist()):
+                sums[window] = sums.get(window, 0) + times
+            sums[None] = sums.get(None, 0) + int(np.count_nonzero(ids[:own]))
+            if sum(map(len, held.values())) > most:
+                yield from _given_out(held)
+    yield from _given_out(held)
     give_back()
 
 
@@ -348,7 +387,9 @@ def counted(
     """((lang, phrase, n) of all phrases of 1 to ``longest`` words with n >= min_count, (lang, n) of all words)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text().alias("text"))
-    bits, table = sieve(texts, min_count, bits)
+    size = _size(texts)
+    texts = in_large_tasks(texts, size)
+    bits, table = sieve(texts, min_count, _bits(size) if bits is None else bits)
     shared = spark.sparkContext.broadcast(table)
     found = texts.mapInArrow(
         lambda b: _windows(b, bits, shared.value, longest), "lang string, words string, n long"

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,41 @@ def test_the_sieve_lets_all_frequent_words_and_pairs_through(spark, texts):
     assert full == {r for r in open_ if r[2] >= 3}
 
 
+def test_a_window_is_one_row_of_a_task_however_much_text_it_reads(texts, monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK", 200)
+    monkeypatch.setattr(phrases, "ROWS", 7)
+    langs, data = zip(*[(lang or "und", t or "") for lang, t in texts])
+    batches = [pa.RecordBatch.from_pydict({"lang": langs[i : i + 9], "text": data[i : i + 9]}) for i in range(0, len(data), 9)]
+    every = np.full((phrases.LEADING << phrases.BLOCK_BITS) // 8, 255, np.uint8)
+    want = defaultdict(int)
+    for lang, text in zip(langs, data):
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", text.translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            want[lang, None] += len(words)
+            for i in range(len(words)):
+                want[lang, " ".join(words[i : i + 5])] += 1
+    for most in (phrases.HELD, 20, 0):
+        found = phrases._windows(iter(batches), phrases.BLOCK_BITS, every, 5, most)
+        rows = [tuple(r.values()) for batch in found for r in batch.to_pylist()]
+        sums = defaultdict(int)
+        for lang, words, n in rows:
+            sums[lang, words] += n
+        assert sums == want
+        if most == phrases.HELD:
+            assert len(rows) == len(want)
+
+
+def test_windows_come_from_few_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([("en", "a b c")] * 400, "lang string, text string").repartition(40)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = lambda *a: phrases.in_large_tasks(df, *a).rdd.getNumPartitions()
+    assert (tasks(0), tasks(2000), tasks(2001, 100), tasks(1 << 40)) == (cores, cores, 21, 40)
+    plans, kept = [], phrases.kept
+    monkeypatch.setattr(phrases, "kept", lambda df: plans.append(df._jdf.queryExecution().toString()) or kept(df))
+    phrases.counted(df, min_count=3)
+    assert f"Coalesce {cores}\n" in plans[0]
+
+
 # -- conversations ---------------------------------------------------------
 
 WHITE = " \t\n\x0b\x0c\r"
