@@ -63,8 +63,8 @@ _PLAIN = bytes.maketrans(BREAKS + b"\t", _BREAK * len(BREAKS) + b" ")
 CHUNK = 1 << 22
 # Bytes of text that one task reads at least, where all cores have work.
 TASK_BYTES = 1 << 28
-# Distinct windows that a task holds before it gives them out, and rows that it gives out at once.
-HELD, ROWS = 500_000, 50_000
+# Distinct windows that a task holds, about 140 bytes each, and rows that it gives out at once.
+HELD, ROWS = 1_000_000, 50_000
 # Windows that one task orders, on average.
 WINDOWS_PER_TASK = 500_000
 # Buckets of the sieve that make up one row.
@@ -264,7 +264,7 @@ def _given_out(held: dict[str, dict]) -> Iterator[pa.RecordBatch]:
 def _windows(batches, bits: int, table: np.ndarray, longest: int, most: int = HELD):
     """Rows (lang, words, n): distinct windows of a task's texts, and the number of all words (words null).
 
-    Windows of all stretches of text are summed up; when more than ``most`` are held, they are given out.
+    Windows of all stretches of text are summed up; when more than ``most`` are held, the rarer half is given out.
     """
     held: dict[str, dict] = {}
     for lang, texts in _texts_by_language(batches):
@@ -304,7 +304,10 @@ def _windows(batches, bits: int, table: np.ndarray, longest: int, most: int = HE
                 sums[window] = sums.get(window, 0) + times
             sums[None] = sums.get(None, 0) + int(np.count_nonzero(ids[:own]))
             if sum(map(len, held.values())) > most:
-                yield from _given_out(held)
+                # The frequent ones stay, as they are likely to come again.
+                middle = np.median([times for sums in held.values() for times in sums.values()])
+                rare = {lang: [w for w, times in sums.items() if times <= middle] for lang, sums in held.items()}
+                yield from _given_out({lang: {w: held[lang].pop(w) for w in some} for lang, some in rare.items()})
     yield from _given_out(held)
     give_back()
 

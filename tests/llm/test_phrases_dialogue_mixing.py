@@ -147,6 +147,16 @@ def test_a_window_is_one_row_of_a_task_however_much_text_it_reads(texts, monkeyp
             assert len(rows) == len(want)
 
 
+def test_frequent_windows_stay_in_a_task_that_gives_out_rare_ones(monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK", 1)
+    data = [f"often. rare{i}. seldom{i}" for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 50, "text": data})
+    every = np.full((phrases.LEADING << phrases.BLOCK_BITS) // 8, 255, np.uint8)
+    found = phrases._windows(iter([batch]), phrases.BLOCK_BITS, every, 5, 5)
+    rows = [tuple(r.values())[1:] for b in found for r in b.to_pylist()]
+    assert rows.count(("often", 50)) == rows.count((None, 150)) == 1 and len(rows) == 102
+
+
 def test_windows_come_from_few_tasks(spark, monkeypatch):
     df = spark.createDataFrame([("en", "a b c")] * 400, "lang string, text string").repartition(40)
     cores = spark.sparkContext.defaultParallelism
