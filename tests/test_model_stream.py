@@ -66,6 +66,13 @@ def test_word_vectors_are_fitted_on_a_bounded_sample(spark):
     assert some.exceptAll(M.sample_of_rows(rows.repartition(7), "line_text", 500)).isEmpty()
 
 
+def test_word_vectors_are_fitted_on_all_rows(spark):
+    text = F.concat(F.lit("w"), F.col("id") % 40)
+    rows = spark.range(1_200_000).select(text.alias("line_text"), F.lit("py").alias("extension"))
+    model = M.fit_prep(rows, word_vectors=True, vector_size=2, min_count=1)
+    assert {r.word for r in model.stages[2].getVectors().collect()} == {f"w{i}" for i in range(40)}
+
+
 def test_rare_words_get_no_weight(spark):
     rows = spark.createDataFrame([("a b",)] * 12 + [("c",)] * 9, "line_text string")
     words = M.tokenizer().transform(rows)
